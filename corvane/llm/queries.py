@@ -2,15 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, minhash, mixing, quality_rules, token_store
+from . import decontaminate, minhash, mixing, quality_knn, quality_rules, token_counts, token_store, toxicity
 from .common import materialize, table
 
 
 #: The token vocabulary; the file is not part of this repository.
 VOCABULARY_FILE = "word_bpe_49k.json"
+PIECES_FILE = "piece_bpe_32k.model"
+
+
+def held_out(doc_id: Column) -> Column:
+    return F.crc32(doc_id.cast("string")) % 5 == 0
+
+
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    out = token_counts.count_tokens(table(spark, sf_dir, "documents"), vocabulary_path=public_tokenizers.path(PIECES_FILE))
+    return out.withColumnRenamed("doc", "doc_id")
 
 
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +38,16 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _scored(scorer, spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels")
+    out = scorer(table(spark, sf_dir, "documents"), labels.where(~held_out(F.col("doc_id"))))
+    return out.select(F.col("doc").alias("doc_id"), held_out(F.col("doc")).alias("held_out"), "score", "predicted")
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored(toxicity.score, spark, sf_dir)
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules.judge(table(spark, sf_dir, "documents"), slim=True)
     return out.select("doc_id", *[F.col(f"qr_{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")])
@@ -38,6 +60,10 @@ def op8_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_blocks(blocks)
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored(quality_knn.score, spark, sf_dir)
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     sizes = materialize(docs.select("doc_id", "source", mixing.count_words(F.col("text")).alias("n")), "sizes")
@@ -45,7 +71,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("mx_size").alias("size"), F.col("mx_source_size").alias("source_size"), F.col("mx_target").alias("target"), (F.col("mx_copies") * F.col("mx_size")).alias("taken"))
 
 
-QUERIES = {f.__name__: f for f in (op3_minhash, op4_decontamination, op6_quality_rules, op8_token_ids, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op2_token_counts, op3_minhash, op4_decontamination, op5_toxicity, op6_quality_rules, op8_token_ids, op9_quality, op10_mixing)}
 
 _OP4_WORDS = r"[w FOR w IN regexp_split_to_array(translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+')  IF w <> '']"
 
