@@ -62,23 +62,25 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     """
     base = docs.drop("mx_size", "mx_source_size", "mx_target", "mx_copies").withColumn("mx_size", F.coalesce(size if size is not None else count_words(F.col(text_col)), F.lit(0)).cast("long"))
     digest = F.md5(F.concat_ws("|", F.lit(seed), F.col(id_col).cast("string")))
+    # a key without nulls, so that the window and the join share one partitioning; the null source sorts last
     rows = base.withColumns({
-        "__src": F.col(source_col),
+        "__src": F.coalesce(F.concat(F.lit("="), F.col(source_col)), F.lit("~")),
         "__digest": digest,
         "__class": _size_class(F.col("mx_size")),
     }).withColumn("__sub", F.conv(F.substring("__digest", 1, 4), 16, 10).cast("int") % SUB_BUCKETS)
     buckets = rows.groupBy("__src", "__class", "__sub").agg(F.count(F.lit(1)).alias("__n"), F.sum("mx_size").alias("__size"))
     earlier = Window.partitionBy("__src").orderBy("__class", "__sub").rowsBetween(Window.unboundedPreceding, -1)
     buckets = buckets.withColumn("__before", F.coalesce(F.sum("__n").over(earlier), F.lit(0)))
-    targets = source_targets(buckets.groupBy(F.col("__src").alias("source")).agg(F.sum("__size").alias("source_size")), weights=weights, share=share, cap=cap)
-    plan = buckets.join(targets, F.col("__src").eqNullSafe(F.col("source"))).select(
+    sizes = buckets.groupBy("__src").agg(F.sum("__size").alias("source_size")).withColumn("source", F.when(F.col("__src") != "~", F.substr("__src", F.lit(2))))
+    targets = source_targets(sizes.select("source", "source_size"), weights=weights, share=share, cap=cap).withColumn("__t_src", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("~")))
+    plan = buckets.join(targets, F.col("__src") == F.col("__t_src")).select(
         F.col("__src").alias("__p_src"), F.col("__class").alias("__p_class"), F.col("__sub").alias("__p_sub"), "__before",
         F.col("source_size").alias("mx_source_size"), F.col("target").alias("mx_target"), F.col("rate").alias("__rate"),
-        _fraction(F.concat_ws("|", F.lit(f"offset-{seed}"), F.col("__src"))).alias("__u"),
+        _fraction(F.concat_ws("|", F.lit(f"offset-{seed}"), F.col("source"))).alias("__u"),
     )
     inside = Window.partitionBy("__src", "__class", "__sub").orderBy("mx_size", "__digest", F.col(id_col))
     ranked = rows.withColumn("__k", F.row_number().over(inside))
-    placed = ranked.join(plan, F.col("__src").eqNullSafe(F.col("__p_src")) & (F.col("__class") == F.col("__p_class")) & (F.col("__sub") == F.col("__p_sub")))
+    placed = ranked.join(plan, (F.col("__src") == F.col("__p_src")) & (F.col("__class") == F.col("__p_class")) & (F.col("__sub") == F.col("__p_sub")))
     k = (F.col("__before") + F.col("__k")).cast("double")
     crossed = F.floor(k * F.col("__rate") + F.col("__u")) - F.floor((k - F.lit(1.0)) * F.col("__rate") + F.col("__u"))
     placed = placed.withColumn("mx_copies", F.least(crossed, F.ceil("__rate")).cast("long"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, minhash, mixing, quality_knn, quality_rules, token_counts, token_store, toxicity
+from . import decontaminate, html_extract, licenses, minhash, mixing, quality_knn, quality_rules, token_counts, token_store, toxicity
 from .common import materialize, table
 
 
@@ -18,6 +18,11 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string")) % 5 == 0
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = html_extract.extract(table(spark, sf_dir, "pages"))
+    return out.select("page_id", "url", F.col("he_text").alias("text"), F.length("he_text").cast("long").alias("n_chars"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -53,6 +58,16 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *[F.col(f"qr_{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")])
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    best = F.try_element_at("ls_matches", F.lit(1))
+    return out.select(
+        "doc_id", F.col("ls_lines").alias("n_lines"), F.size("ls_matches").cast("long").alias("n_matches"),
+        best["license"].alias("license"), F.coalesce(best["dice"], F.lit(0.0)).alias("dice"),
+        F.coalesce(best["template"], F.lit(-1)).alias("template"), F.coalesce(best["line"], F.lit(-1)).alias("line"),
+    )
+
+
 def op8_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -71,11 +86,26 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("mx_size").alias("size"), F.col("mx_source_size").alias("source_size"), F.col("mx_target").alias("target"), (F.col("mx_copies") * F.col("mx_size")).alias("taken"))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op3_minhash, op4_decontamination, op5_toxicity, op6_quality_rules, op8_token_ids, op9_quality, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_token_counts, op3_minhash, op4_decontamination, op5_toxicity, op6_quality_rules, op7_licenses, op8_token_ids, op9_quality, op10_mixing)}
 
 _OP4_WORDS = r"[w FOR w IN regexp_split_to_array(translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+')  IF w <> '']"
 
+_TEMPLATE_ROWS = ", ".join("({}, '{}', {})".format(k, name, str(licenses.template_bigrams(text))) for k, (name, text) in enumerate(licenses.TEMPLATES))
+
 ORACLE_SQL: dict[str, str] = {
+    "op7_licenses": rf"""
+WITH t(template, license, tg) AS (VALUES {_TEMPLATE_ROWS}),
+d AS (SELECT doc_id, regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g') AS x FROM documents),
+u AS (SELECT doc_id, x, string_split(x, chr(10)) AS lines FROM d),
+n AS (SELECT doc_id, x, lines, len([l FOR l IN lines IF trim(l) <> '']) AS n_lines FROM u),
+units AS (SELECT doc_id, i AS line, string_split(trim(lines[i]), ' ') AS w FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM n)
+  UNION ALL SELECT doc_id, 0, string_split(trim(regexp_replace(x, '[ \n]+', ' ', 'g')), ' ') FROM n WHERE n_lines > 1),
+g AS (SELECT doc_id, line, list_distinct([w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))]) AS g FROM units WHERE len(w) BETWEEN 2 AND 100000),
+m AS (SELECT doc_id, line, template, license, 2e0 * len(list_intersect(g, tg)) / (len(g) + len(tg)) AS dice FROM g JOIN t ON len(g) BETWEEN 1 AND 3 * len(tg)),
+k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY dice DESC, line, template) AS r, count(*) OVER (PARTITION BY doc_id) AS c FROM m WHERE dice >= {licenses.THRESHOLD}e0)
+SELECT n.doc_id, CAST(n_lines AS BIGINT) AS n_lines, CAST(coalesce(c, 0) AS BIGINT) AS n_matches, license, coalesce(dice, 0e0) AS dice, CAST(coalesce(template, -1) AS INTEGER) AS template, CAST(coalesce(line, -1) AS INTEGER) AS line
+FROM n LEFT JOIN k ON k.doc_id = n.doc_id AND r = 1
+""",
     "op3_minhash": r"""
 WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
 g AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 4), ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - 4) + 1)) AS i FROM d WHERE len(w) > 0)),
