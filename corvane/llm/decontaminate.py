@@ -44,7 +44,7 @@ def windows_of(items: DataFrame, *, id_col: str = "item_id", text_col: str = "te
     n = F.size("w")
     spans = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), n - width + 1)), lambda i: F.slice(F.col("w"), i, width))
     each = words.select("item", F.explode(spans).alias("terms"))
-    owners = each.select(F.sha2(F.concat_ws(" ", "terms"), 256).alias("phrase_id"), "terms", "item").distinct()
+    owners = each.select(F.xxhash64(F.concat_ws(" ", "terms")).alias("phrase_id"), "terms", "item").distinct()
     return owners.dropDuplicates(["phrase_id"]).select("phrase_id", "terms"), owners.select("phrase_id", "item")
 
 
@@ -72,7 +72,8 @@ def phrase_hits(docs: DataFrame, index: DataFrame, phrases: DataFrame, *, id_col
     """(doc, phrase_id, start, len): every exact occurrence of every phrase; start counts words from 0."""
     anchors = _bounded(materialize(_anchors(phrases, index), "anchors"))
     starts = index.where(F.col("term") != LENGTH_TERM).join(anchors, "term").withColumn("start", F.col("pos") - F.col("offset")).where("start >= 0")
-    candidates = starts.groupBy("doc", "phrase_id", "start").agg(F.count_distinct("rank").alias("found"), F.first("needed").alias("needed")).where("found = needed")
+    found = F.bit_or(F.col("rank"))  # ranks 1 and 2, or the only one
+    candidates = starts.groupBy("doc", "phrase_id", "start").agg(found.alias("found"), F.max("needed").alias("needed")).where("found = 2 * needed - 1")
     candidates = candidates.join(_bounded(phrases), "phrase_id").groupBy("doc").agg(F.collect_set(F.struct("phrase_id", "start", "terms")).alias("c"))
     words = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("__text"))
     joined = words.join(candidates, "doc").select("doc", "c", word_list(F.col("__text")).alias("w"))
