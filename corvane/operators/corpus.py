@@ -1,0 +1,142 @@
+"""Corpus preparation and audit: profile in one pass, exact and near duplicates, sampling, qrels filters, integrity checks."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions import ids as I
+from ..functions import text as T
+from ..sources.storage import broadcast_if_small, materialize
+
+SHORT, LONG = 200, 4000
+BANDS, DISTANCE = 4, 3
+
+
+def profile(docs: DataFrame, text: Column) -> DataFrame:
+    """One row of counts and length statistics; one scan."""
+    n = F.length(text)
+    return docs.agg(
+        F.count(F.lit(1)).alias("documents"), F.count_if(F.coalesce(F.trim(text), F.lit("")) == "").alias("empty"), F.count_if(n < SHORT).alias("too_short"), F.count_if(n > LONG).alias("too_long"),
+        F.count_if(T.mojibake(text)).alias("mojibake"), F.count_if(T.html_residue(text)).alias("html_residue"),
+        F.avg(n).alias("chars_avg"), F.min(n).alias("chars_min"), F.max(n).alias("chars_max"),
+    )
+
+
+def length_percentiles(docs: DataFrame, text: Column, shares: tuple[float, ...] = (0.5, 0.95)) -> DataFrame:
+    """Exact percentiles with linear interpolation (their state is one count per distinct length)."""
+    return docs.agg(*[F.percentile(F.length(text), p).alias(f"p{round(p * 100)}") for p in shares])
+
+
+def distributions(docs: DataFrame, columns: list[str]) -> DataFrame:
+    """(field, value, n) for several columns from one scan."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).cast("string").alias("value")) for c in columns]))
+    return docs.select(pairs.alias("p")).groupBy("p.field", "p.value").agg(F.count(F.lit(1)).alias("n"))
+
+
+def repeated(docs: DataFrame, digest: Column) -> DataFrame:
+    """How many rows exact deduplication would remove."""
+    return docs.groupBy(digest.alias("h")).agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n") - 1)), F.lit(0)).cast("long").alias("duplicates"))
+
+
+def exact_dedup(docs: DataFrame, *, id_col: str, digest: Column) -> tuple[DataFrame, DataFrame]:
+    """(survivors with n_duplicates, map original -> canonical). The smallest id of equal contents survives.
+
+    By aggregation, so a content that is repeated a million times meets in one small state and not in one task's rows.
+    """
+    rows = docs.select(F.col(id_col).alias("original"), digest.alias("digest"))
+    first = rows.groupBy("digest").agg(F.min("original").alias("canonical"), (F.count(F.lit(1)) - 1).alias("n_duplicates"))
+    return first, rows.join(first.select("digest", "canonical"), "digest").select("original", "canonical")
+
+
+def simhash(docs: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
+    """(id, hi, lo): 64-bit SimHash of token pairs as two unsigned halves; a text without a pair of tokens has all bits set.
+
+    Per bit, the signs of its features' hash bits are summed: 64 columns in one partial aggregation.
+    """
+    words = docs.select(F.col(id_col).alias("id"), T.tokens(F.col(text_col)).alias("w"))
+    n = F.size("w")
+    pairs = F.zip_with(F.slice("w", 1, F.greatest(n - 1, F.lit(0))), F.slice("w", 2, F.greatest(n - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
+    feature = words.select("id", F.explode_outer(pairs).alias("f"))
+    hi, lo = I.hash_halves(F.col("f"))
+    hashed = feature.select("id", hi.alias("h"), lo.alias("l"))
+    bit = lambda c, k: F.sum(F.when(F.col(c).bitwiseAND(1 << k) != 0, 1).otherwise(F.when(F.col(c).isNull(), 0).otherwise(-1)))
+    sums = hashed.groupBy("id").agg(*[bit("h", k).alias(f"h{k}") for k in range(32)], *[bit("l", k).alias(f"l{k}") for k in range(32)])
+    half = lambda c: reduce(lambda a, k: a + F.when(F.col(f"{c}{k}") >= 0, F.lit(1 << k)).otherwise(F.lit(0)), range(32), F.lit(0).cast("long"))
+    return sums.select("id", half("h").alias("hi"), half("l").alias("lo"))
+
+
+def near_pairs(prints: DataFrame, *, distance: int = DISTANCE) -> DataFrame:
+    """(a, b, distance) of prints at most `distance` bits apart, a < b, equal prints through their smallest id only.
+
+    Four 16-bit bands: two prints at most three bits apart agree in one. Documents with one print are one node; `near_links`
+    gives them back.
+    """
+    nodes = prints.groupBy("hi", "lo").agg(F.min("id").alias("id"))
+    bands = F.array(*[F.struct(F.lit(k).alias("band"), F.shiftright(F.col(c), s).bitwiseAND(0xFFFF).alias("key")) for k, (c, s) in enumerate((("hi", 16), ("hi", 0), ("lo", 16), ("lo", 0)))])
+    keyed = nodes.select("id", "hi", "lo", F.explode(bands).alias("x")).select("id", "hi", "lo", "x.band", "x.key")
+    a, b = keyed.alias("a"), keyed.alias("b")
+    apart = F.bit_count(F.col("a.hi").bitwiseXOR(F.col("b.hi"))) + F.bit_count(F.col("a.lo").bitwiseXOR(F.col("b.lo")))
+    hit = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id")) & (apart <= distance))
+    return hit.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), apart.alias("distance")).distinct()
+
+
+def hash_sample(df: DataFrame, *, seed: str, n: int, id_col: str, by: str | None = None) -> DataFrame:
+    """The first n rows (of each `by`) in the order of a seeded hash: the same rows in every run and engine.
+
+    Ranks are cut per partition before the shuffle (window group limit), so no group is gathered.
+    """
+    key = I.selection_key(seed, F.col(id_col))
+    groups = [by] if by else [F.lit(0)]
+    return df.withColumn("__k", key).withColumn("sample_rank", F.row_number().over(Window.partitionBy(*groups).orderBy("__k", id_col))).where(F.col("sample_rank") <= n).drop("__k")
+
+
+def required_sample(df: DataFrame, required: DataFrame, *, seed: str, n: int, id_col: str) -> DataFrame:
+    """All required ids, filled up to n by hash order."""
+    must = df.join(required.select(id_col).distinct(), id_col, "left_semi")
+    rest = df.join(required.select(id_col).distinct(), id_col, "left_anti")
+    room = max(0, n - must.count())
+    return must.unionByName(hash_sample(rest, seed=seed, n=room, id_col=id_col).drop("sample_rank"))
+
+
+def filter_qrels(qrels: DataFrame, queries: DataFrame, documents: DataFrame) -> DataFrame:
+    """Positive judgments whose query and document are both known."""
+    return qrels.where("relevance > 0").join(queries.select("query_id").distinct(), "query_id", "left_semi").join(documents.select("document_id").distinct(), "document_id", "left_semi")
+
+
+def integrity(qrels: DataFrame, queries: DataFrame, documents: DataFrame) -> DataFrame:
+    """(check, violations): unknown queries, unknown documents, queries without a judgment, repeated ids."""
+    judged = qrels.select("query_id").distinct()
+    checks = {
+        "unknown_query": judged.join(queries, "query_id", "left_anti"),
+        "unknown_document": qrels.select("document_id").distinct().join(documents, "document_id", "left_anti"),
+        "unjudged_query": queries.select("query_id").distinct().join(judged, "query_id", "left_anti"),
+        "repeated_query": queries.groupBy("query_id").count().where("count > 1"),
+        "repeated_document": documents.groupBy("document_id").count().where("count > 1"),
+    }
+    return reduce(DataFrame.unionByName, [d.agg(F.count(F.lit(1)).alias("violations")).withColumn("check", F.lit(k)) for k, d in checks.items()]).select("check", "violations")
+
+
+def containment(docs: DataFrame, passages: DataFrame, *, width: int = 8) -> DataFrame:
+    """(doc_id, item_id): passages that occur word for word in a document's squeezed text.
+
+    Instead of every pair: passages meet documents on a hash of their first `width` words, and only those are compared.
+    Shorter passages are keyed by their own length.
+    """
+    clean = passages.select("item_id", T.squeeze(F.col("text")).alias("passage")).where("passage <> ''").withColumn("w", F.split("passage", " "))
+    keyed = materialize(clean.select("item_id", "passage", F.least(F.size("w"), F.lit(width)).alias("k"), F.expr(f"array_join(slice(w, 1, least(size(w), {width})), ' ')").alias("head")), "passages")
+    lengths = [r["k"] for r in keyed.select("k").distinct().collect()]  # at most `width` values
+    if not lengths:
+        return docs.select("doc_id").join(keyed.select("item_id"), how="cross").limit(0)
+    words = docs.select("doc_id", F.split(T.squeeze(F.col("text")), " ").alias("w"))
+
+    def heads(k: int) -> DataFrame:
+        spans = F.transform(F.sequence(F.lit(1), F.size("w") - k + 1), lambda i: F.array_join(F.slice("w", i, k), " "))
+        return words.where(F.size("w") >= k).select("doc_id", F.explode(spans).alias("head"))
+
+    grams = reduce(DataFrame.unionByName, map(heads, lengths))
+    candidates = grams.join(broadcast_if_small(keyed.select("item_id", "head", "passage")), "head").select("doc_id", "item_id", "passage").distinct()
+    text = docs.select("doc_id", T.squeeze(F.col("text")).alias("t"))
+    return candidates.join(text, "doc_id").where(F.contains(F.concat(F.lit(" "), "t", F.lit(" ")), F.concat(F.lit(" "), "passage", F.lit(" ")))).select("doc_id", "item_id")
