@@ -1,6 +1,6 @@
 """All registered queries of the engine proper."""
 
-from . import corpus_queries, relational_queries, retrieval_queries  # noqa: F401  registration
+from . import corpus_queries, relational_queries, retrieval_queries, rule_queries  # noqa: F401  registration
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
