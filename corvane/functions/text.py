@@ -95,7 +95,7 @@ def tokens(text: Column, *, compatible: bool = False) -> Column:
 
 def sentences(text: Column) -> Column:
     """Sentences: split after . ! ? and their full-width forms before white space; blank ones dropped."""
-    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"(?<=[.!?。！？])\s+"), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"(?<=[.!?。！？])\s+"), lambda x: F.trim(x)), lambda s: s != "")
 
 
 def evidence_ids(text: Column) -> Column:

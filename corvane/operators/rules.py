@@ -80,5 +80,5 @@ def bad_report_ids(cited: Column, allowed: Column) -> Column:
 
 def plan(tasks: Column, *, most: int = 5) -> Column:
     """Trimmed tasks, blank ones dropped, at most `most`; null if fewer than two are left."""
-    kept = F.slice(F.filter(F.transform(tasks, F.trim), lambda t: t != ""), 1, most)
+    kept = F.slice(F.filter(F.transform(tasks, lambda x: F.trim(x)), lambda t: t != ""), 1, most)
     return F.when(F.size(kept) >= 2, kept)
