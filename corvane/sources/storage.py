@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -9,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
+_written: list[tuple[SparkSession, str]] = []
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -27,9 +29,27 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/corvane/{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
+    _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Delete the scratch tables written so far; DataFrames that still read them become invalid."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop()[1])
+        path.getFileSystem(conf).delete(path, True)
+
+
+@atexit.register
+def _release_at_exit() -> None:
+    if _written and _written[0][0].sparkContext._jsc is not None:
+        try:
+            release(_written[0][0])
+        except Exception:  # the JVM may be gone already; the folder is then the cluster's to clean
+            _written.clear()
+
+
 def broadcast_if_small(df: DataFrame, rows: int = 200_000) -> DataFrame:
     """A broadcast hint if df has at most `rows` rows, which is counted."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
