@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_extract, licenses, minhash, mixing, quality_knn, quality_rules, token_counts, token_store, toxicity
+from . import decontaminate, html_extract, licenses, minhash, mixing, quality_knn, quality_rules, quality_sql, token_counts, token_store, toxicity
 from .common import materialize, table
 
 
@@ -93,6 +93,7 @@ _OP4_WORDS = r"[w FOR w IN regexp_split_to_array(translate(coalesce({0}, ''), 'A
 _TEMPLATE_ROWS = ", ".join("({}, '{}', {})".format(k, name, str(licenses.template_bigrams(text))) for k, (name, text) in enumerate(licenses.TEMPLATES))
 
 ORACLE_SQL: dict[str, str] = {
+    "op6_quality_rules": quality_sql.statement(),
     "op7_licenses": rf"""
 WITH t(template, license, tg) AS (VALUES {_TEMPLATE_ROWS}),
 d AS (SELECT doc_id, regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g') AS x FROM documents),
