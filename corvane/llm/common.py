@@ -59,6 +59,11 @@ def _release_at_exit() -> None:
             _scratch.clear()
 
 
+def broadcast_if_small(df: DataFrame, rows: int = 200_000) -> DataFrame:
+    """df with a broadcast hint if it has at most `rows` rows, which is counted; else as it is. For rows a few short columns wide."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def let(value: Column, body) -> Column:
     """Bind value to a name inside body: a value used in a lambda is otherwise computed again for every element."""
     return F.element_at(F.transform(F.array(value), body), 1)

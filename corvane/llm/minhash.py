@@ -7,10 +7,12 @@
 3. In each bucket, members are paired with the bucket's first member only. Pairs are verified on signatures (an allowance of
    `SIGMAS` standard deviations below the threshold) and then on the full sets.
 4. Components of the confirmed links come from alternating large-star and small-star steps.
-5. Bucket members that are in different components after that are paired with each other, verified and confirmed too, and the
-   components are computed again: no link that could still join two components stays untested.
+5. Buckets that hold several components after that are cut into blocks, and each pair of blocks is a task: it compares the
+   members of different components by signature and full set, each pair in its first common bucket only, and returns links
+   alone. The components are computed again: no link that could still join two components stays untested.
 
-No bucket is gathered into a task: first members come from a partial aggregation, and pairs from joins that AQE can split.
+No bucket is gathered into a task: first members come from a partial aggregation, their pairs from joins that AQE can split,
+and a large bucket is as many tasks as it has pairs of blocks.
 """
 
 from __future__ import annotations
@@ -25,9 +27,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import broadcast_if_small, materialize
 
-WIDTH, ROWS, MISS, SIGMAS = 5, 5, 1e-7, 7.0
+WIDTH, ROWS, MISS, SIGMAS, BLOCK = 5, 5, 1e-7, 7.0, 512
 _MASK = (1 << 64) - 1
 
 
@@ -120,8 +122,7 @@ def signatures(docs: DataFrame, *, threshold: float, width: int = WIDTH, id_col:
 
 def _agree(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
     """Pairs (a, b) whose signatures agree as often as the threshold's do, less SIGMAS standard deviations; sizes must allow it."""
-    k = band_count(threshold) * ROWS
-    least = math.floor(k * threshold - SIGMAS * math.sqrt(k * threshold * (1 - threshold)))
+    k, least = band_count(threshold) * ROWS, _least(threshold)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -137,13 +138,21 @@ def _agree(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
     return both.select("a", "b", "sa", "sb").mapInPandas(run, f"a {kind}, b {kind}")
 
 
-def _confirm(pairs: DataFrame, docs: DataFrame, hundredths: int, width: int) -> DataFrame:
-    """Pairs (a, b) for which 100 * intersection >= hundredths * union, on full sets. docs: doc, text."""
+def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """(doc, s): the full shingle sets, as sorted 64-bit numbers, of the wanted documents. docs: doc, text; wanted: doc."""
     kind = docs.schema["doc"].dataType.simpleString()
 
-    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pd.DataFrame({"doc": batch["doc"], "s": [shingle_set(t, width).tobytes() for t in batch["text"]]})
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array([shingle_set(t, width).tobytes() for t in batch.column("text").to_pylist()], pa.binary())], names=["doc", "s"])
+
+    found = docs.join(broadcast_if_small(wanted), "doc", "left_semi").mapInArrow(run, f"doc {kind}, s binary")
+    return materialize(found.groupBy("doc").agg(F.max(F.struct(F.length("s"), "s")).alias("x")).select("doc", "x.s"), "sets")
+
+
+def _confirm(pairs: DataFrame, sets: DataFrame, hundredths: int) -> DataFrame:
+    """Pairs (a, b) for which 100 * intersection >= hundredths * union, on full sets."""
+    kind = sets.schema["doc"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -154,10 +163,45 @@ def _confirm(pairs: DataFrame, docs: DataFrame, hundredths: int, width: int) ->
                 keep.append(100 * both >= hundredths * (len(x) + len(y) - both))
             yield batch.loc[np.array(keep, dtype=bool), ["a", "b"]]
 
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
-    full = materialize(docs.join(needed, "doc", "left_semi").mapInPandas(sets, f"doc {kind}, s binary"), "sets")
-    with_b = pairs.join(full.select(F.col("doc").alias("b"), F.col("s").alias("sb")), "b")
-    return with_b.join(full.select(F.col("doc").alias("a"), F.col("s").alias("sa")), "a").select("a", "b", "sa", "sb").mapInPandas(run, f"a {kind}, b {kind}")
+    with_b = pairs.join(sets.select(F.col("doc").alias("b"), F.col("s").alias("sb")), "b")
+    return with_b.join(sets.select(F.col("doc").alias("a"), F.col("s").alias("sa")), "a").select("a", "b", "sa", "sb").mapInPandas(run, f"a {kind}, b {kind}")
+
+
+def _least(threshold: float) -> int:
+    """Minima that must agree: as many as at the threshold, less SIGMAS standard deviations."""
+    k = band_count(threshold) * ROWS
+    return math.floor(k * threshold - SIGMAS * math.sqrt(k * threshold * (1 - threshold)))
+
+
+def _across(open_: DataFrame, reps: DataFrame, sets: DataFrame, hundredths: int, threshold: float) -> DataFrame:
+    """Links (a, b) between documents of one bucket and different components. open_: key, band, doc, component."""
+    kind, k, least = sets.schema["doc"].dataType.simpleString(), band_count(threshold) * ROWS, _least(threshold)
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        band = group["band"].iloc[0]
+        ids, part = group["doc"].to_numpy(), group["component"].to_numpy()
+        sig = np.frombuffer(b"".join(group["signature"]), dtype="<u4").reshape(len(group), k)
+        full = [np.frombuffer(x, dtype=np.uint64) for x in group["s"]]
+        size = np.array([len(x) for x in full])
+        left = np.flatnonzero(group["blk"] == group["bi"])
+        right = np.flatnonzero(group["blk"] == group["bj"])
+        out = []
+        for i in left:
+            near = right[(part[right] != part[i]) & ((ids[right] > ids[i]) | (group["bi"].iloc[0] != group["bj"].iloc[0]))]
+            near = near[100 * np.minimum(size[near], size[i]) >= hundredths * np.maximum(size[near], size[i])]
+            same = sig[near] == sig[i]
+            first = same.reshape(len(near), -1, ROWS).all(axis=2).argmax(axis=1) if len(near) else near
+            for j in near[(same.sum(axis=1) >= least) & (first == band)]:
+                both = len(np.intersect1d(full[i], full[j], assume_unique=True))
+                if 100 * both >= hundredths * (size[i] + size[j] - both):
+                    out.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
+        return pd.DataFrame(out, columns=["a", "b"])
+
+    counts = open_.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("blocks"))
+    placed = open_.join(counts, "key").withColumn("blk", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    placed = placed.select("key", "band", "doc", "component", "blk", F.least("blk", "other").alias("bi"), F.greatest("blk", "other").alias("bj"))
+    held = placed.join(reps.select("doc", "signature"), "doc").join(sets.select("doc", "s"), "doc")
+    return held.groupBy("key", "bi", "bj").applyInPandas(run, f"a {kind}, b {kind}")
 
 
 def star_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -198,24 +242,22 @@ def near_duplicates(docs: DataFrame, *, hundredths: int = 80, width: int = WIDTH
     # an id that is repeated with different texts stands for several classes; the row with most shingles speaks for it
     reps = materialize(sigs.join(classes.select(F.col("fingerprint").alias("f"), "rep"), (F.col("fingerprint") == F.col("f")) & (F.col("doc") == F.col("rep"))).groupBy("doc").agg(F.max(F.struct("n_shingles", "signature")).alias("s")).select("doc", "s.*"), "reps")
     keys = F.transform(F.sequence(F.lit(0), F.lit(band_count(threshold) - 1)), lambda i: F.xxhash64(i, F.substring(F.col("signature"), i * (4 * ROWS) + 1, F.lit(4 * ROWS))))
-    bands = reps.select("doc", F.explode(keys).alias("key"))
+    bands = reps.select("doc", F.posexplode(keys).alias("band", "key"))
     shared = bands.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("first")).where("n > 1")
-    members = materialize(bands.join(shared, "key").select("key", "doc", "first"), "buckets")
+    members = materialize(bands.join(shared, "key").select("key", "band", "doc", "first"), "buckets")
 
     stars = members.where("doc <> first").select(F.col("first").alias("a"), F.col("doc").alias("b")).distinct()
+    sets = _sets(rows, members.select("doc").distinct(), width)
     agreed = materialize(_agree(stars, reps, threshold), "agreed")
-    links = materialize(_confirm(agreed, rows, hundredths, width), "links")
+    links = materialize(_confirm(agreed, sets, hundredths), "links")
     found = materialize(star_components(links), "components")
 
-    # what the first members did not join: pairs of different components in one bucket
-    placed = members.join(found, "doc", "left").select("key", "doc", "first", F.coalesce("component", "doc").alias("component"))
+    # what the first members did not join: other components in one bucket
+    placed = members.where("doc <> first").join(found, "doc", "left").select("key", "band", "doc", F.coalesce("component", "doc").alias("component"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
-    open_ = materialize(placed.where("doc <> first").join(mixed.select("key"), "key", "left_semi").select("key", "doc", "component"), "open")
-    other = open_.select(F.col("key").alias("k2"), F.col("doc").alias("b"), F.col("component").alias("c2"))
-    across = open_.join(other, (F.col("key") == F.col("k2")) & (F.col("doc") < F.col("b")) & (F.col("component") != F.col("c2"))).select(F.col("doc").alias("a"), "b").distinct()
-    agreed2 = materialize(_agree(across, reps, threshold), "agreed2")
-    if agreed2.limit(1).count():
-        more = materialize(_confirm(agreed2, rows, hundredths, width), "links2")
+    open_ = materialize(placed.join(mixed.select("key"), "key", "left_semi"), "open")
+    more = materialize(_across(open_, reps, sets, hundredths, threshold), "links2")
+    if more.limit(1).count():
         found = materialize(star_components(found.select(F.col("doc").alias("a"), F.col("component").alias("b")).union(more)), "components2")
 
     # representatives' components, then those of equal sets; ids with several texts join their classes
