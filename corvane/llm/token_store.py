@@ -18,7 +18,8 @@ import itertools
 import re
 import struct
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +30,8 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 VOCABULARY, END_ID = 49408, 2
-BLOCK_IDS, LANES, MIN_STEPS = 1 << 20, 2048, 64
-CACHE_WORDS = 400_000
+BLOCK_IDS, LANES, MIN_STEPS = 1 << 21, 4096, 64
+CACHE_WORDS = 800_000
 _MAGIC, _VERSION = b"CVTK", 1
 _HEAD = struct.Struct("<4sHIIIII")
 _UNIT, _TOTAL = 17, 24  # order 0 counts sum to 2^17; one unit of weight is as much, and there are 2^7 of them
@@ -43,8 +44,8 @@ class _Model:
     def __init__(self, size: int):
         self.size = size
         self.seen = np.zeros(size, dtype=np.int64)
-        self.after1, self.sure1 = np.zeros(size, dtype=np.int64), np.zeros(size, dtype=np.int64)
-        self.after2, self.sure2 = np.zeros(1 << _PAIRS, dtype=np.int64), np.zeros(1 << _PAIRS, dtype=np.int64)
+        # id last seen and confidence in one number: id * 4 + confidence
+        self.after1, self.after2 = np.zeros(size, dtype=np.int32), np.zeros(1 << _PAIRS, dtype=np.int32)
         self.right = np.ones((16, 2), dtype=np.int64)  # by confidence of both: ids that order 2, or else order 1, got right
         self.tried = np.full(16, 8, dtype=np.int64)
         self._settle()
@@ -57,37 +58,44 @@ class _Model:
         spare = (1 << _UNIT) - int(self.freq.sum())
         self.freq[: spare % self.size] += 1
         self.freq += spare // self.size
-        self.cum = np.concatenate([[0], np.cumsum(self.freq)])
+        self.cum = np.concatenate([[0], np.cumsum(self.freq)]).astype(np.int32)
+        self.freq = self.freq.astype(np.int32)
         share = self.right * 120 // self.tried[:, None]
-        self.w2, self.w1 = share[:, 0].copy(), share[:, 1].copy()
+        self.w2, self.w1 = share[:, 0].astype(np.int32), share[:, 1].astype(np.int32)
+        self.w0 = 128 - self.w1 - self.w2
 
     def slots(self) -> np.ndarray:
-        return np.repeat(np.arange(self.size, dtype=np.int64), self.freq)
+        return np.repeat(np.arange(self.size, dtype=np.int32), self.freq)
 
     @staticmethod
     def pair(older: np.ndarray, newer: np.ndarray) -> np.ndarray:
-        return ((older * 40503 + newer) * 2654435761 >> 11) & ((1 << _PAIRS) - 1)
+        return ((older * np.uint32(40503) + newer) * np.uint32(2654435761)) >> np.uint32(32 - _PAIRS)
 
     def predict(self, older: np.ndarray, newer: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Predicted ids of order 1 and 2, their weights, the weight of order 0, and the contexts."""
+        """Predicted ids of order 1 and 2, their weights, the weight of order 0, and the contexts. older, newer: uint32."""
         h = self.pair(older, newer)
-        p1, p2 = self.after1[newer], self.after2[h]
-        state = self.sure2[h] * 4 + self.sure1[newer]
-        w1, w2 = self.w1[state], self.w2[state]
-        return p1, p2, w1, w2, 128 - w1 - w2, h, state
+        one, two = self.after1.take(newer), self.after2.take(h)
+        state = (two & 3) * 4 + (one & 3)
+        return one >> 2, two >> 2, self.w1.take(state), self.w2.take(state), self.w0.take(state), h, state
 
     def learn(self, newer: np.ndarray, ids: np.ndarray, p1: np.ndarray, p2: np.ndarray, h: np.ndarray, state: np.ndarray) -> None:
         hit2, hit1 = p2 == ids, p1 == ids
         self.seen += np.bincount(ids, minlength=self.size)
-        self.sure1[newer] = np.where(hit1, np.minimum(self.sure1[newer] + 1, 3), 0)
-        self.sure2[h] = np.where(hit2, np.minimum(self.sure2[h] + 1, 3), 0)
-        self.after1[newer], self.after2[h] = ids, ids
+        kept = ids.astype(np.int32) << 2
+        self.after1[newer] = kept | np.where(hit1, np.minimum((state & 3) + 1, 3), 0).astype(np.int32)
+        self.after2[h] = kept | np.where(hit2, np.minimum((state >> 2) + 1, 3), 0).astype(np.int32)
         self.tried += np.bincount(state, minlength=16)
         self.right[:, 0] += np.bincount(state[hit2], minlength=16)
         self.right[:, 1] += np.bincount(state[hit1 & ~hit2], minlength=16)
         self._settle()
 
 
+def _interval(model: _Model, sym: np.ndarray, p1: np.ndarray, p2: np.ndarray, w1: np.ndarray, w2: np.ndarray, w0: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and width, out of 2^24, of the ids' shares of the mixture."""
+    start = w0 * model.cum.take(sym) + ((w1 * (p1 < sym) + w2 * (p2 < sym)) << _UNIT)
+    return start, w0 * model.freq.take(sym) + ((w1 * (p1 == sym) + w2 * (p2 == sym)) << _UNIT)
+
+
 def _rounds(steps: int) -> Iterator[tuple[int, int]]:
     at, width = 0, 1
     while at < steps:
@@ -100,10 +108,10 @@ def code_ids(ids: np.ndarray, size: int = VOCABULARY) -> tuple[int, bytes]:
     n = len(ids)
     lanes = max(1, min(LANES, n // MIN_STEPS))
     steps = -(-n // lanes)
-    grid = np.zeros(lanes * steps, dtype=np.int64)
+    grid = np.zeros(lanes * steps, dtype=np.int32)
     grid[:n] = ids
     grid = np.ascontiguousarray(grid.reshape(lanes, steps).T)
-    context = np.concatenate([np.zeros((2, lanes), dtype=np.int64), grid])
+    context = np.concatenate([np.zeros((2, lanes), dtype=np.uint32), grid.astype(np.uint32)])
     model, out = _Model(size), np.zeros((2 * steps + 4, lanes), dtype=np.int64)
     low, span, at = np.zeros(lanes, dtype=np.int64), np.full(lanes, (1 << 48) - 1, dtype=np.int64), np.zeros(lanes, dtype=np.int64)
     lane = np.arange(lanes)
@@ -111,17 +119,15 @@ def code_ids(ids: np.ndarray, size: int = VOCABULARY) -> tuple[int, bytes]:
     for a, b in _rounds(steps):
         sym, older, newer = grid[a:b], context[a:b], context[a + 1 : b + 1]
         p1, p2, w1, w2, w0, h, state = model.predict(older, newer)
-        start = w0 * model.cum[sym] + ((w1 * (p1 < sym) + w2 * (p2 < sym)) << _UNIT)
-        width = w0 * model.freq[sym] + ((w1 * (p1 == sym) + w2 * (p2 == sym)) << _UNIT)
+        start, width = _interval(model, sym, p1, p2, w1, w2, w0)
         for s in range(b - a):
             r = span >> _TOTAL
             low += r * start[s]
             span = r * width[s]
-            over = low >> 48
-            if over.any():
-                k = np.flatnonzero(over)
+            k = np.flatnonzero(low >= 1 << 48)
+            if len(k):
                 flat[(at[k] - 1) * lanes + k] += 1
-                low &= (1 << 48) - 1
+                low[k] -= 1 << 48
             k = np.flatnonzero(span < (1 << 32))
             while len(k):
                 v = low[k]
@@ -151,7 +157,7 @@ def decode_ids(coded: memoryview, n: int, lanes: int, size: int = VOCABULARY) ->
     code = (words[at] << 32) | (words[at + 1] << 16) | words[at + 2]
     at += 3
     model, span = _Model(size), np.full(lanes, (1 << 48) - 1, dtype=np.int64)
-    context = np.zeros((steps + 2, lanes), dtype=np.int64)
+    context = np.zeros((steps + 2, lanes), dtype=np.uint32)
     for a, b in _rounds(steps):
         slots, cum, freq = model.slots(), model.cum, model.freq
         kept = []
@@ -160,24 +166,24 @@ def decode_ids(coded: memoryview, n: int, lanes: int, size: int = VOCABULARY) ->
             p1, p2, w1, w2, w0, h, state = model.predict(older, newer)
             kept.append((p1, p2, h, state))
             r = span >> _TOTAL
-            v = np.minimum(code // r, (1 << _TOTAL) - 1)
-            one = p1 == p2
+            v = np.minimum(code // r, (1 << _TOTAL) - 1).astype(np.int32)
             first = p1 < p2
-            lo, hi = np.where(first, p1, p2), np.where(first, p2, p1)
-            wl, wh = np.where(first, w1, w2), np.where(first, w2, w1)
-            wl = np.where(one, w1 + w2, wl) << _UNIT
-            wh = np.where(one, 0, wh) << _UNIT
-            low_at = w0 * cum[lo]
-            low_end = low_at + w0 * freq[lo] + wl
-            high_at = w0 * cum[hi] + np.where(one, 0, wl)
-            high_end = high_at + w0 * freq[hi] + wh
-            rest = v - np.where(v >= low_end, wl, 0) - np.where(v >= high_end, wh, 0)
-            sym = slots[np.minimum(rest // w0, (1 << _UNIT) - 1)]
-            sym = np.where((v >= low_at) & (v < low_end), lo, sym)
-            sym = np.where(~one & (v >= high_at) & (v < high_end), hi, sym)
+            lo, hi = np.minimum(p1, p2), np.maximum(p1, p2)
+            wl = np.where(first, w1, w2)
+            wl = np.where(p1 == p2, w1 + w2, wl) << _UNIT
+            wh = ((w1 + w2) << _UNIT) - wl
+            low_at = w0 * cum.take(lo)
+            low_end = low_at + w0 * freq.take(lo) + wl
+            high_at = w0 * cum.take(hi) + wl
+            high_end = high_at + w0 * freq.take(hi) + wh
+            above, over = v >= low_end, v >= high_end
+            rest = v - above * wl - over * wh
+            sym = slots.take(np.minimum(rest // w0, (1 << _UNIT) - 1))
+            in_low, in_high = (v >= low_at) > above, (v >= high_at) > over
+            np.copyto(sym, lo, where=in_low)
+            np.copyto(sym, hi, where=in_high)
             context[s + 2] = sym
-            start = w0 * cum[sym] + ((w1 * (p1 < sym) + w2 * (p2 < sym)) << _UNIT)
-            width = w0 * freq[sym] + ((w1 * (p1 == sym) + w2 * (p2 == sym)) << _UNIT)
+            start, width = _interval(model, sym, p1, p2, w1, w2, w0)
             code -= r * start
             span = r * width
             k = np.flatnonzero(span < (1 << 32))
@@ -187,8 +193,8 @@ def decode_ids(coded: memoryview, n: int, lanes: int, size: int = VOCABULARY) ->
                 span[k] <<= 16
                 k = k[span[k] < (1 << 32)]
         p1, p2, h, state = (np.concatenate(x) for x in zip(*kept, strict=True))
-        model.learn(context[a + 1 : b + 1].ravel(), context[a + 2 : b + 2].ravel(), p1, p2, h, state)
-    return np.ascontiguousarray(context[2:].T).reshape(-1)[:n]
+        model.learn(context[a + 1 : b + 1].ravel(), context[a + 2 : b + 2].ravel().astype(np.int32), p1, p2, h, state)
+    return np.ascontiguousarray(context[2:].T).reshape(-1)[:n].astype(np.int64)
 
 
 def pack_block(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray) -> bytes:
@@ -242,7 +248,7 @@ class WordEncoder:
         letters = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
         self.table = {c: "".join(letters[b] for b in chr(c).encode()) for c in range(128, 256)}
         self.known: dict[str, int] = {}
-        self.piece_ids: dict[str, list[int]] = {}
+        self.piece_ids: dict[str, tuple[int, ...]] = {}
         self._clear()
 
     def _clear(self) -> None:
@@ -253,10 +259,11 @@ class WordEncoder:
         if not self._PLAIN.fullmatch(word):
             return self.tokenizer.encode(word, add_special_tokens=False).ids
         out: list[int] = []
-        for piece in self.pieces(word.lower()):
+        small = word.lower()
+        for piece in (small,) if small.isalpha() else self.pieces(small):
             ids = self.piece_ids.get(piece)
             if ids is None:
-                ids = self.piece_ids[piece] = [t.id for t in self.model.tokenize(piece if piece.isascii() else piece.translate(self.table))]
+                ids = self.piece_ids[piece] = tuple([t.id for t in self.model.tokenize(piece if piece.isascii() else piece.translate(self.table))])
             out += ids
         return out
 
@@ -267,22 +274,30 @@ class WordEncoder:
             self._clear()
         if len(self.piece_ids) > CACHE_WORDS:
             self.piece_ids.clear()
-        known = self.known
-        fresh = list(dict.fromkeys(w for words in split for w in words if w not in known))
-        if fresh:
+        known, flat = self.known, list(itertools.chain.from_iterable(split))
+        places = list(map(known.get, flat))
+        if None in places:
+            fresh = list(dict.fromkeys(w for w, k in zip(flat, places, strict=True) if k is None))
             coded = [self._word(w) for w in fresh]
             known.update(zip(fresh, range(len(known), len(known) + len(fresh)), strict=True))
             self.flat = np.concatenate([self.flat, np.fromiter(itertools.chain.from_iterable(coded), dtype=np.uint16)])
-            self.start = np.concatenate([self.start, self.start[-1] + np.cumsum([len(x) for x in coded])])
-        counts = np.array([len(x) for x in split], dtype=np.int64)
-        words = np.fromiter((known[w] for x in split for w in x), dtype=np.int64, count=int(counts.sum()))
+            self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(list(map(len, coded)))])
+            places = [known[w] if k is None else k for w, k in zip(flat, places, strict=True)]
+        counts = np.array(list(map(len, split)), dtype=np.int64)
+        words = np.array(places, dtype=np.int64)
         begin, size = self.start[words], self.start[words + 1] - self.start[words]
         total = np.concatenate([[0], np.cumsum(size)])
-        ids = self.flat[np.repeat(begin - total[:-1], size) + np.arange(total[-1])]
+        ids = self.flat.take(np.repeat(begin - total[:-1], size) + np.arange(total[-1]))
         edge = np.concatenate([[0], np.cumsum(counts)])
         return np.diff(total[edge]), ids
 
 
+@lru_cache(maxsize=1)
+def _encoder(path: str) -> WordEncoder:
+    """One for each Python worker: tasks that run in it one after another share the words it knows."""
+    return WordEncoder(path)
+
+
 def write_blocks(docs: DataFrame, *, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, block_ids: int = BLOCK_IDS) -> DataFrame:
     """Encode every text (null: empty), append end_id, and write blocks in ascending order of the integer id (null first).
 
@@ -291,7 +306,7 @@ def write_blocks(docs: DataFrame, *, vocabulary_path: str, id_col: str = "doc_id
     ordered = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).repartitionByRange(F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, block, doc_ids, lengths, chunks, size = WordEncoder(vocabulary_path), 0, [], [], [], 0
+        encoder, block, doc_ids, lengths, chunks, size = _encoder(vocabulary_path), 0, [], [], [], 0
 
         def close() -> pa.RecordBatch:
             data = pack_block(doc_ids, lengths, np.concatenate(chunks))
@@ -318,7 +333,7 @@ def write_blocks(docs: DataFrame, *, vocabulary_path: str, id_col: str = "doc_id
     return materialize(blocks.select(F.spark_partition_id().alias("part"), "*"), "token_blocks")
 
 
-def read_blocks(blocks: DataFrame, per_document: Callable[[int | None, np.ndarray], tuple] | None = None) -> DataFrame:
+def read_blocks(blocks: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of each document, decoded from the blocks; checksums are verified."""
     parts = blocks.groupBy("part").agg(F.sum("n_ids").alias("n"))
     before = Window.partitionBy(F.lit(0)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
