@@ -31,7 +31,8 @@ from .common import materialize
 
 VOCABULARY, END_ID = 49408, 2
 BLOCK_IDS, LANES, MIN_STEPS = 1 << 21, 4096, 64
-CACHE_WORDS = 800_000
+#: Words and pieces that a worker keeps; workers stay between tasks, and an executor's two hold some 150 MB each then.
+CACHE_WORDS, CACHE_PIECES = 500_000, 150_000
 _MAGIC, _VERSION = b"CVTK", 1
 _HEAD = struct.Struct("<4sHIIIII")
 _UNIT, _TOTAL = 17, 24  # order 0 counts sum to 2^17; one unit of weight is as much, and there are 2^7 of them
@@ -226,7 +227,7 @@ class WordEncoder:
 
     The tokenizer drops white space and never joins across it, so a text's ids are those of its words in turn. Words of ASCII
     and Latin-1 characters are lower-cased and cut by the tokenizer file's own pattern here and only their pieces go to the
-    library's model; all other words go through the whole tokenizer. Ids are kept for up to CACHE_WORDS words and pieces.
+    library's model; all other words go through the whole tokenizer. Ids are kept for up to CACHE_WORDS words and CACHE_PIECES pieces.
     """
 
     #: Fixed values of the tokenizer file: its pre-tokenizer's pattern.
@@ -255,24 +256,31 @@ class WordEncoder:
         self.known.clear()
         self.flat, self.start = np.zeros(0, dtype=np.uint16), np.zeros(1, dtype=np.int64)
 
-    def _word(self, word: str) -> list[int]:
-        if not self._PLAIN.fullmatch(word):
+    def _word(self, word: str) -> list[int] | tuple[int, ...]:
+        ascii_ = word.isascii()
+        if ascii_ and word.isalpha():
+            return self._piece(word.lower())
+        if not (ascii_ and word.isprintable()) and not self._PLAIN.fullmatch(word):
             return self.tokenizer.encode(word, add_special_tokens=False).ids
-        out: list[int] = []
         small = word.lower()
-        for piece in (small,) if small.isalpha() else self.pieces(small):
-            ids = self.piece_ids.get(piece)
-            if ids is None:
-                ids = self.piece_ids[piece] = tuple([t.id for t in self.model.tokenize(piece if piece.isascii() else piece.translate(self.table))])
-            out += ids
-        return out
+        if small.isalpha():
+            return self._piece(small)
+        if small[-1:] in (".", ",") and small[:-1].isalpha():  # a word and a mark, most of the rest
+            return self._piece(small[:-1]) + self._piece(small[-1])
+        return list(itertools.chain.from_iterable(map(self._piece, self.pieces(small))))
+
+    def _piece(self, piece: str) -> tuple[int, ...]:
+        ids = self.piece_ids.get(piece)
+        if ids is None:
+            ids = self.piece_ids[piece] = tuple([t.id for t in self.model.tokenize(piece if piece.isascii() else piece.translate(self.table))])
+        return ids
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(lengths, ids) of texts, without an end id."""
         split = [(re.split("[ \t\n\r]+", t) if self._ODD.search(t) else t.split()) if t else [] for t in texts]
         if len(self.known) > CACHE_WORDS:
             self._clear()
-        if len(self.piece_ids) > CACHE_WORDS:
+        if len(self.piece_ids) > CACHE_PIECES:
             self.piece_ids.clear()
         known, flat = self.known, list(itertools.chain.from_iterable(split))
         places = list(map(known.get, flat))
