@@ -3,7 +3,8 @@
 A document's counts become a vector of five transformed statistics. For each group (language and source, language, all) the
 minimum-covariance-determinant estimate is found by concentration steps: from median and median absolute deviation, keep the
 `SUPPORT` share of rows nearest by Mahalanobis distance, take their mean and covariance, and repeat. Quantiles come from
-counts over fixed bins of the distance, so each step is two partial aggregations of a narrow table and no group is gathered.
+counts over fixed bins of the distance, so each step is two partial aggregations of a narrow table and no group is gathered. Estimates, one row per group, are
+broadcast while they are few, which is counted.
 A row is judged by the finest group with at least `MIN_GROUP` rows and rejected beyond the cut-off.
 """
 
@@ -15,7 +16,7 @@ from operator import add
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, let, materialize, words_of
+from .common import SPACE, broadcast_if_small, let, materialize, words_of
 
 STATS = ("x0", "x1", "x2", "x3", "x4")
 #: Standard deviations below which a statistic's spread is not trusted: many documents have exactly no symbol, say. Wide for
@@ -141,20 +142,21 @@ def fit_mcd(rows: DataFrame) -> DataFrame:
     keyed, p = _keyed(rows), len(STATS)
     # the start: median and median absolute deviation of each statistic, by sketches of bounded size
     med = keyed.groupBy(*_KEYS).agg(*[F.percentile_approx(s, 0.5, 2000).alias(f"m{i}") for i, s in enumerate(STATS)])
+    med = broadcast_if_small(materialize(med, "medians"))
     dev = keyed.join(med, _KEYS).groupBy(*_KEYS).agg(*[F.first(f"m{i}").alias(f"m{i}") for i in range(p)], *[F.percentile_approx(F.abs(F.col(s) - F.col(f"m{i}")), 0.5, 2000).alias(f"a{i}") for i, s in enumerate(STATS)])
     fit = dev.select(*_KEYS, *[f"m{i}" for i in range(p)], *[(F.greatest(F.lit(1.4826) * F.col(f"a{i}"), F.lit(FLOORS[i])) if i == j else F.lit(0.0)).alias(f"l{i}{j}") for i in range(p) for j in range(i + 1)])
     for step in range(STEPS):
-        fit = materialize(fit, f"mcd{step}")
+        fit = broadcast_if_small(materialize(fit, f"mcd{step}"))
         near = keyed.join(fit, _KEYS).withColumn("bin", _bin(_d2()))
         cut = _quantile_bin(near.groupBy(*_KEYS, "bin").agg(F.count(F.lit(1)).alias("n")), SUPPORT)
-        core = near.join(cut, _KEYS).where(F.col("bin") <= F.col("cut"))
+        core = near.join(broadcast_if_small(materialize(cut, "cut")), _KEYS).where(F.col("bin") <= F.col("cut"))
         # sums about the last mean, which keeps them small
         y = [F.col(s) - F.col(f"m{i}") for i, s in enumerate(STATS)]
         sums = core.groupBy(*_KEYS).agg(F.count(F.lit(1)).alias("n"), *[F.first(f"m{i}").alias(f"o{i}") for i in range(p)], *[F.sum(y[i]).alias(f"s{i}") for i in range(p)], *[F.sum(y[i] * y[j]).alias(f"q{i}{j}") for i in range(p) for j in range(i + 1)])
         n = F.col("n").cast("double")
         cov = {f"c{i}{j}": F.col(f"q{i}{j}") / n - (F.col(f"s{i}") / n) * (F.col(f"s{j}") / n) + F.lit(FLOORS[i] ** 2 if i == j else 0.0) for i in range(p) for j in range(i + 1)}
         fit = _with_cholesky(sums.withColumns({f"m{i}": F.col(f"o{i}") + F.col(f"s{i}") / n for i in range(p)} | cov)).select(*_KEYS, *_FIT)
-    fit = materialize(fit, "mcd")
+    fit = broadcast_if_small(materialize(fit, "mcd"))
     # consistency: the median distance of all rows of the group belongs at the chi-square median
     half = _quantile_bin(keyed.join(fit, _KEYS).withColumn("bin", _bin(_d2())).groupBy(*_KEYS, "bin").agg(F.count(F.lit(1)).alias("n")), 0.5)
     median = F.exp((F.col("cut") + F.lit(0.5 - 14 * _BINS_PER_E)) / F.lit(float(_BINS_PER_E)))
@@ -179,7 +181,7 @@ def judge(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
     for level in range(3):
         own = fit.where(F.col("g_level") == level).select(*[F.col(c).alias(f"f{level}_{c}") for c in ["g_lang", "g_source", *_FIT, "scale"]])
         on = {0: (F.col("f0_g_lang") == lang) & (F.col("f0_g_source") == source), 1: F.col("f1_g_lang") == lang, 2: F.col("f2_g_lang") == F.lit("\x01")}[level]
-        out = out.join(own, on, "left")
+        out = out.join(broadcast_if_small(own), on, "left")
     d2 = F.coalesce(*[_d2(f"f{k}_") / F.col(f"f{k}_scale") for k in range(3)])
     out = out.withColumn("qr_distance", F.when(~F.col("qr_base_failed"), d2))
     out = out.withColumn("qr_kept", ~F.col("qr_base_failed") & F.coalesce(F.col("qr_distance") <= F.lit(CHI2_CUT), F.lit(True)))
