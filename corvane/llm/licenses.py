@@ -19,6 +19,19 @@ from pyspark.sql import functions as F
 from .common import ascii_lower, let
 
 THRESHOLD = 0.75
+#: The paragraphs of licences that are published as one short text.
+_MIT_GRANT = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"
+_MIT_NOTICE = "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."
+_MIT_WARRANTY = "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+_ISC_GRANT = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."
+_ISC_WARRANTY = "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
+_BSD_GRANT = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
+_BSD_SOURCE = "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."
+_BSD_BINARY = "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+_BSD_NAMES = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+_BSD_WARRANTY = "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+_APACHE_NOTICE = "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."
+_GPL_NOTICE = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program. If not, see https://www.gnu.org/licenses/."
 #: Notices as licences and their users publish them (the name, then the wording).
 TEMPLATES: tuple[tuple[str, str], ...] = (
     ("AGPL-3.0", "Licensed under the GNU Affero General Public License, version 3."),
@@ -41,6 +54,16 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("MIT", "Released under the MIT License."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("Proprietary", "Copyright. All rights reserved. No part of this work may be reproduced without permission."),
+    ("Proprietary", "All rights reserved."),
+    ("MIT", _MIT_GRANT),
+    ("MIT", f"{_MIT_GRANT} {_MIT_NOTICE} {_MIT_WARRANTY}"),
+    ("ISC", f"{_ISC_GRANT} {_ISC_WARRANTY}"),
+    ("BSD", f"{_BSD_GRANT} {_BSD_SOURCE} {_BSD_BINARY} {_BSD_WARRANTY}"),
+    ("BSD", f"{_BSD_GRANT} {_BSD_SOURCE} {_BSD_BINARY} {_BSD_NAMES} {_BSD_WARRANTY}"),
+    ("BSD", "Redistribution and use in source and binary forms, with or without"),
+    ("BSD", "modification, are permitted provided that the following conditions are met:"),
+    ("Apache-2.0", _APACHE_NOTICE),
+    ("GPL", _GPL_NOTICE),
 )
 SEPARATORS = r"[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -56,26 +79,26 @@ def size_bounds(n: int, threshold: float) -> tuple[int, int]:
 
 
 #: Words too common to look for first.
-COMMON = frozenset("a an and any are as be by for from in is it may not of on or that the this to under use with you".split())
+COMMON = frozenset("0 a all an and any are as be but by for from in including is it may must not of on or other out shall that the this to under use with without you".split())
 
 
 def needed_words(templates: tuple[tuple[str, str], ...], threshold: float) -> list[str]:
     """Words of which every unit that reaches the threshold with some template holds one.
 
-    A match shares at least m of a template's bigrams. Words are taken, rare and long ones first, until fewer than m bigrams are free of
-    them: a unit with none of these words cannot match that template.
+    A match shares at least m of a template's bigrams. Words are taken, rare ones first and then those of the most bigrams, until fewer
+    than m bigrams are free of them: a unit with none of these words cannot match that template. Words are sought as parts of longer
+    ones, so a word that holds another is not needed.
     """
     out: set[str] = set()
     for _, text in templates:
         grams = [g.split() for g in template_bigrams(text)]
         m = math.ceil(threshold * (size_bounds(len(grams), threshold)[0] + len(grams)) / 2 - 1e-9)
-        for word in sorted({w for g in grams for w in g}, key=lambda w: (w in COMMON, w not in out, -len(w), w)):
-            if len(grams) < m:
-                break
-            if any(word in g for g in grams):
-                out.add(word)
-                grams = [g for g in grams if word not in g]
-    return sorted(out)
+        grams = [g for g in grams if not any(o in w for o in out for w in g)]
+        while len(grams) >= m:
+            word = min({w for g in grams for w in g}, key=lambda w: (w in COMMON, len(w) < 4, -sum(w in x for g in grams for x in g), -len(w), w))
+            out.add(word)
+            grams = [g for g in grams if not any(word in w for w in g)]
+    return sorted(w for w in out if not any(o != w and o in w for o in out))
 
 
 def _matches(unit: Column, index: Column, templates: tuple[tuple[str, str], ...], threshold: float) -> Column:

@@ -390,6 +390,21 @@ def test_licence_matches_brute_force(spark, odd, none):
     assert licenses.scan(odd).count() == 18 and licenses.scan(none).count() == 0
 
 
+def test_bare_notices_and_full_texts_are_found(spark):
+    mit = licenses._MIT_GRANT, licenses._MIT_NOTICE, licenses._MIT_WARRANTY
+    wrapped = "\n".join(re.findall(r".{1,70}(?: |$)", "MIT License Copyright (c) 2024 Ann Body " + " ".join(mit)))
+    texts = {
+        1: ("some words\nAll rights reserved.\nmore words", "Proprietary", 2),
+        2: ("some words\n" + mit[0], "MIT", 2),
+        3: (wrapped, "MIT", 0),
+        4: ("Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n" + "other words " * 60, "BSD", 1),
+    }
+    df = spark.createDataFrame([(i, t) for i, (t, _, _) in texts.items()], "doc_id bigint, text string")
+    got = {x["doc_id"]: {(m["license"], m["line"]) for m in x["ls_matches"]} for x in licenses.scan(df).collect()}
+    for i, (_, name, line) in texts.items():
+        assert (name, line) in got[i]
+
+
 # ---- token blocks
 
 
