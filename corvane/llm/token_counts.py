@@ -15,8 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_WORD_CHARS = 100
-CACHE_WORDS = 500_000
+#: Counts kept in a worker, and the longest words (in bytes) whose counts are kept; longer ones are counted each time.
+CACHE_WORDS, CACHE_BYTES = 500_000, 100
 
 
 def vocabulary(path: str) -> tuple[list[str], list[str]]:
@@ -64,8 +64,6 @@ class Automaton:
 
     def count(self, word: str) -> int:
         """Pieces of the greedy longest match from the left; -1, an unknown word, if there is none; 0 for an empty word."""
-        if len(word) > MAX_WORD_CHARS:
-            return -1
         node, cut = 0, 0
         edges, fail, popped = self.edges, self.fail, self.popped
         for c in word:
@@ -87,12 +85,11 @@ class Automaton:
 
 def greedy_count(word: str, starting: set[str], continuing: set[str]) -> int:
     """The plain definition, for tests: cut the longest piece again and again."""
-    if len(word) > MAX_WORD_CHARS:
-        return -1
+    longest = max(map(len, starting | continuing), default=0) if len(word) > 100 else len(word)
     at, n = 0, 0
     while at < len(word):
         pieces = continuing if at else starting
-        for end in range(len(word), at, -1):
+        for end in range(min(len(word), at + longest), at, -1):
             if word[at:end] in pieces:
                 at, n = end, n + 1
                 break
@@ -104,7 +101,7 @@ def greedy_count(word: str, starting: set[str], continuing: set[str]) -> int:
 def count_tokens(docs: DataFrame, *, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc, n_words, n_tokens, n_unknown) for every row, over the whole text.
 
-    Words are parted by ASCII white space. Null and empty texts: 0. Words above MAX_WORD_CHARS characters are one unknown token.
+    Words are parted by ASCII white space and may have any length. Null and empty texts: 0.
     Null ids pass through; repeated rows are counted each; other columns are not read. Empty table: no rows.
     """
 
@@ -121,7 +118,9 @@ def count_tokens(docs: DataFrame, *, vocabulary_path: str, id_col: str = "doc_id
                 for raw, times in words.items():
                     n = known.get(raw)
                     if n is None:
-                        n = known[raw] = automaton.count(raw.decode("utf-8", "surrogatepass"))
+                        n = automaton.count(raw.decode("utf-8", "surrogatepass"))
+                        if len(raw) <= CACHE_BYTES:
+                            known[raw] = n
                     tokens += times * abs(n)
                     unknown += times * (n < 0)
                 n_words.append(sum(words.values()))

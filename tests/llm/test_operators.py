@@ -84,6 +84,17 @@ def test_greedy_counts(spark, odd, none):
     assert token_counts.count_tokens(none, vocabulary_path=path).count() == 0
 
 
+def test_long_words_are_counted_whole(spark):
+    a = token_counts.Automaton(["ab", "a"], ["abc", "b", "c", "a"])
+    word = "abcab" * 300
+    assert a.count(word) == token_counts.greedy_count(word, {"ab", "a"}, {"abc", "b", "c", "a"}) > 500
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    url = "information" * 40
+    df = spark.createDataFrame([(1, f"see {url} here")], "doc_id bigint, text string")
+    row = token_counts.count_tokens(df, vocabulary_path=path).first()
+    assert row["n_words"] == 3 and row["n_unknown"] == 0 and row["n_tokens"] > 40
+
+
 # ---- near duplicates
 
 
