@@ -227,7 +227,7 @@ class WordEncoder:
 
     The tokenizer drops white space and never joins across it, so a text's ids are those of its words in turn. Words of ASCII
     and Latin-1 characters are lower-cased and cut by the tokenizer file's own pattern here and only their pieces go to the
-    library's model; all other words go through the whole tokenizer. Ids are kept for up to CACHE_WORDS words and CACHE_PIECES pieces.
+    library's model; all other words, and those that hold an added token, go through the whole tokenizer. Ids are kept for up to CACHE_WORDS words and CACHE_PIECES pieces.
     """
 
     #: Fixed values of the tokenizer file: its pre-tokenizer's pattern.
@@ -240,7 +240,9 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        #: Tokens that the library cuts out of a text before anything else, in any case for those it seeks in normalised text.
+        added = sorted((t.content for t in self.tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
+        self.holds_added = re.compile("|".join(map(re.escape, added)) if added else "(?!)", re.I).search
         self.model = self.tokenizer.model
         self.pieces = regex.compile(self.PATTERN).findall
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -260,6 +262,8 @@ class WordEncoder:
         ascii_ = word.isascii()
         if ascii_ and word.isalpha():
             return self._piece(word.lower())
+        if self.holds_added(word):
+            return self.tokenizer.encode(word, add_special_tokens=False).ids
         if not (ascii_ and word.isprintable()) and not self._PLAIN.fullmatch(word):
             return self.tokenizer.encode(word, add_special_tokens=False).ids
         small = word.lower()

@@ -459,6 +459,19 @@ def test_words_encode_as_the_whole_text(texts):
         assert list(ids[at[k] : at[k + 1]]) == e.tokenizer.encode(t, add_special_tokens=False).ids
 
 
+def test_added_tokens_encode_as_the_library_does():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    plain, encoder = Tokenizer.from_file(path), token_store.WordEncoder(path)
+    texts = ["end <|endoftext|> of", "a<|startoftext|>b<|endoftext|>", "<|ENDOFTEXT|> <|endoftext| >", "é<|endoftext|>你 <|endoftext|>\x1cx", "<|endoftext|>"]
+    lengths, ids = encoder.encode(texts)
+    at = np.concatenate([[0], np.cumsum(lengths)]).astype(int)
+    for k, t in enumerate(texts):
+        assert list(ids[at[k] : at[k + 1]]) == plain.encode(t, add_special_tokens=False).ids
+    assert 49407 in ids[: at[1]]
+
+
 def plain_digests(rows, tokenizer):
     """[(doc, start, n_tokens, crc32)] in ascending order of id, nulls first."""
     out, start = [], 0
