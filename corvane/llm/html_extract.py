@@ -43,10 +43,16 @@ _CLOSES = {
 }
 
 
+#: Elements of a path that a block names one by one; those above are summed as the page is read, so a deep page costs no more.
+NEAR = 64
+
+
 class Block(NamedTuple):
-    path: tuple[str, ...]  # one entry for each open element: tag and the words of its class, id and role
+    path: tuple[str, ...]  # one entry for each of the NEAR innermost open elements: tag and the words of its class, id and role
     text: str
     link_chars: int
+    depth: int
+    above: np.ndarray | None  # the sum of all other open elements' vectors
 
 
 def _element(tag: str, attributes: str) -> str:
@@ -69,29 +75,41 @@ def blocks_of(page: str | None) -> list[Block]:
     out: list[Block] = []
     if not page:
         return out
-    stack: list[tuple[str, str]] = []
+    tags: list[str] = []  # of the open elements
+    elements: list[str] = []
+    places: dict[str, list[int]] = {}  # where each tag is open
+    sums: list[np.ndarray] = []  # of the vectors of the outermost elements
     text: list[str] = []
     links, in_link, hidden, at = 0, False, 0, 0
 
+    def above() -> np.ndarray | None:
+        n = len(elements) - NEAR
+        while len(sums) < n:
+            v = _element_vector(elements[len(sums)])
+            sums.append(sums[-1] + v if sums else v)
+        return sums[n - 1] if n > 0 else None
+
     def flush() -> None:
         nonlocal links
         if text:
             words = _SPACE.sub(" ", html.unescape("".join(text))).strip()
             text.clear()
             if words:
-                out.append(Block(tuple(e for _, e in stack), words, links))
+                out.append(Block(tuple(elements[-NEAR:]), words, links, len(elements), above()))
         links = 0
 
-    def pop(tags: set[str], stop: set[str]) -> None:
+    def nearest(some: set[str]) -> int:
+        return max((places[t][-1] for t in some if places.get(t)), default=-1)
+
+    def pop(some: set[str], stop: set[str]) -> None:
         nonlocal hidden
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] in tags:
-                for t, _ in stack[i:]:
-                    hidden -= t in HIDDEN_TAGS
-                del stack[i:]
-                return
-            if stack[i][0] in stop:
-                return
+        i = nearest(some)
+        if i < 0 or nearest(stop) > i:
+            return
+        for t in tags[i:]:
+            hidden -= t in HIDDEN_TAGS
+            places[t].pop()
+        del tags[i:], elements[i:], sums[i:]
 
     def add(piece: str) -> None:
         nonlocal links
@@ -129,12 +147,13 @@ def blocks_of(page: str | None) -> list[Block]:
             flush()
             if tag in _CLOSES:
                 pop(*_CLOSES[tag])
-            elif tag in BLOCK and stack and any(t == "p" for t, _ in stack):
+            elif tag in BLOCK and places.get("p"):
                 pop({"p"}, {"button", "td", "th", "caption"})
             if tag not in VOID and not m[3].endswith("/"):
-                if len(stack) < 64:
-                    stack.append((tag, _element(tag, m[3])))
-                    hidden += tag in HIDDEN_TAGS
+                places.setdefault(tag, []).append(len(tags))
+                tags.append(tag)
+                elements.append(_element(tag, m[3]))
+                hidden += tag in HIDDEN_TAGS
     flush()
     return out
 
@@ -145,6 +164,17 @@ def _spot(word: str, dim: int) -> tuple[int, float]:
     return h % dim, 1.0 if h >> 31 else -1.0
 
 
+@lru_cache(maxsize=20_000)
+def _element_vector(element: str) -> np.ndarray:
+    """What an element other than the innermost adds to its path's vector."""
+    v = np.zeros(PATH_DIM, dtype=np.float32)
+    tag, *names = element.split()
+    for word in [f"<{tag}>", *names]:
+        i, s = _spot(word, PATH_DIM)
+        v[i] += s * (0.8 if word[0] == "<" else 1.0)
+    return v
+
+
 @lru_cache(maxsize=20_000)
 def _path_vector(path: tuple[str, ...]) -> np.ndarray:
     v = np.zeros(PATH_DIM, dtype=np.float32)
@@ -160,6 +190,8 @@ def vectors(blocks: list[Block]) -> np.ndarray:
     out = np.zeros((len(blocks), DIM), dtype=np.float32)
     for i, b in enumerate(blocks):
         out[i, :PATH_DIM] = _path_vector(b.path)
+        if b.above is not None:
+            out[i, :PATH_DIM] += b.above
         words = b.text.lower().split()
         w = out[i, PATH_DIM : PATH_DIM + WORD_DIM]
         for word in words:
@@ -169,7 +201,7 @@ def vectors(blocks: list[Block]) -> np.ndarray:
         n, leaf = len(b.text), b.path[-1].split()[0] if b.path else ""
         out[i, PATH_DIM + WORD_DIM :] = (
             np.log1p(n) / 6, min(1.0, b.link_chars / max(n, 1)), np.log1p(len(words)) / 4, min(1.0, sum(map(b.text.count, ".,;!?")) * 10 / max(n, 1)),
-            i / max(1, len(blocks)), float(leaf[:1] == "h" and leaf[1:].isdigit()), float(leaf == "p"), float(b.text[-1:] in ".!?\"”"), float("©" in b.text or "@" in b.text), len(b.path) / 10,
+            i / max(1, len(blocks)), float(leaf[:1] == "h" and leaf[1:].isdigit()), float(leaf == "p"), float(b.text[-1:] in ".!?\"”"), float("©" in b.text or "@" in b.text), b.depth / 10,
         )
     return out
 

@@ -61,6 +61,17 @@ def test_blocks_take_any_markup(page):
         assert b.text == b.text.strip() != ""
 
 
+def test_deep_pages_keep_all_open_elements():
+    shut = "<div class=deep>" * 100
+    page = f"<main>{shut}<svg><g>no text</g></svg><section><section>inside</section>between</section>text{'</div>' * 100}below</main><footer>end</footer>"
+    got = {b.text: b for b in html_extract.blocks_of(page)}
+    assert list(got) == ["inside", "between", "text", "below", "end"]
+    assert [got[t].depth for t in got] == [103, 102, 101, 1, 1] and got["end"].path == ("footer",) and got["between"].path[-1] == "section"
+    full = html_extract._path_vector(("main", *["div deep"] * 100))
+    assert np.allclose(html_extract.vectors([got["text"]])[0, : html_extract.PATH_DIM], full, atol=1e-3)
+    assert len(html_extract.blocks_of("<div>x<p>y" * 40_000)) == 80_000
+
+
 # ---- token counts
 
 
