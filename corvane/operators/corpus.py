@@ -72,7 +72,7 @@ def near_pairs(prints: DataFrame, *, distance: int = DISTANCE) -> DataFrame:
     """(a, b, distance) of prints at most `distance` bits apart, a < b, equal prints through their smallest id only.
 
     Four 16-bit bands: two prints at most three bits apart agree in one. Documents with one print are one node; `near_links`
-    gives them back.
+    gives the others too.
     """
     nodes = prints.groupBy("hi", "lo").agg(F.min("id").alias("id"))
     bands = F.array(*[F.struct(F.lit(k).alias("band"), F.shiftright(F.col(c), s).bitwiseAND(0xFFFF).alias("key")) for k, (c, s) in enumerate((("hi", 16), ("hi", 0), ("lo", 16), ("lo", 0)))])
@@ -83,6 +83,17 @@ def near_pairs(prints: DataFrame, *, distance: int = DISTANCE) -> DataFrame:
     return hit.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), apart.alias("distance")).distinct()
 
 
+def near_links(prints: DataFrame, *, distance: int = DISTANCE) -> DataFrame:
+    """near_pairs, and (smallest id, id, 0) for every other id of equal prints.
+
+    A star and not all pairs, so a print of a million documents gives a million rows. The distance of any two documents is that
+    of their smallest ids.
+    """
+    first = prints.groupBy("hi", "lo").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    star = prints.join(first, ["hi", "lo"]).where(F.col("id") > F.col("a")).select("a", F.col("id").alias("b"), F.lit(0).alias("distance"))
+    return near_pairs(prints, distance=distance).unionByName(star)
+
+
 def hash_sample(df: DataFrame, *, seed: str, n: int, id_col: str, by: str | None = None) -> DataFrame:
     """The first n rows (of each `by`) in the order of a seeded hash: the same rows in every run and engine.
 

@@ -71,6 +71,15 @@ def near_dup_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.near_pairs(prints)
 
 
+@query(f"""WITH {_PRINTS}, n AS (SELECT hi, lo, min(id) AS id FROM p GROUP BY hi, lo)
+SELECT a.id AS a, b.id AS b, CAST(bit_count(CAST(xor(CAST(a.hi AS BIGINT), CAST(b.hi AS BIGINT)) AS BIGINT)) + bit_count(CAST(xor(CAST(a.lo AS BIGINT), CAST(b.lo AS BIGINT)) AS BIGINT)) AS INTEGER) AS distance
+FROM n a JOIN n b ON a.id < b.id WHERE distance <= 3
+UNION ALL SELECT n.id, p.id, CAST(0 AS INTEGER) FROM p JOIN n ON p.hi = n.hi AND p.lo = n.lo WHERE p.id > n.id""")
+def near_dup_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prints = materialize(corpus.simhash(table(spark, sf_dir, "documents"), id_col="doc_id", text_col="text"), "prints")
+    return corpus.near_links(prints)
+
+
 @query("SELECT doc_id, source, sample_rank FROM (SELECT doc_id, source, CAST(row_number() OVER (PARTITION BY source ORDER BY sha256('seed-1:' || doc_id), doc_id) AS INTEGER) AS sample_rank FROM documents) WHERE sample_rank <= 5")
 def hash_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.hash_sample(table(spark, sf_dir, "documents").select("doc_id", "source"), seed="seed-1", n=5, id_col="doc_id", by="source")

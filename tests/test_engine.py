@@ -121,6 +121,20 @@ def test_simhash_pairs_against_brute_force(spark):
     assert rows(corpus.near_pairs(prints), "a", "b", "distance") == sorted(want)
 
 
+def test_simhash_links_reach_every_pair(spark):
+    r = random.Random(6)
+    base = [" ".join(f"w{r.randint(0, 400)}" for _ in range(120)) for _ in range(4)]
+    docs = [(i, t) for i, t in enumerate(base)] + [(10 + i, t.upper()) for i, t in enumerate(base)] + [(20 + i, t + "!") for i, t in enumerate(base)] + [(30, base[0] + " end")]
+    prints = corpus.simhash(spark.createDataFrame(docs, "doc_id int, text string"), id_col="doc_id", text_col="text")
+    p = {x["id"]: (x["hi"] << 32) | x["lo"] for x in prints.collect()}
+    links = corpus.near_links(prints).collect()
+    first = {i: min(j for j in p if p[j] == p[i]) for i in p}
+    assert {(x["a"], x["b"]) for x in links if x["distance"] == 0} == {(first[i], i) for i in p if first[i] != i} and len(set(first.values())) < len(p)
+    apart = {(x["a"], x["b"]): x["distance"] for x in links}
+    got = {(a, b) for a in p for b in p if a < b and (first[a] == first[b] or (min(first[a], first[b]), max(first[a], first[b])) in apart)}
+    assert got == {(a, b) for a in p for b in p if a < b and (p[a] ^ p[b]).bit_count() <= 3}
+
+
 def test_dedup_keeps_the_first(spark):
     docs = spark.createDataFrame([(3, "x"), (1, "x"), (2, "y")], "doc_id int, text string")
     first, mapping = corpus.exact_dedup(docs, id_col="doc_id", digest=I.content_hash(F.col("text")))
