@@ -1,6 +1,6 @@
 """Quality classifier: nearest-neighbour voting over latent-semantic vectors.
 
-A text becomes counts of hashed marks: shapes of its words (letters by case, digits, punctuation), its words' letter triples,
+A text becomes counts of hashed marks: its words, their letter triples and their shapes (letters by case, digits, punctuation),
 the shapes of its lines, and how far words and lines repeat. A bounded labelled sample gives the weights of marks, their
 singular vectors, and the labelled vectors themselves, which are broadcast. Every document is projected and compared with all
 labelled vectors by exact cosine products, a block of documents at a time; the nearest vote for their label by similarity.
@@ -12,6 +12,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -22,17 +23,31 @@ from .common import materialize
 
 #: Bounds: labelled rows learned from (their vectors take FIT_ROWS * RANK * 4 bytes), hashed marks, latent dimensions, voters.
 FIT_ROWS, MARKS, RANK, VOTERS, SHARPNESS = 6_000, 2_048, 48, 15, 4.0
+#: Where each kind of hashed mark lies, and its weight; the first 64 marks are measures, in steps.
+SHAPES, LINES, TRIPLES, WORDS = (64, 576, 1.0), (576, 704, 0.5), (704, 1376, 0.5), (1376, 2048, 0.5)
 _RUN = re.compile(r"(.)\1+")
 _SHAPE = str.maketrans({**{chr(c): "a" for c in range(97, 123)}, **{chr(c): "A" for c in range(65, 91)}, **{chr(c): "0" for c in range(48, 58)}})
 
 
 def _shape(word: str) -> str:
     plain = word if word.isascii() else "".join(c if c.isascii() else "A" if c.isupper() else "a" if c.isalpha() else "~" for c in word)
-    return _RUN.sub(r"\1", plain.translate(_SHAPE))[:12]
+    return _RUN.sub(r"\1", plain.translate(_SHAPE))
 
 
-def mark_counts(text: str | None, known: dict[str, int]) -> np.ndarray:
-    """The MARKS counts of a text, dampened; zeros for a null or empty text."""
+def _spot(mark: str, kind: tuple[int, int, float]) -> int:
+    return kind[0] + zlib.crc32(mark.encode("utf-8", "surrogatepass")) % (kind[1] - kind[0])
+
+
+def _word_marks(word: str) -> tuple[str, bytes]:
+    """The shape of a word, and its marks as 16-bit numbers: shape, word, letter triples."""
+    shape, small = _shape(word), word.lower()
+    edged = f" {small} "
+    marks = [_spot(shape, SHAPES), _spot(small, WORDS), *[_spot(edged[i : i + 3], TRIPLES) for i in range(len(edged) - 2)]]
+    return shape, np.array(marks, dtype=np.uint16).tobytes()
+
+
+def mark_counts(text: str | None, known: dict[str, tuple[str, bytes]]) -> np.ndarray:
+    """The MARKS counts of a text, dampened; zeros for a null or empty text. `known` keeps the marks of words, except very long ones."""
     out = np.zeros(MARKS, dtype=np.float32)
     if not text:
         return out
@@ -40,16 +55,24 @@ def mark_counts(text: str | None, known: dict[str, int]) -> np.ndarray:
     if not words:
         return out
     total = sum(words.values())
-    ids, times = np.empty(len(words), dtype=np.int64), np.fromiter(words.values(), dtype=np.float32, count=len(words))
-    for i, w in enumerate(words):
+    own: dict[str, tuple[str, bytes]] = {}
+    for w in words:
         k = known.get(w)
         if k is None:
-            k = known[w] = 64 + zlib.crc32(_shape(w).encode()) % (MARKS - 64)
-        ids[i] = k
-    np.add.at(out, ids, times)
-    out = np.sqrt(out / total)
+            k = _word_marks(w)
+            if len(w) <= 100:
+                known[w] = k
+        own[w] = k
+    coded = [k[1] for k in own.values()]
+    times = np.fromiter(words.values(), dtype=np.float32, count=len(words))
+    sums = np.bincount(np.frombuffer(b"".join(coded), dtype=np.uint16), np.repeat(times, [len(x) // 2 for x in coded]), MARKS)
     lines = [x for x in text.split("\n") if x.strip()]
-    # the first 64 marks are measures, in steps
+    for line, n in Counter(lines).items():
+        sums[_spot(" ".join([x for x, _ in groupby([own[w][0] for w in line.split()])]), LINES)] += n
+    for start, end, weight in (SHAPES, LINES, TRIPLES, WORDS):
+        part = sums[start:end]
+        out[start:end] = weight * np.sqrt(part / max(part.sum(), 1))
+
     def measure(at: int, value: float, steps: int) -> None:
         out[at + min(steps - 1, int(value * steps))] = 0.7
 
@@ -100,7 +123,7 @@ def score(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     train = materialize(rows.join(F.broadcast(chosen), "doc").select("text", "label"), "quality_train")
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, int] = {}
+        known: dict[str, tuple[str, bytes]] = {}
         for batch in batches:
             x = [mark_counts(t, known).astype(np.float16).tobytes() for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()), batch.column("label")], names=["x", "label"])
@@ -112,7 +135,7 @@ def score(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     sent = docs.sparkSession.sparkContext.broadcast(space)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, int] = {}
+        known: dict[str, tuple[str, bytes]] = {}
         for batch in batches:
             texts, out = batch.column("text").to_pylist(), []
             for i in range(0, len(texts), 256):

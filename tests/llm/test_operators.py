@@ -334,6 +334,20 @@ def test_votes_are_exact_neighbours():
         assert p == pytest.approx((sum(a * labels[j] for a, j in zip(w, top, strict=True)) + 0.5 * labels.mean()) / (sum(w) + 0.5), rel=1e-4)
 
 
+def test_quality_tells_wording():
+    r, known = random.Random(5), {}
+    some = ["".join(r.choice("bcdfghklmnprstv") + r.choice("aeiou") for _ in range(r.randint(2, 4))) for _ in range(800)]
+    text = lambda y: " ".join(r.choice(some[:400] if y else some[400:]) for _ in range(r.randint(30, 90))) + "."
+    labels = [i % 2 for i in range(600)]
+    counts = np.stack([quality_knn.mark_counts(text(y), known) for y in labels])
+    scores = quality_knn.Space(counts[:400], np.array(labels[:400])).vote(counts[400:])
+    assert auc(labels[400:], scores) > 0.95
+    assert quality_knn._shape("a1" * 20) == "a0" * 20
+    a, b = (quality_knn.mark_counts(t, {}) for t in ("one two\nThree 4", "one Three\ntwo 4"))
+    start, end, _ = quality_knn.LINES
+    assert (a[start:end] != b[start:end]).any()
+
+
 # ---- quality rules
 
 
