@@ -101,7 +101,7 @@ u AS (SELECT doc_id, x, string_split(x, chr(10)) AS lines FROM d),
 n AS (SELECT doc_id, x, lines, len([l FOR l IN lines IF trim(l) <> '']) AS n_lines FROM u),
 units AS (SELECT doc_id, i AS line, string_split(trim(lines[i]), ' ') AS w FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM n)
   UNION ALL SELECT doc_id, 0, string_split(trim(regexp_replace(x, '[ \n]+', ' ', 'g')), ' ') FROM n WHERE n_lines > 1),
-g AS (SELECT doc_id, line, list_distinct([w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))]) AS g FROM units WHERE len(w) BETWEEN 2 AND 100000),
+g AS (SELECT doc_id, line, list_distinct([w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))]) AS g FROM units WHERE len(w) >= 2),
 m AS (SELECT doc_id, line, template, license, 2e0 * len(list_intersect(g, tg)) / (len(g) + len(tg)) AS dice FROM g JOIN t ON len(g) BETWEEN 1 AND 3 * len(tg)),
 k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY dice DESC, line, template) AS r, count(*) OVER (PARTITION BY doc_id) AS c FROM m WHERE dice >= {licenses.THRESHOLD}e0)
 SELECT n.doc_id, CAST(n_lines AS BIGINT) AS n_lines, CAST(coalesce(c, 0) AS BIGINT) AS n_matches, license, coalesce(dice, 0e0) AS dice, CAST(coalesce(template, -1) AS INTEGER) AS template, CAST(coalesce(line, -1) AS INTEGER) AS line

@@ -441,6 +441,20 @@ def test_bare_notices_and_full_texts_are_found(spark):
         assert (name, line) in got[i]
 
 
+def test_licence_sql_has_no_longest_line(spark):
+    import duckdb
+
+    from corvane.llm import queries
+
+    text = "Released under the MIT License. " * 20_001
+    got = licenses.scan(spark.createDataFrame([(1, text)], "doc_id bigint, text string")).first()["ls_matches"]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.execute("INSERT INTO documents VALUES (1, ?)", [text])
+    row = con.sql(queries.ORACLE_SQL["op7_licenses"]).df().iloc[0]
+    assert row["n_matches"] == len(got) == 1 and row["license"] == got[0]["license"] == "MIT"
+
+
 # ---- token blocks
 
 
