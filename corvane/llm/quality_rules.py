@@ -19,9 +19,10 @@ from pyspark.sql import functions as F
 from .common import SPACE, broadcast_if_small, let, materialize, words_of
 
 STATS = ("x0", "x1", "x2", "x3", "x4")
-#: Standard deviations below which a statistic's spread is not trusted: many documents have exactly no symbol, say. Wide for
-#: the repeat statistics, on which the base rules have decided already.
-FLOORS = (0.10, 0.05, 0.06, 0.20, 0.16)
+#: Standard deviations below which a statistic's spread is not trusted: many documents have exactly no symbol, say. The root of a
+#: share of n has a counting noise of 1 / (2 sqrt(n)); the repeat statistics have that of 25 lines or words, so that each of them
+#: can reject by itself, from a share of 0.26 where no repeats are the rule.
+FLOORS = (0.10, 0.05, 0.06, 0.10, 0.10)
 SUPPORT, STEPS, MIN_GROUP = 0.75, 3, 60
 #: Chi-square quantiles at 5 degrees of freedom: the median, and the cut-off's (1 - 1e-4).
 CHI2_MEDIAN, CHI2_CUT = 4.3515, 25.745

@@ -383,6 +383,22 @@ def test_outliers_go_and_clean_documents_stay(spark):
     assert {x["bad"] for x in out if not x["qr_kept"]} == {True} and sum(not x["qr_kept"] for x in out) == 60
 
 
+def test_repeats_reject_by_themselves(spark):
+    r = random.Random(16)
+    lines = lambda n: ["".join(r.choice("bcdfghklmnprstv") + r.choice("aeiou") for _ in range(3)) + " " + prose(r, 3, 3000) for _ in range(n)]
+    rows = []
+    for i in range(400):
+        own, bad = lines(20), i % 20 == 0
+        if bad:  # half of the lines twice, no window of eight words twice
+            own = own[:10] + own[9::-1]
+        rows.append((i, "\n".join(own), "en", "s", bad))
+    out = quality_rules.judge(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, bad boolean")).collect()
+    bad = [x for x in out if x["bad"]]
+    assert all(x["qr_n_dup_lines"] == 10 for x in bad) and {x["qr_n_repeat_words"] for x in bad} == {0}
+    assert {x["qr_kept"] for x in bad} == {False} and sum(not x["qr_kept"] for x in out if not x["bad"]) == 0
+    assert all(share / floor**2 > quality_rules.CHI2_CUT for share, floor in ((0.9, quality_rules.FLOORS[3]), (quality_rules.MAX_REPEAT / 100, quality_rules.FLOORS[4])))
+
+
 def test_distance_is_mahalanobis(spark):
     r = np.random.default_rng(3)
     x = r.normal(size=(400, 5)) * np.array([0.3, 0.4, 0.5, 0.9, 0.7]) + r.normal(size=(400, 1))
