@@ -1,5 +1,6 @@
 """The training-data operators against brute force, exact round trips and held-out accuracy, and on odd inputs."""
 
+import functools
 import random
 import re
 import zlib
@@ -500,25 +501,41 @@ def test_damage_is_found():
         token_store.unpack_block(bytes(data))
 
 
-@given(st.lists(st.text(alphabet="aZé É'sßİΣσ\x1c\x85\xa0 　éñ1२²½!%<|\n\tﬁ你-endoftext>", max_size=30), max_size=8))
+@given(st.lists(st.text(alphabet="aZé É’'tmdrelv'sßİΣσ\x1c\x85\xa0 　éñ1२²½!%<|\n\tﬁ你-endoftext>", max_size=30), max_size=8))
 @settings(max_examples=150, deadline=None)
-def test_words_encode_as_the_whole_text(texts):
-    global _encoder
-    try:
-        e = _encoder
-    except NameError:
-        e = _encoder = token_store.WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
-    lengths, ids = e.encode(texts)
+def test_pieces_encode_as_the_whole_text(texts):
+    lengths, ids = piece_encoder().encode(texts)
     at = np.concatenate([[0], np.cumsum(lengths)]).astype(int)
     for k, t in enumerate(texts):
-        assert list(ids[at[k] : at[k + 1]]) == e.tokenizer.encode(t, add_special_tokens=False).ids
+        assert list(ids[at[k] : at[k + 1]]) == fresh_tokenizer().encode(t, add_special_tokens=False).ids
+
+
+@functools.cache
+def piece_encoder():
+    return token_store.PieceEncoder(public_tokenizers.path("word_bpe_49k.json"))
+
+
+@functools.cache
+def fresh_tokenizer():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+
+
+def test_every_character_of_the_alphabet_encodes_as_the_library_does():
+    alphabet = [chr(i) for i in range(256)] + list("€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ中Ａé̀Σ\u2028\u3000")
+    texts = [a + b + c for a in ("x", "'", "1", " ") for b in alphabet for c in ("", "'s", "7", "'LL z")] + ["'" * 3 + "s'ss'reve'v'rE", "y" * 70 + "'d" + "!" * 40, "ñ" * 24 + " " + "ñ" * 25]
+    lengths, ids = piece_encoder().encode(texts)
+    at = np.concatenate([[0], np.cumsum(lengths)]).astype(int)
+    for k, t in enumerate(texts):
+        assert list(ids[at[k] : at[k + 1]]) == fresh_tokenizer().encode(t, add_special_tokens=False).ids, t
 
 
 def test_added_tokens_encode_as_the_library_does():
     from tokenizers import Tokenizer
 
     path = public_tokenizers.path("word_bpe_49k.json")
-    plain, encoder = Tokenizer.from_file(path), token_store.WordEncoder(path)
+    plain, encoder = Tokenizer.from_file(path), token_store.PieceEncoder(path)
     texts = ["end <|endoftext|> of", "a<|startoftext|>b<|endoftext|>", "<|ENDOFTEXT|> <|endoftext| >", "é<|endoftext|>你 <|endoftext|>\x1cx", "<|endoftext|>"]
     lengths, ids = encoder.encode(texts)
     at = np.concatenate([[0], np.cumsum(lengths)]).astype(int)
@@ -545,7 +562,7 @@ def test_blocks_read_back(spark, odd, none):
     blocks = token_store.write_blocks(df, vocabulary_path=path, block_ids=5000)
     assert blocks.count() > 3
     got = [tuple(x) for x in token_store.read_blocks(blocks).orderBy("start").collect()]
-    assert got == plain_digests(rows, token_store.WordEncoder(path).tokenizer)
+    assert got == plain_digests(rows, token_store.PieceEncoder(path).tokenizer)
     assert token_store.read_blocks(token_store.write_blocks(none, vocabulary_path=path)).count() == 0
     out = token_store.read_blocks(token_store.write_blocks(odd, vocabulary_path=path)).orderBy("start").collect()
     assert len(out) == 18 and all(a["start"] + a["n_tokens"] == b["start"] for a, b in zip(out, out[1:], strict=False))

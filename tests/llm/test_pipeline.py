@@ -5,7 +5,7 @@ import random
 import corpus_pipeline
 import public_tokenizers
 from corvane.llm.common import materialize
-from corvane.llm.token_store import WordEncoder
+from corvane.llm.token_store import PieceEncoder
 
 from .conftest import prose
 from .test_operators import components, contaminated, plain_digests
@@ -40,6 +40,6 @@ def test_stages(spark, tmp_path):
     assert mixed.columns == docs.columns
 
     out = stage["token_ids"](spark, mixed, str(tmp_path))
-    plain = plain_digests([(x["doc_id"], x["text"]) for x in mixed.collect()], WordEncoder(public_tokenizers.path("word_bpe_49k.json")).tokenizer)
+    plain = plain_digests([(x["doc_id"], x["text"]) for x in mixed.collect()], PieceEncoder(public_tokenizers.path("word_bpe_49k.json")).tokenizer)
     assert [tuple(x) for x in out.orderBy("start").collect()] == plain
     assert sorted(map(tuple, corpus_pipeline.run(spark, str(tmp_path)).collect())) == sorted(plain)
