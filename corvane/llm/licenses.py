@@ -1,9 +1,14 @@
-"""License scans: lines and whole texts against licence templates by the Dice coefficient of word bigrams. DataFrame functions only.
+"""License scans: runs of words against licence templates by the Dice coefficient of word bigrams. DataFrame functions only.
 
-A unit (each line, and the whole text if it has several) is normalised to words of ASCII letters, digits and other characters
-outside ASCII. Its set of word bigrams is compared with a template's only if the sizes allow the threshold: a Dice coefficient
-of t needs sizes within a factor of (2 - t) / t. Before that, a text that holds none of the words without which no template can
-reach the threshold is done. Everything happens inside a row; nothing is shuffled.
+A text is normalised to words of ASCII letters, digits and other characters outside ASCII. For each template the run of words
+with the highest Dice coefficient of its bigrams and the template's is sought, wherever it starts and ends, so a notice is found
+inside a longer line and wrapped over several. Sizes prune the work: a coefficient of t needs sizes within a factor of
+(2 - t) / t, so a template of n bigrams is out where a text holds fewer than n * t / (2 - t) of them, and no run is longer than
+n * (2 - t) / t. A best run starts and ends with a bigram of the template, which leaves the template's bigrams as the only ends.
+
+Texts that hold none of the words without which no template can reach the threshold are done at once. The others, each distinct
+text once, are cut into bigrams that are joined with the broadcast bigrams of the templates. Runs are built from pairs of hits
+in one block of text or the next, so a long text is many rows and no pair is further apart than the longest run.
 """
 
 from __future__ import annotations
@@ -13,10 +18,10 @@ import re
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, let
+from .common import ascii_lower, broadcast_if_small, materialize
 
 THRESHOLD = 0.75
 #: The paragraphs of licences that are published as one short text.
@@ -60,12 +65,10 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("ISC", f"{_ISC_GRANT} {_ISC_WARRANTY}"),
     ("BSD", f"{_BSD_GRANT} {_BSD_SOURCE} {_BSD_BINARY} {_BSD_WARRANTY}"),
     ("BSD", f"{_BSD_GRANT} {_BSD_SOURCE} {_BSD_BINARY} {_BSD_NAMES} {_BSD_WARRANTY}"),
-    ("BSD", "Redistribution and use in source and binary forms, with or without"),
-    ("BSD", "modification, are permitted provided that the following conditions are met:"),
     ("Apache-2.0", _APACHE_NOTICE),
     ("GPL", _GPL_NOTICE),
 )
-SEPARATORS = r"[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F]+"
+SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 def template_bigrams(text: str) -> list[str]:
@@ -101,46 +104,57 @@ def needed_words(templates: tuple[tuple[str, str], ...], threshold: float) -> li
     return sorted(w for w in out if not any(o != w and o in w for o in out))
 
 
-def _matches(unit: Column, index: Column, templates: tuple[tuple[str, str], ...], threshold: float) -> Column:
-    """Array of (dice, license, template, line) of one unit (normalised, words parted by spaces)."""
-    bounds = [size_bounds(len(template_bigrams(t)), threshold) for _, t in templates]
-    low, high = min(b[0] for b in bounds), max(b[1] for b in bounds)
-    kind = "array<struct<dice:double,license:string,template:int,line:int>>"
-
-    def compare(grams: Column) -> Column:
-        each = []
-        for k, ((name, text), (a, b)) in enumerate(zip(templates, bounds, strict=True)):
-            own = template_bigrams(text)
-            dice = F.lit(2.0) * F.size(F.array_intersect(grams, F.array(*map(F.lit, own)))) / (F.size(grams) + F.lit(len(own)))
-            each.append(F.when(F.size(grams).between(a, b), F.struct(dice.alias("dice"), F.lit(name).alias("license"), F.lit(k).alias("template"), index.cast("int").alias("line"))))
-        return F.filter(F.array(*each), lambda x: x["dice"] >= threshold)
-
-    def grams(words: Column) -> Column:
-        n = F.size(words)
-        pairs = F.array_distinct(F.zip_with(F.slice(words, 1, n - 1), F.slice(words, 2, n - 1), lambda a, b: F.concat_ws(" ", a, b)))
-        return F.when(n > low, let(pairs, lambda g: F.when(F.size(g).between(low, high), compare(g)).otherwise(F.array().cast(kind)))).otherwise(F.array().cast(kind))
-
-    return let(F.split(F.trim(unit), " "), grams)
+def template_rows(templates: tuple[tuple[str, str], ...], threshold: float) -> tuple[str, str]:
+    """Two lists of SQL rows: (template, license, n, least, longest) and (template, no, gram)."""
+    kinds, grams = [], []
+    for k, (name, text) in enumerate(templates):
+        own = template_bigrams(text)
+        least, longest = size_bounds(len(own), threshold)
+        kinds.append(f"({k}, '{name}', {len(own)}, {least}, {longest})")
+        grams += [f"({k}, {i}, '{g}')" for i, g in enumerate(own)]
+    return ", ".join(kinds), ", ".join(grams)
+
+
+def best_runs(spark: SparkSession, texts: DataFrame, templates: tuple[tuple[str, str], ...], threshold: float) -> DataFrame:
+    """texts (key, text), keys distinct -> (key, matches), for keys with a match: array of (dice, license, template, first_word, n_words)."""
+    kinds, grams = template_rows(templates, threshold)
+    kinds = F.broadcast(spark.sql(f"SELECT * FROM VALUES {kinds} AS t(template, license, n, least, longest)"))
+    grams = F.broadcast(spark.sql(f"SELECT * FROM VALUES {grams} AS v(template, no, gram)"))
+    words = texts.select("key", F.filter(F.split(ascii_lower(F.col("text")), SEPARATORS), lambda w: w != "").alias("w")).where(F.size("w") > 1)
+    n = F.size("w")
+    pairs = words.select("key", F.posexplode(F.zip_with(F.slice("w", 1, n - 1), F.slice("w", 2, n - 1), lambda a, b: F.concat_ws(" ", a, b))).alias("pos", "gram"))
+    hits = materialize(pairs.join(grams, "gram").select("key", "template", "no", "pos"), "licence_hits")
+    enough = hits.groupBy("key", "template").agg(F.count_distinct("no").alias("held")).join(kinds, "template").where("held >= least").select("key", "template", "n", "longest", "license")
+    placed = materialize(hits.join(broadcast_if_small(materialize(enough, "licence_pairs")), ["key", "template"]).withColumn("block", F.floor(F.col("pos") / F.col("longest"))), "licence_places")
+    ends = placed.select("key", "template", "no", F.col("pos").alias("end"), F.explode(F.array(F.col("block") - 1, "block")).alias("block"))
+    reached = placed.drop("no").join(ends, ["key", "template", "block"]).where(F.col("end").between(F.col("pos"), F.col("pos") + F.col("longest") - 1))
+    # a bigram counts once in a run: at its first place after the start, and a best run ends at such a place
+    first = reached.groupBy("key", "template", "license", "n", "pos", "no").agg(F.min("end").alias("end"))
+    shared = F.count(F.lit(1)).over(Window.partitionBy("key", "template", "pos").orderBy("end"))
+    size = F.col("end") - F.col("pos") + 1
+    runs = first.withColumn("dice", F.lit(2.0) * shared / (F.col("n") + size)).where(F.col("dice") >= threshold)
+    best = runs.groupBy("key", "template", "license").agg(F.max(F.struct("dice", (-F.col("pos")).alias("pos"), (-size).alias("size"))).alias("x"))
+    each = F.array_sort(F.collect_list(F.struct((-F.col("x.dice")).alias("o"), (-F.col("x.pos")).alias("pos"), (-F.col("x.size")).alias("size"), "template", "license")))
+    found = best.groupBy("key").agg(each.alias("each"))
+    return found.select("key", F.transform("each", lambda m: F.struct((-m["o"]).alias("dice"), m["license"].alias("license"), m["template"].alias("template"), (m["pos"] + 1).alias("first_word"), (m["size"] + 1).alias("n_words"))).alias("matches"))
+
+
+MATCHES = "array<struct<dice:double,license:string,template:int,first_word:int,n_words:int>>"
 
 
 def scan(docs: DataFrame, *, text_col: str = "text", templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """All columns of docs and ls_lines (lines with a word), ls_matches: array of (dice, license, template, line), best first.
+    """All columns of docs and ls_matches: array of (dice, license, template, first_word, n_words), best first, one for each template.
 
-    line counts from 1; 0 is the whole text, sought only if it has several lines with a word. template is the index in `templates`.
-    Null and empty texts: no line, no match. Repeated rows are scanned each; columns that start with ls_ are replaced.
+    template is the index in `templates`; first_word (from 1) and n_words tell the run. A run's size is its number of bigrams,
+    repeats counted; a template's bigrams are distinct and each counts once. Of runs that tie the first and then the shortest is
+    taken; matches that tie are in order of place, length and template. Null and empty texts: no match. Very long texts are read
+    whole. Ids are not read: null and repeated ids and repeated rows have the matches of their text. Columns may have any names:
+    only a column ls_matches is replaced. Empty table: no rows.
     """
-    raw, words = F.coalesce(F.col(text_col), F.lit("")), needed_words(templates, threshold)
-    kind = "array<struct<dice:double,license:string,template:int,line:int>>"
-    has_word = lambda x: x.rlike(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]")
-    holds = lambda x: reduce(or_, [F.contains(x, F.lit(w)) for w in words])
-    out = docs.drop("ls_lines", "ls_matches").withColumn("ls_lines", F.size(F.filter(F.split(raw, "\n"), has_word)).cast("long"))
-
-    def compare(text: Column) -> Column:
-        whole = F.when(F.col("ls_lines") > 1, F.regexp_replace(text, r"[ \n]+", " ")).otherwise(F.lit(""))
-        units = F.concat(F.array(whole), F.split(text, "\n"))
-        return F.flatten(F.transform(units, lambda u, i: F.when(holds(u), _matches(u, i, templates, threshold)).otherwise(F.array().cast(kind))))
-
-    found = F.when(holds(F.lower(raw)), let(F.regexp_replace(ascii_lower(raw), SEPARATORS, " "), compare)).otherwise(F.array().cast(kind))
-    order = F.array_sort(F.transform(found, lambda m: F.struct((-m["dice"]).alias("o"), m["line"].alias("line"), m["template"].alias("template"), m["license"].alias("license"))))
-    best = F.transform(order, lambda m: F.struct((-m["o"]).alias("dice"), m["license"].alias("license"), m["template"].alias("template"), m["line"].alias("line")))
-    return out.withColumn("ls_matches", best)
+    spark, raw, needed = docs.sparkSession, F.coalesce(F.col(f"`{text_col}`"), F.lit("")), needed_words(templates, threshold)
+    holds = reduce(or_, [F.contains(F.lower(F.col("text")), F.lit(w)) for w in needed])
+    texts = docs.select(raw.alias("text")).where(holds).select(F.sha2("text", 256).alias("key"), "text").dropDuplicates(["key"])
+    found = broadcast_if_small(materialize(best_runs(spark, texts, templates, threshold), "licences"), 50_000)
+    kept = [c for c in docs.columns if c != "ls_matches"]
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.sha2(raw, 256).alias("of"))
+    return rows.join(found, rows["of"] == found["key"], "left").select("row.*", F.coalesce(F.col("matches").cast(MATCHES), F.array().cast(MATCHES)).alias("ls_matches"))

@@ -62,9 +62,8 @@ def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
     best = F.try_element_at("ls_matches", F.lit(1))
     return out.select(
-        "doc_id", F.col("ls_lines").alias("n_lines"), F.size("ls_matches").cast("long").alias("n_matches"),
-        best["license"].alias("license"), F.coalesce(best["dice"], F.lit(0.0)).alias("dice"),
-        F.coalesce(best["template"], F.lit(-1)).alias("template"), F.coalesce(best["line"], F.lit(-1)).alias("line"),
+        "doc_id", F.size("ls_matches").cast("long").alias("n_matches"), best["license"].alias("license"), F.coalesce(best["dice"], F.lit(0.0)).alias("dice"),
+        F.coalesce(best["template"], F.lit(-1)).alias("template"), F.coalesce(best["first_word"], F.lit(-1)).alias("first_word"), F.coalesce(best["n_words"], F.lit(0)).alias("n_words"),
     )
 
 
@@ -90,22 +89,25 @@ QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_token_counts, op3_mi
 
 _OP4_WORDS = r"[w FOR w IN regexp_split_to_array(translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+')  IF w <> '']"
 
-_TEMPLATE_ROWS = ", ".join("({}, '{}', {})".format(k, name, str(licenses.template_bigrams(text))) for k, (name, text) in enumerate(licenses.TEMPLATES))
+_KINDS, _GRAMS = licenses.template_rows(licenses.TEMPLATES, licenses.THRESHOLD)
 
 ORACLE_SQL: dict[str, str] = {
     "op6_quality_rules": quality_sql.statement(),
     "op7_licenses": rf"""
-WITH t(template, license, tg) AS (VALUES {_TEMPLATE_ROWS}),
-d AS (SELECT doc_id, regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g') AS x FROM documents),
-u AS (SELECT doc_id, x, string_split(x, chr(10)) AS lines FROM d),
-n AS (SELECT doc_id, x, lines, len([l FOR l IN lines IF trim(l) <> '']) AS n_lines FROM u),
-units AS (SELECT doc_id, i AS line, string_split(trim(lines[i]), ' ') AS w FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM n)
-  UNION ALL SELECT doc_id, 0, string_split(trim(regexp_replace(x, '[ \n]+', ' ', 'g')), ' ') FROM n WHERE n_lines > 1),
-g AS (SELECT doc_id, line, list_distinct([w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))]) AS g FROM units WHERE len(w) >= 2),
-m AS (SELECT doc_id, line, template, license, 2e0 * len(list_intersect(g, tg)) / (len(g) + len(tg)) AS dice FROM g JOIN t ON len(g) BETWEEN 1 AND 3 * len(tg)),
-k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY dice DESC, line, template) AS r, count(*) OVER (PARTITION BY doc_id) AS c FROM m WHERE dice >= {licenses.THRESHOLD}e0)
-SELECT n.doc_id, CAST(n_lines AS BIGINT) AS n_lines, CAST(coalesce(c, 0) AS BIGINT) AS n_matches, license, coalesce(dice, 0e0) AS dice, CAST(coalesce(template, -1) AS INTEGER) AS template, CAST(coalesce(line, -1) AS INTEGER) AS line
-FROM n LEFT JOIN k ON k.doc_id = n.doc_id AND r = 1
+WITH t(template, license, n, least, longest) AS (VALUES {_KINDS}), v(template, no, gram) AS (VALUES {_GRAMS}),
+d AS (SELECT doc_id, {_OP4_WORDS.format('text')} AS w FROM documents),
+g AS (SELECT doc_id, i AS pos, w[i] || ' ' || w[i + 1] AS gram FROM (SELECT doc_id, w, unnest(range(1, len(w))) AS i FROM d WHERE len(w) > 1)),
+h AS (SELECT doc_id, template, no, pos FROM g JOIN v USING (gram)),
+k AS (SELECT doc_id, template FROM h JOIN t USING (template) GROUP BY doc_id, template, least HAVING count(DISTINCT no) >= least),
+s AS (SELECT h.* FROM h JOIN k USING (doc_id, template)),
+p AS (SELECT a.doc_id, a.template, a.pos AS a, y.no, min(y.pos) AS z, t.n, t.license FROM s a JOIN t ON t.template = a.template
+  JOIN s y ON y.doc_id = a.doc_id AND y.template = a.template AND y.pos BETWEEN a.pos AND a.pos + t.longest - 1 GROUP BY ALL),
+r AS (SELECT doc_id, template, license, a, z, 2e0 * count(*) OVER (PARTITION BY doc_id, template, a ORDER BY z) / (n + z - a + 1) AS dice FROM p),
+b AS (SELECT *, row_number() OVER (PARTITION BY doc_id, template ORDER BY dice DESC, a, z - a) AS i FROM r WHERE dice >= {licenses.THRESHOLD}e0),
+m AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY dice DESC, a, z - a, template) AS j, count(*) OVER (PARTITION BY doc_id) AS c FROM b WHERE i = 1)
+SELECT d.doc_id, CAST(coalesce(c, 0) AS BIGINT) AS n_matches, license, coalesce(dice, 0e0) AS dice, CAST(coalesce(template, -1) AS INTEGER) AS template,
+  CAST(coalesce(a, -1) AS INTEGER) AS first_word, CAST(coalesce(z - a + 2, 0) AS INTEGER) AS n_words
+FROM d LEFT JOIN m ON m.doc_id = d.doc_id AND j = 1
 """,
     "op3_minhash": r"""
 WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
