@@ -9,6 +9,8 @@ whose blocks' labels are known. Nothing is downloaded and no page of the corpus
 from __future__ import annotations
 
 import html
+import itertools
+import math
 import random
 import re
 import zlib
@@ -25,12 +27,19 @@ PATH_DIM, WORD_DIM, MEASURES, HIDDEN = 128, 48, 10, 16
 DIM = PATH_DIM + WORD_DIM + MEASURES
 TRAIN_PAGES, EPOCHS, SEED = 1_000, 10, 7
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
-_ATTR = re.compile(r"""(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+#: Attributes as the HTML standard's tokenizer reads them: a quote opens a value only right after an equals sign. No part gives
+#: back what it took, so any markup is read in linear time. A value without its closing quote takes all that follows.
+_VALUE = r"""(?:[\t\n\f\r ]*+=[\t\n\f\r ]*+(?:"([^"]*+)(?:"|\Z)|'([^']*+)(?:'|\Z)|([^\t\n\f\r >"'][^\t\n\f\r >]*+))?+)?+"""
+_NAME = r"(=[^\t\n\f\r />=]*+|[^\t\n\f\r />=]++)"
+_ATTRIBUTES = re.sub(r"\((?!\?)", "(?:", f"(?:[\\t\\n\\f\\r /]++|{_NAME}{_VALUE})*+")
+#: A comment, another declaration, an end tag without a name, or a tag: (slash, name, attributes, end unless the page ends first).
+_TAG = re.compile(rf"""<(?:!--(?:-?>|.*?(?:--!?>|\Z))|[!?][^>]*+(?:>|\Z)|/(?![a-zA-Z])[^>]*+(?:>|\Z)|(/?)([a-zA-Z][^\t\n\f\r />]*+)({_ATTRIBUTES})(>|\Z))""", re.S)
+_ATTR = re.compile(_NAME + _VALUE)
 _SPACE = re.compile(r"\s+")
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 #: Elements whose content is not text, and those that are read as raw text up to their end tag.
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
+_RAW_END = {t: re.compile(rf"</{t}(?=[\t\n\f\r />]){_ATTRIBUTES}(?:>|\Z)", re.I) for t in RAW}
 HIDDEN_TAGS = RAW | frozenset("template svg math object audio video canvas map select datalist".split())
 BLOCK = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html label legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead tr ul".split()
@@ -55,18 +64,20 @@ class Block(NamedTuple):
     above: np.ndarray | None  # the sum of all other open elements' vectors
 
 
+@lru_cache(maxsize=50_000)
 def _element(tag: str, attributes: str) -> str:
-    if not attributes:
-        return tag
-    words = [tag]
+    words, seen = [tag], set()
     for name, a, b, c in _ATTR.findall(attributes):
-        value = a or b or c
-        if name.lower() == "style":
-            words += ["hidden"] * bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value))
-        elif "hidden" in name.lower():
+        name, value = name.lower(), a or b or c
+        if name in seen:  # the first of a name counts
+            continue
+        seen.add(name)
+        if name == "style":
+            words += ["hidden"] * bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I))
+        elif name in ("hidden", "aria-hidden"):
             words += ["hidden"] * (value.lower() != "false")
-        else:
-            words += [w.lower() for w in _PART.findall(value)]
+        elif name in ("class", "id", "role"):
+            words += [w.lower() for w in _PART.findall(html.unescape(value))]
     return " ".join(words)
 
 
@@ -125,7 +136,7 @@ def blocks_of(page: str | None) -> list[Block]:
             break
         add(page[at : m.start()])
         at = m.end()
-        if not m[2]:
+        if not m[2] or not m[4]:  # no tag, or one that the page's end cuts off
             continue
         tag = m[2].lower()
         if m[1]:
@@ -141,7 +152,7 @@ def blocks_of(page: str | None) -> list[Block]:
             in_link = True
         elif tag in RAW:
             flush()
-            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, at)
+            end = _RAW_END[tag].search(page, at)
             at = end.end() if end else n
         elif tag in BLOCK or tag in HIDDEN_TAGS:
             flush()
@@ -188,21 +199,28 @@ def _path_vector(path: tuple[str, ...]) -> np.ndarray:
 
 def vectors(blocks: list[Block]) -> np.ndarray:
     out = np.zeros((len(blocks), DIM), dtype=np.float32)
-    for i, b in enumerate(blocks):
+    if not blocks:
+        return out
+    texts = [b.text for b in blocks]
+    words = [t.lower().split() for t in texts]
+    counts = np.array(list(map(len, words)))
+    spots = np.array([zlib.crc32(w) for w in "\n".join(itertools.chain.from_iterable(words)).encode("utf-8", "surrogatepass").split(b"\n")], dtype=np.uint32)
+    place = np.repeat(np.arange(len(blocks)) * WORD_DIM, counts) + spots[: counts.sum()] % WORD_DIM
+    sums = np.bincount(place, (spots[: counts.sum()] >> 31) * 2.0 - 1.0, len(blocks) * WORD_DIM).reshape(-1, WORD_DIM)
+    out[:, PATH_DIM : PATH_DIM + WORD_DIM] = sums / (np.sqrt(np.maximum(counts, 1)) * 2)[:, None]
+    sizes = np.array(list(map(len, texts)))
+    rows = []
+    for i, (b, n, k) in enumerate(zip(blocks, sizes.tolist(), counts.tolist(), strict=True)):
         out[i, :PATH_DIM] = _path_vector(b.path)
         if b.above is not None:
             out[i, :PATH_DIM] += b.above
-        words = b.text.lower().split()
-        w = out[i, PATH_DIM : PATH_DIM + WORD_DIM]
-        for word in words:
-            k, s = _spot(word, WORD_DIM)
-            w[k] += s
-        w /= max(1.0, len(words) ** 0.5) * 2
-        n, leaf = len(b.text), b.path[-1].split()[0] if b.path else ""
-        out[i, PATH_DIM + WORD_DIM :] = (
-            np.log1p(n) / 6, min(1.0, b.link_chars / max(n, 1)), np.log1p(len(words)) / 4, min(1.0, sum(map(b.text.count, ".,;!?")) * 10 / max(n, 1)),
-            i / max(1, len(blocks)), float(leaf[:1] == "h" and leaf[1:].isdigit()), float(leaf == "p"), float(b.text[-1:] in ".!?\"”"), float("©" in b.text or "@" in b.text), b.depth / 10,
-        )
+        t, leaf = b.text, b.path[-1].split(" ", 1)[0] if b.path else ""
+        marks = t.count(".") + t.count(",") + t.count(";") + t.count("!") + t.count("?")
+        rows.append((
+            math.log1p(n) / 6, min(1.0, b.link_chars / max(n, 1)), math.log1p(k) / 4, min(1.0, marks * 10 / max(n, 1)),
+            i / len(blocks), leaf[:1] == "h" and leaf[1:].isdigit(), leaf == "p", t[-1:] in ".!?\"”", "©" in t or "@" in t, b.depth / 10,
+        ))
+    out[:, PATH_DIM + WORD_DIM :] = rows
     return out
 
 
@@ -475,11 +493,12 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", html_col: str = "html"
     """All columns of pages but html_col, and he_text (blocks labelled article, joined by a line feed), he_blocks, he_kept (counts).
 
     Null and empty pages, and pages without an article block: empty text. Null ids and repeated rows pass through. Broken
-    markup is read as far as it goes. Columns of pages that start with he_ are replaced. Empty table: no rows.
+    markup is read as the HTML standard's tokenizer reads it, pages of any length whole. Columns may have any names: only columns
+    he_text, he_blocks and he_kept of pages are replaced. Empty table: no rows.
     """
     model = labeller or trained()
-    kept = [c for c in pages.columns if c != html_col and not c.startswith("he_")]
-    rows = pages.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.col(html_col).alias("html"))
+    kept = [c for c in pages.columns if c not in (html_col, "he_text", "he_blocks", "he_kept")]
+    rows = pages.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.col(f"`{html_col}`").alias("html"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -3,6 +3,7 @@
 import functools
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 from hashlib import sha256
@@ -73,6 +74,88 @@ def test_deep_pages_keep_all_open_elements():
     assert len(html_extract.blocks_of("<div>x<p>y" * 40_000)) == 80_000
 
 
+@pytest.mark.parametrize("bad", ['<a "', '<a x="', "<a x='b\"", "<", "</", "<!--", "<a =", '<p title="5" tall">', "<a\n", "<script>", "<!", "<a x=y'"])
+def test_any_markup_is_read_in_linear_time(bad):
+    began = time.process_time()
+    html_extract.blocks_of(bad * 60_000)
+    assert time.process_time() - began < 5
+
+
+def test_attributes_are_read_as_the_standard_says():
+    def texts(page):
+        return [b.text for b in html_extract.blocks_of(page)]
+
+    assert texts("<div data-x=it's>Hello there</div><p>it don't matter</p><p>tail</p>") == ["Hello there", "it don't matter", "tail"]
+    assert texts('<p title="5" tall">One two</p>') == ["One two"]
+    assert texts("<p>a < b and <3 c</p></ x><p>d</p><!--><p>e</p><!-- x --!><p>f</p><?php x ?><p>g<p a=\">h\">i</p><p x=\"unclosed>j") == ["a < b and <3 c", "d", "e", "f", "g", "i"]
+    assert html_extract._element("div", ' data-x="class=no" CLASS=Main-text class=second id = \'a_b\' style="Display: none"') == "div main text a b hidden"
+
+
+def test_blocks_agree_with_the_library_parser():
+    """On well-formed pages, the text between tags is what the standard library's parser gives."""
+    from html.parser import HTMLParser
+
+    class Plain(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.out, self.now, self.off = [], [], 0
+
+        def cut(self):
+            if t := " ".join("".join(self.now).split()):
+                self.out.append(t)
+            self.now = []
+
+        def handle_starttag(self, tag, attrs):
+            if tag in html_extract.BLOCK or tag in html_extract.HIDDEN_TAGS:
+                self.cut()
+            self.now += [" "] * (tag == "br")
+            self.off += tag in html_extract.HIDDEN_TAGS
+
+        def handle_endtag(self, tag):
+            if tag in html_extract.BLOCK or tag in html_extract.HIDDEN_TAGS:
+                self.cut()
+            self.off -= tag in html_extract.HIDDEN_TAGS
+
+        def handle_data(self, data):
+            if not self.off:
+                self.now.append(data)
+
+    r = random.Random(6)
+    for _ in range(150):
+        page, _ = html_extract.sample_page(r)
+        plain = Plain()
+        plain.feed(page)
+        plain.close()
+        plain.cut()
+        assert [b.text for b in html_extract.blocks_of(page)] == plain.out
+
+
+def test_gradients_are_those_of_the_loss():
+    r = np.random.default_rng(2)
+    model = html_extract.Labeller(3)
+    model.p = {k: v.astype(np.float64) for k, v in model.p.items()}
+    x, sizes = r.normal(size=(3, 5, html_extract.DIM)) * 0.3, np.array([5, 3, 1])
+    mask = np.arange(5)[None, :] < sizes[:, None]
+    y = (r.random((3, 5)) < 0.5) * mask
+    x *= mask[:, :, None]
+
+    def loss():
+        p = model._forward(x, sizes)[0]
+        return -((y * np.log(p) + (1 - y) * np.log(1 - p)) * mask).sum() / mask.sum() + 0.5e-4 * (model.p["wd"] ** 2).sum()
+
+    grads = model._gradients(x, sizes, y)
+    for name, grad in grads.items():
+        flat, own = model.p[name].reshape(-1), np.asarray(grad).reshape(-1)
+        for i in r.choice(len(flat), min(6, len(flat)), replace=False):
+            kept = flat[i]
+            flat[i] = kept + 1e-3
+            up = loss()
+            flat[i] = kept - 1e-3
+            down = loss()
+            flat[i] = kept
+            assert abs((up - down) / 2e-3 - own[i]) < 1e-3 * max(1, abs(own[i])) + 2e-5, name
+
+
 # ---- token counts
 
 
