@@ -10,8 +10,6 @@ Test phrases and their terms are broadcast only below `BROADCAST_ROWS`, counted
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,6 +46,11 @@ def windows_of(items: DataFrame, *, id_col: str = "item_id", text_col: str = "te
     return owners.dropDuplicates(["phrase_id"]).select("phrase_id", "terms"), owners.select("phrase_id", "item")
 
 
+def keyed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc, text): doc is a struct of the id and a hash of the text, never null."""
+    return docs.select(F.struct(F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.col(f"`{text_col}`")).alias("mark")).alias("doc"), F.col(f"`{text_col}`").alias("text"))
+
+
 def build_index(docs: DataFrame, terms: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The stored index (term, doc, pos) over every document: postings of `terms` (column term), and (LENGTH_TERM, doc, length).
 
@@ -55,7 +58,7 @@ def build_index(docs: DataFrame, terms: DataFrame, *, id_col: str = "doc_id", te
     """
     words = docs.select(F.col(id_col).alias("doc"), word_list(F.col(text_col)).alias("w"))
     tokens = words.select("doc", F.posexplode(F.concat(F.array(F.lit(LENGTH_TERM)), F.col("w"))).alias("p", "term"), F.size("w").alias("n"))
-    vocabulary = _bounded(terms.select("term").union(terms.sparkSession.createDataFrame([(LENGTH_TERM,)], "term string")).distinct())
+    vocabulary = _bounded(terms.select("term").union(terms.sparkSession.range(1).select(F.lit(LENGTH_TERM))).distinct())
     kept = tokens.join(vocabulary, "term", "left_semi").select("term", "doc", F.when(F.col("term") == LENGTH_TERM, F.col("n")).otherwise(F.col("p") - 1).alias("pos"))
     return materialize(kept.sortWithinPartitions("term", "doc", "pos"), "postings")
 
@@ -97,12 +100,15 @@ def proximity_hits(index: DataFrame, phrases: DataFrame, *, span: int) -> DataFr
 
 
 def contamination(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", width: int = WIDTH) -> DataFrame:
-    """Per document: doc, n_words, n_hit, n_items (long), items (sorted strings), hits (array of start, len).
+    """Per document: doc, n_words, n_hit, n_items (long), items (sorted strings), hits (array of start, len), mark (hash of the text).
 
-    Null and empty texts: no words, not hit. Null document ids: kept as a row, never matched. Repeated rows of one id are seen
-    as one document per id: the longest length counts once and their hits are united. Empty tables: no rows, or no hits. Only
-    the id and text columns are read.
+    One row for each row of docs, whatever its id: inside, a document is its id and a hash of its text, so null ids, and ids that
+    come with several texts, are documents of their own, and rows that repeat an id and its text have the same result. Null and
+    empty texts: no words, not hit. Very long texts are read whole. Empty tables: no rows, or no hits. Only the id and text
+    columns are read, whatever the names of others.
     """
+    docs = keyed(docs, id_col=id_col, text_col=text_col)
+    id_col, text_col = "doc", "text"
     phrases, owners = windows_of(items, id_col=item_id_col, text_col=item_text_col, width=width)
     phrases, owners = materialize(phrases, "phrases"), materialize(owners, "owners")
     index = build_index(docs, phrases.select(F.explode("terms").alias("term")).distinct(), id_col=id_col, text_col=text_col)
@@ -112,10 +118,10 @@ def contamination(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id",
     spans = hits.groupBy("doc", "start").agg(F.max("len").alias("len")).withColumn("end", F.col("start") + F.col("len"))
     hit = spans.withColumn("new", F.greatest(F.lit(0), F.col("end") - F.greatest("start", reached))).groupBy("doc").agg(F.sum("new").alias("n_hit"), F.array_sort(F.collect_list(F.struct("start", "len"))).alias("hits"))
     named = hits.select("doc", "phrase_id").distinct().join(_bounded(owners), "phrase_id").groupBy("doc").agg(F.array_sort(F.collect_set(F.col("item").cast("string"))).alias("items"))
-    lengths = index.where(F.col("term") == LENGTH_TERM).groupBy("doc").agg(F.max("pos").alias("n_words"))
+    lengths = index.where(F.col("term") == LENGTH_TERM).select("doc", F.col("pos").alias("n_words"))
     out = lengths.join(hit.join(named, "doc"), "doc", "left")
     none = F.array().cast("array<string>")
     return out.select(
-        "doc", F.col("n_words").cast("long").alias("n_words"), F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
-        F.coalesce("items", none).alias("items"), F.coalesce("hits", F.array().cast("array<struct<start:int,len:int>>")).alias("hits"),
-    ).withColumn("n_items", F.when(F.col("n_items") < 0, F.lit(0)).otherwise(F.col("n_items")))
+        F.col("doc.id").alias("doc"), F.col("n_words").cast("long").alias("n_words"), F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(F.coalesce("items", none)).cast("long").alias("n_items"),
+        F.coalesce("items", none).alias("items"), F.coalesce("hits", F.array().cast("array<struct<start:int,len:int>>")).alias("hits"), F.col("doc.mark").alias("mark"),
+    )

@@ -38,23 +38,10 @@ def _constants(name: str, n: int) -> np.ndarray:
     return np.array([int.from_bytes(hashlib.blake2b(f"{name}:{i}".encode(), digest_size=8).digest(), "little") for i in range(n)], dtype=np.uint64)
 
 
-_BYTE = _constants("byte", 256)
-_BASE = int(_constants("base", 1)[0]) | 1
-_BASE_INV = pow(_BASE, -1, 1 << 64)
 _POSITION = _constants("position", 64) | np.uint64(1)
-_POWERS: dict[str, np.ndarray] = {}
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the base and of its inverse, modulo 2^64."""
-    if len(_POWERS.get("up", ())) < n:
-        m = max(1 << 16, 1 << (n - 1).bit_length())
-        for name, base in (("up", _BASE), ("down", _BASE_INV)):
-            out = np.ones(1, dtype=np.uint64)
-            while len(out) < m:
-                out = np.concatenate([out, out * np.uint64(pow(base, len(out), 1 << 64))])
-            _POWERS[name] = out
-    return _POWERS["up"][:n], _POWERS["down"][:n]
+_PART = _constants("part", 4)
+_SHORT = 24
+_LOW = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -64,16 +51,29 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def word_hashes(text: str) -> np.ndarray:
-    """64-bit hashes of the words of a text, A-Z lower-cased; words are separated by ASCII white space."""
-    raw = np.frombuffer(text.encode("utf-8", "surrogatepass").lower(), dtype=np.uint8)
+    """64-bit hashes of the words of a text, A-Z lower-cased; words are separated by ASCII white space.
+
+    A word of up to 24 bytes is three numbers, mixed in turn with its length; longer words are hashed by blake2b.
+    """
+    data = text.encode("utf-8", "surrogatepass").lower()
+    raw = np.frombuffer(data, dtype=np.uint8)
     blank = (raw == 32) | ((raw >= 9) & (raw <= 13))
     edge = np.diff(np.concatenate([[1], blank.view(np.uint8), [1]]).astype(np.int8))
     start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
     if not len(start):
         return np.empty(0, dtype=np.uint64)
-    up, down = _powers(len(raw) + 1)
-    total = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(_BYTE[raw] * up[: len(raw)], dtype=np.uint64)])
-    return _mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
+    size = end - start
+    padded = data + bytes(_SHORT)
+    eight = np.ndarray((len(padded) - 7,), dtype="<u8", buffer=padded, strides=(1,))
+    out = _mix(size.astype(np.uint64) + _PART[3])
+    for k in range(3):
+        left = np.clip(size - 8 * k, 0, 8)
+        # a part that no word has changes nothing between words of this length
+        if k == 0 or left.any():
+            out = np.where(left > 0, _mix(out + ((eight[np.minimum(start + 8 * k, len(eight) - 1)] & _LOW[left]) ^ _PART[k])), out)
+    for i in np.flatnonzero(size > _SHORT).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[start[i] : end[i]], digest_size=8).digest(), "little")
+    return out
 
 
 def shingle_set(text: str | None, width: int = WIDTH) -> np.ndarray:
@@ -102,7 +102,7 @@ def _signature(shingles: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray
 
 
 def signatures(docs: DataFrame, *, threshold: float, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc, n_shingles, fingerprint, signature): fingerprint and signature are null for documents without words."""
+    """(doc, mark, n_shingles, fingerprint, signature): mark is a hash of the text; the last two are null for documents without words."""
     k = band_count(threshold) * ROWS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,10 +114,10 @@ def signatures(docs: DataFrame, *, threshold: float, width: int = WIDTH, id_col:
                 size.append(len(s))
                 mark.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                 sig.append(_signature(s, a, b).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(size, pa.int64()), pa.array(mark, pa.binary()), pa.array(sig, pa.binary())], names=["doc", "n_shingles", "fingerprint", "signature"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("mark"), pa.array(size, pa.int64()), pa.array(mark, pa.binary()), pa.array(sig, pa.binary())], names=["doc", "mark", "n_shingles", "fingerprint", "signature"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).mapInArrow(run, f"doc {kind}, n_shingles bigint, fingerprint binary, signature binary")
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc"), F.col(f"`{text_col}`").alias("text")).withColumn("mark", F.xxhash64("text"))
+    return rows.mapInArrow(run, f"doc {rows.schema['doc'].dataType.simpleString()}, mark bigint, n_shingles bigint, fingerprint binary, signature binary")
 
 
 def _agree(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
@@ -139,15 +139,15 @@ def _agree(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(doc, s): the full shingle sets, as sorted 64-bit numbers, of the wanted documents. docs: doc, text; wanted: doc."""
-    kind = docs.schema["doc"].dataType.simpleString()
+    """(doc, s): the full shingle sets, as sorted 64-bit numbers. docs: doc, text; wanted: node, rep and mark (a row of docs)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array([shingle_set(t, width).tobytes() for t in batch.column("text").to_pylist()], pa.binary())], names=["doc", "s"])
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([shingle_set(t, width).tobytes() for t in batch.column("text").to_pylist()], pa.binary())], names=["doc", "s"])
 
-    found = docs.join(broadcast_if_small(wanted), "doc", "left_semi").mapInArrow(run, f"doc {kind}, s binary")
-    return materialize(found.groupBy("doc").agg(F.max(F.struct(F.length("s"), "s")).alias("x")).select("doc", "x.s"), "sets")
+    rows = docs.withColumn("own", F.xxhash64("text"))
+    found = rows.join(broadcast_if_small(wanted), (F.col("own") == F.col("mark")) & F.col("doc").eqNullSafe(F.col("rep"))).select("node", "text")
+    return materialize(found.mapInArrow(run, "doc bigint, s binary").groupBy("doc").agg(F.max(F.struct(F.length("s"), "s")).alias("x")).select("doc", "x.s"), "sets")
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, hundredths: int) -> DataFrame:
@@ -185,16 +185,16 @@ def _across(open_: DataFrame, reps: DataFrame, sets: DataFrame, hundredths: int,
         size = np.array([len(x) for x in full])
         left = np.flatnonzero(group["blk"] == group["bi"])
         right = np.flatnonzero(group["blk"] == group["bj"])
-        out = []
+        apart, out = group["bi"].iloc[0] != group["bj"].iloc[0], []
         for i in left:
-            near = right[(part[right] != part[i]) & ((ids[right] > ids[i]) | (group["bi"].iloc[0] != group["bj"].iloc[0]))]
+            near = right[(part[right] != part[i]) & (apart | (right > i))]
             near = near[100 * np.minimum(size[near], size[i]) >= hundredths * np.maximum(size[near], size[i])]
             same = sig[near] == sig[i]
             first = same.reshape(len(near), -1, ROWS).all(axis=2).argmax(axis=1) if len(near) else near
             for j in near[(same.sum(axis=1) >= least) & (first == band)]:
                 both = len(np.intersect1d(full[i], full[j], assume_unique=True))
                 if 100 * both >= hundredths * (size[i] + size[j] - both):
-                    out.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
+                    out.append((ids[i], ids[j]))
         return pd.DataFrame(out, columns=["a", "b"])
 
     counts = open_.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("blocks"))
@@ -204,7 +204,7 @@ def _across(open_: DataFrame, reps: DataFrame, sets: DataFrame, hundredths: int,
     return held.groupBy("key", "bi", "bj").applyInPandas(run, f"a {kind}, b {kind}")
 
 
-def star_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def star_components(edges: DataFrame) -> DataFrame:
     """(a, b) links -> (doc, component), component the smallest id reachable, for every id that is in a link.
 
     Alternates large-star (each node sends its larger neighbours to its smallest neighbour) and small-star (each node sends
@@ -212,7 +212,7 @@ def star_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """
     now = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     seen = None
-    for _ in range(max_rounds):
+    while True:
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -223,31 +223,33 @@ def star_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if state == seen:
             break
         seen = state
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return now.select(F.col("u").alias("doc"), F.col("v").alias("component")).union(now.select(F.col("v").alias("doc"), F.col("v").alias("component")).distinct())
 
 
 def near_duplicates(docs: DataFrame, *, hundredths: int = 80, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc, n_shingles, component, kept) for every row: texts linked at a shingle similarity of hundredths / 100 or more.
 
-    component is the smallest doc reachable by links. Null or empty texts, and those of white space only: an empty set, linked
-    with nothing. Null ids: a component of their own kind (null, kept). Repeated rows of an id are in
-    its component; where an id comes with several texts, links are sought for the one with most shingles and for others' ids. Other columns are not read. Empty table: no rows.
+    component is the smallest doc reachable by links, kept says that the row's doc is it. Each row's own text is compared, also
+    where an id comes with several texts; rows that repeat an id and its text have the same component. Null or empty texts, and
+    those of white space only: an empty set, linked with nothing, kept. Null ids are the smallest of nothing: such a row is kept
+    only in a component without any id, whose component is null. Very long texts are read whole. Other columns are not read,
+    whatever their names. Empty table: no rows.
     """
     threshold = hundredths / 100
-    rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc"), F.col(f"`{text_col}`").alias("text"))
     sigs = materialize(signatures(docs, threshold=threshold, width=width, id_col=id_col, text_col=text_col), "signatures")
-    classes = materialize(sigs.where("doc IS NOT NULL AND fingerprint IS NOT NULL").groupBy("fingerprint").agg(F.min("doc").alias("rep")), "classes")
-    # an id that is repeated with different texts stands for several classes; the row with most shingles speaks for it
-    reps = materialize(sigs.join(classes.select(F.col("fingerprint").alias("f"), "rep"), (F.col("fingerprint") == F.col("f")) & (F.col("doc") == F.col("rep"))).groupBy("doc").agg(F.max(F.struct("n_shingles", "signature")).alias("s")).select("doc", "s.*"), "reps")
+    # a node for each distinct set; the number is written once and read from then on
+    each = sigs.where("fingerprint IS NOT NULL").groupBy("fingerprint").agg(F.min("doc").alias("least"), F.min(F.struct("doc", "mark")).alias("r"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"))
+    classes = materialize(each.select(F.monotonically_increasing_id().alias("node"), "fingerprint", "least", F.col("r.doc").alias("rep"), F.col("r.mark").alias("mark"), "n_shingles", "signature"), "classes")
+    reps = classes.select(F.col("node").alias("doc"), "n_shingles", "signature")
     keys = F.transform(F.sequence(F.lit(0), F.lit(band_count(threshold) - 1)), lambda i: F.xxhash64(i, F.substring(F.col("signature"), i * (4 * ROWS) + 1, F.lit(4 * ROWS))))
     bands = reps.select("doc", F.posexplode(keys).alias("band", "key"))
     shared = bands.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("first")).where("n > 1")
     members = materialize(bands.join(shared, "key").select("key", "band", "doc", "first"), "buckets")
 
     stars = members.where("doc <> first").select(F.col("first").alias("a"), F.col("doc").alias("b")).distinct()
-    sets = _sets(rows, members.select("doc").distinct(), width)
+    wanted = classes.select("node", "rep", "mark").join(members.select(F.col("doc").alias("node")).distinct(), "node", "left_semi")
+    sets = _sets(rows, wanted, width)
     agreed = materialize(_agree(stars, reps, threshold), "agreed")
     links = materialize(_confirm(agreed, sets, hundredths), "links")
     found = materialize(star_components(links), "components")
@@ -260,7 +262,9 @@ def near_duplicates(docs: DataFrame, *, hundredths: int = 80, width: int = WIDTH
     if more.limit(1).count():
         found = materialize(star_components(found.select(F.col("doc").alias("a"), F.col("component").alias("b")).union(more)), "components2")
 
-    # representatives' components, then those of equal sets; ids with several texts join their classes
-    linked = classes.join(found.withColumnRenamed("doc", "rep"), "rep", "left").select("fingerprint", F.coalesce("component", "rep").alias("component"))
-    out = sigs.select("doc", "n_shingles", "fingerprint").join(linked, "fingerprint", "left").select("doc", "n_shingles", F.when(F.col("fingerprint").isNull() | F.col("doc").isNull(), F.col("doc")).otherwise(F.col("component")).alias("component"))
-    return out.withColumn("kept", F.col("doc").isNull() | (F.col("doc") == F.col("component")))
+    # nodes' components, the smallest id of each, and the rows of each node
+    held = classes.select("node", "fingerprint", "least").join(found.withColumnRenamed("doc", "node"), "node", "left").withColumn("group", F.coalesce("component", "node")).select("fingerprint", "least", "group")
+    ids = held.groupBy("group").agg(F.min("least").alias("component"))
+    linked = held.join(ids, "group").select("fingerprint", "component")
+    out = sigs.select("doc", "n_shingles", "fingerprint").join(linked, "fingerprint", "left").withColumn("component", F.when(F.col("fingerprint").isNull(), F.col("doc")).otherwise(F.col("component")))
+    return out.select("doc", "n_shingles", "component", F.col("doc").eqNullSafe(F.col("component")).alias("kept"))

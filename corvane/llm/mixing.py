@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .common import count_words
 
 WEIGHTS = (5, 2, 1)
-SHARE, CAP, SUB_BUCKETS = 1.5, 2.0, 64
+SHARE, CAP, SUB_BUCKETS = 1.5, 2.0, 4096
 
 
 def source_targets(sizes: DataFrame, *, weights=WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
@@ -58,16 +58,18 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     size: the row's size as a Column; by default its words.
     Null or empty texts: size 0, still ranked, taken words 0. Null source: a source of its own, last. Null or repeated ids and
     repeated rows: each row is one document; rows that tie in size and hash are interchangeable. Empty table: no rows.
-    A source of size 0 has target 0 and no copies. Columns of docs named mx_* are replaced.
+    A source of size 0 has target 0 and no copies. Columns may have any names: only those four mx_ columns of docs are replaced.
+    Very long texts are read whole.
     """
-    base = docs.drop("mx_size", "mx_source_size", "mx_target", "mx_copies").withColumn("mx_size", F.coalesce(size if size is not None else count_words(F.col(text_col)), F.lit(0)).cast("long"))
-    digest = F.md5(F.concat_ws("|", F.lit(seed), F.col(id_col).cast("string")))
-    # a key without nulls, so that the window and the join share one partitioning; the null source sorts last
-    rows = base.withColumns({
-        "__src": F.coalesce(F.concat(F.lit("="), F.col(source_col)), F.lit("~")),
-        "__digest": digest,
-        "__class": _size_class(F.col("mx_size")),
-    }).withColumn("__sub", F.conv(F.substring("__digest", 1, 4), 16, 10).cast("int") % SUB_BUCKETS)
+    kept = [c for c in docs.columns if c not in ("mx_size", "mx_source_size", "mx_target", "mx_copies")]
+    base = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.col(f"`{id_col}`").alias("id"),
+        F.coalesce(size if size is not None else count_words(F.col(f"`{text_col}`")), F.lit(0)).cast("long").alias("mx_size"),
+        # a key without nulls, so that the window and the join share one partitioning; the null source sorts last
+        F.coalesce(F.concat(F.lit("="), F.col(f"`{source_col}`")), F.lit("~")).alias("__src"),
+    )
+    rows = base.withColumns({"__digest": F.md5(F.concat_ws("|", F.lit(seed), F.col("id").cast("string"))), "__class": _size_class(F.col("mx_size"))})
+    rows = rows.withColumn("__sub", F.conv(F.substring("__digest", 1, 4), 16, 10).cast("int") % SUB_BUCKETS)
     buckets = rows.groupBy("__src", "__class", "__sub").agg(F.count(F.lit(1)).alias("__n"), F.sum("mx_size").alias("__size"))
     earlier = Window.partitionBy("__src").orderBy("__class", "__sub").rowsBetween(Window.unboundedPreceding, -1)
     buckets = buckets.withColumn("__before", F.coalesce(F.sum("__n").over(earlier), F.lit(0)))
@@ -78,16 +80,17 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
         F.col("source_size").alias("mx_source_size"), F.col("target").alias("mx_target"), F.col("rate").alias("__rate"),
         _fraction(F.concat_ws("|", F.lit(f"offset-{seed}"), F.col("source"))).alias("__u"),
     )
-    inside = Window.partitionBy("__src", "__class", "__sub").orderBy("mx_size", "__digest", F.col(id_col))
+    inside = Window.partitionBy("__src", "__class", "__sub").orderBy("mx_size", "__digest", "id")
     ranked = rows.withColumn("__k", F.row_number().over(inside))
     placed = ranked.join(plan, (F.col("__src") == F.col("__p_src")) & (F.col("__class") == F.col("__p_class")) & (F.col("__sub") == F.col("__p_sub")))
     k = (F.col("__before") + F.col("__k")).cast("double")
     crossed = F.floor(k * F.col("__rate") + F.col("__u")) - F.floor((k - F.lit(1.0)) * F.col("__rate") + F.col("__u"))
     placed = placed.withColumn("mx_copies", F.least(crossed, F.ceil("__rate")).cast("long"))
-    return placed.select(*[F.col(f"`{c}`") for c in base.columns], "mx_source_size", "mx_target", "mx_copies")
+    return placed.select("row.*", "mx_size", "mx_source_size", "mx_target", "mx_copies")
 
 
 def emit(mixed: DataFrame) -> DataFrame:
-    """The mix itself: each row as often as it has copies, without the mx_ columns."""
-    keep = [f"`{c}`" for c in mixed.columns if not c.startswith("mx_")]
-    return mixed.where("mx_copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("mx_copies").cast("int")))).select(*keep)
+    """The mix itself: each row as often as it has copies, without the four mx_ columns of `mix`."""
+    keep = [c for c in mixed.columns if c not in ("mx_size", "mx_source_size", "mx_target", "mx_copies")]
+    rows = mixed.where("mx_copies > 0").select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.explode(F.sequence(F.lit(1), F.col("mx_copies").cast("int"))))
+    return rows.select("row.*")

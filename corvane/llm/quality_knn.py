@@ -103,7 +103,7 @@ class Space:
         return z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)
 
     def vote(self, counts: np.ndarray) -> np.ndarray:
-        """Similarity-weighted share of label 1 among the VOTERS nearest, drawn a little to the base rate; ties by position."""
+        """Similarity-weighted share of label 1 among the VOTERS nearest, drawn a little to the base rate; of ties at the edge, those that numpy's partition takes."""
         near = self.project(counts) @ self.points.T
         k = min(VOTERS, near.shape[1])
         top = np.argpartition(-near, k - 1, axis=1)[:, :k]
@@ -128,7 +128,8 @@ def score(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
             x = [mark_counts(t, known).astype(np.float16).tobytes() for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()), batch.column("label")], names=["x", "label"])
 
-    sample = train.mapInArrow(measure, "x binary, label bigint").collect()
+    # in an order of its own, so that reruns add up alike
+    sample = sorted(train.mapInArrow(measure, "x binary, label bigint").collect(), key=lambda r: (bytes(r["x"]), r["label"]))
     space = None
     if sample:
         space = Space(np.frombuffer(b"".join(bytes(r["x"]) for r in sample), dtype=np.float16).reshape(len(sample), MARKS).astype(np.float32), np.array([r["label"] for r in sample]))

@@ -1,10 +1,12 @@
 """Quality rules: base rules, then robust multivariate outliers by language and source. DataFrame functions only.
 
-A document's counts become a vector of five transformed statistics. For each group (language and source, language, all) the
-minimum-covariance-determinant estimate is found by concentration steps: from median and median absolute deviation, keep the
-`SUPPORT` share of rows nearest by Mahalanobis distance, take their mean and covariance, and repeat. Quantiles come from
-counts over fixed bins of the distance, so each step is two partial aggregations of a narrow table and no group is gathered. Estimates, one row per group, are
-broadcast while they are few, which is counted.
+A document's counts become a vector of five transformed statistics, kept as integers of 1 / SCALE, so that sums are exact and no
+verdict depends on the order of rows. For each group (language and source, language, all) the minimum-covariance-determinant
+estimate is sought from two starts: medians with median absolute deviations, and mean with covariance of all rows. Concentration
+steps keep the `SUPPORT` share of rows nearest by Mahalanobis distance and take their mean and covariance, as long as a group's
+determinant falls by more than `GAIN`; of the two ends the one of lower determinant is taken. Quantiles come from counts over
+fixed bins, so each step is two partial aggregations of a narrow table and no group is gathered. Estimates, one row per group,
+are broadcast while they are few, which is counted.
 A row is judged by the finest group with at least `MIN_GROUP` rows and rejected beyond the cut-off.
 """
 
@@ -18,16 +20,18 @@ from pyspark.sql import functions as F
 
 from .common import SPACE, broadcast_if_small, let, materialize, words_of
 
-STATS = ("x0", "x1", "x2", "x3", "x4")
-#: Standard deviations below which a statistic's spread is not trusted: many documents have exactly no symbol, say. The root of a
-#: share of n has a counting noise of 1 / (2 sqrt(n)); the repeat statistics have that of 25 lines or words, so that each of them
-#: can reject by itself, from a share of 0.26 where no repeats are the rule.
-FLOORS = (0.10, 0.05, 0.06, 0.10, 0.10)
-SUPPORT, STEPS, MIN_GROUP = 0.75, 3, 60
+STATS = ("k0", "k1", "k2", "k3", "k4")
+P = range(len(STATS))
+SCALE, SUPPORT, GAIN, MIN_GROUP = 65_536, 0.75, 1e-3, 60
 #: Chi-square quantiles at 5 degrees of freedom: the median, and the cut-off's (1 - 1e-4).
 CHI2_MEDIAN, CHI2_CUT = 4.3515, 25.745
 MIN_WORDS, MAX_REPEAT, WINDOW = 20, 30, 8
-_BINS_PER_E, _BIN_MAX = 32, 640
+#: Spreads below which a statistic is not measured: the counting noise, 1 / (2 sqrt(n)), of a short text, 25 words of about 5
+#: characters. Word length and the repeats count words, the other two characters.
+FLOORS = tuple(round(0.5 / (25 * x) ** 0.5, 4) for x in (1, 5, 5, 1, 1))
+_BINS_PER_E, _BIN_MAX, _COARSE = 32, 640, 256
+#: Estimates, a few numbers each, that are broadcast; they are counted, and more of them are joined by shuffle.
+BROADCAST_ROWS = 200_000
 
 
 def repeated_words(words: Column, width: int = WINDOW) -> Column:
@@ -57,37 +61,40 @@ def repeated_words(words: Column, width: int = WINDOW) -> Column:
     return F.when(n <= width, F.lit(0)).otherwise(windows(words)).cast("long")
 
 
-def text_stats(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """All columns of docs and qr_n_words, qr_word_chars, qr_n_symbols, qr_n_upper, qr_n_lines, qr_n_dup_lines, qr_n_repeat_words.
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_upper", "n_lines", "n_dup_lines", "n_repeat_words")
 
-    Null and empty texts: all 0.
-    """
-    t = F.coalesce(F.col(text_col), F.lit(""))
-    out = docs.withColumn("__words", words_of(F.col(text_col))).withColumn("__lines", F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
-    return out.withColumns({
-        "qr_n_words": F.size("__words").cast("long"),
-        "qr_word_chars": (F.length(t) - F.regexp_count(t, F.lit(SPACE))).cast("long"),
-        "qr_n_symbols": F.regexp_count(t, F.lit(r"[#*$%&|<>]")).cast("long"),
-        "qr_n_upper": F.regexp_count(t, F.lit(r"\p{Lu}")).cast("long"),
-        "qr_n_lines": F.size("__lines").cast("long"),
-        "qr_n_dup_lines": (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"),
-        "qr_n_repeat_words": repeated_words(F.col("__words")),
-    }).drop("__words", "__lines")
-
-
-def _vector(df: DataFrame) -> DataFrame:
-    chars, words = F.col("qr_word_chars") + F.lit(1.0), F.col("qr_n_words") + F.lit(1.0)
-    return df.withColumns({
-        "x0": F.log(chars / words),
-        "x1": F.sqrt(F.col("qr_n_symbols") / chars),
-        "x2": F.sqrt(F.col("qr_n_upper") / chars),
-        "x3": F.sqrt(F.col("qr_n_dup_lines") / (F.col("qr_n_lines") + F.lit(1.0))),
-        "x4": F.sqrt(F.col("qr_n_repeat_words") / words),
-    })
-
-
-def base_failed() -> Column:
-    return (F.col("qr_n_words") < MIN_WORDS) | (F.lit(100) * F.col("qr_n_repeat_words") > F.lit(MAX_REPEAT) * F.col("qr_n_words"))
+
+def text_stats(text: Column) -> Column:
+    """A struct of COUNTS (long) of a text; null and empty texts: all 0."""
+    t = F.coalesce(text, F.lit(""))
+
+    def counts(words: Column, lines: Column) -> Column:
+        return F.struct(
+            F.size(words).cast("long").alias("n_words"),
+            (F.length(t) - F.regexp_count(t, F.lit(SPACE))).cast("long").alias("word_chars"),
+            F.regexp_count(t, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
+            F.regexp_count(t, F.lit(r"\p{Lu}")).cast("long").alias("n_upper"),
+            F.size(lines).cast("long").alias("n_lines"),
+            (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
+            repeated_words(words).alias("n_repeat_words"),
+        )
+
+    return counts(words_of(text), F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
+
+
+def _vector(c: str) -> list[Column]:
+    """The statistics of a struct column of counts, as integers of 1 / SCALE."""
+    n = lambda name: F.col(f"{c}.{name}")
+    chars, words = n("word_chars") + F.lit(1.0), n("n_words") + F.lit(1.0)
+    x = [
+        F.log(chars / words), F.sqrt(n("n_symbols") / chars), F.sqrt(n("n_upper") / chars),
+        F.sqrt(n("n_dup_lines") / (n("n_lines") + F.lit(1.0))), F.sqrt(n("n_repeat_words") / words),
+    ]
+    return [F.floor(v * F.lit(float(SCALE)) + F.lit(0.5)).cast("long").alias(k) for v, k in zip(x, STATS, strict=True)]
+
+
+def base_failed(c: str) -> Column:
+    return (F.col(f"{c}.n_words") < MIN_WORDS) | (F.lit(100) * F.col(f"{c}.n_repeat_words") > F.lit(MAX_REPEAT) * F.col(f"{c}.n_words"))
 
 
 def _distance(x: list[Column], mean: list[Column], chol: dict[tuple[int, int], Column]) -> Column:
@@ -99,91 +106,119 @@ def _distance(x: list[Column], mean: list[Column], chol: dict[tuple[int, int], C
 
 
 def _with_cholesky(fit: DataFrame) -> DataFrame:
-    """Covariance columns c_ij (floored on the diagonal) -> factor columns l_ij, one column at a time."""
-    p = len(STATS)
-    for j in range(p):
+    """Covariance columns c_ij (floored on the diagonal) -> factor columns l_ij, one column at a time, and logdet."""
+    for j in P:
         rest = reduce(lambda a, k: a - F.col(f"l{j}{k}") * F.col(f"l{j}{k}"), range(j), F.col(f"c{j}{j}"))
         fit = fit.withColumn(f"l{j}{j}", F.sqrt(F.greatest(rest, F.lit(FLOORS[j] ** 2 * 0.25))))
-        fit = fit.withColumns({f"l{i}{j}": reduce(lambda a, k, i=i: a - F.col(f"l{i}{k}") * F.col(f"l{j}{k}"), range(j), F.col(f"c{i}{j}")) / F.col(f"l{j}{j}") for i in range(j + 1, p)})
-    return fit
+        fit = fit.withColumns({f"l{i}{j}": reduce(lambda a, k, i=i: a - F.col(f"l{i}{k}") * F.col(f"l{j}{k}"), range(j), F.col(f"c{i}{j}")) / F.col(f"l{j}{j}") for i in range(j + 1, len(STATS))})
+    return fit.withColumn("logdet", reduce(add, [F.log(f"l{j}{j}") for j in P]))
 
 
-_KEYS = ["g_level", "g_lang", "g_source"]
-_FIT = [f"m{i}" for i in range(len(STATS))] + [f"l{i}{j}" for i in range(len(STATS)) for j in range(i + 1)]
+_KEYS = ["g", "start"]
+_FIT = [f"m{i}" for i in P] + [f"l{i}{j}" for i in P for j in range(i + 1)] + ["logdet"]
+
+
+def _x(i: int) -> Column:
+    return F.col(STATS[i]) / F.lit(float(SCALE))
 
 
 def _d2(prefix: str = "") -> Column:
-    p = len(STATS)
-    return _distance([F.col(s) for s in STATS], [F.col(f"{prefix}m{i}") for i in range(p)], {(i, j): F.col(f"{prefix}l{i}{j}") for i in range(p) for j in range(i + 1)})
+    return _distance([_x(i) for i in P], [F.col(f"{prefix}m{i}") for i in P], {(i, j): F.col(f"{prefix}l{i}{j}") for i in P for j in range(i + 1)})
 
 
 def _bin(d2: Column) -> Column:
     return F.greatest(F.lit(0), F.least(F.lit(_BIN_MAX), F.floor(F.log(d2 + F.lit(1e-6)) * _BINS_PER_E) + F.lit(14 * _BINS_PER_E))).cast("int")
 
 
-def _quantile_bin(counts: DataFrame, share: float) -> DataFrame:
-    """(keys, bin, n) -> per key the first bin at which `share` of the rows is reached."""
-    run = counts.withColumn("__run", F.sum("n").over(Window.partitionBy(*_KEYS).orderBy("bin"))).withColumn("__all", F.sum("n").over(Window.partitionBy(*_KEYS)))
-    return run.where(F.col("__run") >= F.lit(share) * F.col("__all")).groupBy(*_KEYS).agg(F.min("bin").alias("cut"), F.first("__all").alias("n_group"))
+def _quantile(counts: DataFrame, keys: list[str], share: float) -> DataFrame:
+    """(keys, bin, n) -> per key the first bin at which `share` of the rows is reached (cut), and all its rows (n_group)."""
+    run = counts.withColumn("run", F.sum("n").over(Window.partitionBy(*keys).orderBy("bin"))).withColumn("everything", F.sum("n").over(Window.partitionBy(*keys)))
+    return run.where(F.col("run") >= F.lit(share) * F.col("everything")).groupBy(*keys).agg(F.min("bin").alias("cut"), F.first("everything").alias("n_group"))
+
+
+def group_key(level: int, lang: Column, source: Column) -> Column:
+    """The key of a row's group; a null language or source is a value of its own, which the level tells from none."""
+    none = F.lit(None).cast("string")
+    return F.struct(F.lit(level).alias("level"), (lang if level < 2 else none).alias("lang"), (source if level < 1 else none).alias("source"))
+
+
+def _moments(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Exact sums over rows -> mean, Cholesky factor of the covariance with floors, log determinant."""
+    exact = lambda v: F.sum(v.cast("decimal(20,0)")).cast("double")
+    sums = rows.groupBy(*keys).agg(F.count(F.lit(1)).cast("double").alias("n"), *[exact(F.col(STATS[i])).alias(f"s{i}") for i in P], *[exact(F.col(STATS[i]) * F.col(STATS[j])).alias(f"q{i}{j}") for i in P for j in range(i + 1)])
+    n, unit = F.col("n"), F.lit(float(SCALE))
+    mean = {f"m{i}": F.col(f"s{i}") / n / unit for i in P}
+    cov = {f"c{i}{j}": F.col(f"q{i}{j}") / n / unit / unit - F.col(f"m{i}") * F.col(f"m{j}") + F.lit(FLOORS[i] ** 2 if i == j else 0.0) for i in P for j in range(i + 1)}
+    return _with_cholesky(sums.withColumns(mean).withColumns(cov)).select(*keys, *_FIT)
+
+
+def _medians(keyed: DataFrame) -> DataFrame:
+    """Median and median absolute deviation of each statistic by group, from counts over bins of _COARSE / SCALE."""
 
+    def middle(value, rows: DataFrame) -> DataFrame:
+        each = rows.select("g", F.posexplode(F.array(*[F.floor(value(i) / _COARSE).cast("int") for i in P])).alias("stat", "bin"))
+        cut = _quantile(each.groupBy("g", "stat", "bin").agg(F.count(F.lit(1)).alias("n")), ["g", "stat"], 0.5)
+        return broadcast_if_small(materialize(cut.groupBy("g").agg(*[F.max(F.when(F.col("stat") == i, (F.col("cut") + F.lit(0.5)) * (_COARSE / SCALE))).alias(f"v{i}") for i in P]), "medians"))
 
-def _keyed(rows: DataFrame) -> DataFrame:
-    """Each row under its three groups; nulls are a value of their own."""
-    lang, source = F.coalesce("g_lang0", F.lit("\x00")), F.coalesce("g_source0", F.lit("\x00"))
-    none = F.lit("\x01")
-    levels = F.array(*[F.struct(F.lit(k).alias("g_level"), a.alias("g_lang"), b.alias("g_source")) for k, a, b in ((0, lang, source), (1, lang, none), (2, none, none))])
-    return rows.select(*STATS, F.explode(levels).alias("g")).select("g.*", *STATS)
+    med = middle(lambda i: F.col(STATS[i]), keyed)
+    dev = middle(lambda i: F.abs(F.col(STATS[i]) - F.col(f"v{i}") * SCALE), keyed.join(med, "g"))
+    both = med.select("g", *[F.col(f"v{i}").alias(f"m{i}") for i in P]).join(dev, "g")
+    return both.select("g", *[f"m{i}" for i in P], *[(F.greatest(F.lit(1.4826) * F.col(f"v{i}"), F.lit(FLOORS[i])) if i == j else F.lit(0.0)).alias(f"l{i}{j}") for i in P for j in range(i + 1)], F.lit(0.0).alias("logdet"))
 
 
 def fit_mcd(rows: DataFrame) -> DataFrame:
-    """rows: g_lang0, g_source0 and the statistics -> one row per group: keys, n_group, mean, Cholesky factor, scale.
+    """rows: lang, source and the statistics -> one row per group of MIN_GROUP rows or more: g, n_group, mean, Cholesky factor, scale.
 
-    A fixed number of concentration steps over `rows`, which should be materialized. Groups of one row have the floors as spread.
+    Every step reads `rows`, which should be materialized. The loop ends: each round some group's log determinant falls by more than
+    GAIN, and none falls below the floors'.
     """
-    keyed, p = _keyed(rows), len(STATS)
-    # the start: median and median absolute deviation of each statistic, by sketches of bounded size
-    med = keyed.groupBy(*_KEYS).agg(*[F.percentile_approx(s, 0.5, 2000).alias(f"m{i}") for i, s in enumerate(STATS)])
-    med = broadcast_if_small(materialize(med, "medians"))
-    dev = keyed.join(med, _KEYS).groupBy(*_KEYS).agg(*[F.first(f"m{i}").alias(f"m{i}") for i in range(p)], *[F.percentile_approx(F.abs(F.col(s) - F.col(f"m{i}")), 0.5, 2000).alias(f"a{i}") for i, s in enumerate(STATS)])
-    fit = dev.select(*_KEYS, *[f"m{i}" for i in range(p)], *[(F.greatest(F.lit(1.4826) * F.col(f"a{i}"), F.lit(FLOORS[i])) if i == j else F.lit(0.0)).alias(f"l{i}{j}") for i in range(p) for j in range(i + 1)])
-    for step in range(STEPS):
-        fit = broadcast_if_small(materialize(fit, f"mcd{step}"))
-        near = keyed.join(fit, _KEYS).withColumn("bin", _bin(_d2()))
-        cut = _quantile_bin(near.groupBy(*_KEYS, "bin").agg(F.count(F.lit(1)).alias("n")), SUPPORT)
-        core = near.join(broadcast_if_small(materialize(cut, "cut")), _KEYS).where(F.col("bin") <= F.col("cut"))
-        # sums about the last mean, which keeps them small
-        y = [F.col(s) - F.col(f"m{i}") for i, s in enumerate(STATS)]
-        sums = core.groupBy(*_KEYS).agg(F.count(F.lit(1)).alias("n"), *[F.first(f"m{i}").alias(f"o{i}") for i in range(p)], *[F.sum(y[i]).alias(f"s{i}") for i in range(p)], *[F.sum(y[i] * y[j]).alias(f"q{i}{j}") for i in range(p) for j in range(i + 1)])
-        n = F.col("n").cast("double")
-        cov = {f"c{i}{j}": F.col(f"q{i}{j}") / n - (F.col(f"s{i}") / n) * (F.col(f"s{j}") / n) + F.lit(FLOORS[i] ** 2 if i == j else 0.0) for i in range(p) for j in range(i + 1)}
-        fit = _with_cholesky(sums.withColumns({f"m{i}": F.col(f"o{i}") + F.col(f"s{i}") / n for i in range(p)} | cov)).select(*_KEYS, *_FIT)
-    fit = broadcast_if_small(materialize(fit, "mcd"))
-    # consistency: the median distance of all rows of the group belongs at the chi-square median
-    half = _quantile_bin(keyed.join(fit, _KEYS).withColumn("bin", _bin(_d2())).groupBy(*_KEYS, "bin").agg(F.count(F.lit(1)).alias("n")), 0.5)
+    levels = F.array(*[group_key(k, F.col("lang"), F.col("source")) for k in range(3)])
+    each = rows.select(F.explode(levels).alias("g"), *STATS)
+    groups = broadcast_if_small(materialize(each.groupBy("g").agg(F.count(F.lit(1)).alias("n_group")).where(F.col("n_group") >= MIN_GROUP), "groups"))
+    each = each.join(groups.select("g"), "g", "left_semi")
+    classic = _moments(each, ["g"]).withColumn("logdet", F.lit(0.0))
+    now = _medians(each).withColumn("start", F.lit(0)).unionByName(classic.withColumn("start", F.lit(1))).withColumn("moved", F.lit(True))
+    first = True
+    while True:
+        now = materialize(now, "mcd")
+        n_going = now.where("moved").count()
+        if not n_going:
+            break
+        few = F.broadcast if n_going <= BROADCAST_ROWS else lambda df: df
+        near = each.join(few(now.where("moved").drop("moved")), "g").withColumn("bin", _bin(_d2()))
+        cut = _quantile(near.groupBy(*_KEYS, "bin").agg(F.count(F.lit(1)).alias("n")), _KEYS, SUPPORT)
+        core = near.join(few(cut.select(*_KEYS, "cut")), _KEYS).where(F.col("bin") <= F.col("cut"))
+        new = _moments(core.select(*_KEYS, *STATS), _KEYS)
+        both = now.join(few(new.select(*_KEYS, F.struct(*_FIT).alias("new"))), _KEYS, "left")
+        moved = F.lit(True) if first else F.col("new.logdet") < F.col("logdet") - F.lit(GAIN)
+        now = both.withColumn("moved", F.coalesce(F.col("new").isNotNull() & moved, F.lit(False))).select(*_KEYS, *[F.when(F.col("moved"), F.col(f"new.{c}")).otherwise(F.col(c)).alias(c) for c in _FIT], "moved")
+        first = False
+    best = now.groupBy("g").agg(F.min(F.struct("logdet", "start", F.struct(*_FIT).alias("fit"))).alias("x")).select("g", "x.fit.*")
+    best = broadcast_if_small(materialize(best, "mcd_best"))
+    # consistency: the median distance of all rows of the group belongs at the chi-square median; floors are not undone
+    half = _quantile(each.join(best, "g").withColumn("bin", _bin(_d2())).groupBy("g", "bin").agg(F.count(F.lit(1)).alias("n")), ["g"], 0.5)
     median = F.exp((F.col("cut") + F.lit(0.5 - 14 * _BINS_PER_E)) / F.lit(float(_BINS_PER_E)))
-    return materialize(fit.join(half, _KEYS).select(*_KEYS, *_FIT, "n_group", F.greatest(median / F.lit(CHI2_MEDIAN), F.lit(1.0)).alias("scale")), "mcd_scaled")
+    return materialize(best.join(half, "g").select("g", *_FIT, "n_group", F.greatest(median / F.lit(CHI2_MEDIAN), F.lit(1.0)).alias("scale")), "mcd_scaled")
 
 
 def judge(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", slim: bool = False) -> DataFrame:
-    """All columns of docs (slim: only the id) and qr_* statistics, qr_base_failed, qr_distance (double, null if base_failed), qr_kept.
+    """All columns of docs (slim: only the id) and qr_* counts, qr_base_failed, qr_distance (double, null if base_failed), qr_kept.
 
-    Null or empty texts have no word and fail the base rules. Null language or source: a group of its own. Repeated rows are
-    judged alike. With fewer than MIN_GROUP rows that pass the base rules in the whole table there is no estimate and the
-    base rules alone decide. Empty table: no rows. Columns of docs that start with qr_ are replaced.
+    Null or empty texts have no word and fail the base rules. Very long texts are read whole. Null language or source: a group of
+    its own. Null and repeated ids and repeated rows are judged each, alike for like texts. With fewer than MIN_GROUP rows that
+    pass the base rules in the whole table there is no estimate and the base rules alone decide. Empty table: no rows. Columns may
+    have any names: only those that are returned here, qr_ and a name of COUNTS, base_failed, distance or kept, are replaced.
     """
-    named = docs.drop(*[c for c in docs.columns if c.startswith("qr_")])
-    head = [F.col(f"`{c}`") for c in ([id_col] if slim else named.columns)]
-    stats = _vector(text_stats(named, text_col)).withColumns({"g_lang0": F.col(f"`{lang_col}`"), "g_source0": F.col(f"`{source_col}`"), "qr_base_failed": base_failed()})
-    counts = [c for c in stats.columns if c.startswith("qr_")]
-    stats = materialize(stats.select(*head, *counts, "g_lang0", "g_source0", *STATS), "quality_stats")
-    fit = fit_mcd(stats.where(~F.col("qr_base_failed"))).where(F.col("n_group") >= MIN_GROUP)
-    lang, source = F.coalesce("g_lang0", F.lit("\x00")), F.coalesce("g_source0", F.lit("\x00"))
+    made = [f"qr_{c}" for c in (*COUNTS, "base_failed", "distance", "kept")]
+    head = [F.col(f"`{c}`") for c in ([id_col] if slim else [c for c in docs.columns if c not in made])]
+    rows = docs.select(F.struct(*head).alias("row"), F.col(f"`{lang_col}`").cast("string").alias("lang"), F.col(f"`{source_col}`").cast("string").alias("source"), text_stats(F.col(f"`{text_col}`")).alias("c"))
+    stats = materialize(rows.select("row", "lang", "source", "c", base_failed("c").alias("failed"), *_vector("c")), "quality_stats")
+    fit = fit_mcd(stats.where("NOT failed"))
     out = stats
     for level in range(3):
-        own = fit.where(F.col("g_level") == level).select(*[F.col(c).alias(f"f{level}_{c}") for c in ["g_lang", "g_source", *_FIT, "scale"]])
-        on = {0: (F.col("f0_g_lang") == lang) & (F.col("f0_g_source") == source), 1: F.col("f1_g_lang") == lang, 2: F.col("f2_g_lang") == F.lit("\x01")}[level]
-        out = out.join(broadcast_if_small(own), on, "left")
+        own = fit.where(F.col("g.level") == level).select(*[F.col(c).alias(f"f{level}_{c}") for c in ["g", *_FIT, "scale"]])
+        out = out.join(broadcast_if_small(own), F.col(f"f{level}_g") == group_key(level, F.col("lang"), F.col("source")), "left")
     d2 = F.coalesce(*[_d2(f"f{k}_") / F.col(f"f{k}_scale") for k in range(3)])
-    out = out.withColumn("qr_distance", F.when(~F.col("qr_base_failed"), d2))
-    out = out.withColumn("qr_kept", ~F.col("qr_base_failed") & F.coalesce(F.col("qr_distance") <= F.lit(CHI2_CUT), F.lit(True)))
-    return out.select(*head, *counts, "qr_distance", "qr_kept")
+    out = out.withColumn("d2", F.when(~F.col("failed"), d2))
+    kept = ~F.col("failed") & F.coalesce(F.col("d2") <= F.lit(CHI2_CUT), F.lit(True))
+    return out.select("row.*", *[F.col(f"c.{c}").alias(f"qr_{c}") for c in COUNTS], F.col("failed").alias("qr_base_failed"), F.col("d2").alias("qr_distance"), kept.alias("qr_kept"))

@@ -144,7 +144,7 @@ t AS (SELECT source, source_size, least(cap, coalesce((SELECT arg_min(level, k)
 r AS (SELECT source, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0e0 END AS rate,
   CAST(CAST('0x' || substr(md5(concat_ws('|', 'offset-0', source)), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296e0 AS u FROM t),
 o AS (SELECT d.*, md5(concat_ws('|', '0', CAST(doc_id AS VARCHAR))) AS h, length(CAST(size AS VARCHAR)) * 100 + CAST(substr(CAST(size AS VARCHAR), 1, 2) AS INTEGER) AS c FROM d),
-p AS (SELECT *, CAST(row_number() OVER (PARTITION BY source ORDER BY c, CAST('0x' || substr(h, 1, 4) AS INTEGER) % 64, size, h, doc_id) AS DOUBLE) AS k FROM o)
+p AS (SELECT *, CAST(row_number() OVER (PARTITION BY source ORDER BY c, CAST('0x' || substr(h, 1, 4) AS INTEGER) % 4096, size, h, doc_id) AS DOUBLE) AS k FROM o)
 SELECT doc_id, size, source_size, target, CAST(least(floor(k * rate + u) - floor((k - 1) * rate + u), ceil(rate)) AS BIGINT) * size AS taken
 FROM p JOIN r ON p.source IS NOT DISTINCT FROM r.source
 """,

@@ -9,6 +9,7 @@ A logistic model over a document's exact, misspelled and quoted hits gives the s
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -20,13 +21,16 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-#: Bounds: labelled rows that the lexicon and the model learn from, and terms kept.
-FIT_ROWS, MAX_TERMS = 20_000, 2_000
+#: The bound on labelled rows that the lexicon and the model learn from; all terms that pass the tests below are kept.
+FIT_ROWS = 20_000
+#: A stem is a word's first MIN_STEM to MAX_STEM letters; longer terms are whole words.
 MIN_STEM, MAX_STEM, MIN_DOCS, MIN_RATIO, MIN_EVIDENCE = 4, 10, 3, 15.0, 16.0
 WINDOW = 4
 REPORTING = frozenset("said says wrote writes called calls quoted quote quotes sagte schrieb nannte zitat zitierte dit écrit appelé cité citation dijo escribió llamó citó cita".split())
-QUOTES = "\"“”„«»‘’"
-_TOKEN = re.compile(rf"[^\W_]+|[{QUOTES}]")
+#: Marks that open a quotation, and those that end one which the first opened.
+PAIRS = {"“": "”", "„": "“”", "«": "»", "»": "«", "‘": "’", "\"": "\""}
+_MARKS = "\"“”„«»‘’"
+_WORD = re.compile(r"[^\W_]+")
 FEATURES = 8
 _STATES = 200_000
 
@@ -116,34 +120,59 @@ class Matcher:
         return hit if hit and (found is None or (-hit[1], hit[0]) > (-found[1], found[0])) else found
 
 
+def quoted_spans(text: str) -> list[tuple[int, int]]:
+    """Stretches of text between an opening mark and the next mark that ends it, in the same line.
+
+    A mark between letters or digits is an apostrophe, and a straight mark right after a digit, where nothing is open, stands for
+    inches. A straight mark opens only before something other than white space. What is not closed in its line is no quotation.
+    """
+    out, opened, ends = [], -1, ""
+    for m in _MARK.finditer(text):
+        c, i = m[0], m.start()
+        before, after = text[i - 1 : i], text[i + 1 : i + 2]
+        if c == "\n":
+            opened = -1
+        elif before.isalnum() and after.isalnum():
+            continue
+        elif opened >= 0 and c in ends:
+            out.append((opened, i))
+            opened = -1
+        elif opened < 0 and c in PAIRS and after and not after.isspace() and not (c == "\"" and before.isdigit()):
+            opened, ends = i, PAIRS[c]
+    return out
+
+
+_MARK = re.compile(f"[{_MARKS}\n]")
+
+
 def features(text: str | None, matcher: Matcher, known: dict[str, tuple[float, int] | None]) -> list[float]:
     """(abuse: exact sum, misspelled sum, strongest, per 100 words; quotation: sum, strongest; kinds of term; any)."""
     if not text:
         return [0.0] * FEATURES
-    tokens = _TOKEN.findall(text.lower())
-    hits, quoted, n_words = [], 0, 0
-    inside = np.zeros(0, dtype=bool)
+    text = text.lower()
+    tokens = _WORD.findall(text)
+    hits = []
     for i, t in enumerate(tokens):
-        if t in QUOTES:
-            quoted += 1
-            continue
-        n_words += 1
         try:
             m = known[t]
         except KeyError:
             m = known[t] = matcher.match(t)
         if m:
-            hits.append((i, m, quoted, t))
+            hits.append((i, m, t))
     if not hits:
         return [0.0] * FEATURES
-    if quoted:
-        inside = np.array([h[2] % 2 == 1 and h[2] < quoted for h in hits])
+    inside: set[int] = set()
+    spans = quoted_spans(text) if any(c in text for c in PAIRS) else []
+    if spans:
+        starts, wanted = [a for a, _ in spans], {h[0] for h in hits}
+        for i, m in enumerate(_WORD.finditer(text)):
+            if i in wanted and (k := bisect.bisect_right(starts, m.start()) - 1) >= 0 and m.start() < spans[k][1]:
+                inside.add(i)
     exact = fuzzy = top = said = said_top = 0.0
     kinds = set()
-    for j, (i, (weight, edits), _, t) in enumerate(hits):
-        near = tokens[max(0, i - WINDOW) : i + WINDOW + 1]
+    for i, (weight, edits), t in hits:
         w = weight / (1 + edits)
-        if (quoted and inside[j]) or any(x in REPORTING for x in near):
+        if i in inside or any(x in REPORTING for x in tokens[max(0, i - WINDOW) : i + WINDOW + 1]):
             said, said_top = said + w, max(said_top, w)
             continue
         kinds.add(t)
@@ -152,18 +181,18 @@ def features(text: str | None, matcher: Matcher, known: dict[str, tuple[float, i
             fuzzy += w
         else:
             exact += w
-    rate = (exact + fuzzy) * 100 / max(n_words, 1)
+    rate = (exact + fuzzy) * 100 / max(len(tokens), 1)
     return [np.log1p(exact), np.log1p(fuzzy), top, np.log1p(rate), np.log1p(said), said_top, np.log1p(len(kinds)), float(exact > 0)]
 
 
 def _marks(text: str) -> set[str]:
     """The distinct words of a text (=word) and their beginnings (word*)."""
-    words = set(re.findall(r"[^\W_]+", text.lower()))
+    words = set(_WORD.findall(text.lower()))
     return {f"={w}" for w in words} | {f"{w[:k]}*" for w in words for k in range(MIN_STEM, min(MAX_STEM, len(w)) + 1)}
 
 
 def learn_lexicon(rows: DataFrame) -> list[Term]:
-    """rows (text, label, non-null) -> at most MAX_TERMS terms; the counts are aggregated on the executors."""
+    """rows (text, label, non-null) -> terms; the counts are aggregated on the executors, and the few that pass come to the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -181,7 +210,7 @@ def learn_lexicon(rows: DataFrame) -> list[Term]:
     part = lambda x, e: F.when(x > 0, x * F.log(x / e)).otherwise(F.lit(0.0))
     evidence = F.lit(2.0) * (part(a, F.col("d") * n1 / n) + part(b, F.col("d") * n0 / n))
     good = counts.withColumn("ratio", ratio).withColumn("evidence", evidence).where((F.col("d1") >= MIN_DOCS) & (F.col("ratio") >= MIN_RATIO) & (F.col("evidence") >= MIN_EVIDENCE))
-    found = good.orderBy(F.desc("evidence"), "mark").limit(20 * MAX_TERMS).collect()
+    found = good.collect()
     by = {r["mark"]: (r["d1"], float(np.log(r["ratio"]))) for r in found}
     # the longest beginning that loses no document, or the word itself, and nothing below a term already taken
     stems = {m[:-1]: v for m, v in by.items() if m[-1] == "*"}
@@ -194,8 +223,8 @@ def learn_lexicon(rows: DataFrame) -> list[Term]:
         whole = own is not None and own[0] >= 0.95 * stems[s][0]
         terms.append(Term(s, not whole, weight))
     taken = [t.text for t in terms]
-    terms += [Term(m[1:], False, v[1]) for m, v in by.items() if m[0] == "=" and not any(m[1:].startswith(t) for t in taken)]
-    return sorted(terms, key=lambda t: (-t.weight, t.text))[:MAX_TERMS]
+    terms += [Term(m[1:], False, v[1]) for m, v in sorted(by.items()) if m[0] == "=" and not any(m[1:].startswith(t) for t in taken)]
+    return sorted(terms, key=lambda t: (-t.weight, t.text))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 50) -> np.ndarray:
@@ -231,7 +260,8 @@ def score(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
                 x = [features(t, matcher, known) for t in batch.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column("label")], names=["x", "label"])
 
-        sample = train.mapInArrow(measure, "x array<double>, label bigint").collect()
+        # in an order of its own, so that reruns add up alike
+        sample = sorted(train.mapInArrow(measure, "x array<double>, label bigint").collect(), key=lambda r: (r["x"], r["label"]))
         weights = logistic(np.array([r["x"] for r in sample]), np.array([r["label"] for r in sample], dtype=float))
     else:
         weights = np.array([0.0] * FEATURES + [-30.0])

@@ -253,10 +253,34 @@ def test_near_duplicates_odd(odd, none, odd_rows):
     by = defaultdict(set)
     for r in got:
         by[r["doc"]].add((r["component"], r["kept"]))
-    assert by[5] == {(5, True)} and by[6] == by[7] == {(5, False)} and by[0] == {(0, True)} and by[12] == {(5, False)} and by[None] == {(None, True)}
+    assert by[5] == {(5, True)} and by[6] == by[7] == {(5, False)} and by[0] == {(0, True)} and by[12] == {(5, False)} and by[None] == {(5, False), (None, True)}
     assert minhash.near_duplicates(none).count() == 0
 
 
+def test_near_duplicates_compare_each_text_of_an_id(spark):
+    r = random.Random(8)
+    a, b, c = (prose(r, 50) for _ in range(3))
+    rows = [(7, a), (7, b), (3, b), (9, c), (9, c), (None, c + " more"), (None, prose(r, 40)), (4, prose(r, 40))]
+    got = sorted((x["doc"] or -1, x["component"] or -1, x["kept"]) for x in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect())
+    assert got == [(-1, -1, True), (-1, 9, False), (3, 3, True), (4, 4, True), (7, 3, False), (7, 7, True), (9, 9, True), (9, 9, True)]
+
+
+def test_unlike_words_hash_apart():
+    def thue_morse(n, x="a", y="b"):
+        for _ in range(n):
+            x, y = x + y, y + x
+        return x, y
+
+    seen = set()
+    texts = [w for n in range(11) for w in thue_morse(n)] + ["\0" * n for n in range(1, 30)] + ["a" * n for n in range(3, 60)] + ["x\0", "x", "\0x", "é" * 12, "é" * 13]
+    for w in texts:
+        seen.add(int(minhash.word_hashes(w)[0]))
+    assert len(seen) == len(set(texts))
+    one, other = thue_morse(9)
+    assert not set(minhash.shingle_set("x y z w " + one)) & set(minhash.shingle_set("x y z w " + other))
+    assert (minhash.word_hashes("The  cat\nTHE\tcat") == minhash.word_hashes("the cat the cat")).all()
+
+
 def test_star_components(spark):
     r = random.Random(1)
     chain = [(i, i + 1) for i in range(100, 160)]
@@ -322,16 +346,26 @@ def test_contamination_matches_brute_force(spark, odd, none):
     out = decontaminate.contamination(spark.createDataFrame(docs, "doc_id bigint, text string"), bench)
     got = {x["doc"]: (x["n_words"], x["n_hit"], x["n_items"], sha256(",".join(x["items"]).encode()).hexdigest()) for x in out.collect()}
     assert got == contaminated(docs, items)
-    assert decontaminate.contamination(odd, bench).count() == 15
+    assert decontaminate.contamination(odd, bench).count() == 18
+    hit = next(t for i, t in docs if contaminated([(i, t)], items)[i][1])
+    rows = [(None, hit), (None, docs[0][1]), (5, hit), (5, "nothing here"), (5, hit), (None, None)]
+    got = [(x["doc"], x["n_hit"]) for x in decontaminate.contamination(spark.createDataFrame(rows, "doc_id bigint, text string"), bench).collect()]
+    n, first = contaminated([(0, hit)], items)[0][1], contaminated([(0, docs[0][1])], items)[0][1]
+    assert Counter(got) == Counter([(None, n), (None, first), (5, n), (5, 0), (5, n), (None, 0)])
     assert decontaminate.contamination(none, bench).count() == 0
     assert {x["n_hit"] for x in decontaminate.contamination(odd, bench.limit(0)).collect()} == {0}
 
 
 def test_proximity(spark):
-    docs = spark.createDataFrame([(1, "b x a y c"), (2, "a q q q q b c"), (3, "c b a")], "doc_id bigint, text string")
-    phrases = spark.createDataFrame([(7, ["a", "b", "c"])], "phrase_id bigint, terms array<string>")
-    index = decontaminate.build_index(docs, phrases.select(F.explode("terms").alias("term")))
-    assert {(x["doc"], x["start"]) for x in decontaminate.proximity_hits(index, phrases, span=5).collect()} == {(1, 0), (3, 0)}
+    """Windows that hold all words of a phrase, against every window of every document."""
+    r = random.Random(5)
+    docs = [(1, "b x a y c"), (2, "a q q q q b c"), (3, "c b a")] + [(i, " ".join(r.choice("abcdefgh") for _ in range(r.randint(0, 40)))) for i in range(4, 40)]
+    phrases = [(7, ["a", "b", "c"]), (8, ["d", "d", "e"]), (9, ["h"]), (10, ["a", "e", "g", "h"]), (11, ["a", "zz"])]
+    frame = spark.createDataFrame(phrases, "phrase_id bigint, terms array<string>")
+    index = decontaminate.build_index(spark.createDataFrame(docs, "doc_id bigint, text string"), frame.select(F.explode("terms").alias("term")))
+    for span in (3, 5, 9):
+        want = {(d, p, k) for d, t in docs for p, terms in phrases for w in [t.split()] for k in range(len(w)) if w[k] in terms and set(terms) <= set(w[k : k + span])}
+        assert {(x["doc"], x["phrase_id"], x["start"]) for x in decontaminate.proximity_hits(index, frame, span=span).collect()} == want
 
 
 # ---- toxicity
@@ -372,6 +406,13 @@ def test_quotation_is_told_from_abuse():
     for t in ('they used "the idiot word" once', "he said idiot to me"):
         f = toxicity.features(t, m, {})
         assert f[0] == 0 and f[4] > 0
+    abuse = ("You’re an idiot and don’t come back", "You're an idiot and don't come back", "a 5\" idiot of 6\" height", "there it is \" and\nyou idiot \" too", "“open and you\nidiot” here", "rock ’n’ idiot")
+    for t in abuse:
+        f = toxicity.features(t, m, {})
+        assert f[0] > 0 and f[4] == 0, t
+    for t in ("„idiot“ stood there", "»idiot« stood there", "«idiot» stood there", "‘don’t be an idiot’ it ran", "the “idiot” bit", 'a 5" pipe and "an idiot word"'):
+        f = toxicity.features(t, m, {})
+        assert f[0] == 0 and f[4] > 0, t
 
 
 def auc(y, s):
@@ -448,13 +489,16 @@ def test_base_statistics(spark, odd, none):
     texts = [prose(r, 30, 6) + "\n" + " ".join(["a b c d e f g h i"] * r.randint(0, 4)) + "\n#* x\n#* x\n\n" + prose(r, 20) for _ in range(30)] + ["a " * 9, "a " * 8, "a " * 7]
     extra = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     for df in (odd, extra):
-        got = quality_rules.text_stats(df).select("text", *[f"qr_{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]).collect()
+        got = df.select("text", quality_rules.text_stats(F.col("text")).alias("c")).select("text", *[f"c.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]).collect()
         for r in got:
             assert tuple(r)[1:] == stats(r["text"])
     out = quality_rules.judge(odd)
     assert out.count() == 18 and set(odd.columns) - {"qr_kept"} < set(out.columns)
     assert quality_rules.judge(none).count() == 0
     assert out.where("qr_base_failed AND qr_kept").count() == 0
+    clash = {"doc": "k0", "score": "g", "kept": "row", "component": "c", "mx_size": "f0_g", "qr_kept": "qr_other"}
+    named = quality_rules.judge(odd.withColumnsRenamed(clash))
+    assert named.where("k0 = 'd' AND g = 's' AND row = 'k' AND c = 'c' AND f0_g = 'm' AND qr_other = 'q' AND qr_kept IS NOT NULL").count() == 18
 
 
 def test_outliers_go_and_clean_documents_stay(spark):
@@ -483,21 +527,40 @@ def test_repeats_reject_by_themselves(spark):
     assert all(share / floor**2 > quality_rules.CHI2_CUT for share, floor in ((0.9, quality_rules.FLOORS[3]), (quality_rules.MAX_REPEAT / 100, quality_rules.FLOORS[4])))
 
 
-def test_distance_is_mahalanobis(spark):
+def plain_mcd(x, floors, tries=30):
+    """(log determinant, mean, factor) of the lowest of many converged concentration runs over exact subsets."""
+    r, h, best = np.random.default_rng(1), int(np.ceil(0.75 * len(x))), (np.inf,)
+    for _ in range(tries):
+        own = x[r.choice(len(x), 12, replace=False)]
+        for _ in range(60):
+            mean, cov = own.mean(axis=0), np.cov(own.T, bias=True) + np.diag(np.array(floors) ** 2)
+            d = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
+            own = x[np.argsort(d, kind="stable")[:h]]
+        mean, factor = own.mean(axis=0), np.linalg.cholesky(np.cov(own.T, bias=True) + np.diag(np.array(floors) ** 2))
+        best = min(best, (np.log(np.diag(factor)).sum(), mean, factor), key=lambda b: b[0])
+    return best
+
+
+def test_estimate_has_a_low_determinant_and_distances_are_mahalanobis(spark):
     r = np.random.default_rng(3)
     x = r.normal(size=(400, 5)) * np.array([0.3, 0.4, 0.5, 0.9, 0.7]) + r.normal(size=(400, 1))
-    rows = spark.createDataFrame([("en", "s", *map(float, v)) for v in x], "g_lang0 string, g_source0 string, x0 double, x1 double, x2 double, x3 double, x4 double")
-    fit = quality_rules.fit_mcd(rows).where("g_level = 0")
+    x[:60] += np.array([9.0, -6.0, 4.0, 0.0, 0.0])  # a seventh lies elsewhere
+    k = np.floor(x * quality_rules.SCALE + 0.5).astype(int)
+    rows = spark.createDataFrame([("en", None, *map(int, v)) for v in k], "lang string, source string, k0 bigint, k1 bigint, k2 bigint, k3 bigint, k4 bigint")
+    fit = quality_rules.fit_mcd(rows).where("g.level = 0")
     row = fit.first()
     mean, factor = np.array([row[f"m{i}"] for i in range(5)]), np.zeros((5, 5))
     for i in range(5):
         for j in range(i + 1):
             factor[i, j] = row[f"l{i}{j}"]
     got = [v[0] for v in rows.crossJoin(fit).select(quality_rules._d2()).collect()]
-    want = [(v - mean) @ np.linalg.inv(factor @ factor.T) @ (v - mean) for v in x]
+    y = k / quality_rules.SCALE
+    want = [(v - mean) @ np.linalg.inv(factor @ factor.T) @ (v - mean) for v in y]
     assert np.allclose(got, want)
-    core = x[np.argsort(want)[:300]]
-    assert np.allclose(mean, core.mean(axis=0), atol=0.15)
+    low, centre, _ = plain_mcd(y, quality_rules.FLOORS)
+    assert row["logdet"] < low + 0.1 and np.allclose(mean, centre, atol=0.15) and row["g"]["source"] is None
+    again = quality_rules.fit_mcd(rows.repartition(7)).where("g.level = 0").first()
+    assert again == row  # to the last digit, however the rows lie
 
 
 # ---- licences
