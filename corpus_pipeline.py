@@ -9,37 +9,55 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.llm import decontaminate, minhash, mixing, quality_rules, token_store
-from corvane.llm.common import materialize, table
+from corvane.llm.common import broadcast_if_small, materialize, table
 from corvane.llm.queries import VOCABULARY_FILE
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
-    return quality_rules.judge(docs).where("qr_kept").select(*docs.columns)
+    """Documents that the quality rules keep; null and empty texts go. Rows are judged each, whatever their ids; columns of any
+    names are kept. Empty table: no rows."""
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "text", "lang", "source")
+    return quality_rules.judge(rows).where("qr_kept").select("row.*")
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (five-word shingles, similarity 0.8 or more): the one of smallest id.
 
-    Rows that repeat an id stay once; rows without an id all stay.
+    Each row is known by its id and a hash of its text: texts that share an id are compared each, and rows without an id too (the
+    last to be kept). Of rows that repeat both, the one whose columns come first as JSON stays. Rows without any word are linked
+    with nothing and stay. Columns may have any names. Empty table: no rows.
     """
-    kept = minhash.near_duplicates(docs, hundredths=80).where("kept AND doc IS NOT NULL").select(F.col("doc").alias("doc_id")).distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    key = F.struct(F.col("row.doc_id").isNull().alias("n"), F.col("row.doc_id").alias("d"), F.xxhash64("row.text").alias("h"))
+    rows = docs.select(F.struct(*docs.columns).alias("row")).withColumn("key", key)
+    found = minhash.near_duplicates(rows.select("key", F.col("row.text").alias("text")), hundredths=80, id_col="key")
+    kept = materialize(found.where("kept").groupBy(F.col("doc").alias("key")).agg(F.count(F.lit(1)).alias("n_rows"), F.max("n_shingles").alias("n_shingles")), "kept")
+    repeated = kept.where("n_rows > 1 AND n_shingles > 0").select("key")
+    out = rows.join(kept.select("key"), "key", "left_semi")
+    if repeated.limit(1).count():
+        repeated = broadcast_if_small(repeated)
+        many = out.join(repeated, "key", "left_semi").groupBy("key").agg(F.min_by("row", F.to_json("row")).alias("row"))
+        out = out.join(repeated, "key", "left_anti").unionByName(many)
+    return out.select("row.*")
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no window of a benchmark item occurs."""
-    hit = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark")).where("n_hit > 0").select(F.col("doc").alias("doc_id"))
-    return docs.join(hit, "doc_id", "left_anti").select(*docs.columns)
+    """Documents in which no window of a benchmark item occurs, whatever their ids; null and empty texts stay. Columns may have
+    any names. Empty table: no rows."""
+    hit = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark")).where("n_hit > 0").select(F.struct(F.col("doc").alias("d"), F.col("mark").alias("h")).alias("key")).distinct()
+    rows = docs.select(F.struct(*docs.columns).alias("row")).withColumn("key", F.struct(F.col("row.doc_id").alias("d"), F.xxhash64("row.text").alias("h")))
+    return rows.join(broadcast_if_small(materialize(hit, "hit")), "key", "left_anti").select("row.*")
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: documents as often as their source's target asks for."""
-    return mixing.emit(mixing.mix(docs)).select(*docs.columns)
+    """The mix: documents as often as their source's target asks for. A null source is a source of its own, rows without a word
+    have size 0, repeated rows and ids count each. Columns may have any names. Empty table: no rows."""
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text", "source")
+    return mixing.emit(mixing.mix(rows)).select("row.*")
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token blocks of the mix, and each written document's place and digest as read back from them."""
+    """Token blocks of the mix, and each written document's place and digest as read back from them. Null texts are empty; null
+    ids come first; every row is a document of its own. Other columns are not read. Empty table: no rows."""
     import public_tokenizers
 
     return token_store.read_blocks(token_store.write_blocks(docs, vocabulary_path=public_tokenizers.path(VOCABULARY_FILE)))
@@ -53,7 +71,7 @@ STAGES = [
     ("token_ids", token_stage),
 ]
 
-#: The quality rules' estimates, the hash minima and the tokenizer have no SQL; tests/llm compares with plain versions.
+#: The tokenizer and the block coder have no SQL; tests/llm compares every stage with a plain version.
 ORACLE_SQL = None
 
 
