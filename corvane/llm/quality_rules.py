@@ -12,9 +12,6 @@ A row is judged by the finest group with at least `MIN_GROUP` rows and rejected
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import add
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -97,33 +94,23 @@ def base_failed(c: str) -> Column:
     return (F.col(f"{c}.n_words") < MIN_WORDS) | (F.lit(100) * F.col(f"{c}.n_repeat_words") > F.lit(MAX_REPEAT) * F.col(f"{c}.n_words"))
 
 
-def _distance(x: list[Column], mean: list[Column], chol: dict[tuple[int, int], Column]) -> Column:
-    """Squared Mahalanobis distance by forward substitution with the Cholesky factor (built as column expressions)."""
-    z: list[Column] = []
-    for i in range(len(x)):
-        z.append((reduce(lambda a, j: a - chol[i, j] * z[j], range(i), x[i] - mean[i])) / chol[i, i])
-    return reduce(add, [v * v for v in z])
-
-
-def _with_cholesky(fit: DataFrame) -> DataFrame:
-    """Covariance columns c_ij (floored on the diagonal) -> factor columns l_ij, one column at a time, and logdet."""
+def _cholesky() -> list[str]:
+    """Covariance columns c_ij (floored on the diagonal) -> factor columns l_ij, each by those before it, and logdet."""
+    out = []
     for j in P:
-        rest = reduce(lambda a, k: a - F.col(f"l{j}{k}") * F.col(f"l{j}{k}"), range(j), F.col(f"c{j}{j}"))
-        fit = fit.withColumn(f"l{j}{j}", F.sqrt(F.greatest(rest, F.lit(FLOORS[j] ** 2 * 0.25))))
-        fit = fit.withColumns({f"l{i}{j}": reduce(lambda a, k, i=i: a - F.col(f"l{i}{k}") * F.col(f"l{j}{k}"), range(j), F.col(f"c{i}{j}")) / F.col(f"l{j}{j}") for i in range(j + 1, len(STATS))})
-    return fit.withColumn("logdet", reduce(add, [F.log(f"l{j}{j}") for j in P]))
+        out.append(f"sqrt(greatest(c{j}{j}{''.join(f' - l{j}{k} * l{j}{k}' for k in range(j))}, {FLOORS[j] ** 2 * 0.25!r}D)) AS l{j}{j}")
+        out += [f"(c{i}{j}{''.join(f' - l{i}{k} * l{j}{k}' for k in range(j))}) / l{j}{j} AS l{i}{j}" for i in range(j + 1, len(STATS))]
+    return [*out, f"{' + '.join(f'ln(l{j}{j})' for j in P)} AS logdet"]
 
 
 _KEYS = ["g", "start"]
 _FIT = [f"m{i}" for i in P] + [f"l{i}{j}" for i in P for j in range(i + 1)] + ["logdet"]
 
 
-def _x(i: int) -> Column:
-    return F.col(STATS[i]) / F.lit(float(SCALE))
-
-
-def _d2(prefix: str = "") -> Column:
-    return _distance([_x(i) for i in P], [F.col(f"{prefix}m{i}") for i in P], {(i, j): F.col(f"{prefix}l{i}{j}") for i in P for j in range(i + 1)})
+def _measured(df: DataFrame) -> DataFrame:
+    """df with d2: the squared Mahalanobis distance, by forward substitution with the Cholesky factor."""
+    z = [f"(k{i} / {SCALE}D - m{i}{''.join(f' - l{i}{j} * z{j}' for j in range(i))}) / l{i}{i} AS z{i}" for i in P]
+    return df.selectExpr("*", *z, f"{' + '.join(f'z{i} * z{i}' for i in P)} AS d2")
 
 
 def _bin(d2: Column) -> Column:
@@ -144,12 +131,11 @@ def group_key(level: int, lang: Column, source: Column) -> Column:
 
 def _moments(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Exact sums over rows -> mean, Cholesky factor of the covariance with floors, log determinant."""
-    exact = lambda v: F.sum(v.cast("decimal(20,0)")).cast("double")
-    sums = rows.groupBy(*keys).agg(F.count(F.lit(1)).cast("double").alias("n"), *[exact(F.col(STATS[i])).alias(f"s{i}") for i in P], *[exact(F.col(STATS[i]) * F.col(STATS[j])).alias(f"q{i}{j}") for i in P for j in range(i + 1)])
-    n, unit = F.col("n"), F.lit(float(SCALE))
-    mean = {f"m{i}": F.col(f"s{i}") / n / unit for i in P}
-    cov = {f"c{i}{j}": F.col(f"q{i}{j}") / n / unit / unit - F.col(f"m{i}") * F.col(f"m{j}") + F.lit(FLOORS[i] ** 2 if i == j else 0.0) for i in P for j in range(i + 1)}
-    return _with_cholesky(sums.withColumns(mean).withColumns(cov)).select(*keys, *_FIT)
+    exact = "CAST(sum(CAST({} AS DECIMAL(20, 0))) AS DOUBLE) AS {}".format
+    sums = [exact(f"k{i}", f"s{i}") for i in P] + [exact(f"k{i} * k{j}", f"q{i}{j}") for i in P for j in range(i + 1)]
+    mean = [f"s{i} / n / {SCALE}D AS m{i}" for i in P]
+    cov = [f"q{i}{j} / n / {SCALE}D / {SCALE}D - m{i} * m{j} + {FLOORS[i] ** 2 if i == j else 0.0!r}D AS c{i}{j}" for i in P for j in range(i + 1)]
+    return rows.groupBy(*keys).agg(F.expr("CAST(count(1) AS DOUBLE) AS n"), *map(F.expr, sums)).selectExpr(*keys, *mean, *cov, *_cholesky()).select(*keys, *_FIT)
 
 
 def _medians(keyed: DataFrame) -> DataFrame:
@@ -185,18 +171,19 @@ def fit_mcd(rows: DataFrame) -> DataFrame:
         if not n_going:
             break
         few = F.broadcast if n_going <= BROADCAST_ROWS else lambda df: df
-        near = each.join(few(now.where("moved").drop("moved")), "g").withColumn("bin", _bin(_d2()))
+        near = each.join(few(now.where("moved").drop("moved")), "g")
+        near = _measured(near).withColumn("bin", _bin(F.col("d2")))
         cut = _quantile(near.groupBy(*_KEYS, "bin").agg(F.count(F.lit(1)).alias("n")), _KEYS, SUPPORT)
         core = near.join(few(cut.select(*_KEYS, "cut")), _KEYS).where(F.col("bin") <= F.col("cut"))
         new = _moments(core.select(*_KEYS, *STATS), _KEYS)
         both = now.join(few(new.select(*_KEYS, F.struct(*_FIT).alias("new"))), _KEYS, "left")
         moved = F.lit(True) if first else F.col("new.logdet") < F.col("logdet") - F.lit(GAIN)
-        now = both.withColumn("moved", F.coalesce(F.col("new").isNotNull() & moved, F.lit(False))).select(*_KEYS, *[F.when(F.col("moved"), F.col(f"new.{c}")).otherwise(F.col(c)).alias(c) for c in _FIT], "moved")
+        now = both.withColumn("moved", F.coalesce(F.col("new").isNotNull() & moved, F.lit(False))).select(*_KEYS, *[F.expr(f"IF(moved, new.{c}, {c}) AS {c}") for c in _FIT], "moved")
         first = False
     best = now.groupBy("g").agg(F.min(F.struct("logdet", "start", F.struct(*_FIT).alias("fit"))).alias("x")).select("g", "x.fit.*")
     best = broadcast_if_small(materialize(best, "mcd_best"))
     # consistency: the median distance of all rows of the group belongs at the chi-square median; floors are not undone
-    half = _quantile(each.join(best, "g").withColumn("bin", _bin(_d2())).groupBy("g", "bin").agg(F.count(F.lit(1)).alias("n")), ["g"], 0.5)
+    half = _quantile(_measured(each.join(best, "g")).withColumn("bin", _bin(F.col("d2"))).groupBy("g", "bin").agg(F.count(F.lit(1)).alias("n")), ["g"], 0.5)
     median = F.exp((F.col("cut") + F.lit(0.5 - 14 * _BINS_PER_E)) / F.lit(float(_BINS_PER_E)))
     return materialize(best.join(half, "g").select("g", *_FIT, "n_group", F.greatest(median / F.lit(CHI2_MEDIAN), F.lit(1.0)).alias("scale")), "mcd_scaled")
 
@@ -216,9 +203,9 @@ def judge(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
     fit = fit_mcd(stats.where("NOT failed"))
     out = stats
     for level in range(3):
-        own = fit.where(F.col("g.level") == level).select(*[F.col(c).alias(f"f{level}_{c}") for c in ["g", *_FIT, "scale"]])
-        out = out.join(broadcast_if_small(own), F.col(f"f{level}_g") == group_key(level, F.col("lang"), F.col("source")), "left")
-    d2 = F.coalesce(*[_d2(f"f{k}_") / F.col(f"f{k}_scale") for k in range(3)])
-    out = out.withColumn("d2", F.when(~F.col("failed"), d2))
-    kept = ~F.col("failed") & F.coalesce(F.col("d2") <= F.lit(CHI2_CUT), F.lit(True))
-    return out.select("row.*", *[F.col(f"c.{c}").alias(f"qr_{c}") for c in COUNTS], F.col("failed").alias("qr_base_failed"), F.col("d2").alias("qr_distance"), kept.alias("qr_kept"))
+        own = fit.where(F.col("g.level") == level).select(F.col("g").alias(f"g{level}"), F.struct(*_FIT, "scale").alias(f"f{level}"))
+        out = out.join(broadcast_if_small(own), F.col(f"g{level}") == group_key(level, F.col("lang"), F.col("source")), "left")
+    out = _measured(out.withColumn("f", F.coalesce("f0", "f1", "f2")).select("row", "c", "failed", *STATS, "f.*"))
+    distance = F.when(~F.col("failed"), F.col("d2") / F.col("scale"))
+    out = out.withColumn("d2", distance).withColumn("kept", ~F.col("failed") & F.coalesce(F.col("d2") <= F.lit(CHI2_CUT), F.lit(True)))
+    return out.select("row.*", *[F.col(f"c.{c}").alias(f"qr_{c}") for c in COUNTS], F.col("failed").alias("qr_base_failed"), F.col("d2").alias("qr_distance"), F.col("kept").alias("qr_kept"))

@@ -553,7 +553,7 @@ def test_estimate_has_a_low_determinant_and_distances_are_mahalanobis(spark):
     for i in range(5):
         for j in range(i + 1):
             factor[i, j] = row[f"l{i}{j}"]
-    got = [v[0] for v in rows.crossJoin(fit).select(quality_rules._d2()).collect()]
+    got = [v[0] for v in quality_rules._measured(rows.crossJoin(fit)).select("d2").collect()]
     y = k / quality_rules.SCALE
     want = [(v - mean) @ np.linalg.inv(factor @ factor.T) @ (v - mean) for v in y]
     assert np.allclose(got, want)
