@@ -41,3 +41,14 @@ def hash_halves(text: Column) -> tuple[Column, Column]:
 def combined_hash(parts: Column) -> Column:
     """Hash of an array of hashes, whatever their order."""
     return F.sha2(F.array_join(F.array_sort(parts), ""), 256)
+
+
+def cache_key(model: Column, corpus_hash: Column, normalized: Column) -> Column:
+    """Key of a cache of vectors: the hash of its settings as JSON with sorted keys and without blanks."""
+    text = F.concat(F.lit('{"corpus_hash":'), F.to_json(corpus_hash.cast("variant")), F.lit(',"format_version":1,"model_name":'), F.to_json(model.cast("variant")), F.lit(',"normalized":'), normalized.cast("string"), F.lit("}"))
+    return F.left(F.sha2(text, 256), F.lit(24))
+
+
+def random_id(prefix: str) -> Column:
+    """A new id in every run; never part of a result that must repeat."""
+    return F.concat(F.lit(f"{prefix}-"), F.left(F.replace(F.uuid(), F.lit("-"), F.lit("")), F.lit(24)))

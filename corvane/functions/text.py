@@ -90,7 +90,8 @@ def tokens(text: Column, *, compatible: bool = False) -> Column:
         pairs = F.transform(F.sequence(F.lit(1), F.length(x) - 1), lambda i: F.concat(F.lit("zh:"), F.substr(x, i, F.lit(2))))
         return F.when(~x.rlike(CJK_RUN), F.array(x)).when(F.length(x) == 1, F.array(F.concat(F.lit("zh:"), x))).otherwise(pairs)
 
-    return F.flatten(F.transform(found, parts))
+    # texts without any CJK character, nearly all, need no second look at each token
+    return F.when(F.coalesce(base, F.lit("")).rlike("[一-鿿]"), F.flatten(F.transform(found, parts))).otherwise(found)
 
 
 def sentences(text: Column) -> Column:
@@ -117,10 +118,12 @@ def abstains(text: Column) -> Column:
 
 
 def redact(text: Column) -> Column:
-    """Secrets, home folders and ssh targets replaced by placeholders."""
-    t = F.regexp_replace(text, SECRET, "[secret]")
-    t = F.regexp_replace(t, r"/(home|Users)/[^/\s]+", "/[home]")
-    return F.regexp_replace(t, r"(?i)\bssh\s+\S+@\S+", "ssh [target]")
+    """Assigned secrets, home and data folders, quota headers and ssh targets replaced by placeholders, the rest as it is."""
+    t = F.regexp_replace(text, r"(?i)\b([a-z0-9_]*(?:api[_-]?key|access[_-]?token|auth[_-]?token|password|secret)[a-z0-9_]*)\b(\s*[:=]\s*)(\S+)", "$1$2<redacted>")
+    t = F.regexp_replace(t, r"/home/[^/\s=:]+", r"\$HOME")
+    t = F.regexp_replace(t, r"/data/[^/\s=:]+(?=/)", r"/data/\$USER")
+    t = F.regexp_replace(t, r"(?im)^Disk quotas for user \S+(?:\s+\(uid\s+\d+\))?:?", "Disk quotas for current user")
+    return F.regexp_replace(t, r"(?i)\b(?:ssh|scp)\s+[^@\s]+@[^:\s]+", "ssh <redacted-target>")
 
 
 def has_secret(text: Column) -> Column:
@@ -165,12 +168,18 @@ def canonical_url(url: Column) -> Column:
     return F.when(good, F.concat(scheme, F.lit("://"), host, kept_port, F.when(path == "", F.lit("/")).otherwise(path), tail))
 
 
+# What an audit counts as broken encoding and as markup left in a text, in Java and RE2 spelling.
+MOJIBAKE = "\ufffd|\x00|Ã[^\n]|Â[^\n]|â€™"
+MOJIBAKE_RE2 = r"\x{FFFD}|\x00|Ã[^\n]|Â[^\n]|â€™"
+HTML_RESIDUE = r"(?i)<!doctype|<html\b|<script\b|</?[a-z][^>]{0,200}>"
+
+
 def mojibake(text: Column) -> Column:
-    return text.rlike("�|Ã[\u0080-¿]|â€")
+    return text.rlike(MOJIBAKE)
 
 
 def html_residue(text: Column) -> Column:
-    return text.rlike(r"(?i)</?[a-z][a-z0-9]*(\s[^<>]*)?/?>|&[a-z]+;|&#\d+;")
+    return text.rlike(HTML_RESIDUE)
 
 
 def error_message(text: Column, limit: int = 500) -> Column:
@@ -185,3 +194,13 @@ def source_prefix(text: Column) -> Column:
 def version_parts(text: Column) -> Column:
     """1.10.2 -> [1, 10, 2]; arrays compare as versions do."""
     return F.transform(F.split(text, r"\."), lambda p: p.try_cast("int"))
+
+
+def adapter_key(name: Column) -> Column:
+    """A parameter's name without the adapter's default part."""
+    return F.replace(name, F.lit(".default.weight"), F.lit(".weight"))
+
+
+def adapter_module(name: Column) -> Column:
+    """The module that an adapter's parameter belongs to: the third part from the end; null where there are fewer."""
+    return F.try_element_at(F.split(adapter_key(name), r"\."), F.lit(-3))

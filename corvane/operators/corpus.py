@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
+import itertools
+import re
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import LongType
 
 from ..functions import ids as I
 from ..functions import text as T
@@ -15,11 +22,20 @@ SHORT, LONG = 200, 4000
 BANDS, DISTANCE = 4, 3
 
 
-def profile(docs: DataFrame, text: Column) -> DataFrame:
-    """One row of counts and length statistics; one scan."""
-    n = F.length(text)
+def profile(docs: DataFrame, text: Column, *, document: Column | None = None, chunk: Column | None = None, title: Column | None = None, source: Column | None = None) -> DataFrame:
+    """One row of counts and length statistics; one scan. Titles, sources and ids are counted where they are given."""
+    n, blank = F.length(text), lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
+    extra = []
+    if document is not None:
+        extra.append(F.count_distinct(document).alias("unique_documents"))
+    if chunk is not None:
+        extra.append(F.count_distinct(chunk).alias("unique_chunks"))
+    if title is not None:
+        extra.append(F.count_if(blank(title)).alias("missing_title"))
+    if source is not None:
+        extra += [F.count_if(blank(source)).alias("missing_source"), F.count_if(~T.valid_http_url(F.coalesce(source, F.lit("")))).alias("invalid_url")]
     return docs.agg(
-        F.count(F.lit(1)).alias("documents"), F.count_if(F.coalesce(F.trim(text), F.lit("")) == "").alias("empty"), F.count_if(n < SHORT).alias("too_short"), F.count_if(n > LONG).alias("too_long"),
+        F.count(F.lit(1)).alias("documents"), *extra, F.count_if(blank(text)).alias("empty"), F.count_if(n < SHORT).alias("too_short"), F.count_if(n > LONG).alias("too_long"),
         F.count_if(T.mojibake(text)).alias("mojibake"), F.count_if(T.html_residue(text)).alias("html_residue"),
         F.avg(n).alias("chars_avg"), F.min(n).alias("chars_min"), F.max(n).alias("chars_max"),
     )
@@ -51,15 +67,41 @@ def exact_dedup(docs: DataFrame, *, id_col: str, digest: Column) -> tuple[DataFr
     return first, rows.join(first.select("digest", "canonical"), "digest").select("original", "canonical")
 
 
+#: Features of a SimHash: pairs of neighbouring words joined by this, or the only word.
+JOINER = "\0"
+
+
+@pandas_udf(LongType())
+def simhash64(text: pd.Series) -> pd.Series:
+    """64-bit SimHash of a normalized text over blake2b hashes of its features, as a signed number; no feature: all bits set."""
+
+    def one(t: str | None) -> int:
+        words = re.findall("[A-Za-z0-9]+", (t or "").lower())
+        features = [JOINER.join(p) for p in itertools.pairwise(words)] if len(words) > 1 else words
+        if not features:
+            return -1
+        raw = np.frombuffer(b"".join(hashlib.blake2b(f.encode(), digest_size=8).digest() for f in features), dtype=np.uint8)
+        ones = np.unpackbits(raw.reshape(-1, 8), axis=1).sum(axis=0)
+        return int.from_bytes(np.packbits(2 * ones >= len(features)).tobytes(), "big", signed=True)
+
+    return text.map(one)
+
+
+def simhash_blake(docs: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
+    """(id, hi, lo) by `simhash64`, over texts in compatible form with white space squeezed: the halves as unsigned numbers."""
+    h = docs.select(F.col(id_col).alias("id"), simhash64(T.normalize_corpus(F.col(text_col))).alias("h"))
+    return h.select("id", F.shiftrightunsigned("h", 32).alias("hi"), F.col("h").bitwiseAND(0xFFFFFFFF).alias("lo"))
+
+
 def simhash(docs: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
-    """(id, hi, lo): 64-bit SimHash of token pairs as two unsigned halves; a text without a pair of tokens has all bits set.
+    """(id, hi, lo): the same print over md5 instead of blake2b, in built-in functions and like in any engine.
 
     Per bit, the signs of its features' hash bits are summed: 64 columns in one partial aggregation.
     """
-    words = docs.select(F.col(id_col).alias("id"), T.tokens(F.col(text_col)).alias("w"))
+    words = docs.select(F.col(id_col).alias("id"), F.transform(F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit("[A-Za-z0-9]+"), F.lit(0)), F.lower).alias("w"))
     n = F.size("w")
-    pairs = F.zip_with(F.slice("w", 1, F.greatest(n - 1, F.lit(0))), F.slice("w", 2, F.greatest(n - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
-    feature = words.select("id", F.explode_outer(pairs).alias("f"))
+    pairs = F.zip_with(F.slice("w", 1, F.greatest(n - 1, F.lit(0))), F.slice("w", 2, F.greatest(n - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(JOINER), b))
+    feature = words.select("id", F.explode_outer(F.when(n > 1, pairs).otherwise(F.col("w"))).alias("f"))
     hi, lo = I.hash_halves(F.col("f"))
     hashed = feature.select("id", hi.alias("h"), lo.alias("l"))
     bit = lambda c, k: F.sum(F.when(F.col(c).bitwiseAND(1 << k) != 0, 1).otherwise(F.when(F.col(c).isNull(), 0).otherwise(-1)))

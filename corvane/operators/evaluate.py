@@ -55,16 +55,36 @@ def nearest_rank(values: Column, share: float) -> Column:
     return F.element_at(F.array_sort(values), (F.bround((F.size(values) - 1) * F.lit(share)) + 1).cast("int"))
 
 
-def compare(lexical: DataFrame, dense: DataFrame, fused: DataFrame) -> DataFrame:
-    """Per query the three retrievers' recall@10 and nDCG@10 and the labels of what went wrong, in a fixed order."""
+def compare(lexical: DataFrame, dense: DataFrame, fused: DataFrame, cases: DataFrame) -> DataFrame:
+    """Per query the three retrievers' recall@10 and nDCG@10, their gap, and the sorted labels of what may have gone wrong.
+
+    cases: query, category, reviewed, relevant (number of judged documents), returned (whether any retriever returned one),
+    lengths (array: characters of the judged documents that are in the corpus). Queries without a row in a retriever's metrics
+    have zeros there.
+    """
     pick = lambda d, n: d.select("query", F.col("recall_10").alias(f"{n}_recall"), F.col("ndcg_10").alias(f"{n}_ndcg"))
-    out = pick(lexical, "lexical").join(pick(dense, "dense"), "query").join(pick(fused, "fused"), "query")
-    lr, dr, fr = F.col("lexical_recall"), F.col("dense_recall"), F.col("fused_recall")
-    labels = F.array(
-        F.when((lr == 0) & (dr > 0), F.lit("lexical_mismatch")), F.when((dr == 0) & (lr > 0), F.lit("dense_false_positive")), F.when((lr == 0) & (dr == 0), F.lit("no_candidate")),
-        F.when(F.col("fused_ndcg") < F.greatest("lexical_ndcg", "dense_ndcg") - F.lit(1e-12), F.lit("fusion_regression")), F.when((fr < F.greatest(lr, dr)), F.lit("fusion_recall_loss")),
-    )
-    return out.withColumn("labels", F.array_compact(labels)).withColumn("gap", F.abs(F.col("lexical_ndcg") - F.col("dense_ndcg")))
+    out = cases
+    for n, d in (("lexical", lexical), ("dense", dense), ("fused", fused)):
+        out = out.join(pick(d, n), "query", "left").fillna(0.0, [f"{n}_recall", f"{n}_ndcg"])
+    lr, dr, none = F.col("lexical_recall"), F.col("dense_recall"), F.col("relevant") == 0
+    acronym = F.coalesce(F.col("category") == "acronym", F.lit(False))
+    found = F.array_compact(F.array(*[F.when(c, F.lit(n)) for c, n in (
+        (none & F.col("returned"), "no_answer_false_positive"), (none & ~F.col("returned"), "corpus_missing"), (lr < dr, "lexical_mismatch"),
+        ((dr < lr) & acronym, "acronym_failure"), ((dr < lr) & ~acronym, "dense_false_positive"), (F.col("fused_ndcg") < F.greatest("lexical_ndcg", "dense_ndcg"), "fusion_regression"),
+        (F.exists("lengths", lambda n: n < 200), "chunk_too_short"), (F.exists("lengths", lambda n: n > 4000), "chunk_too_long"), (~F.col("reviewed"), "annotation_uncertain"),
+    )]))
+    return out.withColumn("labels", F.array_sort(F.array_distinct(found))).withColumn("gap", F.abs(F.col("lexical_ndcg") - F.col("dense_ndcg")))
+
+
+def extremes(metrics: DataFrame, by: str, *, value: str = "ndcg_10") -> DataFrame:
+    """Per method the queries of the lowest and the highest value; of ties the smallest query is worst and the largest best."""
+    return metrics.groupBy(by).agg(F.min_by("query", F.struct(value, "query")).alias("worst"), F.max_by("query", F.struct(value, "query")).alias("best"))
+
+
+def relevant_ranks(hits: DataFrame, qrels: DataFrame) -> DataFrame:
+    """(query, ranks): the rank of each judged document that a ranking (query, id, rank) holds, as a map."""
+    found = hits.join(qrels.where("grade > 0").select("query", "id"), ["query", "id"])
+    return found.groupBy("query").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("id").cast("string"), "rank")))).alias("ranks"))
 
 
 def histogram(df: DataFrame, labels: Column, known: DataFrame | None = None) -> DataFrame:
@@ -73,16 +93,16 @@ def histogram(df: DataFrame, labels: Column, known: DataFrame | None = None) ->
     return n if known is None else known.join(n, "label", "left").select("label", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def token_f1(pairs: DataFrame, left: Column, right: Column, keys: list[str]) -> DataFrame:
+def token_f1(pairs: DataFrame, left: Column, right: Column, keys: list[str], *, words=None) -> DataFrame:
     """keys and f1: the harmonic mean of precision and recall of two texts' words as multisets.
 
-    Two empty texts: 1; one empty: 0. keys name a pair.
+    A side without words: 1 if the texts are equal, else 0. keys name a pair. words: how a text is cut, by default at white space.
     """
-    split = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
-    rows = pairs.select(*keys, split(left).alias("l"), split(right).alias("r"))
+    split = words or (lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != ""))
+    rows = pairs.select(*keys, left.alias("lt"), right.alias("rt"), split(left).alias("l"), split(right).alias("r"))
     # multiset intersection inside the row: for each distinct word the lesser count
     same = F.aggregate(F.array_distinct("l"), F.lit(0), lambda s, w: s + F.least(F.size(F.filter("l", lambda x: x == w)), F.size(F.filter("r", lambda x: x == w))))
-    f1 = F.when((F.size("l") == 0) | (F.size("r") == 0), (F.size("l") == F.size("r")).cast("double")).otherwise(ratio(same * F.lit(2.0), F.size("l") + F.size("r")))
+    f1 = F.when((F.size("l") == 0) | (F.size("r") == 0), F.col("lt").eqNullSafe(F.col("rt")).cast("double")).otherwise(ratio(same * F.lit(2.0), F.size("l") + F.size("r")))
     return rows.select(*keys, f1.alias("f1"))
 
 
@@ -90,7 +110,7 @@ def support_label(f1: Column, cited: Column, supporting: Column, contradicting:
     """Label of a claim against its best gold claim, from the cited evidence."""
     return (
         F.when(F.coalesce(f1, F.lit(0.0)) < SUPPORT_F1, "unsupported").when(F.arrays_overlap(cited, contradicting), "contradicted").when(F.size(cited) == 0, "unsupported")
-        .when(F.size(F.array_except(supporting, cited)) == 0, "supported").when(F.arrays_overlap(cited, supporting), "partial").otherwise("unsupported")
+        .when((F.size(supporting) > 0) & (F.size(F.array_except(supporting, cited)) == 0), "supported").when(F.arrays_overlap(cited, supporting), "partial").otherwise("unsupported")
     )
 
 
@@ -104,14 +124,70 @@ def best_match(claim_rows: DataFrame, gold: DataFrame, *, case: str = "case_id")
     """Each claim's best gold claim by token F1; the first in gold order wins ties. gold: case, gold_no, gold_text."""
     key = [case, "claim_no"]
     pairs = claim_rows.join(gold, case)
-    scored = token_f1(pairs, T.normalize_claim(F.col("claim")), T.normalize_claim(F.col("gold_text")), [*key, "gold_no"])
+    scored = token_f1(pairs, T.normalize_claim(F.col("claim")), T.normalize_claim(F.col("gold_text")), [*key, "gold_no"], words=T.tokens)
     return scored.groupBy(*key).agg(F.max(F.struct("f1", (-F.col("gold_no")).alias("o"))).alias("b")).select(*key, F.col("b.f1").alias("f1"), (-F.col("b.o")).alias("gold_no"))
 
 
 def citation_metrics(labelled: DataFrame, by: list[str]) -> DataFrame:
-    """Shares of supported, partial, contradicted and unsupported claims, and of claims that cite."""
-    share = lambda c: ratio(F.count_if(c), F.count(F.lit(1)))
-    return labelled.groupBy(*by).agg(F.count(F.lit(1)).alias("claims"), share(F.size("cited") > 0).alias("presence"), *[share(F.col("label") == n).alias(n) for n in ("supported", "partial", "contradicted", "unsupported")])
+    """labelled: label, cited (ids), allowed (the case's ids), supporting (the matched gold claim's) -> eight shares by `by`.
+
+    Shares of claims: that cite, supported, partial, contradicted, unsupported. Of citations: that support (precision), invalid. Of
+    the gold claims' supporting evidence: cited (coverage). A share of nothing is 0.
+    """
+    none = F.array().cast("array<string>")
+    rows = labelled.select(*by, "label", F.coalesce("cited", none).alias("cited"), F.coalesce("allowed", none).alias("allowed"), F.coalesce("supporting", none).alias("supporting"))
+    valid = F.array_intersect("cited", "allowed")
+    share = lambda c: ratio(F.count_if(c), F.count_if(F.col("label").isNotNull()))
+    cited, right = F.sum(F.size("cited")), F.sum(F.size(F.array_intersect(valid, F.col("supporting"))))
+    return rows.groupBy(*by).agg(
+        F.count_if(F.col("label").isNotNull()).alias("claims"), share(F.size("cited") > 0).alias("presence"), *[share(F.col("label") == n).alias(n) for n in ("supported", "partial", "contradicted", "unsupported")],
+        ratio(right, cited).alias("precision"), ratio(right, F.sum(F.size(F.array_distinct("supporting")))).alias("coverage"), ratio(cited - F.sum(F.size(valid)), cited).alias("invalid_rate"),
+    )
+
+
+def answer_matches(answer: Column, accepted: Column) -> Column:
+    """Whether a normalized answer equals any of the accepted ones (array: the expected answer and its aliases, normalized too)."""
+    return F.coalesce(F.array_contains(accepted, answer), F.lit(False))
+
+
+def case_failures(exact: Column) -> Column:
+    """Failures of one case in a fixed order, from its citation metrics and whether its answer matches."""
+    rules = (
+        (~exact, "answer_incorrect"), (F.col("claims") == 0, "empty_report"), (F.col("presence") < 1, "missing_citation"), (F.col("invalid_rate") > 0, "invalid_citation"),
+        (F.col("partial") > 0, "partial_support"), (F.col("contradicted") > 0, "contradicted_claim"), (F.col("unsupported") > 0, "unsupported_claim"),
+    )
+    return F.array_compact(F.array(*[F.when(c, F.lit(n)) for c, n in rules]))
+
+
+def evaluate_claims(cases: DataFrame, gold: DataFrame, answers: DataFrame) -> DataFrame:
+    """Claims and citations of reports against frozen cases, one row for each answer.
+
+    cases: case_id, accepted (answers), evidence_ids. gold: case_id, gold_no, gold_text, supporting, contradicting. answers: case_id,
+    mode, answer, report, latency_ms, total_tokens. Each claim is held against its best gold claim by token F1 (the first of ties).
+    """
+    key = ["case_id", "mode"]
+    found = claims(answers.select(*key, "report"), keys=key)
+    pairs = found.join(gold, "case_id")
+    scored = token_f1(pairs, T.normalize_claim(F.col("claim")), T.normalize_claim(F.col("gold_text")), [*key, "claim_no", "gold_no"], words=T.tokens)
+    best = scored.groupBy(*key, "claim_no").agg(F.max(F.struct("f1", (-F.col("gold_no")).alias("o"))).alias("b")).select(*key, "claim_no", "b.f1", (-F.col("b.o")).alias("gold_no"))
+    matched = found.join(best, [*key, "claim_no"], "left").join(gold.select("case_id", "gold_no", "supporting", "contradicting"), ["case_id", "gold_no"], "left")
+    matched = matched.join(cases.select("case_id", F.col("evidence_ids").alias("allowed")), "case_id")
+    near = F.coalesce(F.col("f1"), F.lit(0.0)) >= SUPPORT_F1
+    label = support_label(F.col("f1"), F.array_intersect("cited", "allowed"), F.coalesce("supporting", F.array().cast("array<string>")), F.coalesce("contradicting", F.array().cast("array<string>")))
+    labelled = matched.select(*key, "cited", "allowed", label.alias("label"), F.when(near, F.col("supporting")).alias("supporting"))
+    every = answers.select(*key).join(labelled, key, "left")  # reports without a claim count too
+    out = citation_metrics(every, key).join(answers, key).join(cases, "case_id")
+    exact = answer_matches(T.normalize_claim(F.col("answer")), F.col("accepted"))
+    return out.withColumn("exact", exact).withColumn("failures", case_failures(F.col("exact"))).drop("accepted", "evidence_ids", "report")
+
+
+def mode_summary(evaluated: DataFrame) -> DataFrame:
+    """Per mode: cases, mean of each share and of exact matches and latency, tokens, and failures as a map of counts."""
+    shares = ("presence", "supported", "partial", "contradicted", "unsupported", "precision", "coverage", "invalid_rate")
+    out = evaluated.groupBy("mode").agg(F.count(F.lit(1)).alias("cases"), F.avg(F.col("exact").cast("double")).alias("exact"), *[F.avg(c).alias(c) for c in shares], F.avg("latency_ms").alias("latency_ms"), F.sum("total_tokens").alias("total_tokens"))
+    each = evaluated.select("mode", F.explode("failures").alias("failure")).groupBy("mode", "failure").agg(F.count(F.lit(1)).alias("n"))
+    counts = each.groupBy("mode").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("failure", "n")))).alias("failure_counts"))
+    return out.join(counts, "mode", "left").withColumn("failure_counts", F.coalesce("failure_counts", F.create_map().cast("map<string,bigint>")))
 
 
 def gate(metrics: DataFrame, thresholds: dict[str, tuple[str, float]]) -> DataFrame:

@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-import re
+import html
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Elements whose content is not shown, and those that end a line.
 IGNORED = frozenset("script style noscript svg".split())
-BREAKING = frozenset("article br div h1 h2 h3 h4 h5 h6 header footer li main p section td tr".split())
+BREAKING = frozenset("p div article section li br h1 h2".split())
 
 
 class _Text(HTMLParser):
@@ -22,7 +22,7 @@ class _Text(HTMLParser):
 
     def handle_starttag(self, tag, attrs):
         self.skip += tag in IGNORED
-        self.in_title = tag == "title"
+        self.in_title |= tag == "title"
         if tag in BREAKING:
             self.parts.append("\n")
 
@@ -30,21 +30,32 @@ class _Text(HTMLParser):
         self.skip = max(0, self.skip - (tag in IGNORED))
         if tag == "title":
             self.in_title = False
-        if tag in BREAKING:
+        if tag in BREAKING and tag != "br":
             self.parts.append("\n")
 
     def handle_data(self, data):
         if not self.skip:
-            (self.title if self.in_title else self.parts).append(data)
+            self.parts.append(data)
+            if self.in_title:
+                self.title.append(data)
+
+
+def compact(text: str) -> str:
+    """Character references decoded, white space inside lines collapsed, blank lines dropped."""
+    lines = (" ".join(x.split()) for x in html.unescape(text).splitlines())
+    return "\n".join(x for x in lines if x)
 
 
-def page_text(html: str | None) -> tuple[str, str]:
-    """(title, text): lines with white space collapsed, blank lines dropped."""
+def page_text(page: str | None) -> tuple[str, str]:
+    """(title, text) of a page; the title is part of the text too."""
     parser = _Text()
-    parser.feed(html or "")
-    parser.close()
-    lines = (re.sub(r"\s+", " ", x).strip() for x in "".join(parser.parts).split("\n"))
-    return re.sub(r"\s+", " ", "".join(parser.title)).strip(), "\n".join(x for x in lines if x)
+    parser.feed(page or "")
+    return compact(" ".join(parser.title)), compact(" ".join(parser.parts))
+
+
+def untrusted(content: Column) -> Column:
+    """Content marked as not to be obeyed."""
+    return F.concat(F.lit("<UNTRUSTED_WEB_CONTENT>\n"), content, F.lit("\n</UNTRUSTED_WEB_CONTENT>"))
 
 
 def texts(pages: DataFrame, *, id_col: str = "page_id", html_col: str = "html") -> DataFrame:

@@ -14,11 +14,17 @@ from .registry import query, table
 _TOKENS = f"regexp_extract_all(lower(coalesce(text, '')), '{T.TOKEN_RE2}')"
 
 
-@query(r"""SELECT count(*) AS documents, count(*) FILTER (trim(coalesce(text, '')) = '') AS empty, count(*) FILTER (length(text) < 200) AS too_short, count(*) FILTER (length(text) > 4000) AS too_long,
-  count(*) FILTER (regexp_matches(text, '\x{FFFD}|Ã[\x{80}-\x{BF}]|â€')) AS mojibake, count(*) FILTER (regexp_matches(text, '(?i)</?[a-z][a-z0-9]*(\s[^<>]*)?/?>|&[a-z]+;|&#\d+;')) AS html_residue,
+@query(rf"""SELECT count(*) AS documents, count(DISTINCT doc_id) AS unique_documents, count(*) FILTER (trim(coalesce(lang, '')) = '') AS missing_title, count(*) FILTER (trim(coalesce(source, '')) = '') AS missing_source, count(*) FILTER (NOT regexp_matches(coalesce(source, ''), '(?i)^https?://[^/?#\s]+')) AS invalid_url,
+  count(*) FILTER (trim(coalesce(text, '')) = '') AS empty, count(*) FILTER (length(text) < 200) AS too_short, count(*) FILTER (length(text) > 4000) AS too_long,
+  count(*) FILTER (regexp_matches(text, '{T.MOJIBAKE_RE2}')) AS mojibake, count(*) FILTER (regexp_matches(text, '{T.HTML_RESIDUE}')) AS html_residue,
   avg(length(text)) AS chars_avg, CAST(min(length(text)) AS INTEGER) AS chars_min, CAST(max(length(text)) AS INTEGER) AS chars_max FROM documents""")
 def audit_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus.profile(table(spark, sf_dir, "documents"), F.col("text"))
+    return corpus.profile(table(spark, sf_dir, "documents"), F.col("text"), document=F.col("doc_id"), title=F.col("lang"), source=F.col("source"))
+
+
+@query(rf"""SELECT count(*) AS documents, count(*) FILTER (NOT regexp_matches(coalesce(url, ''), '(?i)^https?://[^/?#\s]+')) AS invalid_url, count(*) FILTER (regexp_matches(html, '{T.MOJIBAKE_RE2}')) AS mojibake, count(*) FILTER (regexp_matches(html, '{T.HTML_RESIDUE}')) AS html_residue FROM pages""")
+def audit_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.profile(table(spark, sf_dir, "pages"), F.col("html"), source=F.col("url")).select("documents", "invalid_url", "mojibake", "html_residue")
 
 
 @query("SELECT quantile_cont(length(text), 0.5) AS p50, quantile_cont(length(text), 0.95) AS p95 FROM documents")
@@ -51,8 +57,8 @@ def _bits(c: str) -> str:
 
 
 _PRINTS = f"""
-w AS (SELECT doc_id AS id, {_TOKENS} AS w FROM documents),
-f AS (SELECT id, unnest(CASE WHEN len(w) >= 2 THEN [w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))] ELSE [NULL] END) AS f FROM w),
+w AS (SELECT doc_id AS id, [lower(x) FOR x IN regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9]+')] AS w FROM documents),
+f AS (SELECT id, unnest(CASE WHEN len(w) >= 2 THEN [w[i] || chr(0) || w[i + 1] FOR i IN range(1, len(w))] WHEN len(w) = 1 THEN w ELSE [NULL] END) AS f FROM w),
 h AS (SELECT id, CAST('0x' || substr(md5(f), 1, 8) AS BIGINT) AS h, CAST('0x' || substr(md5(f), 9, 8) AS BIGINT) AS l FROM f),
 p AS (SELECT id, {_bits('h')} AS hi, {_bits('l')} AS lo FROM h GROUP BY id)
 """
@@ -157,15 +163,21 @@ def url_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", T.canonical_url(F.col("url")).alias("url"))
 
 
-@query(r"""SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(text, '(?i)(api[_-]?key|password|secret|bearer)\s*[:=]\s*\S+', '[secret]', 'g'), '/(home|Users)/[^/\s]+', '/[home]', 'g'), '(?i)\bssh\s+\S+@\S+', 'ssh [target]', 'g')) AS clean FROM documents""")
+_SPOILT = "'My API_KEY = ' || doc_id || ' in /home/u' || doc_id || '/x and /data/team/y; scp me@host:z. ' || chr(10) || 'Disk quotas for user joe (uid 12): none. ' || coalesce(text, '')"
+
+
+@query(rf"""SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({_SPOILT}, '(?i)\b([a-z0-9_]*(?:api[_-]?key|access[_-]?token|auth[_-]?token|password|secret)[a-z0-9_]*)\b(\s*[:=]\s*)(\S+)', '\1\2<redacted>', 'g'),
+  '/home/[^/\s=:]+', '$HOME', 'g'), '/data/[^/\s=:]+/', '/data/$USER/', 'g'), '(?im)^Disk quotas for user \S+(?:\s+\(uid\s+\d+\))?:?', 'Disk quotas for current user', 'g'), '(?i)\b(?:ssh|scp)\s+[^@\s]+@[^:\s]+', 'ssh <redacted-target>', 'g')) AS clean FROM documents""")
 def redact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.redact(F.col("text"))).alias("clean"))
+    d = F.col("doc_id").cast("string")
+    text = F.concat(F.lit("My API_KEY = "), d, F.lit(" in /home/u"), d, F.lit("/x and /data/team/y; scp me@host:z. \nDisk quotas for user joe (uid 12): none. "), F.coalesce("text", F.lit("")))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.redact(text)).alias("clean"))
 
 
 @query()
 def chunk_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = chunk.chunks(table(spark, sf_dir, "documents"))
-    return out.select(F.col("doc").alias("doc_id"), "chunk_index", "start", "end", I.chunk_id(F.col("doc").cast("string"), F.col("chunk_index"), F.col("text")).alias("chunk_id"))
+    return out.select(F.col("doc").alias("doc_id"), "chunk_index", I.chunk_id(F.col("doc").cast("string"), F.col("chunk_index"), F.col("text")).alias("chunk_id"))
 
 
 @query()
@@ -190,8 +202,10 @@ def split_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trajectories.split(table(spark, sf_dir, "conversations").select("conv_id").distinct(), id_col="conv_id", seed="split-1")
 
 
-@query(r"""WITH f AS (SELECT DISTINCT trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS k FROM conversations WHERE role = 'user' AND conv_id % 10 = 0)
-SELECT conv_id, turn FROM conversations WHERE role = 'user' AND conv_id % 10 <> 0 AND trim(regexp_replace(lower(text), '\s+', ' ', 'g')) IN (SELECT k FROM f)""")
+@query(r"""WITH f AS (SELECT DISTINCT trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS k FROM conversations WHERE role = 'user' AND conv_id % 10 >= 8)
+SELECT conv_id, turn FROM conversations WHERE role = 'user' AND conv_id % 10 <= 8 AND trim(regexp_replace(lower(text), '\s+', ' ', 'g')) IN (SELECT k FROM f)""")
 def leak_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Training and forbidden questions that share every tenth conversation, in another spelling."""
     users = table(spark, sf_dir, "conversations").where("role = 'user'").withColumnRenamed("text", "prompt")
-    return trajectories.leaks(users.where("conv_id % 10 <> 0"), users.where("conv_id % 10 = 0")).select("conv_id", "turn")
+    forbidden = users.where("conv_id % 10 >= 8").withColumn("prompt", F.concat(F.lit(" "), F.replace("prompt", F.lit(" "), F.lit("  "))))
+    return trajectories.leaks(users.where("conv_id % 10 <= 8"), forbidden).select("conv_id", "turn")

@@ -123,14 +123,14 @@ def rerank_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {_B},
-b AS (SELECT query, rank, id, '[' || rank || '] ' || id || chr(10) || 'source: ' || source AS header, coalesce(text, '') AS content FROM bm JOIN documents ON doc_id = id WHERE rank <= 10),
+b AS (SELECT query, rank, id, '[DOC ' || id || ']' || chr(10) || 'Title: ' || chr(10) || 'Source: ' || coalesce(nullif(source, ''), 'unknown') || chr(10) || 'BM25 Rank: ' || rank || chr(10) || 'Content:' AS header, coalesce(text, '') AS content FROM bm JOIN documents ON doc_id = id WHERE rank <= 10),
 r AS (SELECT *, coalesce(sum(length(header) + 3 + length(content)) OVER (PARTITION BY query ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM b),
 s AS (SELECT *, 6000 - used - length(header) - 1 AS room FROM r),
 z AS (SELECT *, coalesce(max(CASE WHEN room < length(content) THEN 1 ELSE 0 END) OVER (PARTITION BY query ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS stopped FROM s)
 SELECT query, id, CAST(rank AS INTEGER) AS rank, length(content) > room AS truncated, md5(header || chr(10) || left(content, CAST(room AS BIGINT))) AS packed_md5 FROM z WHERE stopped = 0 AND room > 0""")
 def context_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = R.bm25(*_bm25(spark, sf_dir), top_k=10).select("query", F.col("id").alias("doc_id"), "rank")
-    blocks = table(spark, sf_dir, "documents").join(F.broadcast(hits), "doc_id").select("query", "rank", F.col("doc_id").alias("id"), R.context_header(F.col("rank"), F.col("doc_id"), source=F.col("source")).alias("header"), F.coalesce("text", F.lit("")).alias("content"))
+    blocks = table(spark, sf_dir, "documents").join(F.broadcast(hits), "doc_id").select("query", "rank", F.col("doc_id").alias("id"), R.context_header(F.col("doc_id"), F.lit(""), F.col("source"), [("BM25 Rank", F.col("rank"))]).alias("header"), F.coalesce("text", F.lit("")).alias("content"))
     return R.pack(blocks, max_chars=6000).select("query", "id", "rank", "truncated", F.md5("packed").alias("packed_md5"))
 
 

@@ -8,58 +8,55 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import evaluate as E
 from ..operators import replay, rules, trajectories
-from ..operators import retrieval as R
 from ..operators import sequence as S
 from ..sources.storage import materialize
 from .registry import query, table
-from .retrieval_queries import _BM25, _FLAT, _TOKENS
+from .retrieval_queries import _TOKENS
 
 
-@query(r"""SELECT conv_id, turn, array_to_string([x FOR x IN [
-  CASE WHEN regexp_matches(text, '(?i)\b(source|sources|evidence|cite|citation|reference|references|study|studies)\b') THEN 'evidence_request' END, CASE WHEN regexp_matches(text, '(?i)\b(today|latest|current|recent|now|this year|20[2-9][0-9])\b') THEN 'time_sensitive' END,
-  CASE WHEN regexp_matches(text, '(?i)\b(compare|versus|vs|why|how|analy[sz]e|difference|trade-?offs?|evaluate)\b') THEN 'analysis' END,
-  CASE WHEN len(string_split(text, '?')) > 2 OR regexp_matches(text, '(?i)\band\b.*\band\b|;') THEN 'multi_part' END] IF x IS NOT NULL], ',') AS signals FROM conversations WHERE role = 'user'""")
+_SIGNALS = ", ".join(f"CASE WHEN regexp_matches(lower(text), '{pattern}') THEN '{name}' END" for name, pattern in rules.SIGNALS)
+
+
+@query(f"SELECT conv_id, turn, array_to_string([x FOR x IN [{_SIGNALS}] IF x IS NOT NULL], ',') AS signals FROM conversations WHERE role = 'user'")
 def research_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     users = table(spark, sf_dir, "conversations").where("role = 'user'")
     return users.select("conv_id", "turn", F.array_join(rules.research_signals(F.col("text")), ",").alias("signals"))
 
 
-@query(r"""SELECT item_id, CASE WHEN regexp_matches(text, '\b[A-Z][A-Z0-9]{1,6}\b') THEN 'acronym' WHEN regexp_matches(text, '(?i)\b(and|or|with)\b') THEN 'multi_concept'
-  WHEN len([w FOR w IN regexp_split_to_array(trim(text), '\s+') IF w <> '']) <= 3 THEN 'exact_term' ELSE 'semantic' END AS category FROM benchmark""")
+@query(f"""WITH q AS (SELECT conv_id, turn, conv_id % 3 AS k, [x FOR x IN [{_SIGNALS}] IF x IS NOT NULL] AS signals FROM conversations WHERE role = 'user'),
+r AS (SELECT *, CASE k WHEN 0 THEN 'casual' WHEN 1 THEN 'science' ELSE '' END AS category, CASE WHEN turn % 2 = 0 THEN 0.95e0 ELSE 0.5e0 END AS confidence, conv_id % 5 = 0 AS asked FROM q),
+d AS (SELECT *, NOT asked AND k = 0 AND turn % 2 = 0 AND len(signals) = 0 AS direct FROM r)
+SELECT conv_id, turn, CASE WHEN direct THEN 'direct_answer' ELSE 'evidence_research' END AS route, NOT direct AND NOT asked AS overridden, CASE WHEN direct OR asked THEN '' ELSE
+  array_to_string(signals || [x FOR x IN [CASE WHEN k <> 0 THEN 'category:' || CASE WHEN category = '' THEN 'unknown' ELSE category END END, CASE WHEN turn % 2 <> 0 THEN 'confidence:0.50' END] IF x IS NOT NULL], ',') END AS blockers FROM d""")
+def route_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, even = F.col("conv_id") % 3, F.col("turn") % 2 == 0
+    category = F.when(k == 0, "casual").when(k == 1, "science").otherwise("")
+    proposed = F.when(F.col("conv_id") % 5 == 0, "evidence_research").otherwise("direct_answer")
+    users = table(spark, sf_dir, "conversations").where("role = 'user'").withColumn("signals", rules.research_signals(F.col("text")))
+    out = users.select("conv_id", "turn", rules.route(proposed, category, F.when(even, 0.95).otherwise(0.5), F.col("signals"), F.lit("a")).alias("r"))
+    return out.select("conv_id", "turn", "r.route", "r.overridden", F.array_join("r.blockers", ",").alias("blockers"))
+
+
+@query(r"""SELECT item_id, CASE WHEN regexp_matches(text, '\b[A-Z]{2,}(-[A-Z0-9]+)?\b') THEN 'acronym' WHEN contains(lower(text), ' and ') OR contains(lower(text), ' or ') OR contains(lower(text), 'associated with') THEN 'multi-concept'
+  WHEN regexp_matches(text, '\d|[-/]') THEN 'exact-term' ELSE 'semantic-paraphrase' END AS category FROM benchmark""")
 def query_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select("item_id", rules.query_category(F.col("text")).alias("category"))
 
 
-@query(r"""SELECT p_partkey, CASE WHEN name IS NULL OR trim(name) = '' THEN 'missing_filename' WHEN regexp_matches(name, '[\\/]|\.\.') THEN 'invalid_filename' WHEN NOT regexp_matches(name, '(?i)\.(txt|md|markdown|pdf)$') THEN 'unsupported_type'
-  WHEN p_size <= 0 THEN 'empty_file' WHEN p_size > 45 THEN 'file_too_large' WHEN c NOT BETWEEN 200 AND 4000 THEN 'invalid_chunk_size' WHEN o < 0 OR o >= c THEN 'invalid_chunk_overlap' ELSE '' END AS error
-FROM (SELECT p_partkey, p_size, p_name || CASE p_partkey % 4 WHEN 0 THEN '.txt' WHEN 1 THEN '.MD' WHEN 2 THEN '/x.pdf' ELSE '.exe' END AS name, p_size * 100 AS c, p_partkey % 1000 AS o FROM part)""")
+@query(r"""WITH n AS (SELECT p_partkey AS k, p_size, CASE p_partkey % 8 WHEN 0 THEN p_name || '.txt' WHEN 1 THEN 'a\b\' || p_name || '.MD' WHEN 2 THEN '/x/' || p_name || '.pdf' WHEN 3 THEN p_name || '.exe' WHEN 4 THEN '' WHEN 5 THEN 'x/..' WHEN 6 THEN '.txt' END AS name,
+  CASE p_partkey % 5 WHEN 0 THEN 'text/plain; charset=utf-8' WHEN 1 THEN 'TEXT/MARKDOWN' WHEN 2 THEN 'application/pdf' WHEN 3 THEN '' END AS kind FROM part),
+f AS (SELECT *, CASE k % 8 WHEN 0 THEN '.txt' WHEN 1 THEN '.md' WHEN 2 THEN '.pdf' WHEN 3 THEN '.exe' ELSE '' END AS suffix, coalesce(nullif(trim(split_part(lower(kind), ';', 1)), ''), 'application/octet-stream') AS mime FROM n)
+SELECT k AS p_partkey, CASE WHEN k % 8 IN (4, 7) THEN 'missing_filename' WHEN k % 8 = 5 THEN 'invalid_filename' WHEN suffix NOT IN ('.txt', '.md', '.pdf') THEN 'unsupported_file_type'
+  WHEN NOT (mime = 'application/octet-stream' OR (suffix IN ('.txt', '.md') AND mime = 'text/plain') OR (suffix = '.md' AND mime = 'text/markdown') OR (suffix = '.pdf' AND mime = 'application/pdf')) THEN 'mime_type_mismatch'
+  WHEN p_size <= 3 THEN 'empty_file' WHEN p_size > 45 THEN 'file_too_large' ELSE '' END AS error,
+  CASE WHEN p_size * 100 NOT BETWEEN 200 AND 4000 THEN 'invalid_chunk_size' WHEN k % 1500 > 1000 OR k % 1500 >= p_size * 100 THEN 'invalid_chunk_overlap' ELSE '' END AS chunk_error FROM f""")
 def upload_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("p_partkey") % 4
-    name = F.concat("p_name", F.when(k == 0, ".txt").when(k == 1, ".MD").when(k == 2, "/x.pdf").otherwise(".exe"))
-    error = rules.upload_error(name, F.col("p_size"), F.col("p_size") * 100, F.col("p_partkey") % 1000, most=45)
-    return table(spark, sf_dir, "part").select("p_partkey", F.coalesce(error, F.lit("")).alias("error"))
-
-
-_B = _BM25.replace("B0", "0.25e0").replace("B1", "0.75e0")
-_COMPARE = f"""{_B}, {_FLAT},
-rel AS (SELECT item_id AS query, doc_id AS id FROM documents JOIN benchmark ON contains(' ' || trim(regexp_replace(coalesce(documents.text, ''), '\\s+', ' ', 'g')) || ' ', ' ' || trim(regexp_replace(benchmark.text, '\\s+', ' ', 'g')) || ' ')),
-nr AS (SELECT query, count(*) AS n FROM rel GROUP BY query),
-hl AS (SELECT query, count(*) AS h FROM rel JOIN (SELECT * FROM bm WHERE rank <= 10) USING (query, id) GROUP BY query), hf AS (SELECT query, count(*) AS h FROM rel JOIN (SELECT * FROM bm_f WHERE rank <= 10) USING (query, id) GROUP BY query),
-cmp AS (SELECT query, coalesce(hl.h, 0) / CAST(n AS DOUBLE) AS lexical, coalesce(hf.h, 0) / CAST(n AS DOUBLE) AS flat FROM nr LEFT JOIN hl USING (query) LEFT JOIN hf USING (query))"""
-
-
-@query(f"WITH {_COMPARE} SELECT query, round(lexical, 6) AS lexical, round(flat, 6) AS flat, CASE WHEN lexical = 0 AND flat > 0 THEN 'length_penalty' WHEN flat = 0 AND lexical > 0 THEN 'long_document_bias' WHEN lexical = 0 AND flat = 0 THEN 'no_candidate' ELSE '' END AS label FROM cmp")
-def compare_retrievers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..operators import corpus
-
-    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    qrels = materialize(corpus.containment(docs, items).select(F.col("item_id").alias("query"), F.col("doc_id").alias("id"), F.lit(1).alias("grade")), "qrels")
-    index, asked = R.build_index(docs), R.query_terms(items, id_col="item_id", text_col="text")
-    recall = lambda b, n: E.metric_bundle(R.bm25(index, asked, top_k=10, b=b), qrels).select("query", F.col("recall_10").alias(n))
-    both = recall(0.75, "lexical").join(recall(0.0, "flat"), "query")
-    a, b = F.col("lexical"), F.col("flat")
-    label = rules.first_label(((a == 0) & (b > 0), "length_penalty"), ((b == 0) & (a > 0), "long_document_bias"), ((a == 0) & (b == 0), "no_candidate"), otherwise="")
-    return both.select("query", F.round("lexical", 6).alias("lexical"), F.round("flat", 6).alias("flat"), label.alias("label"))
+    k = F.col("p_partkey")
+    pick = lambda n, *values: F.element_at(F.array(*values), (k % n + 1).cast("int"))
+    name = pick(8, F.concat("p_name", F.lit(".txt")), F.concat(F.lit("a\\b\\"), "p_name", F.lit(".MD")), F.concat(F.lit("/x/"), "p_name", F.lit(".pdf")), F.concat("p_name", F.lit(".exe")), F.lit(""), F.lit("x/.."), F.lit(".txt"), F.lit(None).cast("string"))
+    kind = pick(5, F.lit("text/plain; charset=utf-8"), F.lit("TEXT/MARKDOWN"), F.lit("application/pdf"), F.lit(""), F.lit(None).cast("string"))
+    error = rules.upload_error(name, kind, F.when(F.col("p_size") <= 3, 0).otherwise(F.col("p_size")), most=45)
+    return table(spark, sf_dir, "part").select("p_partkey", F.coalesce(error, F.lit("")).alias("error"), F.coalesce(rules.chunk_error(F.col("p_size") * 100, k % 1500), F.lit("")).alias("chunk_error"))
 
 
 @query(f"""WITH t AS (SELECT CASE WHEN CAST(CAST('0x' || substr(sha256('split-1:' || conv_id), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296e0 < 0.1e0 THEN 'validation' ELSE 'train' END AS split, len({_TOKENS}) AS n FROM conversations),
@@ -86,29 +83,37 @@ def quality_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _recorded(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Trajectories made from conversations: each turn a step, the last one an answer; some are broken on purpose."""
-    turns = table(spark, sf_dir, "conversations")
-    own = F.concat(F.lit("e"), (F.col("turn") % 3).cast("string"))
-    action = F.when(F.col("role") == "user", "search").when(F.col("role") == "assistant", "read").otherwise("plan")
-    step = F.struct(action.alias("action"), F.array(own).alias("ids"), F.lit("").alias("answer"), F.lit("o").alias("observation"))
-    log = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", step.alias("s")))).alias("l"))
-    final = F.struct(F.lit("answer").alias("action"), F.array().cast("array<string>").alias("ids"), F.lit("a").alias("answer"), F.lit("").alias("observation"))
-    c = F.col("conv_id")
-    seed = F.concat(F.lit("s"), c.cast("string"))
-    steps = F.when(c % 5 == 0, F.transform("l", lambda x: x["s"])).otherwise(F.concat(F.transform("l", lambda x: x["s"]), F.array(final)))
-    text = F.to_json(F.struct(seed.alias("seed_id"), F.lit("q").alias("query"), F.when(c % 7 == 0, "w").otherwise("v").alias("variant"), steps.alias("steps")))
-    raw = log.select(seed.alias("seed_id"), F.when(c % 11 == 0, F.left(text, F.lit(20))).otherwise(text).alias("text"))
-    seeds = log.where(c % 13 != 0).select(seed.alias("seed_id"), F.lit("q").alias("query"), F.lit("v").alias("variant"), F.array(F.lit("e0"), F.lit("e1")).alias("evidence_ids"))
+    """Trajectories made from conversations: each turn a step, the last one an answer; some are broken on purpose, some fenced."""
+    turns, c = table(spark, sf_dir, "conversations"), F.col("conv_id")
+    action = F.when(F.col("role") == "user", "search").when(F.col("role") == "assistant", "read_page").otherwise("plan")
+    make = lambda act, ids: F.struct(F.lit("because").alias("rationale_summary"), act.alias("action"), F.create_map().cast("map<string,string>").alias("arguments"), F.lit("o").alias("observation"), ids.alias("evidence_ids"))
+    step = make(action, F.array(F.concat(F.lit("e"), (F.col("turn") % 3).cast("string"))))
+    log = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.col("role")))).alias("order"), F.array_sort(F.collect_list(F.struct("turn", F.to_json(step).alias("s")))).alias("l"))
+    final = F.to_json(make(F.lit("answer"), F.array().cast("array<string>")))
+    parts = F.transform("l", lambda x: x["s"])
+    steps = F.array_join(F.when(c % 5 == 0, parts).otherwise(F.concat(parts, F.array(final))), ",")
+    seed = F.concat(F.lit("s"), (c % 4).cast("string"), F.lit("-train-"), c.cast("string"))
+    text = F.concat(F.lit('{"seed_id":"'), seed, F.lit('","query":" q ","variant":"'), F.when(c % 7 == 0, "verification").otherwise("research"), F.lit('","steps":['), steps, F.lit('],"final_answer":"the answer"}'))
+    text = F.when(c % 17 == 0, F.concat(F.lit("```json\n"), text, F.lit("\n```"))).otherwise(text)
+    usage = F.struct(c.alias("prompt_tokens"), F.lit(2).cast("bigint").alias("completion_tokens"), (c + 2).alias("total_tokens"))
+    raw = log.select(seed.alias("seed_id"), F.when(c % 11 == 0, F.left(text, F.lit(20))).otherwise(text).alias("text"), F.when(c % 3 != 0, usage).alias("usage"))
+    item = lambda i: F.struct(F.lit(i).alias("evidence_id"), F.lit("T").alias("title"), F.lit("here the answer stands").alias("text"))
+    seeds = log.where(c % 13 != 0).select(seed.alias("seed_id"), F.lit("q").alias("query"), F.lit("research").alias("variant"), F.when(c % 3 == 0, "other").otherwise("An Answer!").alias("expected_answer"), F.array(item("e0"), item("e1")).alias("evidence"))
     return raw, seeds
 
 
 _TRAJ = """
-c AS (SELECT conv_id, bool_or(role NOT IN ('user', 'assistant')) AS odd, bool_or(turn % 3 = 2) AS invented FROM conversations GROUP BY conv_id),
-t AS (SELECT conv_id, CASE WHEN conv_id % 11 = 0 THEN ['invalid_json'] ELSE [x FOR x IN [CASE WHEN conv_id % 13 = 0 THEN 'unknown_seed' END, CASE WHEN conv_id % 13 <> 0 AND conv_id % 7 = 0 THEN 'variant_mismatch' END,
-  CASE WHEN odd THEN 'invalid_action' END, CASE WHEN conv_id % 5 = 0 THEN 'missing_answer' END, CASE WHEN conv_id % 13 <> 0 AND invented THEN 'invented_evidence' END] IF x IS NOT NULL] END AS reasons FROM c)"""
+o AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i, role, turn FROM conversations),
+c AS (SELECT conv_id, list('invalid_schema:steps.' || i || '.action:literal_error' ORDER BY CAST(i AS VARCHAR)) FILTER (role NOT IN ('user', 'assistant')) AS odd, bool_or(turn % 3 = 2) AS invented, count(*) AS n, count(*) FILTER (role = 'user') AS s, count(*) FILTER (role = 'assistant') AS r FROM o GROUP BY conv_id),
+t AS (SELECT conv_id, n + CASE WHEN conv_id % 5 = 0 THEN 0 ELSE 1 END AS steps, s, r, 's' || conv_id % 4 AS source, CASE WHEN conv_id % 13 = 0 THEN ['unknown_seed'] WHEN conv_id % 11 = 0 THEN ['invalid_json'] WHEN n + CASE WHEN conv_id % 5 = 0 THEN 0 ELSE 1 END > 8 THEN ['invalid_schema:steps:too_long'] WHEN len(odd) > 0 THEN odd ELSE
+  [x FOR x IN [CASE WHEN conv_id % 7 = 0 THEN 'variant_mismatch' END, CASE WHEN conv_id % 5 = 0 THEN 'missing_answer_action' END, CASE WHEN conv_id % 5 = 0 THEN 'answer_action_not_final' END, CASE WHEN invented THEN 'invented_evidence_id' END] IF x IS NOT NULL] END AS reasons FROM c)"""
+
+
+def _filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return materialize(trajectories.reasons(*_recorded(spark, sf_dir)), "filtered")
 
 
-@query(f"WITH {_TRAJ} SELECT 's' || conv_id AS seed_id, array_to_string(reasons, ',') AS reasons, len(reasons) = 0 AS accepted FROM t")
+@query(f"WITH {_TRAJ} SELECT source || '-train-' || conv_id AS seed_id, array_to_string(reasons, ',') AS reasons, len(reasons) = 0 AS accepted FROM t")
 def traj_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trajectories.reasons(*_recorded(spark, sf_dir)).select("seed_id", F.array_join("reasons", ",").alias("reasons"), "accepted")
 
@@ -118,10 +123,42 @@ def reason_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.histogram(trajectories.reasons(*_recorded(spark, sf_dir)), F.col("reasons"))
 
 
-@query()
+@query(f"""WITH {_TRAJ}, a AS (SELECT *, conv_id % 3 <> 0 AS exact FROM t WHERE len(reasons) = 0)
+SELECT source, count(*) AS records, avg(CAST(exact AS INTEGER)) AS normalized_exact_rate, avg(CAST(exact AS INTEGER)) AS expected_supported_by_seed_evidence_rate, 1e0 AS final_supported_by_seed_evidence_rate, 1e0 AS last_action_is_answer_rate, avg(CAST(s > 0 AS INTEGER)) AS has_search_rate,
+  0e0 AS has_evaluate_evidence_rate, 1e0 AS known_evidence_only_rate, avg(CAST(exact AS INTEGER)) AS mean_token_f1, CAST(min(steps) AS INTEGER) AS steps_min, CAST(max(steps) AS INTEGER) AS steps_max, avg(steps) AS steps_mean, median(steps) AS steps_median, CAST(sum(r) AS BIGINT) AS reads, count(*) AS answers FROM a GROUP BY ROLLUP (source)""")
+def traj_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = trajectories.audit(_filtered(spark, sf_dir))
+    rates = [f"{n}_rate" for n in ("normalized_exact", "expected_supported_by_seed_evidence", "final_supported_by_seed_evidence", "last_action_is_answer", "has_search", "has_evaluate_evidence", "known_evidence_only")]
+    return out.select("source", "records", *rates, "mean_token_f1", "steps_min", "steps_max", "steps_mean", "steps_median", F.coalesce(F.col("actions")["read_page"], F.lit(0)).alias("reads"), F.col("actions")["answer"].alias("answers"))
+
+
+@query(f"""WITH {_TRAJ} SELECT count(*) AS input_records, count(*) FILTER (len(reasons) = 0) AS accepted_records, count(*) FILTER (len(reasons) > 0) AS rejected_records, count(*) FILTER (list_contains(reasons, 'unknown_seed')) AS unknown_seed_records,
+  count(*) FILTER (len(reasons) = 0) / CAST(count(*) AS DOUBLE) AS acceptance_rate, count(*) FILTER (len(reasons) = 0) AS unique_ids, count(*) FILTER (len(reasons) = 0) AS unique_hashes FROM t""")
+def traj_acceptance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trajectories.acceptance(_filtered(spark, sf_dir))
+
+
+@query("SELECT CAST(sum(conv_id) AS BIGINT) AS prompt_tokens, CAST(2 * count(*) AS BIGINT) AS completion_tokens, CAST(sum(conv_id + 2) AS BIGINT) AS total_tokens FROM (SELECT DISTINCT conv_id FROM conversations) WHERE conv_id % 3 <> 0")
+def token_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trajectories.token_usage(_recorded(spark, sf_dir)[0])
+
+
+@query(f"""WITH {_TRAJ}, k AS (SELECT source || '-train-' || conv_id AS seed_id, source, len(reasons) = 0 AS accepted FROM t),
+p AS (SELECT *, row_number() OVER (PARTITION BY accepted, CASE WHEN accepted THEN source END ORDER BY sha256('review:' || seed_id), seed_id) AS place FROM k)
+SELECT seed_id, accepted, CAST(place AS INTEGER) AS place FROM p WHERE place <= CASE WHEN accepted THEN 5 ELSE 10 END""")
+def review_packet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trajectories.review_packet(trajectories.reasons(*_recorded(spark, sf_dir)), seed="review").select("seed_id", "accepted", "place")
+
+
+@query(f"WITH {_TRAJ} SELECT source || '-train-' || conv_id AS id, CAST(2 + 2 * steps - 1 AS INTEGER) AS turns FROM t WHERE len(reasons) = 0")
 def sft_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = trajectories.to_messages(trajectories.reasons(*_recorded(spark, sf_dir)), "Answer from evidence.")
-    return out.select("seed_id", F.size("messages").alias("turns"), "trajectory_sha256")
+    records = trajectories.to_records(_filtered(spark, sf_dir), "Answer from evidence.")
+    return trajectories.to_turns(records, "One action at a time.").select("id", F.size("messages").alias("turns"))
+
+
+@query(f"WITH {_TRAJ} SELECT source || '-train-' || conv_id AS case_id, ' q ' AS question, 'the answer' AS expected_answer, CAST(NULL AS VARCHAR) AS error FROM t WHERE len(reasons) = 0")
+def dev_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trajectories.dev_cases(trajectories.to_records(_filtered(spark, sf_dir), "Answer from evidence.")).select("case_id", "question", "expected_answer", "error")
 
 
 @query()

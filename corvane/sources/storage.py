@@ -18,6 +18,9 @@ def scratch_dir(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = "file://" + tempfile.mkdtemp(prefix="corvane-")
@@ -103,3 +106,24 @@ def verify_manifest(found: DataFrame, expected: DataFrame) -> DataFrame:
     both = expected.select("path", F.col("sha256").alias("want")).join(found.select("path", F.col("sha256").alias("have")), "path", "full_outer")
     problem = F.when(F.col("have").isNull(), "missing").when(F.col("want").isNull(), "unexpected").when(F.col("want") != F.col("have"), "changed")
     return both.withColumn("problem", problem).where("problem IS NOT NULL")
+
+
+def write_report(rows: DataFrame, path: str) -> None:
+    """A report of few rows as one file of JSON lines."""
+    rows.coalesce(1).write.mode("overwrite").json(path)
+
+
+def cached_vectors(spark: SparkSession, root: str, key: str, ids: DataFrame, build) -> DataFrame:
+    """Vectors stored under a content-addressed key if they are those of exactly the same ids (column id), else built and stored.
+
+    build() returns (id, vector).
+    """
+    from .readers import exists
+
+    path = f"{root}/cache_key={key}"
+    if exists(spark, f"{path}/_SUCCESS"):
+        held = spark.read.parquet(path)
+        if not held.select("id").exceptAll(ids.select("id")).limit(1).count() and not ids.select("id").exceptAll(held.select("id")).limit(1).count():
+            return held
+    build().select("id", "vector").write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

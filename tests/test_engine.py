@@ -1,5 +1,8 @@
 """Operators of the engine on small hand-checked inputs."""
 
+import hashlib
+import json
+import math
 import random
 
 import pytest
@@ -8,7 +11,7 @@ from pyspark.sql import functions as F
 from corvane.functions import ids as I
 from corvane.functions import text as T
 from corvane.functions import vectors as V
-from corvane.operators import chunk, corpus, evaluate, retrieval, sequence, trajectories
+from corvane.operators import chunk, corpus, evaluate, failures, ingest, retrieval, sequence, trajectories
 from corvane.operators.pages import page_text
 from corvane.sources import readers, storage
 
@@ -47,7 +50,7 @@ def test_citations_and_sentences(spark):
 
 
 def test_redaction(spark):
-    assert one(spark, T.redact(F.col("t")), t="password = x1 in /home/me/a") == "[secret] in /[home]/a"
+    assert one(spark, T.redact(F.col("t")), t="password = x1 in /home/me/a or /data/u/b; ssh me@h:2\nDisk quotas for user joe (uid 5): x") == "password = <redacted> in $HOME/a or /data/$USER/b; ssh <redacted-target>:2\nDisk quotas for current user x"
     assert one(spark, T.has_secret(F.col("t")), t="API-KEY: q")
 
 
@@ -111,7 +114,15 @@ def test_simhash_pairs_against_brute_force(spark):
     docs = [(i, t) for i, t in enumerate(base)] + [(10 + i, t + " end") for i, t in enumerate(base)] + [(90, "one"), (91, "")]
     prints = corpus.simhash(spark.createDataFrame(docs, "doc_id int, text string"), id_col="doc_id", text_col="text")
     p = {x["id"]: (x["hi"] << 32) | x["lo"] for x in prints.collect()}
-    assert p[90] == p[91] == (1 << 64) - 1
+    md5 = lambda f: int(hashlib.md5(f.encode()).hexdigest()[:16], 16)
+    assert p[91] == (1 << 64) - 1 and p[90] == md5("one")
+    b = {x["id"]: (x["hi"] << 32) | x["lo"] for x in corpus.simhash_blake(spark.createDataFrame(docs, "doc_id int, text string"), id_col="doc_id", text_col="text").collect()}
+    big = lambda f: int.from_bytes(hashlib.blake2b(f.encode(), digest_size=8).digest(), "big")
+    for i, t in docs:
+        w = t.lower().split()
+        features = [f"{x}\0{y}" for x, y in zip(w, w[1:], strict=False)] if len(w) > 1 else w
+        for prints_of, h in ((p, md5), (b, big)):
+            assert prints_of[i] == sum(1 << k for k in range(64) if sum(1 if h(f) >> k & 1 else -1 for f in features) >= 0)
     want, first = [], {}
     for i, v in sorted(p.items()):
         first.setdefault(v, i)
@@ -146,15 +157,23 @@ def test_chunks_cover_and_end():
     text = " ".join("x" * 30 for _ in range(60))
     for size, overlap in ((200, 185), (240, 40), (4000, 0)):
         got = chunk.pieces(text, size, overlap)
-        assert all(b - a <= size for a, b in got) and all(x[0] < y[0] for x, y in zip(got, got[1:], strict=False))
-        assert got[0][0] == 0 and got[-1][1] == len(text) and all(y[0] <= x[1] for x, y in zip(got, got[1:], strict=False))
-    for bad in ((199, 10), (4001, 10), (300, 300), (300, -1)):
+        assert all(len(x) <= size for x in got[:-1]) and "x" * 30 in got[-1] and text.startswith(got[0]) and text.endswith(got[-1])
+    tokens = " ".join(f"token{i}" for i in range(180))
+    got = chunk.pieces(tokens, 240, 40)
+    assert len(got) > 2 and max(map(len, got)) <= 240 and all(f"token{i}" in " ".join(got).split() for i in range(180))
+    assert chunk.normalized(" a \t b \r\n\r\n\n\n c\x0bd ") == "a b\n\nc\nd"
+    for bad in ((199, 10), (4001, 10), (300, 300), (300, 301), (300, -1), (4000, 1001)):
         assert chunk.check(*bad)
     assert chunk.pieces("", 300, 10) == []
+    page = "one line\n" * 300
+    found = chunk.passages(page, 1200, 160)
+    assert found[0][0] == 0 and found[-1][1] == len(page) and all(page[a:b].strip() == t for a, b, t in found) and all(page[b] == "\n" for _, b, _ in found[:-1])
+    with pytest.raises(ValueError):
+        chunk.passages("x", 10, 10)
 
 
 def test_page_text_ignores_scripts():
-    assert page_text("<title>T &amp; U</title><script>var a='<p>';</script><p>one<br>two</p>  <svg>z</svg>three") == ("T & U", "one\ntwo\nthree")
+    assert page_text("<title>T &amp; U</title><script>var a='<p>';</script><p>one<br>two</p>  <svg>z</svg>three") == ("T & U", "T & U\none\ntwo\nthree")
     assert page_text(None) == ("", "")
 
 
@@ -212,14 +231,155 @@ def test_readers(spark, tmp_path):
 
 
 def test_trajectory_reasons(spark):
-    seeds = spark.createDataFrame([("s1", "q", "v", ["e1"])], "seed_id string, query string, variant string, evidence_ids array<string>")
-    good = '{"seed_id":"s1","query":"q","variant":"v","steps":[{"action":"search","ids":["e1"],"observation":"o"},{"action":"answer","ids":[],"answer":"a"}]}'
-    raw = [("s1", good), ("s1", "{"), ("s2", good), ("s1", good.replace('["e1"]', '["e9"]')), ("s1", good.replace('"action":"answer"', '"action":"read"'))]
-    out = [r["reasons"] for r in trajectories.reasons(spark.createDataFrame(raw, "seed_id string, text string").coalesce(1), seeds).collect()]
-    assert sorted(out) == sorted([[], ["invalid_json"], ["unknown_seed", "seed_mismatch"], ["invented_evidence"], ["missing_answer"]])
-    ok = trajectories.reasons(spark.createDataFrame(raw[:1], "seed_id string, text string"), seeds)
-    assert [m["role"] for m in trajectories.to_messages(ok, "sys").first()["messages"]] == ["system", "user", "assistant", "tool", "assistant"]
-    assert rows(trajectories.audit(ok, F.lit("x")).select(F.coalesce("source", F.lit("all")).alias("s"), "acceptance"), "s", "acceptance") == [("all", 1.0), ("x", 1.0)]
+    seeds = spark.createDataFrame([("a-train-1", "q", "research", "The Answer", [("e1", "T", "an answer, it says")])], "seed_id string, query string, variant string, expected_answer string, evidence array<struct<evidence_id:string,title:string,text:string>>")
+    step = {"rationale_summary": "because", "action": "search", "arguments": {"q": [1]}, "observation": "o", "evidence_ids": ["e1"]}
+    last = {"rationale_summary": "done", "action": "answer", "observation": ""}
+    good = {"seed_id": "a-train-1", "query": " q ", "variant": "research", "steps": [step, last], "final_answer": "answer"}
+    cases = {
+        "": good, "unknown": good, "invalid_json": None, "seed_id_mismatch": good | {"seed_id": "x"}, "invented_evidence_id": good | {"steps": [step | {"evidence_ids": ["e9"]}, last]},
+        "missing_answer_action,answer_action_not_final": good | {"steps": [step]}, "multiple_answer_actions": good | {"steps": [last, last]}, "query_mismatch,variant_mismatch": good | {"query": "r", "variant": "verification"},
+        "possible_secret": good | {"final_answer": "my password: x"},
+        "invalid_schema:extra:extra_forbidden,invalid_schema:final_answer:string_type,invalid_schema:steps.0.action:literal_error,invalid_schema:steps.1.observation:missing": {k: v for k, v in good.items()} | {"extra": 1, "final_answer": 3, "steps": [step | {"action": "plan"}, {k: v for k, v in last.items() if k != "observation"}]},
+        "invalid_schema:steps:too_long": good | {"steps": [step] * 9}, "invalid_schema:steps.0:value_error": good | {"steps": [step | {"observation": " "}, last]}, "invalid_schema:root:model_type": [1],
+        "invalid_schema:steps.0.arguments:dict_type,invalid_schema:steps.0.rationale_summary:string_too_short": good | {"steps": [step | {"arguments": [], "rationale_summary": "x"}, last]}, "invalid_schema:steps:too_short": good | {"steps": []},
+    }
+    raw = [("other" if k == "unknown" else "a-train-1", k, "{" if v is None else f"```json\n{json.dumps(v)}\n```" if k == "" else json.dumps(v)) for k, v in cases.items()]
+    out = trajectories.reasons(spark.createDataFrame(raw, "seed_id string, kind string, text string"), seeds)
+    assert {r["kind"]: ",".join(r["reasons"]) for r in out.collect()} == {k: "unknown_seed" if k == "unknown" else k for k in cases}
+    ok = out.where("accepted")
+    records = trajectories.to_records(ok, "sys")
+    assert [m["role"] for m in records.first()["messages"]] == ["system", "user", "assistant"]
+    turns = trajectories.to_turns(records, "act").first()["messages"]
+    assert [m["role"] for m in turns] == ["system", "user", "assistant", "tool", "assistant"] and json.loads(turns[4]["content"])["final_answer"] == "answer" and json.loads(turns[2]["content"])["arguments"] == {"q": [1]}
+    assert trajectories.with_prompt(records, "new").first()["messages"][0]["content"] == "new"
+    with pytest.raises(ValueError):
+        trajectories.with_prompt(records.withColumn("messages", F.slice("messages", 1, 2)), "new").collect()
+    every = {r["source"]: r for r in trajectories.audit(out).collect()}
+    assert set(every) == {None, "a"} and every["a"]["records"] == 1 and every["a"]["normalized_exact_rate"] == 1.0 and every[None]["actions"] == {"answer": 1, "search": 1} and every["a"]["expected_supported_by_seed_evidence_rate"] == 1.0
+    assert trajectories.acceptance(out).first()["acceptance_rate"] == pytest.approx(1 / len(cases))
+
+
+def test_seeds_cases_and_padding(spark):
+    rows = spark.createDataFrame([("h", "r1", " Q? ", "A", ["t", "u", "v"], [["x", "y"], [" "], ["z" * 3000]], ["t", "v"]), ("h", "r2", "Q2", "A", ["t"], [["x"]], ["t"])], "source string, id string, question string, answer string, titles array<string>, sentences array<array<string>>, facts array<string>")
+    shaped = rows.select("source", "id", "question", "answer", F.lit(None).cast("array<string>").alias("aliases"), F.struct(F.col("titles").alias("title"), "sentences").alias("context"), F.struct(F.col("facts").alias("title")).alias("supporting_facts"))
+    seen = readers.paragraph_evidence(shaped, F.lit("h-e"), shape="parallel")
+    assert [[(e["evidence_id"], len(e["text"]), e["supporting"]) for e in r["evidence"]] for r in seen.orderBy("id").collect()] == [[("h-e0", 3, True), ("h-e2", 2000, True)], [("h-e0", 1, True)]]
+    cases = trajectories.final_cases(seen, spark.createDataFrame([("other",)], "question string"), seed="s", per_source=5).collect()
+    assert [(c["case_id"], c["gold_claim"], len(c["distractor"])) for c in cases] == [("h-validation-r1", 'The answer to "Q?" is "A".', 2)]
+    assert trajectories.final_cases(seen, spark.createDataFrame([(" q?",)], "question string"), seed="s", per_source=5).count() == 0
+    seeds = trajectories.seeds_of(seen, "h", order="id").withColumn("ord", F.when(F.col("seed_id") == "h-train-r1", 0).otherwise(1))
+    assert rows_of(seeds, "seed_id", "variant") == [("h-train-r1", "research"), ("h-train-r2", "verification")]
+    got = [r["seed_id"] for r in trajectories.padded(seeds, 5).orderBy("ord").collect()]
+    assert got == ["h-train-r1", "h-train-r2", "h-train-r1-verification", "h-train-r2-research", "h-train-r1-verification-2"]
+
+
+def rows_of(df, *columns):
+    return rows(df, *columns)
+
+
+def test_failure_labels_against_a_plain_version(spark):
+    r = random.Random(11)
+    ids = [f"c{i}" for i in range(9)]
+
+    def ndcg(ranked, grades):
+        gain = lambda gs: sum((2**g - 1) / math.log2(k + 2) for k, g in enumerate(gs[:5]) if g > 0)
+        best = gain(sorted((g for g in grades.values() if g > 0), reverse=True))
+        return gain([grades.get(i, 0) for i in ranked]) / best if best else 0.0
+
+    rr = lambda ranked, grades: next((1 / k for k, i in enumerate(ranked, 1) if grades.get(i, 0) > 0), 0.0)
+
+    def plain(c):
+        _, answerable, grades, b, d, f, before, after, rag, signals = c
+        found = []
+        if grades:
+            good = {i for i, g in grades.items() if g > 0}
+            recall = lambda x: len(good & set(x[:5])) / len(good) if good else 0.0
+            best = max(ndcg(b, grades), ndcg(d, grades))
+            found += ["lexical_mismatch"] * (recall(d) > recall(b)) + ["dense_false_positive"] * (recall(b) > 0 == recall(d))
+            found += ["fusion_regression"] * bool(f and ndcg(f, grades) < best) + ["fusion_improvement"] * bool(f and ndcg(f, grades) > best)
+            if before or after:
+                x, y = (ndcg(before, grades), rr(before, grades)), (ndcg(after, grades), rr(after, grades))
+                found += ["candidate_missing_before_rerank"] if not good & set(before) else ["reranker_improvement"] if y[0] > x[0] or y[1] > x[1] else ["reranker_regression"] if y[0] < x[0] or y[1] < x[1] else []
+        elif answerable is not False:
+            found.append("annotation_uncertain")
+        for _, _, abstained, cited, invalid, context in rag:
+            found += ["citation_invalid_id"] * bool(invalid or set(cited) - set(context)) + ["citation_missing"] * (answerable is True and not abstained and not cited)
+            found += ["no_answer_false_positive"] * (answerable is False and not abstained) + ["false_abstention"] * bool(answerable is True and abstained and context) + ["correct_abstention"] * (answerable is False and abstained)
+        return list(dict.fromkeys(found + [s for s in signals if s in failures.LABELS]))
+
+    pick = lambda: r.sample(ids, r.randint(0, 7))
+    cases = [(f"k{i:03}", r.choice([True, False, None]), {x: r.randint(0, 3) for x in r.sample(ids, r.randint(0, 3))}, pick(), pick(), pick(), pick(), pick(),
+              [(n, "a", r.random() < 0.4, r.sample(ids, r.randint(0, 2)), r.sample(ids, r.randint(0, 1)), r.sample(ids, r.randint(0, 5))) for n in ("baseline", "reranked")[: r.randint(0, 2)]], r.sample(["context_noise", "odd", "fusion_improvement"], r.randint(0, 2))) for i in range(150)]
+    out = failures.analyze(spark.createDataFrame([*cases, cases[0]], failures.CASE))
+    assert {x["case_id"]: x["labels"] for x in out.collect()} == {c[0]: plain(c) for c in cases}
+    order = [s for s, _ in failures.STAGES]
+    assert len(failures.LABELS) == 44 and all(x["stages"] == sorted(x["stages"], key=order.index) for x in out.collect())
+    empty = failures.analyze(spark.createDataFrame([("n", None, None, None, None, None, None, None, None, None)], failures.CASE)).first()
+    assert empty["labels"] == ["annotation_uncertain"] and empty["first_stage"] == "annotation"
+
+
+def test_claim_evaluation(spark):
+    cases = spark.createDataFrame([("c", ["cats"], ["e1", "e2", "e3"])], "case_id string, accepted array<string>, evidence_ids array<string>")
+    gold = spark.createDataFrame([("c", 1, "Cats purr loudly", ["e1", "e2"], ["e3"]), ("c", 2, "Dogs bark", [], [])], "case_id string, gold_no int, gold_text string, supporting array<string>, contradicting array<string>")
+    said = {"full": "Cats purr loudly [E:e1] [E:e2].", "part": "Cats purr loudly [E:e1] [E:x].", "against": "Cats purr loudly [E:e3]!", "none": "", "unknown": "Fish swim. Dogs bark [E:e1]."}
+    answers = spark.createDataFrame([("c", m, "Cats!" if m == "full" else "no", t, 1.0, 2) for m, t in said.items()], "case_id string, mode string, answer string, report string, latency_ms double, total_tokens int")
+    out = {r["mode"]: r for r in evaluate.evaluate_claims(cases, gold, answers).collect()}
+    assert out["full"]["failures"] == [] and out["full"]["precision"] == out["full"]["coverage"] == 1.0
+    assert out["part"]["failures"] == ["answer_incorrect", "invalid_citation", "partial_support"] and out["part"]["coverage"] == out["part"]["invalid_rate"] == 0.5
+    assert out["against"]["failures"] == ["answer_incorrect", "contradicted_claim"]
+    assert out["none"]["failures"] == ["answer_incorrect", "empty_report", "missing_citation"]
+    assert out["unknown"]["failures"] == ["answer_incorrect", "missing_citation", "unsupported_claim"] and out["unknown"]["unsupported"] == 1.0
+    modes = {r["mode"]: r for r in evaluate.mode_summary(evaluate.evaluate_claims(cases, gold, answers)).collect()}
+    assert modes["full"]["failure_counts"] == {} and modes["part"]["failure_counts"]["partial_support"] == 1 and modes["full"]["exact"] == 1.0
+
+
+def test_hybrid_names_its_sources(spark):
+    schema = "query int, id string, rank int, score double"
+    lexical, near = spark.createDataFrame([(1, "a", 1, 5.0), (1, "b", 2, 4.0)], schema), spark.createDataFrame([(1, "b", 1, 0.9), (1, "c", 2, 0.8), (1, "z", 9, 0.1)], schema)
+    out = retrieval.hybrid(lexical, near, top_k=3, candidate_k=3).orderBy("rank").collect()
+    assert [x["id"] for x in out] == ["b", "a", "c"] and out[0]["sources"] == ["bm25", "dense"] and out[0]["source_ranks"] == {"bm25": 2, "dense": 1} and out[1]["source_scores"] == {"bm25": 5.0}
+    assert out[0]["score"] == pytest.approx(sum(out[0]["contributions"].values()))
+    for bad in ({"top_k": 0}, {"top_k": 5, "candidate_k": 3}, {"constant": 0}):
+        with pytest.raises(ValueError):
+            retrieval.hybrid(lexical, near, **bad)
+
+
+def test_overlap_returns_rows_without_overlap(spark):
+    r = random.Random(3)
+    sets = [(i, sorted({r.choice("abcdefgh") for _ in range(r.randint(0, 4))})) for i in range(30)]
+    asked = [(1, ["a", "b"]), (2, ["z"]), (3, []), (4, ["h"])]
+    out = retrieval.overlap(spark.createDataFrame(sets, "id int, words array<string>"), spark.createDataFrame(asked, "query int, words array<string>"), top_k=8)
+    want = [(q, i, n, k) for q, w in asked for k, (n, i) in enumerate(sorted(((len(set(w) & set(s)), i) for i, s in sets), key=lambda x: (-x[0], x[1]))[:8], 1)]
+    assert rows(out, "query", "id", "score", "rank") == sorted(want)
+
+
+def test_ingestion(spark):
+    docs = spark.createDataFrame([("d1", "uploaded", "h1", "completed", 800, 120, "f1"), ("d2", "demo", "h2", "indexing", 800, 120, "f2"), ("d3", "evaluation", "h3", "completed", 800, 120, "f3"), ("d4", "uploaded", "h4", "failed", 800, 120, "f4")], "document_id string, corpus_namespace string, content_hash string, status string, chunk_size int, chunk_overlap int, original_filename string")
+    up = spark.createDataFrame([("uploaded", "h1", 800, 120), ("uploaded", "h1", 900, 120), ("uploaded", "h4", 800, 120), ("uploaded", "new", 800, 120)], "corpus_namespace string, content_hash string, chunk_size int, chunk_overlap int")
+    assert rows(ingest.register(docs, up), "content_hash", "chunk_size", "created", "duplicate") == [("h1", 800, False, True), ("h1", 900, False, False), ("h4", 800, False, False), ("new", 800, True, False)]
+    doomed = spark.createDataFrame([("d1",), ("d2",), ("x",)], "document_id string")
+    assert sorted((r[0], r[1] or "") for r in ingest.deletable(docs, doomed).collect()) == [("d1", ""), ("d2", "read_only_corpus"), ("x", "document_not_found")]
+    marked = ingest.mark_deleting(docs, doomed)
+    assert rows(marked.where("status = 'deleting'"), "document_id") == [("d1",)]
+    assert rows(ingest.delete_flow(marked, doomed, rebuilt=True), "document_id") == [("d2",), ("d3",), ("d4",)]
+    assert marked.count() == 4 and ingest.delete_flow(marked, doomed, rebuilt=False).where("document_id = 'd1' AND status = 'completed'").count() == 1
+    kids = spark.createDataFrame([("d1", 1), ("d2", 1)], "document_id string, n int")
+    assert rows(ingest.replace_children(kids, spark.createDataFrame([("d1", 7), ("d1", 8)], "document_id string, n int"), "document_id"), "document_id", "n") == [("d1", 7), ("d1", 8), ("d2", 1)]
+    with pytest.raises(ValueError):
+        ingest.replace_children(kids, kids, "document_id", immutable=docs.where("corpus_namespace = 'demo'"))
+    log = spark.createDataFrame([("d1", 1, "pending", None), ("d1", 2, "chunking", None), ("d2", 1, "parsing", None), ("d2", 2, "failed", "no_chunks"), ("d2", 3, "indexing", None)], "document_id string, seq int, stage string, error_code string")
+    assert sorted((r["document_id"], r["status"], r["progress"], r["error_code"] or "") for r in ingest.ingestion_status(log).collect()) == [("d1", "chunking", 40, ""), ("d2", "failed", 100, "no_chunks")]
+    raw = spark.createDataFrame([(bytearray(b"\xef\xbb\xbfa  b\r\n"),), (bytearray(b"\xff"),), (bytearray(b" \n"),)], "c binary").select(ingest.decode(F.col("c")).alias("d")).select("d.*").collect()
+    assert [(r["text"], r["error"]) for r in raw] == [("a b", None), (None, "invalid_utf8"), (None, "no_extractable_text")]
+
+
+def test_markdown_blocks(spark):
+    text = "intro\n# Title #\nbody one\n```\n# no heading\n```\n## Part\n\n\n\ntext\n### Empty\n# Second\nend"
+    docs = spark.createDataFrame([(1, text, "file"), (2, "", "f"), (3, "plain", "f")], "doc_id int, text string, name string")
+    out = ingest.markdown_blocks(docs, title_col="name")
+    got = [(r["doc"], r["block"], r["title"], r["section"], r["text"]) for r in out.orderBy("doc", "block").collect()]
+    assert got == [(1, 0, "file", None, "intro"), (1, 1, "Title", "Title", "body one\n```\n# no heading\n```"), (1, 2, "Title", "Part", "text"), (1, 3, "Title", "Second", "end"), (3, 0, "f", None, "plain")]
+    assert {r["doc"]: r["text"] for r in ingest.text_to_hash(out).collect()}[3] == "[page=;section=]\nplain"
 
 
 def test_answer_error_codes(spark):

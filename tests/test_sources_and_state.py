@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from corvane.operators import evidence, replay, rules
-from corvane.sources import paged
+from corvane.functions import ids as I
+from corvane.sources import paged, readers, storage
 from corvane.streaming import runs
 
 
@@ -53,10 +54,57 @@ def test_replay(spark):
 
 def test_rules(spark):
     one = lambda c: spark.range(1).select(c.alias("v")).first()["v"]
-    assert one(rules.research_signals(F.lit("Compare the latest sources?"))) == ["evidence_request", "time_sensitive", "analysis"]
-    assert one(rules.router(F.lit("{"))["route"]) == "research"
-    assert one(rules.router(F.lit('{"route":"direct","confidence":7,"category":"c","reason":"r"}'))["confidence"]) == 1.0
+    assert one(rules.research_signals(F.lit("Compare the latest sources and links?"))) == ["explicit_evidence_request", "time_sensitive", "analysis_or_comparison", "multi_part"]
+    assert one(rules.research_signals(F.lit("ＰＲＩＣＥ 以及 x"))) == ["time_sensitive", "multi_part"] and one(rules.research_signals(F.lit("hello"))) == []
+    cats = {"What is BERT-2": "acronym", "cats or dogs": "multi-concept", "covid-19": "exact-term", "how cells grow": "semantic-paraphrase", "rates associated with": "multi-concept"}
+    assert {q: one(rules.query_category(F.lit(q))) for q in cats} == cats
+    assert one(rules.router(F.lit("{"))).asDict() == {"route": "evidence_research", "confidence": 0.0, "category": "invalid_output", "reason": "Invalid routing output defaulted safely to evidence research.", "final_answer": None, "signals": ["invalid_router_output"]}
+    direct = one(rules.router(F.lit('{"route":"direct_answer","confidence":7,"category":"c","reason":" r ","final_answer":" x "}')))
+    assert (direct["route"], direct["confidence"], direct["reason"], direct["final_answer"]) == ("direct_answer", 1.0, "r", "x")
+    assert one(rules.router(F.lit('{"route":"direct_answer","confidence":-1}')))["route"] == "evidence_research"
+    none = F.array().cast("array<string>")
+    assert one(rules.route(F.lit("direct_answer"), F.lit("casual"), F.lit(0.9), none, F.lit("a")))["route"] == "direct_answer"
+    assert one(rules.route(F.lit("direct_answer"), F.lit(""), F.lit(0.5), F.array(F.lit("s")), F.lit("a"))).asDict() == {"route": "evidence_research", "overridden": True, "blockers": ["s", "category:unknown", "confidence:0.50"]}
     assert one(rules.readiness(F.array(F.lit("ready"), F.lit("pending")))) == "pending"
     assert one(rules.plan(F.array(F.lit(" a "), F.lit(""), F.lit("b")))) == ["a", "b"] and one(rules.plan(F.array(F.lit("a")))) is None
     assert one(rules.bad_report_ids(F.array(F.lit("a"), F.lit("a")), F.array(F.lit("b")))) == ["repeated_citation", "citation_not_allowed"]
-    assert one(rules.upload_error(F.lit("a.txt"), F.lit(1), F.lit(300), F.lit(300))) == "invalid_chunk_overlap"
+    upload = lambda n, m="text/plain", size=1: one(rules.upload_error(F.lit(n), F.lit(m), F.lit(size), most=9))
+    assert [upload("a.txt"), upload("C:\\x\\a.MD"), upload("a/"), upload(".txt"), upload(".."), upload("a.pdf"), upload("a.txt", None), upload("a.txt", "", 0), upload("a.txt", size=10), upload(None)] == [
+        None, None, "unsupported_file_type", "unsupported_file_type", "invalid_filename", "mime_type_mismatch", None, "empty_file", "file_too_large", "missing_filename"]
+    assert [one(rules.chunk_error(F.lit(a), F.lit(b))) for a, b in ((800, 120), (199, 1), (300, 300), (4000, 1001))] == [None, "invalid_chunk_size", "invalid_chunk_overlap", "invalid_chunk_overlap"]
+    say = lambda *a: tuple(one(rules.advice(*map(F.lit, a))))
+    assert [say(2, "multi_hop", 0, 0), say(5, "simple_fact", 1, 0), say(5, "comparison", 1, 0), say(5, None, 2, 1), say(5, None, 2, 2)] == [(1, False, True), (1, False, True), (2, False, False), (2, True, False), (2, False, False)]
+    assert [one(rules.controller_advice(F.lit(n), F.lit(s))) for n, s in ((2, "x"), (5, "sufficient"), (5, "conflicting"), (5, "insufficient"))] == ["answer", "answer", "evaluate_evidence", "read_page"]
+    arr = lambda *x: F.array(*map(F.lit, x)).cast("array<string>")
+    assert [one(rules.worker_error(F.lit(a), i, d, r)) for a, i, d, r in (("read_page", arr("a"), arr("a"), arr()), ("read_page", arr("b"), arr("a"), arr()), ("evaluate_evidence", arr(), arr(), arr("a")), ("evaluate_evidence", arr("b"), arr(), arr("a")), ("answer", arr("a"), arr(), arr("a", "b")), ("answer", arr("a"), arr(), arr("a")))] == [None, "unknown_evidence_id", None, "no_read_evidence", None, "insufficient_evidence"]
+
+
+def test_more_readers(spark, tmp_path):
+    (tmp_path / "c.jsonl").write_text('{"_id":"b","text":"t"}\n\n{"_id":"a","title":"x","text":" "}\n')
+    at = str(tmp_path / "c.jsonl")
+    assert [tuple(r) for r in readers.read_corpus(spark, at).collect()] == [("a", "x", " "), ("b", "", "t")] and readers.read_corpus_ids(spark, at).count() == 2
+    assert [tuple(r) for r in readers.read_queries(spark, at).collect()] == [("b", "t")]
+    assert readers.read_optional(spark, str(tmp_path / "none.jsonl"), "id string").count() == 0
+    log = lambda *x: spark.createDataFrame([(v,) for v in x], "value string")
+    assert tuple(readers.status_line(log("2024\trunning\ta\tb")).first()) == ("2024", "running", ["a", "b"]) and readers.status_line(log()).first()["state"] == "not_started"
+    devices = readers.read_devices(log("0, u0, 10", "1, u1, 900", "2, u2, 3"))
+    assert [r["index"] for r in readers.idle_devices(devices, spark.createDataFrame([("u2",)], "uuid string")).collect()] == [0]
+    names = ["model_world_size_2_rank_0.pt", "model_world_size_2_rank_1.pt", "optim_world_size_2_rank_0.pt", "optim_world_size_2_rank_1.pt", "extra_state_world_size_2_rank_0.pt", "extra_state_world_size_2_rank_1.pt", "data.pt", "huggingface"]
+    files = spark.createDataFrame([("global_step_9", n) for n in names[:3]] + [("global_step_10", n) for n in names], "checkpoint string, name string")
+    assert (lambda r: (r["step"], r["complete"]))(readers.latest_checkpoint(files).first()) == (10, True)
+    got = readers.search_results(spark.createDataFrame([("q", [("t", "u", "s"), ("t", "", "s"), ("t", "v", "s")])], "query string, results array<struct<title:string,url:string,snippet:string>>"))
+    assert [(r["rank"], r["url"]) for r in got.collect()] == [(1, "u"), (3, "v")]
+    ids = spark.createDataFrame([("a",), ("b",)], "id string")
+    built = []
+
+    def build():
+        built.append(1)
+        return ids.withColumn("vector", F.array(F.lit(1.0)))
+
+    for _ in range(2):
+        assert storage.cached_vectors(spark, str(tmp_path / "v"), "k", ids, build).count() == 2
+    assert built == [1] and storage.cached_vectors(spark, str(tmp_path / "v"), "k", ids.limit(1), lambda: build().limit(1)).count() == 1
+    import hashlib
+
+    key = spark.range(1).select(I.cache_key(F.lit("m/x"), F.lit("h"), F.lit(True)).alias("k")).first()["k"]
+    assert key == hashlib.sha256(b'{"corpus_hash":"h","format_version":1,"model_name":"m/x","normalized":true}').hexdigest()[:24]
