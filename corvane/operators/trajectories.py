@@ -109,6 +109,9 @@ def reasons(raw: DataFrame, seeds: DataFrame) -> DataFrame:
     known = seeds.select("seed_id", F.struct("query", "variant", "expected_answer", F.coalesce("evidence", F.array().cast("array<struct<evidence_id:string,title:string,text:string>>")).alias("evidence")).alias("seed"))
     out = raw.join(known, "seed_id", "left").withColumn("checked", check_trajectory("text"))
     out = out.withColumn("t", F.when((F.size("checked.errors") == 0) & F.col("seed").isNotNull(), F.from_json("checked.json", SCHEMA)))
+    # what a step leaves out is empty
+    filled = F.transform("t.steps", lambda s: s.withField("arguments", F.coalesce(s["arguments"], F.parse_json(F.lit("{}")))).withField("evidence_ids", F.coalesce(s["evidence_ids"], F.array().cast("array<string>"))))
+    out = out.withColumn("t", F.when(F.col("t").isNotNull(), F.col("t").withField("steps", filled)))
     steps = F.col("t.steps")
     answers = F.size(F.filter(steps, lambda s: s["action"] == "answer"))
     own = F.filter(F.transform("seed.evidence", lambda e: e["evidence_id"]), lambda i: F.coalesce(i, F.lit("")) != "")
