@@ -5,7 +5,7 @@ within their source (by size class, then by a hash), the expected copies are pre
 per source is added, and a document is emitted once per integer boundary that its stretch of the sum crosses.
 
 The prefix sum never gathers a source: rows are ranked inside small (source, size class, hash) buckets, and a bucket's offset
-comes from the counts of the buckets before it.
+comes from the counts of the smaller size classes and of the buckets before it in its class.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import count_words
+from .common import count_words, materialize
 
 WEIGHTS = (5, 2, 1)
 SHARE, CAP, SUB_BUCKETS = 1.5, 2.0, 4096
@@ -70,13 +70,17 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     )
     rows = base.withColumns({"__digest": F.md5(F.concat_ws("|", F.lit(seed), F.col("id").cast("string"))), "__class": _size_class(F.col("mx_size"))})
     rows = rows.withColumn("__sub", F.conv(F.substring("__digest", 1, 4), 16, 10).cast("int") % SUB_BUCKETS)
-    buckets = rows.groupBy("__src", "__class", "__sub").agg(F.count(F.lit(1)).alias("__n"), F.sum("mx_size").alias("__size"))
-    earlier = Window.partitionBy("__src").orderBy("__class", "__sub").rowsBetween(Window.unboundedPreceding, -1)
-    buckets = buckets.withColumn("__before", F.coalesce(F.sum("__n").over(earlier), F.lit(0)))
-    sizes = buckets.groupBy("__src").agg(F.sum("__size").alias("source_size")).withColumn("source", F.when(F.col("__src") != "~", F.substr("__src", F.lit(2))))
-    targets = source_targets(sizes.select("source", "source_size"), weights=weights, share=share, cap=cap).withColumn("__t_src", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("~")))
-    plan = buckets.join(targets, F.col("__src") == F.col("__t_src")).select(
-        F.col("__src").alias("__p_src"), F.col("__class").alias("__p_class"), F.col("__sub").alias("__p_sub"), "__before",
+    buckets = materialize(rows.groupBy("__src", "__class", "__sub").agg(F.count(F.lit(1)).alias("__n"), F.sum("mx_size").alias("__size")), "buckets")
+    # rows before a bucket: those of the smaller classes of its source, then those of the earlier buckets of its class
+    classes = buckets.groupBy("__src", "__class").agg(F.sum("__n").alias("__n"), F.sum("__size").alias("__size"))
+    smaller = Window.partitionBy("__src").orderBy("__class").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy("__src", "__class").orderBy("__sub").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = classes.groupBy("__src").agg(F.sum("__size").alias("source_size")).withColumn("source", F.when(F.col("__src") != "~", F.substr("__src", F.lit(2))))
+    targets = source_targets(sizes.select("source", "source_size"), weights=weights, share=share, cap=cap).withColumn("__src", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("~")))
+    starts = classes.select("__src", "__class", F.coalesce(F.sum("__n").over(smaller), F.lit(0)).alias("__start")).join(targets, "__src")
+    inner = buckets.select("__src", "__class", "__sub", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__inner"))
+    plan = inner.join(starts, ["__src", "__class"]).select(
+        F.col("__src").alias("__p_src"), F.col("__class").alias("__p_class"), F.col("__sub").alias("__p_sub"), (F.col("__start") + F.col("__inner")).alias("__before"),
         F.col("source_size").alias("mx_source_size"), F.col("target").alias("mx_target"), F.col("rate").alias("__rate"),
         _fraction(F.concat_ws("|", F.lit(f"offset-{seed}"), F.col("source"))).alias("__u"),
     )
