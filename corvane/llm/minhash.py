@@ -198,7 +198,7 @@ def _across(open_: DataFrame, reps: DataFrame, sets: DataFrame, hundredths: int,
         return pd.DataFrame(out, columns=["a", "b"])
 
     counts = open_.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("blocks"))
-    placed = open_.join(counts, "key").withColumn("blk", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    placed = open_.join(broadcast_if_small(counts), "key").withColumn("blk", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     placed = placed.select("key", "band", "doc", "component", "blk", F.least("blk", "other").alias("bi"), F.greatest("blk", "other").alias("bj"))
     held = placed.join(reps.select("doc", "signature"), "doc").join(sets.select("doc", "s"), "doc")
     return held.groupBy("key", "bi", "bj").applyInPandas(run, f"a {kind}, b {kind}")
