@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.storage import latest
+from ..sources.storage import latest, materialize
 
 
 def running_budget(df: DataFrame, *, by: list[str], order: list[Column], cost: Column, budget: Column | int, name: str = "status") -> DataFrame:
@@ -69,9 +69,10 @@ def unprocessed(df: DataFrame, done: DataFrame, key: str) -> DataFrame:
 def shards(df: DataFrame, *, order: list[str], n: int) -> DataFrame:
     """Round-robin shard of each row of a total order, from per-partition counts: no row is gathered.
 
-    Rows are range-partitioned by `order`; a row's number is its place in its partition plus the sizes of those before.
+    Rows are range-partitioned by `order` and stored once with their partition, so that counts and places agree; a row's number
+    is its place in its partition plus the sizes of those before.
     """
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id())
+    ranged = materialize(df.repartitionByRange(*order).withColumn("__p", F.spark_partition_id()), "ranged")
     own = ranged.withColumn("__i", F.row_number().over(Window.partitionBy("__p").orderBy(*order)))
     sizes = ranged.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))
     before = sizes.withColumn("__b", F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
