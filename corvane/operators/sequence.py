@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.storage import latest, materialize
+from ..sources.storage import broadcast_if_small, latest, materialize
 
 
 def running_budget(df: DataFrame, *, by: list[str], order: list[Column], cost: Column, budget: Column | int, name: str = "status") -> DataFrame:
@@ -76,7 +76,7 @@ def shards(df: DataFrame, *, order: list[str], n: int) -> DataFrame:
     own = ranged.withColumn("__i", F.row_number().over(Window.partitionBy("__p").orderBy(*order)))
     sizes = ranged.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))
     before = sizes.withColumn("__b", F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
-    return own.join(F.broadcast(before), "__p").withColumn("shard", F.pmod(F.col("__b") + F.col("__i") - 1, F.lit(n)).cast("int")).drop("__p", "__i", "__b")
+    return own.join(broadcast_if_small(before), "__p").withColumn("shard", F.pmod(F.col("__b") + F.col("__i") - 1, F.lit(n)).cast("int")).drop("__p", "__i", "__b")
 
 
 def coverage(found: DataFrame, expected: DataFrame, keys: list[str]) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import corpus, failures, ingest, rules
 from ..operators import evaluate as E
 from ..operators import retrieval as R
-from ..sources.storage import materialize
+from ..sources.storage import broadcast_if_small, materialize
 from .registry import query, table
 from .retrieval_queries import _B, _METRICS, _bm25
 
@@ -71,7 +71,7 @@ def rag_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = materialize(_rankings(spark, sf_dir)[2].where("rank <= 5").select("query", F.col("id").alias("doc_id"), "rank", "source_ranks"), "hits")
     rank = lambda s: F.try_element_at("source_ranks", F.lit(s))
     header = R.context_header(F.col("doc_id"), F.lit(""), F.col("source"), [("RRF Rank", F.col("rank")), ("BM25 Rank", rank("bm25")), ("Dense Rank", rank("dense"))])
-    blocks = table(spark, sf_dir, "documents").join(F.broadcast(hits), "doc_id").select("query", "rank", "doc_id", header.alias("header"), F.coalesce("text", F.lit("")).alias("content"))
+    blocks = table(spark, sf_dir, "documents").join(broadcast_if_small(hits), "doc_id").select("query", "rank", "doc_id", header.alias("header"), F.coalesce("text", F.lit("")).alias("content"))
     packed = R.pack(blocks, max_chars=6000)
     listed = packed.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("rank", "doc_id", "packed"))).alias("x"), F.bool_or("truncated").alias("truncated"))
     context, ids = F.array_join("x.packed", "\n\n"), F.transform("x.doc_id", lambda i: F.concat(F.lit("doc-"), i.cast("string")))

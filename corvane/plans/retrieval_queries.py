@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import evaluate as E
 from ..operators import retrieval as R
-from ..sources.storage import materialize
+from ..sources.storage import broadcast_if_small, materialize
 from .registry import query, table
 
 _TOKENS = f"regexp_extract_all(lower(coalesce(text, '')), '{T.TOKEN_RE2}')"
@@ -42,7 +42,7 @@ def bm25_explain(spark: SparkSession, sf_dir: str) -> DataFrame:
     index, asked = _bm25(spark, sf_dir)
     each = materialize(R.bm25_contributions(index, asked), "contributions")
     best = R.top_hits(each.groupBy("query", "id").agg(F.sum("contribution").alias("score")), 3).select("query", "id")
-    return R.explain(each.join(F.broadcast(best), ["query", "id"])).select("query", "id", "term", F.round("contribution", 6).alias("contribution"), "position")
+    return R.explain(each.join(broadcast_if_small(best), ["query", "id"])).select("query", "id", "term", F.round("contribution", 6).alias("contribution"), "position")
 
 
 @query(f"WITH {_B} SELECT (SELECT count(*) FROM dl) AS documents, (SELECT round(avg(length), 3) FROM dl) AS average_length, (SELECT count(*) FROM dfs) AS unique_terms")
@@ -117,7 +117,7 @@ SELECT query, id, CAST(old_rank AS INTEGER) AS old_rank, CAST(rank AS INTEGER) A
 def rerank_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     fused = materialize(_fused(spark, sf_dir).select("query", "id", "rank"), "fused")
     sets, asked = _overlap(spark, sf_dir)
-    pairs = sets.join(fused, "id").join(F.broadcast(asked.select("query", F.col("words").alias("q"))), "query")
+    pairs = sets.join(fused, "id").join(broadcast_if_small(asked.select("query", F.col("words").alias("q"))), "query")
     scores = pairs.select("query", "id", F.size(F.array_intersect("words", "q")).alias("score"))
     return R.rerank(fused, scores, top_k=5).select("query", "id", "old_rank", "rank", "rank_delta", "is_hit")
 
@@ -130,7 +130,7 @@ z AS (SELECT *, coalesce(max(CASE WHEN room < length(content) THEN 1 ELSE 0 END)
 SELECT query, id, CAST(rank AS INTEGER) AS rank, length(content) > room AS truncated, md5(header || chr(10) || left(content, CAST(room AS BIGINT))) AS packed_md5 FROM z WHERE stopped = 0 AND room > 0""")
 def context_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = R.bm25(*_bm25(spark, sf_dir), top_k=10).select("query", F.col("id").alias("doc_id"), "rank")
-    blocks = table(spark, sf_dir, "documents").join(F.broadcast(hits), "doc_id").select("query", "rank", F.col("doc_id").alias("id"), R.context_header(F.col("doc_id"), F.lit(""), F.col("source"), [("BM25 Rank", F.col("rank"))]).alias("header"), F.coalesce("text", F.lit("")).alias("content"))
+    blocks = table(spark, sf_dir, "documents").join(broadcast_if_small(hits), "doc_id").select("query", "rank", F.col("doc_id").alias("id"), R.context_header(F.col("doc_id"), F.lit(""), F.col("source"), [("BM25 Rank", F.col("rank"))]).alias("header"), F.coalesce("text", F.lit("")).alias("content"))
     return R.pack(blocks, max_chars=6000).select("query", "id", "rank", "truncated", F.md5("packed").alias("packed_md5"))
 
 
@@ -161,7 +161,7 @@ _METRICS = ("recall_1", "recall_3", "recall_5", "recall_10", "precision_5", "pre
 def _qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = table(spark, sf_dir, "embeddings")
     asked = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), F.col("label").alias("l"))
-    return v.join(F.broadcast(asked), F.col("label") == F.col("l")).select("query", F.col("vec_id").alias("id"), (F.col("vec_id") % 3 + 1).alias("grade"))
+    return v.join(broadcast_if_small(asked), F.col("label") == F.col("l")).select("query", F.col("vec_id").alias("id"), (F.col("vec_id") % 3 + 1).alias("grade"))
 
 
 @query(f"WITH {_BUNDLE} SELECT query, {', '.join(f'round({m}, 6) AS {m}' for m in _METRICS)} FROM mb")
