@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_extract, licenses, minhash, mixing, quality_knn, quality_rules, quality_sql, token_counts, token_store, toxicity
-from .common import materialize, table
+from . import decontaminate, html_extract, impact_search, licenses, minhash, mixing, periodic_runs, quality_knn, quality_rules, quality_sql, token_counts, token_store, toxicity, whitening
+from .common import let, materialize, table, words_of
 
 
 #: The token vocabulary; the file is not part of this repository.
@@ -85,7 +85,39 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("mx_size").alias("size"), F.col("mx_source_size").alias("source_size"), F.col("mx_target").alias("target"), (F.col("mx_copies") * F.col("mx_size")).alias("taken"))
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_token_counts, op3_minhash, op4_decontamination, op5_toxicity, op6_quality_rules, op7_licenses, op8_token_ids, op9_quality, op10_mixing)}
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) in which a tenth of the documents, chosen by their id, repeat a few words from some word on."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+
+    def planted(words: Column) -> Column:
+        n, g = F.size(words), F.floor(h / 10)
+        at = (g % n).cast("int")
+        period = F.lit(1) + F.floor((n - at) / (F.lit(3) + g % 8)).cast("int")
+        new = let(F.struct(at.alias("a"), period.alias("p")), lambda s: F.transform(words, lambda x, i: F.when(i < s["a"], x).otherwise(F.get(words, s["a"] + (i - s["a"]) % s["p"]))))
+        return F.when(n > 0, F.array_join(new, " ")).otherwise(F.lit(""))
+
+    return docs.select("doc_id", F.when(h % 10 == 0, let(words_of(F.col("text")), planted)).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = periodic_runs.runs_of(with_planted_runs(table(spark, sf_dir, "documents")))
+    best = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("l"), r["start"].alias("start"), r["period"].alias("period"))))
+    listed = F.array_join(F.transform("runs", lambda r: F.format_string("%d,%d,%d\n", r["start"], r["length"], r["period"])), "")
+    return out.withColumn("best", best).select(
+        F.col("doc").alias("doc_id"), F.size("runs").cast("long").alias("n_runs"), F.col("best.start").alias("start"), (-F.col("best.l")).alias("length"), F.col("best.period").alias("period"),
+        F.floor(F.lit(1000) * -F.col("best.l") / F.col("best.period")).alias("exponent_milli"), F.sha2(listed, 256).alias("runs_sha256"), F.sha2("text", 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return impact_search.search(table(spark, sf_dir, "embeddings"), is_query=F.col("vec_id") % 20 == 0, k=20, scale=64)
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings")).withColumnRenamed("doc", "vec_id")
+
+
+QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_token_counts, op3_minhash, op4_decontamination, op5_toxicity, op6_quality_rules, op7_licenses, op8_token_ids, op9_quality, op10_mixing, op11_periodic_runs, op12_topk_search, op13_whitening)}
 
 _OP4_WORDS = r"[w FOR w IN regexp_split_to_array(translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+')  IF w <> '']"
 
@@ -147,5 +179,33 @@ o AS (SELECT d.*, md5(concat_ws('|', '0', CAST(doc_id AS VARCHAR))) AS h, length
 p AS (SELECT *, CAST(row_number() OVER (PARTITION BY source ORDER BY c, CAST('0x' || substr(h, 1, 4) AS INTEGER) % 4096, size, h, doc_id) AS DOUBLE) AS k FROM o)
 SELECT doc_id, size, source_size, target, CAST(least(floor(k * rate + u) - floor((k - 1) * rate + u), ceil(rate)) AS BIGINT) * size AS taken
 FROM p JOIN r ON p.source IS NOT DISTINCT FROM r.source
+""",
+    "op11_periodic_runs": r"""
+WITH RECURSIVE c8(i, k, c) AS (SELECT i, 0, i FROM range(256) t(i) UNION ALL SELECT i, k + 1, CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM c8 WHERE k < 8),
+crc AS (SELECT list(c ORDER BY i) AS t FROM c8 WHERE k = 8),
+h AS (SELECT doc_id, text, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+  lambda c, b: xor(c >> 8, t[CAST(xor(c, b) & 255 AS INTEGER) + 1])), 4294967295) AS h FROM documents, crc),
+o AS (SELECT doc_id, h % 10 = 0 AS planted, h // 10 AS g, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM h),
+a AS (SELECT *, len(w) AS n, CASE WHEN planted AND len(w) > 0 THEN CAST(g % len(w) AS INTEGER) END AS a FROM o),
+p AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM a),
+d AS (SELECT doc_id, CAST(n AS BIGINT) AS n, CASE WHEN a IS NULL THEN w ELSE list_transform(range(n), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END]) END AS w FROM p),
+u AS (SELECT doc_id, n, unnest(w) AS x, unnest(range(n)) AS i FROM d),
+e AS (SELECT l.doc_id, r.i - l.i AS q, l.i FROM u l JOIN u r ON r.doc_id = l.doc_id AND r.x = l.x AND r.i > l.i AND r.i - l.i <= l.n // 4),
+s AS (SELECT doc_id, q, min(i) AS start, count(*) + q AS length FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM e) GROUP BY doc_id, q, island HAVING count(*) + q >= greatest(6, 4 * q)),
+r AS (SELECT doc_id, start, length, min(q) AS period FROM s GROUP BY doc_id, start, length),
+b AS (SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS listed,
+  list({'start': start, 'length': length, 'period': period} ORDER BY length DESC, start, period)[1] AS best FROM r GROUP BY doc_id),
+x AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM r),
+k AS (SELECT u.doc_id, string_agg(x, ' ' ORDER BY i) AS kept FROM u ANTI JOIN x USING (doc_id, i) GROUP BY u.doc_id)
+SELECT d.doc_id, CAST(coalesce(n_runs, 0) AS BIGINT) AS n_runs, CAST(best.start AS BIGINT) AS start, CAST(best.length AS BIGINT) AS length, CAST(best.period AS BIGINT) AS period,
+  CAST(1000 * best.length // best.period AS BIGINT) AS exponent_milli, sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM d LEFT JOIN b USING (doc_id) LEFT JOIN k USING (doc_id)
+""",
+    "op12_topk_search": r"""
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS DOUBLE)) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.x, c.x) AS BIGINT) AS score FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS k FROM s)
+SELECT query_id, CAST(k AS INTEGER) AS rank, vec_id, score FROM r WHERE k <= 20
 """,
 }
