@@ -3,54 +3,63 @@
 from __future__ import annotations
 
 import html
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Elements whose content is not shown, and those that end a line.
-IGNORED = frozenset("script style noscript svg".split())
-BREAKING = frozenset("p div article section li br h1 h2".split())
+# What a tag does to the text around it. Content of hidden elements is not shown; those of lines end a line.
+HIDDEN = "script style noscript svg"
+LINES = "p div article section li br h1 h2"
+HIDES, BREAKS, NAMES = 1, 2, 4
+EFFECT = dict.fromkeys(HIDDEN.split(), HIDES) | dict.fromkeys(LINES.split(), BREAKS) | {"title": NAMES}
 
 
-class _Text(HTMLParser):
-    def __init__(self) -> None:
+class _Tokens(HTMLParser):
+    """The tokens of a page in order: (1, effect of the tag opened), (-1, effect of the tag closed), (0, text)."""
+
+    def __init__(self, page: str) -> None:
         super().__init__(convert_charrefs=True)
-        self.skip, self.in_title, self.title, self.parts = 0, False, [], []
+        self.found: list[tuple[int, int | str]] = []
+        self.feed(page)
+
+    def note(self, side: int, tag: str) -> None:
+        effect = EFFECT.get(tag, 0)
+        if effect and not (side < 0 and tag == "br"):
+            self.found.append((side, effect))
 
     def handle_starttag(self, tag, attrs):
-        self.skip += tag in IGNORED
-        self.in_title |= tag == "title"
-        if tag in BREAKING:
-            self.parts.append("\n")
+        self.note(1, tag)
 
     def handle_endtag(self, tag):
-        self.skip = max(0, self.skip - (tag in IGNORED))
-        if tag == "title":
-            self.in_title = False
-        if tag in BREAKING and tag != "br":
-            self.parts.append("\n")
+        self.note(-1, tag)
 
     def handle_data(self, data):
-        if not self.skip:
-            self.parts.append(data)
-            if self.in_title:
-                self.title.append(data)
+        self.found.append((0, data))
 
 
-def compact(text: str) -> str:
-    """Character references decoded, white space inside lines collapsed, blank lines dropped."""
-    lines = (" ".join(x.split()) for x in html.unescape(text).splitlines())
-    return "\n".join(x for x in lines if x)
+def compact(parts: Iterable[str]) -> str:
+    """Parts joined by a space, character references decoded, white space inside lines collapsed, blank lines dropped."""
+    lines = (" ".join(x.split()) for x in html.unescape(" ".join(parts)).splitlines())
+    return "\n".join(filter(None, lines))
 
 
 def page_text(page: str | None) -> tuple[str, str]:
-    """(title, text) of a page; the title is part of the text too."""
-    parser = _Text()
-    parser.feed(page or "")
-    return compact(" ".join(parser.title)), compact(" ".join(parser.parts))
+    """(title, text) of a page; the title is part of the text too. Text inside hidden elements is left out of both."""
+    shown, titles, depth, naming = [], [], 0, False
+    for side, what in _Tokens(page or "").found:
+        if side == 0:
+            shown += [what] * (depth == 0)
+            titles += [what] * (depth == 0 and naming)
+        elif what == HIDES:
+            depth = max(0, depth + side)
+        elif what == NAMES:
+            naming = side > 0
+        else:
+            shown.append("\n")
+    return compact(titles), compact(shown)
 
 
 def untrusted(content: Column) -> Column:
