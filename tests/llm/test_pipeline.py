@@ -49,7 +49,7 @@ def test_stages_on_odd_rows(spark, tmp_path, odd, odd_rows, none):
     """Nulls, empty and long texts, ties, repeated rows and ids, clashing names, and empty tables go through every stage."""
     spark.createDataFrame([(1, "nothing of this occurs in any document at all here today"), (2, None)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     stage = dict(corpus_pipeline.STAGES)
-    clash = {"doc": "k0", "score": "key", "kept": "row", "component": "mark", "mx_size": "mx_other"}
+    clash = {"doc": "k0", "score": "key", "kept": "row", "component": "mark", "mx_size": "mx_other", "qr_kept": "a.b`c"}
     docs = materialize(odd.withColumnsRenamed(clash), "odd")
     kept = materialize(stage["quality_rules"](spark, docs, str(tmp_path)), "q")
     assert kept.columns == docs.columns and kept.where("text IS NULL OR text = ''").count() == 0
