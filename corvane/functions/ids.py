@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .canonical import canonical
+
 
 def content_hash(text: Column) -> Column:
     return F.sha2(text, 256)
@@ -52,3 +54,8 @@ def cache_key(model: Column, corpus_hash: Column, normalized: Column) -> Column:
 def random_id(prefix: str) -> Column:
     """A new id in every run; never part of a result that must repeat."""
     return F.concat(F.lit(f"{prefix}-"), F.left(F.replace(F.uuid(), F.lit("-"), F.lit("")), F.lit(24)))
+
+
+def trajectory_hash(messages: Column) -> Column:
+    """The hash of a trajectory's messages (JSON text), whatever the order of the keys in them."""
+    return F.sha2(canonical(messages), 256)

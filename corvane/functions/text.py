@@ -77,6 +77,13 @@ def answer_key(text: Column) -> Column:
     return F.array_join(F.array_sort(F.array_distinct(F.regexp_extract_all(casefold(nfkc(text)), F.lit(r"(?U)\w+"), F.lit(0)))), " ")
 
 
+def answer_keys(texts: Column) -> Column:
+    """The keys of an array of answers: folded in one piece, as lambdas take no Python, then parted again."""
+    whole = casefold(nfkc(F.array_join(F.transform(texts, lambda x: F.replace(x, F.lit("\x00"), F.lit(" "))), "\x00")))
+    key = lambda x: F.array_join(F.array_sort(F.array_distinct(F.regexp_extract_all(x, F.lit(r"(?U)\w+"), F.lit(0)))), " ")
+    return F.transform(F.split(whole, "\x00"), key)
+
+
 def normalize_question(text: Column) -> Column:
     return squeeze(casefold(text))
 

@@ -99,15 +99,13 @@ def event_sequence(events: DataFrame, *, by: str, ts: str, tie: str) -> DataFram
 
 
 def protocol_state(steps: DataFrame, *, case: str = "case_id", step: str = "step") -> DataFrame:
-    """steps (action, ids, ok) -> the sets discovered, read and evaluated before each step."""
-    before = Window.partitionBy(case).orderBy(step).rowsBetween(Window.unboundedPreceding, -1)
-    seen = lambda a: F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.when((F.col("action") == a) & F.col("ok"), F.col("ids")).otherwise(F.array().cast("array<string>"))).over(before))))
-    return steps.withColumns({"discovered": seen("search"), "read": seen("read"), "evaluated": seen("evaluate")})
-
+    """steps (action, ids, ok) -> how many ids were discovered, read and evaluated before each step.
 
-def answer_error(cited: Column, discovered: Column, read: Column, evaluated: Column, *, least: int = 2) -> Column:
-    """Error code of an answer step, the first that applies; null if it is allowed."""
-    return (
-        F.when(F.size(F.array_except(cited, discovered)) > 0, "unknown_evidence_id").when(F.size(cited) == 0, "missing_citation").when(F.size(F.array_except(cited, read)) > 0, "unread_evidence")
-        .when(F.size(read) < least, "insufficient_coverage").when(F.size(cited) < least, "too_few_citations").when(F.size(F.array_except(cited, evaluated)) > 0, "not_evaluated")
-    )
+    An id counts from the first step of its kind that names it: a minimum per id, then a running sum, linear in a case's steps.
+    """
+    named = steps.where("ok AND action IN ('search', 'read', 'evaluate')").select(case, step, "action", F.explode("ids").alias("id"))
+    first = named.groupBy(case, "action", "id").agg(F.min(step).alias(step))
+    new = first.groupBy(case, step).agg(*[F.count_if(F.col("action") == a).alias(f"__{a}") for a in ("search", "read", "evaluate")])
+    before = Window.partitionBy(case).orderBy(step).rowsBetween(Window.unboundedPreceding, -1)
+    out = steps.join(new, [case, step], "left")
+    return out.withColumns({n: F.coalesce(F.sum(f"__{a}").over(before), F.lit(0)) for n, a in (("discovered", "search"), ("read", "read"), ("evaluated", "evaluate"))}).drop("__search", "__read", "__evaluate")

@@ -166,8 +166,12 @@ def url_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SPOILT = "'My API_KEY = ' || doc_id || ' in /home/u' || doc_id || '/x and /data/team/y; scp me@host:z. ' || chr(10) || 'Disk quotas for user joe (uid 12): none. ' || coalesce(text, '')"
 
 
-@query(rf"""SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({_SPOILT}, '(?i)\b([a-z0-9_]*(?:api[_-]?key|access[_-]?token|auth[_-]?token|password|secret)[a-z0-9_]*)\b(\s*[:=]\s*)(\S+)', '\1\2<redacted>', 'g'),
-  '/home/[^/\s=:]+', '$HOME', 'g'), '/data/[^/\s=:]+/', '/data/$USER/', 'g'), '(?im)^Disk quotas for user \S+(?:\s+\(uid\s+\d+\))?:?', 'Disk quotas for current user', 'g'), '(?i)\b(?:ssh|scp)\s+[^@\s]+@[^:\s]+', 'ssh <redacted-target>', 'g')) AS clean FROM documents""")
+# The text without what must not be shown, as SQL.
+REDACTED = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, '(?i)\b([a-z0-9_]*(?:api[_-]?key|access[_-]?token|auth[_-]?token|password|secret)[a-z0-9_]*)\b(\s*[:=]\s*)(\S+)', '\1\2<redacted>', 'g'),
+  '/home/[^/\s=:]+', '$HOME', 'g'), '/data/[^/\s=:]+/', '/data/$USER/', 'g'), '(?im)^Disk quotas for user \S+(?:\s+\(uid\s+\d+\))?:?', 'Disk quotas for current user', 'g'), '(?i)\b(?:ssh|scp)\s+[^@\s]+@[^:\s]+', 'ssh <redacted-target>', 'g')"""
+
+
+@query(f"SELECT doc_id, md5({REDACTED.format(_SPOILT)}) AS clean FROM documents")
 def redact(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = F.col("doc_id").cast("string")
     text = F.concat(F.lit("My API_KEY = "), d, F.lit(" in /home/u"), d, F.lit("/x and /data/team/y; scp me@host:z. \nDisk quotas for user joe (uid 12): none. "), F.coalesce("text", F.lit("")))

@@ -98,7 +98,7 @@ FROM s WINDOW w AS (PARTITION BY case_id ORDER BY step ROWS BETWEEN UNBOUNDED PR
 def protocol_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     action = F.when(F.col("event_type") == "view", "search").when(F.col("event_type") == "click", "read").otherwise("evaluate")
     steps = S.event_sequence(table(spark, sf_dir, "events"), by="user_id", ts="ts", tie="event_id").select(F.col("user_id").alias("case_id"), F.col("seq").alias("step"), action.alias("action"), F.array((F.col("event_id") % 5).cast("string")).alias("ids"), F.lit(True).alias("ok"))
-    return S.protocol_state(steps).select("case_id", F.col("step").cast("long").alias("step"), F.size("discovered").alias("discovered"), F.size("read").alias("read"), F.size("evaluated").alias("evaluated"))
+    return S.protocol_state(steps).select("case_id", F.col("step").cast("long").alias("step"), *[F.col(c).cast("int").alias(c) for c in ("discovered", "read", "evaluated")])
 
 
 @query("""SELECT n_name, count(*) AS orders, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name""")

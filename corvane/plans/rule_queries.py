@@ -161,11 +161,68 @@ def dev_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trajectories.dev_cases(trajectories.to_records(_filtered(spark, sf_dir), "Answer from evidence.")).select("case_id", "question", "expected_answer", "error")
 
 
-@query()
+# Logs of tool use from events: a user's days are cases with five known ids; views search, clicks read, sign-ups evaluate,
+# purchases answer, errors search without a query or are no action at all.
+_TOOL_LOG = """
+x AS (SELECT user_id || '-' || (dayofmonth(ts) - 1) // 6 AS c, ts, event_id, event_type, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events),
+l AS (SELECT c, row_number() OVER (PARTITION BY c ORDER BY ts, event_id) AS n, CASE event_type WHEN 'view' THEN 'search' WHEN 'click' THEN 'read_page' WHEN 'signup' THEN 'evaluate_evidence' WHEN 'purchase' THEN 'answer' WHEN 'error' THEN CASE WHEN k < 80 THEN 'search' END END AS action,
+  event_type = 'error' AS silent, k, CASE event_type WHEN 'view' THEN [k % 6, (k + 1) % 6, (k + 2) % 6] WHEN 'click' THEN [k % 6] WHEN 'signup' THEN [k % 5] WHEN 'purchase' THEN list_distinct([k % 5, (k // 6) % 6]) ELSE [] END AS ids FROM x),
+s AS (SELECT *, min(CASE WHEN action IS NULL THEN n END) OVER (PARTITION BY c) AS broken FROM l WHERE n <= 12),
+r AS (SELECT * FROM s WHERE broken IS NULL OR n <= broken),
+e AS (SELECT c, n, action, silent, unnest(ids) AS id FROM r),
+e1 AS (SELECT *, id < 5 AS known, min(CASE WHEN action = 'search' AND NOT silent AND id < 5 THEN n END) OVER (PARTITION BY c, id) AS f FROM e),
+e2 AS (SELECT *, min(CASE WHEN action = 'read_page' AND known AND f < n THEN n END) OVER (PARTITION BY c, id) AS rd FROM e1),
+e3 AS (SELECT *, bool_and(known AND coalesce(rd < n, FALSE)) OVER (PARTITION BY c, n) AS whole FROM e2),
+e4 AS (SELECT *, min(CASE WHEN action = 'evaluate_evidence' AND whole THEN n END) OVER (PARTITION BY c, id) AS j FROM e3),
+g AS (SELECT c, n, count(*) AS wanted, count(*) FILTER (NOT known) AS unknown, count(*) FILTER (NOT coalesce(f < n, FALSE)) AS unfound, count(*) FILTER (NOT coalesce(rd < n, FALSE)) AS unread, count(*) FILTER (NOT coalesce(j < n, FALSE)) AS unjudged,
+  count(*) FILTER (rd = n) AS fresh, list(id) FILTER (action = 'search' AND f = n) AS found, list(id) FILTER (action = 'read_page' AND rd = n) AS got FROM e4 GROUP BY c, n),
+a AS (SELECT r.*, coalesce(wanted, 0) AS wanted, coalesce(unknown, 0) AS unknown, coalesce(unfound, 0) AS unfound, coalesce(unread, 0) AS unread, coalesce(unjudged, 0) AS unjudged, found, got,
+  coalesce(sum(coalesce(fresh, 0)) OVER (PARTITION BY r.c ORDER BY r.n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM r LEFT JOIN g ON g.c = r.c AND g.n = r.n),
+b AS (SELECT *, CASE WHEN action IS NULL THEN 'invalid_policy_output' WHEN action = 'answer' THEN CASE WHEN unknown > 0 THEN 'unknown_evidence_id' WHEN wanted = 0 THEN 'missing_evidence_citation' WHEN unread > 0 THEN 'unread_evidence_id'
+  WHEN before < 2 THEN 'insufficient_evidence_coverage' WHEN wanted < 2 THEN 'insufficient_answer_citations' WHEN unjudged > 0 THEN 'evidence_not_evaluated' END
+  WHEN action = 'read_page' THEN CASE WHEN unknown > 0 THEN 'unknown_evidence_id' WHEN unfound > 0 THEN 'undiscovered_evidence_id' END
+  WHEN action = 'evaluate_evidence' THEN CASE WHEN wanted = 0 THEN 'invalid_arguments' WHEN unknown > 0 THEN 'unknown_evidence_id' WHEN unread > 0 THEN 'unread_evidence_id' END
+  WHEN silent THEN 'invalid_arguments' END AS error FROM a),
+d AS (SELECT *, min(CASE WHEN action = 'answer' AND error IS NULL THEN n END) OVER (PARTITION BY c) AS done FROM b),
+z AS (SELECT * FROM d WHERE done IS NULL OR n <= done),
+t AS (SELECT c, count(*) AS steps, bool_or(action IS NULL) AS broke, bool_or(action = 'answer') AS tried, arg_max(coalesce(error, ''), n) FILTER (action = 'answer') AS last_error, arg_max(ids, n) FILTER (action = 'answer') AS cited, arg_max(k, n) FILTER (action = 'answer') AS said,
+  count(*) FILTER (error IS NOT NULL) AS failed, flatten(list(found) FILTER (found IS NOT NULL)) AS discovered, flatten(list(got) FILTER (got IS NOT NULL)) AS got,
+  sum(CASE WHEN action = 'answer' THEN unknown WHEN error LIKE '%evidence_id%' THEN 1 ELSE 0 END) AS unknown_ids,
+  count(*) FILTER (CASE WHEN action = 'answer' THEN error IN ('missing_evidence_citation', 'unread_evidence_id') ELSE error NOT LIKE '%evidence_id%' END) AS invalid_actions,
+  count(*) FILTER (action = 'answer' AND error IN ('insufficient_evidence_coverage', 'insufficient_answer_citations', 'evidence_not_evaluated')) AS insufficient FROM z GROUP BY c),
+u AS (SELECT *, coalesce(tried AND last_error = '' AND NOT broke, FALSE) AS completed, CASE WHEN coalesce(tried AND last_error = '' AND NOT broke, FALSE) THEN 'completed' WHEN broke THEN 'invalid_policy_output' ELSE coalesce(nullif(last_error, ''), 'max_steps') END AS stop_reason FROM t),
+res AS (SELECT c AS case_id, completed, completed AND said % 2 = 0 AS answer_exact, stop_reason, CAST(steps AS INTEGER) AS steps, CAST(coalesce(len(discovered), 0) AS INTEGER) AS discovered, CAST(coalesce(len(got), 0) AS INTEGER) AS read, CAST(coalesce(len(cited), 0) AS INTEGER) AS cited,
+  CAST(unknown_ids AS BIGINT) AS unknown_ids, invalid_actions, insufficient, CASE WHEN completed THEN failed ELSE 0 END AS recovered,
+  NOT completed AND stop_reason <> 'max_steps' AND stop_reason <> 'undiscovered_evidence_id' AS protocol_failure,
+  len(list_intersect([0, 1, 2], list_concat(coalesce(got, []), coalesce(cited, [])))) / 3e0 AS recall FROM u)
+"""
+
+
+def _tool_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events")
+    k, kind = F.get_json_object("props", "$.k").cast("int"), F.col("event_type")
+    case = F.concat_ws("-", F.col("user_id").cast("string"), F.floor((F.dayofmonth("ts") - 1) / 6).cast("string"))
+    action = F.when(kind == "view", replay.SEARCH).when(kind == "click", replay.READ).when(kind == "signup", replay.EVALUATE).when(kind == "purchase", replay.ANSWER).when(k < 80, replay.SEARCH)
+    ids = F.when(kind == "view", F.array(k % 6, (k + 1) % 6, (k + 2) % 6)).when(kind == "click", F.array(k % 6)).when(kind == "signup", F.array(k % 5)).when(kind == "purchase", F.array(k % 5, F.floor(k / 6).cast("int") % 6))
+    said = F.when(k % 2 == 0, "The Answer!").otherwise("no")
+    steps = events.select(case.alias("case_id"), F.struct("ts", "event_id").alias("step"), action.alias("action"), F.when(kind != "error", "q").alias("query"), ids.cast("array<string>").alias("ids"), said.alias("final_answer"))
+    of = lambda n: F.transform(F.sequence(F.lit(0), F.lit(n)), lambda i: i.cast("string"))
+    cases = steps.select("case_id").distinct().select("case_id", of(4).alias("evidence"), of(2).alias("gold"), F.lit("something").alias("expected_answer"), F.array(F.lit("answer the")).alias("aliases"))
+    return replay.results(steps, cases, max_steps=12, least_read=2, need_evaluated=True)
+
+
+@query(f"WITH {_TOOL_LOG} SELECT case_id, completed, answer_exact, stop_reason, steps, discovered, read, cited, unknown_ids, invalid_actions, insufficient, recovered, protocol_failure, round(recall, 6) AS recall FROM res")
 def tool_loop_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kind = F.when(F.col("event_type") == "view", "search").when(F.col("event_type") == "click", "read").when(F.col("event_type") == "purchase", "answer").otherwise("evaluate")
-    steps = S.event_sequence(table(spark, sf_dir, "events"), by="user_id", ts="ts", tie="event_id").select(F.col("user_id").alias("case_id"), F.col("seq").alias("step"), kind.alias("action"), F.array((F.col("event_id") % 3).cast("string")).alias("ids"))
-    return replay.replay(steps, max_steps=40).select("case_id", "completed", "stop_reason", "steps", "unknown_ids", "invalid_actions", "insufficient", "recovered", "protocol_failure")
+    out = _tool_log(spark, sf_dir)
+    return out.select(*[F.size(c).alias(c) if c in ("discovered", "read", "cited") else F.round(c, 6).alias(c) if c == "recall" else F.col(c) for c in out.columns])
+
+
+@query(f"""WITH {_TOOL_LOG} SELECT count(*) AS cases, count(*) FILTER (completed) AS completed, round(avg(CAST(completed AS INTEGER)), 6) AS completion_rate, count(*) FILTER (answer_exact) AS answer_exact, round(avg(CAST(answer_exact AS INTEGER)), 6) AS answer_exact_rate,
+  CAST(sum(unknown_ids) AS BIGINT) AS unknown_ids, CAST(sum(invalid_actions) AS BIGINT) AS invalid_actions, CAST(sum(insufficient) AS BIGINT) AS insufficient, CAST(sum(recovered) AS BIGINT) AS recovered, count(*) FILTER (protocol_failure) AS protocol_failures,
+  round(avg(steps), 6) AS mean_steps, round(avg(recall), 6) AS mean_recall, avg(CAST(answer_exact AS INTEGER)) >= 0.5 AND avg(CAST(completed AS INTEGER)) >= 0.95 AND sum(unknown_ids) = 0 AND sum(invalid_actions) = 0 AND count(*) FILTER (protocol_failure) = 0 AND avg(recall) >= 0.9 AS passed FROM res""")
+def tool_loop_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = replay.summary(_tool_log(spark, sf_dir), []).drop("checks", "decision")
+    return out.select(*[F.round(c, 6).alias(c) if c.endswith("rate") or c.startswith("mean") else F.col(c) for c in out.columns])
 
 
 @query(r"""WITH a AS (SELECT conv_id, turn, trim(s) AS s FROM (SELECT conv_id, turn, unnest(string_split(regexp_replace(coalesce(text, ''), '([.!?。！？])\s+', '\1' || chr(1), 'g'), chr(1))) AS s FROM conversations WHERE role = 'assistant') WHERE trim(s) <> '')

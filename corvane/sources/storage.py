@@ -80,21 +80,6 @@ def delete_cascade(parents: DataFrame, children: DataFrame, doomed: DataFrame, k
     return parents.join(doomed, key, "left_anti"), children.join(doomed, key, "left_anti")
 
 
-def publish(df: DataFrame, root: str, version: int) -> str:
-    """Write a new version beside the old ones and then point `current` at it; a failure before that leaves the old one current."""
-    spark = df.sparkSession
-    path = f"{root}/v{version:06d}"
-    df.write.mode("errorifexists").parquet(path)
-    pointer = spark.createDataFrame([(version, path)], "version int, path string").coalesce(1)
-    pointer.write.mode("append").parquet(f"{root}/_versions")
-    return path
-
-
-def current(spark: SparkSession, root: str) -> DataFrame:
-    row = spark.read.parquet(f"{root}/_versions").orderBy(F.desc("version")).first()
-    return spark.read.parquet(row["path"])
-
-
 def manifest(spark: SparkSession, glob: str) -> DataFrame:
     """(path, bytes, sha256) of files, for checks of frozen data."""
     files = spark.read.format("binaryFile").load(glob)
@@ -111,19 +96,3 @@ def verify_manifest(found: DataFrame, expected: DataFrame) -> DataFrame:
 def write_report(rows: DataFrame, path: str) -> None:
     """A report of few rows as one file of JSON lines."""
     rows.coalesce(1).write.mode("overwrite").json(path)
-
-
-def cached_vectors(spark: SparkSession, root: str, key: str, ids: DataFrame, build) -> DataFrame:
-    """Vectors stored under a content-addressed key if they are those of exactly the same ids (column id), else built and stored.
-
-    build() returns (id, vector).
-    """
-    from .readers import exists
-
-    path = f"{root}/cache_key={key}"
-    if exists(spark, f"{path}/_SUCCESS"):
-        held = spark.read.parquet(path)
-        if not held.select("id").exceptAll(ids.select("id")).limit(1).count() and not ids.select("id").exceptAll(held.select("id")).limit(1).count():
-            return held
-    build().select("id", "vector").write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)

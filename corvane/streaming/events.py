@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+COLUMNS = ("event_id", "ts", "user_id", "event_type", "value", "props")
 EVENT = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
 
@@ -15,7 +16,7 @@ def read(spark: SparkSession, path: str, *, name: str = "*.parquet", files_per_t
     Event times come without a zone and are taken in the session's; watermarks need that."""
     reader = spark.readStream.schema(EVENT).option("pathGlobFilter", name)
     if files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger).option("recursiveFileLookup", "true")
     return reader.parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
 
 

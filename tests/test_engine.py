@@ -13,7 +13,7 @@ from corvane.functions import text as T
 from corvane.functions import vectors as V
 from corvane.operators import chunk, corpus, evaluate, failures, ingest, retrieval, sequence, trajectories
 from corvane.operators.pages import page_text
-from corvane.sources import readers, storage
+from corvane.sources import readers, storage, versions
 
 
 def one(spark, expr, **values):
@@ -206,9 +206,9 @@ def test_upsert_and_ignore(spark):
 
 
 def test_publish_and_manifest(spark, tmp_path):
-    storage.publish(spark.range(3).toDF("k"), str(tmp_path / "idx"), 1)
-    storage.publish(spark.range(5).toDF("k"), str(tmp_path / "idx"), 2)
-    assert storage.current(spark, str(tmp_path / "idx")).count() == 5
+    versions.publish(spark.range(3).toDF("k"), str(tmp_path / "idx"))
+    versions.publish(spark.range(5).toDF("k"), str(tmp_path / "idx"))
+    assert versions.snapshot(spark, str(tmp_path / "idx")).count() == 5
     (tmp_path / "f").mkdir()
     (tmp_path / "f" / "a.txt").write_text("x")
     found = storage.manifest(spark, str(tmp_path / "f"))
@@ -380,8 +380,3 @@ def test_markdown_blocks(spark):
     got = [(r["doc"], r["block"], r["title"], r["section"], r["text"]) for r in out.orderBy("doc", "block").collect()]
     assert got == [(1, 0, "file", None, "intro"), (1, 1, "Title", "Title", "body one\n```\n# no heading\n```"), (1, 2, "Title", "Part", "text"), (1, 3, "Title", "Second", "end"), (3, 0, "f", None, "plain")]
     assert {r["doc"]: r["text"] for r in ingest.text_to_hash(out).collect()}[3] == "[page=;section=]\nplain"
-
-
-def test_answer_error_codes(spark):
-    df = spark.createDataFrame([(["a"], [], [], []), ([], ["a"], [], []), (["a"], ["a"], [], []), (["a", "b"], ["a", "b"], ["a", "b"], ["a", "b"])], "c array<string>, d array<string>, r array<string>, e array<string>")
-    assert [r[0] for r in df.select(sequence.answer_error(*map(F.col, "cdre"))).collect()] == ["unknown_evidence_id", "missing_citation", "unread_evidence", None]

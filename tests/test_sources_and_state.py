@@ -1,5 +1,7 @@
 """Paged sources, stateful runs, evidence stores, replays and rules on small inputs."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -42,14 +44,84 @@ def test_reads_under_a_budget(spark):
     assert evidence.run_metrics(out, ["q"]).first()["cached"] == 2
 
 
-def test_replay(spark):
-    a = [("c1", 1, "read", ["x"]), ("c1", 2, "search", ["x", "y"]), ("c1", 3, "read", ["x", "y"]), ("c1", 4, "answer", ["x"]), ("c2", 1, "search", ["x"]), ("c2", 2, "answer", ["x"]), ("c2", 3, "search", ["y"]), ("c3", 1, "dance", [])]
-    out = {r["case_id"]: r for r in replay.replay(spark.createDataFrame(a, "case_id string, step int, action string, ids array<string>")).collect()}
-    assert (out["c1"]["completed"], out["c1"]["unknown_ids"], out["c1"]["recovered"], out["c1"]["cited"]) == (True, 1, 1, ["x"])
-    assert (out["c2"]["completed"], out["c2"]["stop_reason"], out["c2"]["protocol_failure"]) == (False, "insufficient_evidence", True)
-    assert (out["c3"]["invalid_actions"], out["c3"]["stop_reason"], out["c3"]["protocol_failure"]) == (1, "max_steps", False)
-    row = replay.summary(spark.createDataFrame(list(out.values())), []).first()
-    assert row["cases"] == 3 and row["completion"] == pytest.approx(1 / 3)
+STEPS = "case_id string, step int, action string, query string, ids array<string>, final_answer string"
+CASES = "case_id string, evidence array<string>, gold array<string>, expected_answer string, aliases array<string>"
+
+
+def plain_replay(steps, known, gold, accepted, max_steps, least, need):
+    """A case step by step."""
+    found, read, judged, errors, cited, stop, said = set(), set(), set(), [], [], "max_steps", None
+    unknown = invalid = short = n = 0
+    for action, query, ids, answer in steps[:max_steps]:
+        n, error = n + 1, None
+        ids = list(dict.fromkeys(ids or []))
+        if action is None:
+            errors.append("invalid_policy_output")
+            invalid, stop = invalid + 1, errors[-1]
+            break
+        if action == "answer":
+            cited, strange = ids, [i for i in ids if i not in known]
+            unknown += len(strange)
+            checks = [(strange, "unknown_evidence_id"), (not ids, "missing_evidence_citation"), (set(ids) - read, "unread_evidence_id"), (len(read) < least, "insufficient_evidence_coverage"), (len(ids) < least, "insufficient_answer_citations"), (need and set(ids) - judged, "evidence_not_evaluated")]
+            error = next((e for c, e in checks if c), None)
+            invalid += error in ("missing_evidence_citation", "unread_evidence_id")
+            short += error in replay.INSUFFICIENT
+            stop = error or "completed"
+            if not error:
+                said = answer
+                break
+        elif action == "search":
+            error = None if (query or "").strip() else "invalid_arguments"
+            found |= set() if error else set(ids) & known
+        elif action == "read_page":
+            one = ids[0].strip() if ids else ""
+            error = "unknown_evidence_id" if one not in known else "undiscovered_evidence_id" if one not in found else None
+            read |= set() if error else {one}
+        elif action == "evaluate_evidence":
+            error = "invalid_arguments" if not ids else "unknown_evidence_id" if set(ids) - known else "unread_evidence_id" if set(ids) - read else None
+            judged |= set() if error else set(ids)
+        else:
+            error = "action_not_executable"
+        if error and action != "answer":
+            unknown, invalid = unknown + ("evidence_id" in error), invalid + ("evidence_id" not in error)
+        errors += [error] * bool(error)
+    done = stop == "completed"
+    recall = len(gold & (read | set(cited))) / len(gold) if gold else 1.0
+    return (done, done and " ".join(sorted(set((said or "").lower().split()))) in accepted, stop, n, sorted(found), sorted(read), cited, unknown, invalid, short, len(errors) if done else 0, not done and stop in replay.FAILURES, recall)
+
+
+@pytest.mark.parametrize("least,need", [(1, False), (2, True)])
+def test_tool_logs_are_judged_as_step_by_step(spark, least, need):
+    r = random.Random(least)
+    cases, steps, want, codes = [], [], {}, set()
+    for c in range(250):
+        known, gold = {f"e{i}" for i in range(r.randint(1, 4))}, {f"e{i}" for i in range(r.randint(0, 3))}
+        log = []
+        for i in range(r.randint(0, 12)):
+            action = r.choice(["search", "search", "read_page", "read_page", "evaluate_evidence", "answer", "answer", "dance", None if r.random() < 0.2 else "search"])
+            ids = [f"e{r.randint(0, 4)}" for _ in range(r.choice([0, 1, 1, 2, 3]))]
+            ids = r.choice([ids, sorted(known), sorted(known) * 2]) if action != "dance" else None
+            log.append((action, r.choice(["q", "q", " ", None]), ids, r.choice(["The answer", "answer the", "no"])))
+        want[f"c{c}"] = plain_replay(log, known, gold, {"answer the"}, 9, least, need)
+        cases.append((f"c{c}", sorted(known), sorted(gold), "x", ["the ANSWER"]))
+        steps += [(f"c{c}", i * 2, *s) for i, s in enumerate(log)]
+    both = ["e0", "e1"]
+    log = [("search", "q", both, None), ("answer", None, both, "no"), ("read_page", None, ["e0"], None), ("answer", None, ["e0"], "no"), ("read_page", None, ["e1"], None), ("answer", None, ["e0"], "no"), ("answer", None, both, "the answer")]
+    want["d"] = plain_replay(log, set(both), set(both), {"answer the"}, 9, least, need)
+    cases.append(("d", both, both, "x", ["the ANSWER"]))
+    steps += [("d", i, *s) for i, s in enumerate(log)]
+    log, known = spark.createDataFrame(steps, STEPS), spark.createDataFrame(cases, CASES)
+    out = replay.results(log, known, max_steps=9, least_read=least, need_evaluated=need)
+    got = {row["case_id"]: tuple(row)[1:] for row in out.collect()}
+    assert got == want
+    codes = {row["error"] for row in replay.judged(log, known, max_steps=9, least_read=least, need_evaluated=need).select("error").distinct().collect()}
+    assert codes >= {None, "invalid_policy_output", "unknown_evidence_id", "undiscovered_evidence_id", "unread_evidence_id", "missing_evidence_citation", "invalid_arguments", "action_not_executable"}
+    assert set(replay.INSUFFICIENT) <= codes if need else not set(replay.INSUFFICIENT) & codes
+    row = replay.summary(out, []).first()
+    done = sum(w[0] for w in want.values())
+    assert (row["cases"], row["completed"], row["decision"], row["passed"]) == (251, done, "hold_before_rl", False) and row["completion_rate"] == pytest.approx(done / 251)
+    with pytest.raises(Exception, match="at least one result"):
+        replay.summary(out.limit(0), []).collect()
 
 
 def test_rules(spark):
@@ -94,16 +166,6 @@ def test_more_readers(spark, tmp_path):
     assert (lambda r: (r["step"], r["complete"]))(readers.latest_checkpoint(files).first()) == (10, True)
     got = readers.search_results(spark.createDataFrame([("q", [("t", "u", "s"), ("t", "", "s"), ("t", "v", "s")])], "query string, results array<struct<title:string,url:string,snippet:string>>"))
     assert [(r["rank"], r["url"]) for r in got.collect()] == [(1, "u"), (3, "v")]
-    ids = spark.createDataFrame([("a",), ("b",)], "id string")
-    built = []
-
-    def build():
-        built.append(1)
-        return ids.withColumn("vector", F.array(F.lit(1.0)))
-
-    for _ in range(2):
-        assert storage.cached_vectors(spark, str(tmp_path / "v"), "k", ids, build).count() == 2
-    assert built == [1] and storage.cached_vectors(spark, str(tmp_path / "v"), "k", ids.limit(1), lambda: build().limit(1)).count() == 1
     import hashlib
 
     key = spark.range(1).select(I.cache_key(F.lit("m/x"), F.lit("h"), F.lit(True)).alias("k")).first()["k"]
