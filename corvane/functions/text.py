@@ -32,6 +32,16 @@ def nfkc(text: pa.Array) -> pa.Array:
     return pa.array([t if t is None or unicodedata.is_normalized("NFKC", t) else unicodedata.normalize("NFKC", t) for t in text.to_pylist()], pa.string())
 
 
+# What NFKC leaves as it is: ASCII, composed Latin letters, Cyrillic, kana, ideographs, dashes and quotes. Marks that could join a
+# letter before them are not among these, nor is anything that has a compatible form.
+STABLE = r"^[\x00-\x7f\u00c0-\u0131\u0134-\u013e\u0141-\u0148\u014a-\u017e\u0400-\u04ff\u2012-\u2015\u2018-\u201f\u3001\u3002\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fff]*+$"
+
+
+def compatible(text: Column) -> Column:
+    """Unicode NFKC; only texts that it may change are handed to Python."""
+    return F.coalesce(nfkc(F.when(~text.rlike(STABLE), text)), text)
+
+
 @pandas_udf(StringType())
 def casefold(text: pd.Series) -> pd.Series:
     return text.str.casefold()
@@ -88,9 +98,9 @@ def normalize_question(text: Column) -> Column:
     return squeeze(casefold(text))
 
 
-def tokens(text: Column, *, compatible: bool = False) -> Column:
-    """Tokens in order; runs of CJK characters become overlapping pairs `zh:ab`. compatible: apply NFKC first (an Arrow pass)."""
-    base = F.lower(nfkc(text) if compatible else text)
+def tokens(text: Column) -> Column:
+    """Tokens of a text in compatible form and lower case, in order; runs of CJK characters become overlapping pairs `zh:ab`."""
+    base = F.lower(compatible(text))
     found = F.regexp_extract_all(F.coalesce(base, F.lit("")), F.lit(TOKEN), F.lit(0))
 
     def parts(x: Column) -> Column:
@@ -106,6 +116,21 @@ def sentences(text: Column) -> Column:
     return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"(?<=[.!?。！？])\s+"), lambda x: F.trim(x)), lambda s: s != "")
 
 
+def common(left: Column, right: Column) -> Column:
+    """How many words two arrays share as multisets: both sorted together, then one pass that pairs equal words off."""
+    side = lambda words, n: F.transform(words, lambda w: F.struct(w.alias("w"), F.lit(n).alias("s")))
+    both = F.array_sort(F.concat(side(left, 0), side(right, 1)))
+    start = F.struct(F.lit(None).cast("string").alias("w"), F.lit(0).alias("open"), F.lit(0).alias("n"))
+
+    def step(state: Column, x: Column) -> Column:
+        free = F.when(state["w"].eqNullSafe(x["w"]), state["open"]).otherwise(F.lit(0))
+        paired = (x["s"] == 1) & (free > 0)
+        left_open = F.when(x["s"] == 0, free + 1).when(paired, free - 1).otherwise(free)
+        return F.struct(x["w"].alias("w"), left_open.alias("open"), (state["n"] + paired.cast("int")).alias("n"))
+
+    return F.aggregate(both, start, step, lambda state: state["n"])
+
+
 def evidence_ids(text: Column) -> Column:
     """Ids cited as [E:id], in order, distinct."""
     return F.array_distinct(F.regexp_extract_all(text, F.lit(r"\[E:([^\]\s]+)\]"), F.lit(1)))
@@ -157,21 +182,56 @@ def valid_http_url(url: Column) -> Column:
     return F.coalesce(url.rlike(r"(?i)^https?://[^/?#\s]+"), F.lit(False))
 
 
+@arrow_udf(StringType())
+def idna(host: pa.Array) -> pa.Array:
+    """Host names in ASCII; null for names that have no such form."""
+
+    def one(name: str | None) -> str | None:
+        try:
+            return name if name is None else name.encode("idna").decode("ascii").lower()
+        except UnicodeError:
+            return None
+
+    return pa.array([one(h) for h in host.to_pylist()], pa.string())
+
+
+def _quoted(text: Column) -> Column:
+    """Percent-encoded as in a form: letters, digits and _.-~ as they are, blanks as +."""
+    return F.replace(F.replace(F.url_encode(text), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+
+
+def _unquoted(text: Column) -> Column:
+    """Decoded as in a form; a percent sign that begins no code stays."""
+    return F.try_url_decode(F.regexp_replace(text, "%(?![0-9A-Fa-f]{2})", "%25"))
+
+
 def canonical_url(url: Column) -> Column:
-    """Scheme and host in lower case, default ports, repeated slashes, tracking parameters and the fragment dropped, parameters
-    sorted; null for other schemes and for URLs with credentials."""
-    u = F.trim(url)
+    """A URL in one form, as a key: scheme and host in lower case, hosts in ASCII, default ports, repeated slashes, tracking
+    parameters and the fragment dropped, parameters decoded, sorted and encoded again.
+
+    Null for other schemes, without a host, with credentials, and for hosts and ports that are none.
+    """
+    u = F.regexp_replace(F.regexp_replace(url, r"^[\s\x00-\x20]+|\s+$", ""), r"[\t\r\n]", "")
     scheme = F.lower(F.regexp_extract(u, r"^([A-Za-z][A-Za-z0-9+.\-]*)://", 1))
     authority = F.regexp_extract(u, r"^[^:/?#]+://([^/?#]*)", 1)
-    host = F.lower(F.regexp_extract(authority, r"^([^:]*)", 1))
-    port = F.regexp_extract(authority, r":(\d+)$", 1)
-    kept_port = F.when((port == "") | ((scheme == "http") & (port == "80")) | ((scheme == "https") & (port == "443")), F.lit("")).otherwise(F.concat(F.lit(":"), port))
+    credentials, place = F.regexp_extract(authority, r"^(.*)@", 1), F.regexp_extract(authority, r"([^@]*)$", 1)
+    bracketed = F.startswith(place, F.lit("["))
+    address = F.lower(F.regexp_extract(place, r"^\[([0-9A-Fa-f:.]*:[0-9A-Fa-f:.]*)\](?::|$)", 1))
+    name = F.lower(F.regexp_extract(place, r"^([^:\[\]]*)(?::|$)", 1))
+    ascii_name = F.coalesce(idna(F.when(name.rlike(r"[^\x00-\x7f]"), name)), F.when(~name.rlike(r"[^\x00-\x7f]"), name))
+    good_name = (ascii_name != "") & ~ascii_name.rlike(r"^\.|\.\.|[^.]{64}")
+    host = F.when(bracketed, F.when(address != "", F.concat(F.lit("["), address, F.lit("]")))).otherwise(F.when(good_name, ascii_name))
+    port_text = F.when(bracketed, F.regexp_extract(place, r"\]:(.*)$", 1)).otherwise(F.regexp_extract(place, r"^[^:]*:(.*)$", 1))
+    number = F.when(port_text.rlike("^[0-9]+$"), port_text.try_cast("int"))
+    usual = (number == 0) | ((scheme == "http") & (number == 80)) | ((scheme == "https") & (number == 443))
+    kept_port = F.when(port_text == "", F.lit("")).when(usual, F.lit("")).when(number <= 65535, F.concat(F.lit(":"), number.cast("string")))
     path = F.regexp_replace(F.regexp_extract(u, r"^[^:/?#]+://[^/?#]*([^?#]*)", 1), "/{2,}", "/")
-    query = F.regexp_extract(u, r"^[^?#]*\?([^#]*)", 1)
-    name = lambda p: F.lower(F.substring_index(p, "=", 1))
-    kept = F.array_sort(F.filter(F.split(query, "&"), lambda p: (p != "") & ~name(p).isin(*TRACKING) & ~F.startswith(name(p), F.lit(TRACKING_PREFIX))))
-    tail = F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise(F.lit(""))
-    good = scheme.isin("http", "https") & (host != "") & ~F.contains(authority, F.lit("@"))
+    pieces = F.filter(F.split(F.regexp_extract(u, r"^[^?#]*\?([^#]*)", 1), "&"), lambda p: p != "")
+    items = F.transform(pieces, lambda p: F.struct(_unquoted(F.regexp_extract(p, r"^([^=]*)", 1)).alias("k"), _unquoted(F.regexp_extract(p, r"^[^=]*=(.*)$", 1)).alias("v")))
+    wanted = F.filter(items, lambda x: ~F.lower(x["k"]).isin(*TRACKING) & ~F.startswith(F.lower(x["k"]), F.lit(TRACKING_PREFIX)))
+    query = F.array_join(F.transform(F.array_sort(wanted), lambda x: F.concat(_quoted(x["k"]), F.lit("="), _quoted(x["v"]))), "&")
+    tail = F.when(query != "", F.concat(F.lit("?"), query)).otherwise(F.lit(""))
+    good = scheme.isin("http", "https") & credentials.isin("", ":")
     return F.when(good, F.concat(scheme, F.lit("://"), host, kept_port, F.when(path == "", F.lit("/")).otherwise(path), tail))
 
 

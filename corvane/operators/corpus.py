@@ -19,7 +19,7 @@ from ..functions import text as T
 from ..sources.storage import broadcast_if_small, materialize
 
 SHORT, LONG = 200, 4000
-BANDS, DISTANCE = 4, 3
+DISTANCE, KEYED = 3, 3
 
 
 def profile(docs: DataFrame, text: Column, *, document: Column | None = None, chunk: Column | None = None, title: Column | None = None, source: Column | None = None) -> DataFrame:
@@ -96,7 +96,7 @@ def simhash_blake(docs: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
 def simhash(docs: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
     """(id, hi, lo): the same print over md5 instead of blake2b, in built-in functions and like in any engine.
 
-    Per bit, the signs of its features' hash bits are summed: 64 columns in one partial aggregation.
+    Per bit, the features whose hash has it are counted, two bits to a sum: 32 columns in one partial aggregation.
     """
     words = docs.select(F.col(id_col).alias("id"), F.transform(F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit("[A-Za-z0-9]+"), F.lit(0)), F.lower).alias("w"))
     n = F.size("w")
@@ -104,25 +104,43 @@ def simhash(docs: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
     feature = words.select("id", F.explode_outer(F.when(n > 1, pairs).otherwise(F.col("w"))).alias("f"))
     hi, lo = I.hash_halves(F.col("f"))
     hashed = feature.select("id", hi.alias("h"), lo.alias("l"))
-    bit = lambda c, k: F.sum(F.when(F.col(c).bitwiseAND(1 << k) != 0, 1).otherwise(F.when(F.col(c).isNull(), 0).otherwise(-1)))
-    sums = hashed.groupBy("id").agg(*[bit("h", k).alias(f"h{k}") for k in range(32)], *[bit("l", k).alias(f"l{k}") for k in range(32)])
-    half = lambda c: reduce(lambda a, k: a + F.when(F.col(f"{c}{k}") >= 0, F.lit(1 << k)).otherwise(F.lit(0)), range(32), F.lit(0).cast("long"))
+    # bit k in the lower, bit k + 16 in the upper half of a sum: 2^31 features fit
+    both = lambda c, k: F.sum(F.shiftright(c, k).bitwiseAND(1) + F.shiftleft(F.shiftright(c, k + 16).bitwiseAND(1), 32))
+    sums = hashed.groupBy("id").agg(F.count("h").alias("n"), *[both(c, k).alias(f"{c}{k}") for c in "hl" for k in range(16)])
+
+    def half(c: str) -> Column:
+        bits = []
+        for k in range(16):
+            total = F.coalesce(f"{c}{k}", F.lit(0).cast("long"))
+            bits += [(total.bitwiseAND(0xFFFFFFFF), 1 << k), (F.shiftrightunsigned(total, 32), 1 << (k + 16))]
+        return reduce(lambda a, x: a + F.when(2 * x[0] >= F.col("n"), F.lit(x[1])).otherwise(F.lit(0)), bits, F.lit(0).cast("long"))
+
     return sums.select("id", half("h").alias("hi"), half("l").alias("lo"))
 
 
 def near_pairs(prints: DataFrame, *, distance: int = DISTANCE) -> DataFrame:
     """(a, b, distance) of prints at most `distance` bits apart, a < b, equal prints through their smallest id only.
 
-    Four 16-bit bands: two prints at most three bits apart agree in one. Documents with one print are one node; `near_links`
-    gives the others too.
+    The 64 bits are cut into distance + 3 blocks. Two such prints differ in `distance` blocks at most, so they agree in three; each
+    print is keyed by every three of its blocks, some 32 bits at distance 3, and a pair is taken at the first three blocks that it
+    agrees in, once. Documents with one print are one node; `near_links` gives the others too.
     """
-    nodes = prints.groupBy("hi", "lo").agg(F.min("id").alias("id"))
-    bands = F.array(*[F.struct(F.lit(k).alias("band"), F.shiftright(F.col(c), s).bitwiseAND(0xFFFF).alias("key")) for k, (c, s) in enumerate((("hi", 16), ("hi", 0), ("lo", 16), ("lo", 0)))])
-    keyed = nodes.select("id", "hi", "lo", F.explode(bands).alias("x")).select("id", "hi", "lo", "x.band", "x.key")
-    a, b = keyed.alias("a"), keyed.alias("b")
-    apart = F.bit_count(F.col("a.hi").bitwiseXOR(F.col("b.hi"))) + F.bit_count(F.col("a.lo").bitwiseXOR(F.col("b.lo")))
-    hit = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id")) & (apart <= distance))
-    return hit.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), apart.alias("distance")).distinct()
+    nodes = prints.groupBy("hi", "lo").agg(F.min("id").alias("id")).select("id", F.shiftleft("hi", 32).bitwiseOR(F.col("lo")).alias("h"))
+    blocks = distance + KEYED
+    edges = [64 * k // blocks for k in range(blocks + 1)]
+    masks = [(1 << hi) - (1 << lo) for lo, hi in itertools.pairwise(edges)]
+    signed = lambda m: m - (1 << 64) if m >= 1 << 63 else m
+    keys = []
+    for chosen in itertools.combinations(range(blocks), KEYED):
+        mask = signed(sum(masks[k] for k in chosen))
+        earlier = [F.lit(signed(masks[k])) for k in range(chosen[-1]) if k not in chosen]
+        keys.append(F.struct(F.lit(mask).alias("mask"), F.col("h").bitwiseAND(F.lit(mask)).alias("key"), F.array(*earlier).cast("array<bigint>").alias("earlier")))
+    keyed = nodes.select("id", "h", F.explode(F.array(*keys)).alias("x")).select("id", "h", "x.mask", "x.key", "x.earlier")
+    a, b = keyed.alias("a"), keyed.select("id", "h", "mask", "key").alias("b")
+    differing = F.col("a.h").bitwiseXOR(F.col("b.h"))
+    hit = a.join(b, (F.col("a.mask") == F.col("b.mask")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id")) & (F.bit_count(differing) <= distance))
+    first = F.forall("a.earlier", lambda m: differing.bitwiseAND(m) != 0)  # an earlier block that agrees too would have met them before
+    return hit.where(first).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.bit_count(differing).alias("distance"))
 
 
 def near_links(prints: DataFrame, *, distance: int = DISTANCE) -> DataFrame:
@@ -172,24 +190,19 @@ def integrity(qrels: DataFrame, queries: DataFrame, documents: DataFrame) -> Dat
     return reduce(DataFrame.unionByName, [d.agg(F.count(F.lit(1)).alias("violations")).withColumn("check", F.lit(k)) for k, d in checks.items()]).select("check", "violations")
 
 
-def containment(docs: DataFrame, passages: DataFrame, *, width: int = 8) -> DataFrame:
+def containment(docs: DataFrame, passages: DataFrame) -> DataFrame:
     """(doc_id, item_id): passages that occur word for word in a document's squeezed text.
 
-    Instead of every pair: passages meet documents on a hash of their first `width` words, and only those are compared.
-    Shorter passages are keyed by their own length.
+    A passage is keyed by the word of it that is rarest in the documents, and by that word's place. Wherever a document has a
+    key's word, the words around are compared with the passage's: one pass over the documents' words counts, one meets the keys.
     """
-    clean = passages.select("item_id", T.squeeze(F.col("text")).alias("passage")).where("passage <> ''").withColumn("w", F.split("passage", " "))
-    keyed = materialize(clean.select("item_id", "passage", F.least(F.size("w"), F.lit(width)).alias("k"), F.expr(f"array_join(slice(w, 1, least(size(w), {width})), ' ')").alias("head")), "passages")
-    lengths = [r["k"] for r in keyed.select("k").distinct().collect()]  # at most `width` values
-    if not lengths:
-        return docs.select("doc_id").join(keyed.select("item_id"), how="cross").limit(0)
+    clean = passages.select("item_id", T.squeeze(F.col("text")).alias("p")).where("p <> ''").select("item_id", F.split("p", " ").alias("p"))
+    asked = materialize(clean.select("item_id", "p", F.posexplode("p").alias("at", "word")), "passage_words")
     words = docs.select("doc_id", F.split(T.squeeze(F.col("text")), " ").alias("w"))
-
-    def heads(k: int) -> DataFrame:
-        spans = F.transform(F.sequence(F.lit(1), F.size("w") - k + 1), lambda i: F.array_join(F.slice("w", i, k), " "))
-        return words.where(F.size("w") >= k).select("doc_id", F.explode(spans).alias("head"))
-
-    grams = reduce(DataFrame.unionByName, map(heads, lengths))
-    candidates = grams.join(broadcast_if_small(keyed.select("item_id", "head", "passage")), "head").select("doc_id", "item_id", "passage").distinct()
-    text = docs.select("doc_id", T.squeeze(F.col("text")).alias("t"))
-    return candidates.join(text, "doc_id").where(F.contains(F.concat(F.lit(" "), "t", F.lit(" ")), F.concat(F.lit(" "), "passage", F.lit(" ")))).select("doc_id", "item_id")
+    counts = words.select(F.explode("w").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    known = asked.select("word").distinct()
+    rare = asked.join(broadcast_if_small(counts.join(broadcast_if_small(known), "word", "left_semi")), "word")
+    keys = rare.groupBy("item_id", "p").agg(F.count(F.lit(1)).alias("have"), F.min(F.struct("n", "at", "word")).alias("k")).where(F.col("have") == F.size("p"))
+    keys = materialize(keys.select("item_id", "p", "k.at", "k.word"), "passage_keys")
+    met = words.select("doc_id", "w", F.posexplode("w").alias("i", "word")).join(broadcast_if_small(keys), "word").where(F.col("i") >= F.col("at"))
+    return met.where(F.slice("w", F.col("i") - F.col("at") + 1, F.size("p")) == F.col("p")).select("doc_id", "item_id").distinct()

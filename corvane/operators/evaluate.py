@@ -100,8 +100,7 @@ def token_f1(pairs: DataFrame, left: Column, right: Column, keys: list[str], *,
     """
     split = words or (lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != ""))
     rows = pairs.select(*keys, left.alias("lt"), right.alias("rt"), split(left).alias("l"), split(right).alias("r"))
-    # multiset intersection inside the row: for each distinct word the lesser count
-    same = F.aggregate(F.array_distinct("l"), F.lit(0), lambda s, w: s + F.least(F.size(F.filter("l", lambda x: x == w)), F.size(F.filter("r", lambda x: x == w))))
+    same = T.common(F.col("l"), F.col("r"))
     f1 = F.when((F.size("l") == 0) | (F.size("r") == 0), F.col("lt").eqNullSafe(F.col("rt")).cast("double")).otherwise(ratio(same * F.lit(2.0), F.size("l") + F.size("r")))
     return rows.select(*keys, f1.alias("f1"))
 

@@ -66,8 +66,8 @@ def unprocessed(df: DataFrame, done: DataFrame, key: str) -> DataFrame:
     return df.join(done.select(key), key, "left_anti")
 
 
-def shards(df: DataFrame, *, order: list[str], n: int) -> DataFrame:
-    """Round-robin shard of each row of a total order, from per-partition counts: no row is gathered.
+def numbered(df: DataFrame, *, order: list[str], name: str = "no") -> DataFrame:
+    """Rows with their place from 0 in a total order, from per-partition counts: no row is gathered.
 
     Rows are range-partitioned by `order` and stored once with their partition, so that counts and places agree; a row's number
     is its place in its partition plus the sizes of those before.
@@ -76,7 +76,12 @@ def shards(df: DataFrame, *, order: list[str], n: int) -> DataFrame:
     own = ranged.withColumn("__i", F.row_number().over(Window.partitionBy("__p").orderBy(*order)))
     sizes = ranged.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))
     before = sizes.withColumn("__b", F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
-    return own.join(broadcast_if_small(before), "__p").withColumn("shard", F.pmod(F.col("__b") + F.col("__i") - 1, F.lit(n)).cast("int")).drop("__p", "__i", "__b")
+    return own.join(broadcast_if_small(before), "__p").withColumn(name, F.col("__b") + F.col("__i") - 1).drop("__p", "__i", "__b")
+
+
+def shards(df: DataFrame, *, order: list[str], n: int) -> DataFrame:
+    """Round-robin shard of each row of a total order."""
+    return numbered(df, order=order, name="__no").withColumn("shard", F.pmod("__no", F.lit(n)).cast("int")).drop("__no")
 
 
 def coverage(found: DataFrame, expected: DataFrame, keys: list[str]) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 from ..functions import ids as I
 from ..functions import text as T
 from .evaluate import ratio
+from .sequence import numbered
 
 # What a step may do, what a trajectory may be, and the limits of its parts.
 ACTIONS = ("search", "read_page", "evaluate_evidence", "answer")
@@ -139,7 +140,7 @@ MEASURES = (
 
 def multiset_f1(left: Column, right: Column) -> Column:
     """F1 of two arrays of words as multisets; with an empty side 1 if both are, else 0."""
-    same = F.aggregate(F.array_distinct(left), F.lit(0), lambda n, w: n + F.least(F.size(F.filter(left, lambda x: x == w)), F.size(F.filter(right, lambda x: x == w))))
+    same = T.common(left, right)
     return F.when((F.size(left) == 0) | (F.size(right) == 0), (F.size(left) == F.size(right)).cast("double")).otherwise(ratio(same * F.lit(2.0), F.size(left) + F.size(right)))
 
 
@@ -252,8 +253,8 @@ def dev_cases(records: DataFrame) -> DataFrame:
 
 def seeds_of(rows: DataFrame, source: str, *, order: str) -> DataFrame:
     """Seeds of source rows (id, question, answer, evidence): the variants alternate in the order of the rows."""
-    at = F.row_number().over(Window.orderBy(order)) - 1
-    return rows.select(F.concat(F.lit(f"{source}-train-"), F.coalesce(F.col("id").cast("string"), at.cast("string"))).alias("seed_id"), F.trim("question").alias("query"), F.lit("en").alias("language"), F.when(F.pmod(at, F.lit(2)) == 0, VARIANTS[0]).otherwise(VARIANTS[1]).alias("variant"), F.trim(F.coalesce("answer", F.lit(""))).alias("expected_answer"), "evidence")
+    at = F.col("__at")
+    return numbered(rows, order=[order], name="__at").select(F.concat(F.lit(f"{source}-train-"), F.coalesce(F.col("id").cast("string"), at.cast("string"))).alias("seed_id"), F.trim("question").alias("query"), F.lit("en").alias("language"), F.when(F.pmod(at, F.lit(2)) == 0, VARIANTS[0]).otherwise(VARIANTS[1]).alias("variant"), F.trim(F.coalesce("answer", F.lit(""))).alias("expected_answer"), "evidence")
 
 
 def padded(seeds: DataFrame, target: int) -> DataFrame:

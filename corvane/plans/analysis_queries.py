@@ -5,18 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..operators import corpus, failures, ingest, rules
 from ..operators import evaluate as E
 from ..operators import retrieval as R
+from ..operators.sequence import numbered
 from ..sources.storage import broadcast_if_small, materialize
 from .registry import query, table
 from .retrieval_queries import _B, _METRICS, _bm25
 
-# A document's vector is the one whose number is its id, modulo the vectors that there are; a query's too.
-_PAIR = """
-ev AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS no, label, CAST(embedding AS DOUBLE[]) AS v, count(*) OVER () AS m FROM embeddings),
-dv AS (SELECT doc_id AS id, label, v FROM documents JOIN ev ON no = doc_id % m), qv AS (SELECT item_id AS query, label, v FROM benchmark JOIN ev ON no = item_id % m),
-ds AS (SELECT query, id, list_cosine_similarity(qv.v, dv.v) AS score FROM qv, dv),
+# Vectors of documents and queries are their terms hashed to 64 signed slots. Judgments: a document's label is that of the
+# vector whose number is its id, modulo the vectors that there are; a query's too.
+_SLOTS = """SELECT id, CAST('0x' || substr(md5(term), 9, 8) AS BIGINT) % 64 AS slot, CAST(sum(CASE WHEN CAST('0x' || substr(md5(term), 1, 8) AS BIGINT) >= 2147483648 THEN tf ELSE -tf END) AS DOUBLE) AS x FROM {0} GROUP BY id, slot"""
+_PAIR = f"""
+ev AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS no, label, count(*) OVER () AS m FROM embeddings),
+dv AS (SELECT doc_id AS id, label FROM documents JOIN ev ON no = doc_id % m), qv AS (SELECT item_id AS query, label FROM benchmark JOIN ev ON no = item_id % m),
+dh AS ({_SLOTS.format("post")}), qh AS ({_SLOTS.format("(SELECT query AS id, term, qtf AS tf FROM q)")}),
+dl2 AS (SELECT id, sqrt(sum(x * x)) AS l FROM dh GROUP BY id HAVING sum(x * x) > 0), ql2 AS (SELECT id, sqrt(sum(x * x)) AS l FROM qh GROUP BY id HAVING sum(x * x) > 0),
+dt AS (SELECT qh.id AS query, dh.id, sum(qh.x * dh.x) AS dot FROM qh JOIN dh USING (slot) GROUP BY qh.id, dh.id),
+ds AS (SELECT ql2.id AS query, dl2.id, coalesce(dot, 0e0) / (ql2.l * dl2.l) AS score FROM ql2 CROSS JOIN dl2 LEFT JOIN dt ON dt.query = ql2.id AND dt.id = dl2.id),
 de AS (SELECT query, id, score, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, id) AS rank FROM ds)"""
 _HYBRID = f"""{_B}, {_PAIR},
 rk AS (SELECT query, id, 'bm25' AS source, rank, score FROM bm WHERE rank <= 20 UNION ALL SELECT query, id, 'dense', rank, score FROM de WHERE rank <= 20),
@@ -27,13 +34,15 @@ hy AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 12)
 
 
 def _vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    from pyspark.sql import Window
-
-    v = table(spark, sf_dir, "embeddings").select((F.row_number().over(Window.orderBy("vec_id")) - 1).alias("no"), "label", "embedding")
-    m = v.count()
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), (F.col("doc_id") % m).cast("int").alias("no")).join(v, "no")
-    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), (F.col("item_id") % m).cast("int").alias("no")).join(v, "no")
-    return materialize(docs, "vectors"), materialize(asked, "asked")
+    """(id, label, embedding) of documents and of queries."""
+    index, asked = _bm25(spark, sf_dir)
+    named = materialize(numbered(table(spark, sf_dir, "embeddings").select("vec_id", "label"), order=["vec_id"]).select("no", "label"), "labels")
+    m = named.count()
+    of = lambda t, c: table(spark, sf_dir, t).select(F.col(c).alias("id"), (F.col(c) % m).alias("no")).join(broadcast_if_small(named), "no").select("id", "label")
+    terms = asked.select(F.col("query").alias("id"), "term", F.col("qtf").cast("double").alias("tf"))
+    docs = of("documents", "doc_id").join(R.hashed_vectors(index), "id", "left").withColumnRenamed("vector", "embedding")
+    queries = of("benchmark", "item_id").join(R.hashed_terms(terms), "id", "left").withColumnRenamed("vector", "embedding")
+    return materialize(docs, "vectors"), materialize(queries, "asked")
 
 
 def _rankings(spark: SparkSession, sf_dir: str, k: int = 20) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -63,7 +72,7 @@ h AS (SELECT hy.*, '[DOC ' || id || ']' || chr(10) || 'Title: ' || chr(10) || 'S
 r AS (SELECT *, coalesce(sum(length(header) + 3 + length(content)) OVER (PARTITION BY query ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM h),
 s AS (SELECT *, 6000 - used - length(header) - 1 AS room FROM r),
 z AS (SELECT *, coalesce(max(CASE WHEN room < length(content) THEN 1 ELSE 0 END) OVER (PARTITION BY query ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS stopped FROM s),
-p AS (SELECT query, id, rank, length(content) > room AS truncated, header || chr(10) || left(content, CAST(room AS BIGINT)) AS packed FROM z WHERE stopped = 0 AND room > 0),
+p AS (SELECT query, id, rank, length(content) > room AS truncated, header || chr(10) || left(content, CAST(room AS BIGINT)) AS packed FROM z WHERE stopped = 0 AND room >= 0),
 a AS (SELECT query, list(id ORDER BY rank) AS ids, string_agg(packed, chr(10) || chr(10) ORDER BY rank) AS context, bool_or(truncated) AS truncated FROM p GROUP BY query)
 SELECT query, length(context) AS characters, md5(context) AS digest, truncated, CAST(len(ids) AS INTEGER) AS blocks, CAST(1 AS INTEGER) AS valid, CAST(1 AS INTEGER) AS invalid FROM a""")
 def rag_context(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,7 +125,7 @@ def retriever_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return macro.join(E.extremes(rows, "method"), "method").select("method", "queries", *_METRICS, "worst", "best")
 
 
-_CATEGORY = r"CASE WHEN regexp_matches(text, '\b[A-Z]{2,}(-[A-Z0-9]+)?\b') THEN 'acronym' WHEN contains(lower(text), ' and ') OR contains(lower(text), ' or ') OR contains(lower(text), 'associated with') THEN 'multi-concept' WHEN regexp_matches(text, '\d|[-/]') THEN 'exact-term' ELSE 'semantic-paraphrase' END"
+_CATEGORY = r"CASE WHEN regexp_matches(text, '(^|[^\pL\pM\p{Nd}\p{Pc}])[A-Z]{2,}([^\pL\pM\p{Nd}\p{Pc}]|$)') THEN 'acronym' WHEN contains(lower(text), ' and ') OR contains(lower(text), ' or ') OR contains(lower(text), 'associated with') THEN 'multi-concept' WHEN regexp_matches(text, '\d|[-/]') THEN 'exact-term' ELSE 'semantic-paraphrase' END"
 
 
 @query(f"""WITH {_JUDGED}, w AS (SELECT query, max(recall_10) FILTER (method = 'lexical') AS lr, max(recall_10) FILTER (method = 'dense') AS dr, max(ndcg_10) FILTER (method = 'lexical') AS ln, max(ndcg_10) FILTER (method = 'dense') AS dn, max(ndcg_10) FILTER (method = 'fused') AS fn FROM mt GROUP BY query),
@@ -227,15 +236,43 @@ def _claim_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
 
 
 
-@query()
+_F1 = "len(list_filter({0}, lambda y: y = x))"
+_CLAIMS = rf"""
+it AS (SELECT 'i' || item_id AS case_id, string_split_regex(regexp_replace(lower(text), '[^a-z0-9 ]+', ' ', 'g'), ' +') AS w FROM benchmark),
+ro AS (SELECT case_id, array_to_string(w[2:7], ' ') AS one, array_to_string(w[8:13], ' ') AS two FROM it WHERE len(w) >= 14),
+go AS (SELECT case_id, 1 AS gold_no, one AS g, ['e1', 'e2'] AS sup, CAST([] AS VARCHAR[]) AS con FROM ro UNION ALL SELECT case_id, 2, two, ['e2'], ['e3'] FROM ro),
+an AS (SELECT case_id, 'all' AS mode, one AS answer, one || ' [E:e1] [E:e2]. ' || two || ' [E:e2].' AS report FROM ro UNION ALL SELECT case_id, 'first', upper(one), one || ' [E:e1]. ' || two || ' [E:e3]! Nothing of this is known [E:e9].' FROM ro
+  UNION ALL SELECT case_id, 'none', two, one || '. ' || two || '.' FROM ro UNION ALL SELECT case_id, 'empty', '', '' FROM ro),
+se AS (SELECT case_id, mode, [trim(x) FOR x IN string_split(regexp_replace(report, '([.!?。！？])\s+', '\1' || chr(1), 'g'), chr(1)) IF trim(x) <> ''] AS s FROM an),
+cl AS (SELECT case_id, mode, no, trim(regexp_replace(regexp_replace(t, '\[E:[^\]\s]+\]', ' ', 'g'), '\s+', ' ', 'g')) AS claim, list_distinct(regexp_extract_all(t, '\[E:([^\]\s]+)\]', 1)) AS cited FROM (SELECT case_id, mode, unnest(s) AS t, unnest(range(1, len(s) + 1)) AS no FROM se)),
+pw AS (SELECT c.case_id, mode, no, gold_no, regexp_extract_all(trim(regexp_replace(lower(claim), '\W+', ' ', 'g')), '{T.TOKEN_RE2}') AS l, regexp_extract_all(trim(regexp_replace(lower(g), '\W+', ' ', 'g')), '{T.TOKEN_RE2}') AS r FROM cl c JOIN go USING (case_id) WHERE claim <> ''),
+f1 AS (SELECT case_id, mode, no, gold_no, CASE WHEN len(l) + len(r) > 0 THEN 2e0 * coalesce(list_sum(list_transform(list_distinct(l), lambda x: least({_F1.format("l")}, {_F1.format("r")}))), 0) / (len(l) + len(r)) ELSE 0 END AS f FROM pw),
+be AS (SELECT case_id, mode, no, max(f) AS f, arg_max(gold_no, (f, -gold_no)) AS gold_no FROM f1 GROUP BY ALL),
+ma AS (SELECT cl.case_id, cl.mode, cited, f, sup, con, list_intersect(cited, ['e1', 'e2', 'e3']) AS ok FROM cl JOIN be USING (case_id, mode, no) JOIN go ON go.case_id = cl.case_id AND go.gold_no = be.gold_no WHERE claim <> ''),
+la AS (SELECT case_id, mode, cited, ok, CASE WHEN f >= {E.SUPPORT_F1} THEN sup ELSE [] END AS sup, CASE WHEN f < {E.SUPPORT_F1} THEN 'unsupported' WHEN list_has_any(ok, con) THEN 'contradicted' WHEN len(ok) = 0 THEN 'unsupported' WHEN list_has_all(ok, sup) THEN 'supported' WHEN list_has_any(ok, sup) THEN 'partial' ELSE 'unsupported' END AS label FROM ma),
+ag AS (SELECT case_id, mode, count(label) AS claims, count(*) FILTER (len(cited) > 0) AS citing, count(*) FILTER (label = 'supported') AS s, count(*) FILTER (label = 'partial') AS p, count(*) FILTER (label = 'contradicted') AS c, count(*) FILTER (label = 'unsupported') AS u,
+  coalesce(sum(len(cited)), 0) AS n, coalesce(sum(len(ok)), 0) AS valid, coalesce(sum(len(list_intersect(ok, sup))), 0) AS hits, coalesce(sum(len(sup)), 0) AS wanted FROM an LEFT JOIN la USING (case_id, mode) GROUP BY case_id, mode),
+ev AS (SELECT ag.case_id, ag.mode, claims, CASE WHEN claims > 0 THEN citing / claims ELSE 0e0 END AS presence, CASE WHEN claims > 0 THEN s / claims ELSE 0e0 END AS supported, CASE WHEN claims > 0 THEN p / claims ELSE 0e0 END AS partial, CASE WHEN claims > 0 THEN c / claims ELSE 0e0 END AS contradicted,
+  CASE WHEN claims > 0 THEN u / claims ELSE 0e0 END AS unsupported, CASE WHEN n > 0 THEN hits / n ELSE 0e0 END AS precision, CASE WHEN wanted > 0 THEN hits / wanted ELSE 0e0 END AS coverage, CASE WHEN n > 0 THEN (n - valid) / n ELSE 0e0 END AS invalid_rate,
+  answer, 10e0 AS latency_ms, 7 AS total_tokens, lower(answer) = one AS exact FROM ag JOIN an ON an.case_id = ag.case_id AND an.mode = ag.mode JOIN ro ON ro.case_id = ag.case_id),
+cf AS (SELECT *, [x FOR x IN [CASE WHEN NOT exact THEN 'answer_incorrect' END, CASE WHEN claims = 0 THEN 'empty_report' END, CASE WHEN presence < 1 THEN 'missing_citation' END, CASE WHEN invalid_rate > 0 THEN 'invalid_citation' END, CASE WHEN partial > 0 THEN 'partial_support' END,
+  CASE WHEN contradicted > 0 THEN 'contradicted_claim' END, CASE WHEN unsupported > 0 THEN 'unsupported_claim' END] IF x IS NOT NULL] AS failures FROM ev)"""
+_SHARES = ("presence", "supported", "partial", "contradicted", "unsupported", "precision", "coverage", "invalid_rate")
+
+
+@query(f"WITH {_CLAIMS} SELECT case_id, mode, claims, {', '.join(f'round({c}, 6) AS {c}' for c in _SHARES)}, answer, latency_ms, CAST(total_tokens AS INTEGER) AS total_tokens, exact, array_to_string(failures, ',') AS failures FROM cf")
 def claim_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = E.evaluate_claims(*_claim_tables(spark, sf_dir))
-    return out.withColumn("failures", F.array_join("failures", ","))
+    return out.withColumns({"failures": F.array_join("failures", ",")} | {c: F.round(c, 6) for c in _SHARES})
 
 
-@query()
+@query(f"""WITH {_CLAIMS}, fc AS (SELECT mode, string_agg(f || '=' || n, ',' ORDER BY f) AS failure_counts FROM (SELECT mode, f, count(*) AS n FROM (SELECT mode, unnest(failures) AS f FROM cf) GROUP BY mode, f) GROUP BY mode)
+SELECT cf.mode, count(*) AS cases, round(avg(CAST(exact AS INTEGER)), 6) AS exact, {', '.join(f'round(avg({c}), 6) AS {c}' for c in _SHARES)}, avg(latency_ms) AS latency_ms, CAST(sum(total_tokens) AS BIGINT) AS total_tokens, coalesce(any_value(failure_counts), '') AS failure_counts
+FROM cf LEFT JOIN fc ON fc.mode = cf.mode GROUP BY cf.mode""")
 def mode_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.mode_summary(E.evaluate_claims(*_claim_tables(spark, sf_dir)))
+    out = E.mode_summary(E.evaluate_claims(*_claim_tables(spark, sf_dir)))
+    counts = F.array_join(F.transform(F.array_sort(F.map_entries("failure_counts")), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
+    return out.withColumns({"failure_counts": counts} | {c: F.round(c, 6) for c in ("exact", *_SHARES)})
 
 
 _STORED = """
@@ -306,14 +343,32 @@ def canonical_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.canonicalize(rows, dataset="set")[0].select("chunk_id", "document_id", "content_hash", F.array_join("duplicate_ids", ",").alias("duplicates"))
 
 
-@query()
+_UPLOAD = lambda x: rf"regexp_replace(regexp_replace(regexp_replace(regexp_replace({x}, '[ \t]+', ' ', 'g'), '(?m)^ | $', '', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), '^[\s\x0B]+|[\s\x0B]+$', '', 'g')"
+
+
+@query(rf"""WITH d AS (SELECT doc_id, string_split(regexp_replace(regexp_replace(coalesce(text, ''), '\. ', '.' || chr(10) || '# ', 'g'), '\r\n|[\r\x0B\x0C\x1C-\x1E\x{{85}}\x{{2028}}\x{{2029}}]', chr(10), 'g'), chr(10)) AS x FROM documents),
+l AS (SELECT doc_id, unnest(x) AS line, unnest(range(len(x))) AS no FROM d), f AS (SELECT *, CAST(regexp_matches(line, '^\s*```') AS INTEGER) AS fence FROM l),
+o AS (SELECT *, (sum(fence) OVER (PARTITION BY doc_id ORDER BY no) - fence) % 2 = 1 AS inside FROM f),
+h AS (SELECT *, NOT inside AND fence = 0 AND regexp_matches(line, '^(#{{1,6}})\s+(.+?)\s*#*\s*$') AS head FROM o),
+r AS (SELECT *, sum(CAST(head AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY no) AS run FROM h),
+b AS (SELECT doc_id, run, max(CASE WHEN head THEN {_UPLOAD("regexp_extract(line, '^(#{1,6})\\s+(.+?)\\s*#*\\s*$', 2)")} END) AS section, {_UPLOAD("coalesce(string_agg(line, chr(10) ORDER BY no) FILTER (NOT head), '')")} AS text FROM r GROUP BY doc_id, run)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY run) - 1 AS INTEGER) AS block, md5(section) AS section, md5(text) AS text FROM b WHERE text <> ''""")
 def markdown_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents' lines as Markdown: every tenth line a heading."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", r"\. ", ".\n# ").alias("text"))
     return ingest.markdown_blocks(docs).select(F.col("doc").alias("doc_id"), "block", F.md5("section").alias("section"), F.md5("text").alias("text"))
 
 
-@query()
+_UPLOAD = lambda x: rf"regexp_replace(regexp_replace(regexp_replace(regexp_replace({x}, '[ \t]+', ' ', 'g'), '(?m)^ | $', '', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), '^[\s\x0B]+|[\s\x0B]+$', '', 'g')"
+
+
+@query(rf"""WITH d AS (SELECT doc_id, string_split(regexp_replace(regexp_replace(coalesce(text, ''), '\. ', '.' || chr(10) || '# ', 'g'), '\r\n|[\r\x0B\x0C\x1C-\x1E\x{{85}}\x{{2028}}\x{{2029}}]', chr(10), 'g'), chr(10)) AS x FROM documents),
+l AS (SELECT doc_id, unnest(x) AS line, unnest(range(len(x))) AS no FROM d), f AS (SELECT *, CAST(regexp_matches(line, '^\s*```') AS INTEGER) AS fence FROM l),
+o AS (SELECT *, (sum(fence) OVER (PARTITION BY doc_id ORDER BY no) - fence) % 2 = 1 AS inside FROM f),
+h AS (SELECT *, NOT inside AND fence = 0 AND regexp_matches(line, '^(#{{1,6}})\s+(.+?)\s*#*\s*$') AS head FROM o),
+r AS (SELECT *, sum(CAST(head AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY no) AS run FROM h),
+b AS (SELECT doc_id, run, max(CASE WHEN head THEN {_UPLOAD("regexp_extract(line, '^(#{1,6})\\s+(.+?)\\s*#*\\s*$', 2)")} END) AS section, {_UPLOAD("coalesce(string_agg(line, chr(10) ORDER BY no) FILTER (NOT head), '')")} AS text FROM r GROUP BY doc_id, run)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY run) - 1 AS INTEGER) AS block, md5(section) AS section, md5(text) AS text FROM b WHERE text <> ''""")
 def simhash_blake(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.simhash_blake(table(spark, sf_dir, "documents"), id_col="doc_id", text_col="text")
 

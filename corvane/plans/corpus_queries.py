@@ -143,7 +143,7 @@ def normalize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT doc_id, CAST(len({_TOKENS}) AS INTEGER) AS n_tokens, CAST(len(list_distinct({_TOKENS})) AS INTEGER) AS n_types, md5(array_to_string({_TOKENS}, ' ')) AS digest FROM documents")
 def tokenize_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select("doc_id", T.tokens(F.col("text"), compatible=True).alias("t"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", T.tokens(F.col("text")).alias("t"))
     return rows.select("doc_id", F.size("t").alias("n_tokens"), F.size(F.array_distinct("t")).alias("n_types"), F.md5(F.array_join("t", " ")).alias("digest"))
 
 
@@ -153,16 +153,29 @@ def sentence_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.size(T.sentences(F.col("text"))).alias("n_sentences"))
 
 
-@query(r"""WITH a AS (SELECT page_id, trim(url) AS u FROM pages),
+_URL = r"""
 b AS (SELECT page_id, lower(regexp_extract(u, '^([A-Za-z][A-Za-z0-9+.\-]*)://', 1)) AS scheme, regexp_extract(u, '^[^:/?#]+://([^/?#]*)', 1) AS auth, regexp_extract(u, '^[^:/?#]+://[^/?#]*([^?#]*)', 1) AS path, regexp_extract(u, '^[^?#]*\?([^#]*)', 1) AS query FROM a),
-c AS (SELECT *, lower(regexp_extract(auth, '^([^:]*)', 1)) AS host, regexp_extract(auth, ':(\d+)$', 1) AS port,
-  list_sort([p FOR p IN string_split(query, '&') IF p <> '' AND NOT (lower(split_part(p, '=', 1)) IN ('fbclid', 'gclid', 'mc_cid', 'mc_eid', 'ref')) AND NOT starts_with(lower(split_part(p, '=', 1)), 'utm_')]) AS kept FROM b)
-SELECT page_id, CASE WHEN scheme IN ('http', 'https') AND host <> '' AND NOT contains(auth, '@') THEN scheme || '://' || host || CASE WHEN port = '' OR (scheme = 'http' AND port = '80') OR (scheme = 'https' AND port = '443') THEN '' ELSE ':' || port END
-  || CASE WHEN path = '' THEN '/' ELSE regexp_replace(path, '/{2,}', '/', 'g') END || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END END AS url FROM c""")
+c AS (SELECT *, lower(regexp_extract(auth, '^([^:]*)', 1)) AS host, try_cast(nullif(regexp_extract(auth, ':(.*)$', 1), '') AS INTEGER) AS port,
+  [{'k': url_decode(replace(split_part(p, '=', 1), '+', ' ')), 'v': url_decode(replace(regexp_extract(p, '^[^=]*=(.*)$', 1), '+', ' '))} FOR p IN string_split(query, '&') IF p <> ''] AS items FROM b),
+d AS (SELECT *, [replace(url_encode(x.k), '%20', '+') || '=' || replace(url_encode(x.v), '%20', '+') FOR x IN list_sort([y FOR y IN items IF NOT (lower(y.k) IN ('fbclid', 'gclid', 'mc_cid', 'mc_eid', 'ref')) AND NOT starts_with(lower(y.k), 'utm_')])] AS kept FROM c)
+SELECT page_id, CASE WHEN scheme IN ('http', 'https') AND host <> '' AND NOT contains(auth, '@') THEN scheme || '://' || host || CASE WHEN port IS NULL OR (scheme = 'http' AND port = 80) OR (scheme = 'https' AND port = 443) THEN '' ELSE ':' || port END
+  || CASE WHEN path = '' THEN '/' ELSE regexp_replace(path, '/{2,}', '/', 'g') END || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END END AS url FROM d"""
+_FORM = r"regexp_replace(regexp_replace(url, '#.*$', ''), 'example\.([a-z]+)/', 'EXAMPLE.\1:0080//') || CASE WHEN contains(url, '?') THEN '&' ELSE '?' END || 'q=%41b+c&c&&UTM_x=1&z=a%2Fb~*=%zz#a?b'"
+
+
+@query(f"WITH a AS (SELECT page_id, trim(url) AS u FROM pages), {_URL}")
 def url_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", T.canonical_url(F.col("url")).alias("url"))
 
 
+@query(f"WITH a AS (SELECT page_id, {_FORM} AS u FROM pages), {_URL}")
+def url_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages' URLs with hosts in capitals, a port and parameters that must be decoded."""
+    plain = F.regexp_replace(F.regexp_replace("url", "#.*$", ""), r"example\.([a-z]+)/", "EXAMPLE.$1:0080//")
+    more = F.concat(plain, F.when(F.contains("url", F.lit("?")), "&").otherwise("?"), F.lit("q=%41b+c&c&&UTM_x=1&z=a%2Fb~*=%zz#a?b"))
+    return table(spark, sf_dir, "pages").select("page_id", T.canonical_url(more).alias("url"))
+
+
 _SPOILT = "'My API_KEY = ' || doc_id || ' in /home/u' || doc_id || '/x and /data/team/y; scp me@host:z. ' || chr(10) || 'Disk quotas for user joe (uid 12): none. ' || coalesce(text, '')"
 
 
@@ -178,7 +191,28 @@ def redact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.redact(text)).alias("clean"))
 
 
-@query()
+# White space as Python sees it, and the chunks by a recursion over their starts: the text behind the middle is turned round, so that
+# its last boundary comes first.
+_WS = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+_NOT_WS = _WS.replace("[", "[^", 1)
+_TRIM = lambda x: f"regexp_replace({x}, '^{_WS}+|{_WS}+$', '', 'g')"
+_LAST = lambda c: f"CASE WHEN length(regexp_extract(r, '^[^{c}]*')) < 400 THEN s + 800 - length(regexp_extract(r, '^[^{c}]*')) + length(regexp_extract(regexp_extract(r, '^[^{c}]*'), '{_WS}*$')) END"
+_CHUNKS = rf"""RECURSIVE lines AS (SELECT doc_id, [{_TRIM("regexp_replace(x, '[ \t]+', ' ', 'g')")} FOR x IN regexp_split_to_array(regexp_replace(coalesce(text, ''), '\r\n', chr(10), 'g'), '[\n\r\x0B\x0C\x1C-\x1E\x{{85}}\x{{2028}}\x{{2029}}]')] AS x FROM documents),
+nt AS (SELECT doc_id, {_TRIM("regexp_replace(array_to_string(x, chr(10)), '\n{{3,}}', chr(10) || chr(10), 'g')")} AS t FROM lines),
+w(doc_id, t, n, k, nxt, piece, keep, prev, fin) AS (
+  SELECT doc_id, t, length(t), 0, 0, '', FALSE, '', t = '' FROM nt
+  UNION ALL
+  SELECT doc_id, t, n, k + 1, CASE WHEN n - f <= 120 OR f > s THEN f ELSE back END, piece, keep, CASE WHEN keep THEN piece ELSE prev END, e >= n FROM (
+    SELECT *, CASE WHEN back < n AND regexp_full_match(substr(t, back, 2), '[A-Za-z0-9][A-Za-z0-9]') AND length(regexp_extract(head, '{_NOT_WS}*$')) < length(head) THEN back - length(regexp_extract(head, '{_NOT_WS}*$')) ELSE least(back, e) END AS f FROM (
+      SELECT *, piece <> '' AND piece <> prev AND NOT (e >= n AND e - s <= 120 AND n > 800 AND contains(prev, piece)) AS keep, substr(t, greatest(back - 40, 0) + 1, least(back, 40)) AS head FROM (
+        SELECT *, {_TRIM("substr(t, s + 1, e - s)")} AS piece, greatest(s + 1, e - 120) AS back FROM (
+          SELECT *, CASE WHEN s + 800 >= n THEN n ELSE coalesce(CASE WHEN strpos(r, chr(10) || chr(10)) > 0 THEN s + 801 - strpos(r, chr(10) || chr(10)) END, CASE WHEN strpos(r, chr(10)) > 0 THEN s + 801 - strpos(r, chr(10)) END,
+            {_LAST("。！？.!?")}, {_LAST("；;")}, CASE WHEN length(regexp_extract(r, '^{_NOT_WS}*')) < 400 THEN s + 800 - length(regexp_extract(r, '^{_NOT_WS}*')) END, s + 800) END AS e FROM (
+            SELECT doc_id, t, n, k, nxt AS s, prev, reverse(substr(t, nxt + 401, 400)) AS r FROM w WHERE NOT fin))))))
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS INTEGER) AS chunk_index, piece FROM w WHERE keep"""
+
+
+@query(f"WITH c AS (WITH {_CHUNKS}) SELECT doc_id, chunk_index, 'chunk-' || substr(sha256(doc_id || ':' || chunk_index || ':' || piece), 1, 24) AS chunk_id FROM c")
 def chunk_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = chunk.chunks(table(spark, sf_dir, "documents"))
     return out.select(F.col("doc").alias("doc_id"), "chunk_index", I.chunk_id(F.col("doc").cast("string"), F.col("chunk_index"), F.col("text")).alias("chunk_id"))

@@ -36,6 +36,23 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.bm25(*_bm25(spark, sf_dir), top_k=10).select("query", "id", "rank", F.round("score", 6).alias("score"), "total_hits")
 
 
+# Documents with the first line as title, whose terms count twice; queries in full-width letters, which are found all the same.
+_TITLE = "coalesce(regexp_extract(text, '^([^\\n]*)', 1), '')"
+_TITLED = _B.replace("CAST(count(*) AS DOUBLE) AS tf FROM tok", "CAST(sum(n) AS DOUBLE) AS tf FROM tok").replace(
+    f"tok AS (SELECT doc_id AS id, unnest({_TOKENS}) AS term FROM documents)",
+    f"tok AS (SELECT doc_id AS id, unnest({_TOKENS}) AS term, 1 AS n FROM documents UNION ALL SELECT doc_id, unnest({_TOKENS.replace('text', _TITLE)}), 2 FROM documents)",
+).replace(f"CAST(len({_TOKENS}) AS DOUBLE) AS length", f"CAST(len({_TOKENS}) + 2 * len({_TOKENS.replace('text', _TITLE)}) AS DOUBLE) AS length")
+_NARROW = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+
+
+@query(f"WITH {_TITLED} SELECT query, id, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score, total_hits FROM bm WHERE rank <= 10")
+def bm25_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("title", F.coalesce(F.regexp_extract("text", r"^([^\n]*)", 1), F.lit("")))
+    wide = F.translate("text", _NARROW, "".join(chr(ord(c) + 0xFEE0) for c in _NARROW))
+    asked = R.query_terms(table(spark, sf_dir, "benchmark").select("item_id", wide.alias("text")), id_col="item_id", text_col="text")
+    return R.bm25(R.build_index(docs, title_col="title"), asked, top_k=10).select("query", "id", "rank", F.round("score", 6).alias("score"), "total_hits")
+
+
 @query(f"""WITH {_B} SELECT query, id, term, round(contribution, 6) AS contribution,
   CAST(row_number() OVER (PARTITION BY query, id ORDER BY round(contribution, 9) DESC, term) AS INTEGER) AS position FROM con JOIN (SELECT query, id FROM bm WHERE rank <= 3) USING (query, id)""")
 def bm25_explain(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,7 +144,7 @@ b AS (SELECT query, rank, id, '[DOC ' || id || ']' || chr(10) || 'Title: ' || ch
 r AS (SELECT *, coalesce(sum(length(header) + 3 + length(content)) OVER (PARTITION BY query ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM b),
 s AS (SELECT *, 6000 - used - length(header) - 1 AS room FROM r),
 z AS (SELECT *, coalesce(max(CASE WHEN room < length(content) THEN 1 ELSE 0 END) OVER (PARTITION BY query ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS stopped FROM s)
-SELECT query, id, CAST(rank AS INTEGER) AS rank, length(content) > room AS truncated, md5(header || chr(10) || left(content, CAST(room AS BIGINT))) AS packed_md5 FROM z WHERE stopped = 0 AND room > 0""")
+SELECT query, id, CAST(rank AS INTEGER) AS rank, length(content) > room AS truncated, md5(header || chr(10) || left(content, CAST(room AS BIGINT))) AS packed_md5 FROM z WHERE stopped = 0 AND room >= 0""")
 def context_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = R.bm25(*_bm25(spark, sf_dir), top_k=10).select("query", F.col("id").alias("doc_id"), "rank")
     blocks = table(spark, sf_dir, "documents").join(broadcast_if_small(hits), "doc_id").select("query", "rank", F.col("doc_id").alias("id"), R.context_header(F.col("doc_id"), F.lit(""), F.col("source"), [("BM25 Rank", F.col("rank"))]).alias("header"), F.coalesce("text", F.lit("")).alias("content"))

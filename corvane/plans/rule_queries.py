@@ -37,7 +37,7 @@ def route_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("conv_id", "turn", "r.route", "r.overridden", F.array_join("r.blockers", ",").alias("blockers"))
 
 
-@query(r"""SELECT item_id, CASE WHEN regexp_matches(text, '\b[A-Z]{2,}(-[A-Z0-9]+)?\b') THEN 'acronym' WHEN contains(lower(text), ' and ') OR contains(lower(text), ' or ') OR contains(lower(text), 'associated with') THEN 'multi-concept'
+@query(r"""SELECT item_id, CASE WHEN regexp_matches(text, '(^|[^\pL\pM\p{Nd}\p{Pc}])[A-Z]{2,}([^\pL\pM\p{Nd}\p{Pc}]|$)') THEN 'acronym' WHEN contains(lower(text), ' and ') OR contains(lower(text), ' or ') OR contains(lower(text), 'associated with') THEN 'multi-concept'
   WHEN regexp_matches(text, '\d|[-/]') THEN 'exact-term' ELSE 'semantic-paraphrase' END AS category FROM benchmark""")
 def query_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select("item_id", rules.query_category(F.col("text")).alias("category"))

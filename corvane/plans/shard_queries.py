@@ -18,9 +18,8 @@ r AS (SELECT case_id, 'base' AS mode, case_id % 3 = 0 AS exact FROM c UNION ALL
 
 
 def _run(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    from pyspark.sql import Window
-
-    cases = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("case_id"), F.row_number().over(Window.orderBy(F.desc("item_id"))).alias("position"))
+    ordered = S.numbered(table(spark, sf_dir, "benchmark").select((-F.col("item_id")).alias("o"), F.col("item_id").alias("case_id")), order=["o"], name="position")
+    cases = ordered.select("case_id", (F.col("position") + 1).cast("int").alias("position"))
     of = lambda m, e: cases.select("case_id", F.lit(m).alias("mode"), e.alias("exact"))
     i = F.col("case_id")
     rows = of("base", i % 3 == 0).union(of("base", F.lit(True)).where("case_id % 19 = 0")).union(of("sft", i % 2 == 0).where("case_id % 17 <> 0"))
@@ -85,8 +84,6 @@ def _shared_words(asked: str, texts: list[str]) -> np.ndarray:
 @query("""WITH m AS (SELECT count(*) AS m FROM benchmark), b AS (SELECT row_number() OVER (ORDER BY item_id) - 1 AS no, item_id, coalesce(text, '') AS q FROM benchmark)
 SELECT doc_id, item_id, CAST(len(list_intersect(list_distinct(string_split(q, ' ')), list_distinct(string_split(coalesce(text, ''), ' ')))) AS DOUBLE) AS score FROM documents, m JOIN b ON no = doc_id % m""")
 def pair_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    b = table(spark, sf_dir, "benchmark").select((F.row_number().over(Window.orderBy("item_id")) - 1).cast("bigint").alias("no"), "item_id", F.col("text").alias("q"))
+    b = S.numbered(table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("q")), order=["item_id"])
     pairs = table(spark, sf_dir, "documents").withColumn("no", F.col("doc_id") % table(spark, sf_dir, "benchmark").count()).join(b, "no")
     return shards.pair_scores(pairs, _shared_words, keys=["doc_id", "item_id"], query=F.col("q"), text=F.col("text")).withColumn("score", F.col("score").cast("double"))

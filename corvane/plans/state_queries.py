@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import canonical
 from ..functions import text as T
 from ..functions import vectors as V
-from ..operators import guards, observations
+from ..operators import checks, guards, observations
 from ..sources import storage, vectors, versions
 from ..streaming import events as stream
 from ..streaming import runs, state
@@ -181,3 +181,42 @@ def bounded_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = turns.groupBy("conv_id").agg(F.coalesce(F.max(F.when(F.col("turn") == 0, F.col("text"))), F.lit("")).alias("query"), F.array_sort(F.collect_list(entry)).alias("e"))
     evidence = F.transform("e", lambda x: F.struct(x["evidence_id"].alias("evidence_id"), x["role"].alias("title"), x["turn"].alias("rank"), x["text"].alias("content")))
     return rows.select("conv_id", observations.bounded(F.to_json(F.struct("query", evidence.alias("evidence"))), 3000).alias("observation"))
+
+
+_RUNS = """t AS (SELECT conv_id, turn, role, coalesce(text, '') AS text, length(coalesce(text, '')) AS n FROM conversations),
+g AS (SELECT conv_id, count(*) AS turns, count(*) FILTER (role = 'user') AS asked, count(*) FILTER (role = 'assistant') AS told, arg_max(role, turn) AS last_role, max(turn) AS last_turn, coalesce(arg_max(text, turn) FILTER (role = 'assistant'), '') AS report,
+  count(*) FILTER (role = 'user' AND n < 60) AS short_asked, count(*) FILTER (role = 'assistant' AND n < 100) AS short_told, count(*) FILTER (n = 0) AS silent, sum(n) AS chars FROM t GROUP BY conv_id),
+l AS (SELECT conv_id, turn // 4 AS part, arg_max(n >= 90, turn) AS enough, max(turn) AS turn FROM t GROUP BY conv_id, turn // 4),
+p AS (SELECT conv_id, count(*) AS parts, bool_and(enough) AS enough, list_contains(list(turn), max(turn)) AS allowed FROM l GROUP BY conv_id),
+c AS (SELECT g.conv_id, [
+  {'name': 'api_ready', 'held': TRUE}, {'name': 'supervisor_workflow', 'held': g.conv_id % 2 = 0}, {'name': 'run_completed', 'held': last_role = 'assistant'}, {'name': 'plan_created', 'held': asked >= 2},
+  {'name': 'subtasks_completed', 'held': asked > 0 AND short_asked = 0}, {'name': 'tools_succeeded', 'held': told > 0 AND short_told = 0}, {'name': 'evidence_sufficient', 'held': parts = asked AND enough},
+  {'name': 'evidence_allowlist', 'held': allowed}, {'name': 'final_report_present', 'held': length(trim(report, ' ')) >= 80}, {'name': 'checkpoint_completed', 'held': last_role = 'assistant'},
+  {'name': 'usage_recorded', 'held': chars > 0}, {'name': 'no_runtime_errors', 'held': silent = 0}, {'name': 'persistence_round_trip', 'held': turns < 8}, {'name': 'web_control_surface', 'held': TRUE}] AS c FROM g JOIN p USING (conv_id))"""
+
+
+@query(f"WITH {_RUNS} SELECT conv_id, array_to_string([x.name FOR x IN c IF NOT x.held], ',') AS gaps, CASE WHEN len([x FOR x IN c IF NOT x.held]) = 0 THEN 'complete' ELSE 'incomplete' END AS status FROM c")
+def acceptance_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations told as runs (JSON) and checked by path; the SQL asks the turns themselves."""
+    turns = table(spark, sf_dir, "conversations").withColumn("text", F.coalesce("text", F.lit("")))
+    n, mine = F.length("text"), F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
+    part = F.floor(F.col("turn") / 4).cast("string")
+    of = lambda role, x: F.transform(F.array_sort(F.collect_list(F.when(F.col("role") == role, F.struct("turn", x.alias("x"))))), lambda s: s["x"])
+    every = lambda x: F.transform(F.array_sort(F.collect_list(F.struct("turn", x.alias("x")))), lambda s: s["x"])
+    told = F.max_by(F.struct("text"), F.when(F.col("role") == "assistant", F.col("turn")))["text"]
+    runs_ = turns.groupBy("conv_id").agg(
+        of("user", F.col("text")).alias("plan"), of("user", F.struct(F.col("turn").cast("string").alias("subtask_id"), F.when(n >= 60, "completed").otherwise("failed").alias("status"))).alias("subtasks"),
+        of("assistant", F.struct(F.when(n >= 100, "succeeded").otherwise("failed").alias("status"))).alias("tool_calls"),
+        every(F.struct(part.alias("subtask_id"), F.col("turn").cast("int").alias("attempt"), (n >= 90).alias("sufficient"), F.array(mine).alias("evidence_ids"))).alias("evidence_assessments"),
+        F.array(F.max_by(mine, "turn")).alias("final_evidence_ids"), F.coalesce(told, F.lit("")).alias("final_report"), F.max_by("role", "turn").alias("last_role"),
+        F.count(F.lit(1)).alias("turns"), F.count_if(F.col("role") == "assistant").alias("told"), F.sum(n).alias("chars"), F.collect_list(F.when(n == 0, mine)).alias("errors"),
+    )
+    ended = F.when(F.col("last_role") == "assistant", "completed").otherwise("running")
+    checkpoint = F.struct(F.when(F.col("last_role") == "assistant", "report").otherwise("plan").alias("stage"), F.array(F.lit("plan"), F.lit("report")).alias("completed_stages"))
+    usage = F.struct(F.col("turns").alias("agent_steps"), F.col("told").alias("search_calls"), F.col("chars").alias("total_tokens"))
+    fields = [F.col("conv_id").cast("string").alias("run_id"), ended.alias("status"), ended.alias("stop_reason"), "plan", "subtasks", "tool_calls", "evidence_assessments", "final_evidence_ids", "final_report", checkpoint.alias("checkpoint"), usage.alias("usage"), "errors"]
+    held = F.struct(F.when(F.col("turns") < 8, F.col("conv_id").cast("string")).alias("run_id"), "final_report", checkpoint.alias("checkpoint"))
+    status = F.struct(F.lit(True).alias("ready"), F.when(F.col("conv_id") % 2 == 0, "supervisor").otherwise("baseline").alias("workflow"))
+    stored = storage.materialize(runs_.select("conv_id", F.to_json(F.struct(*fields)).alias("created"), F.to_json(held).alias("persisted"), F.to_json(status).alias("service")), "runs")
+    records: dict[str, Column] = {"status": F.parse_json("service"), "created": F.parse_json("created"), "persisted": F.parse_json("persisted"), "page": F.lit(None).cast("string")}
+    return checks.report(stored, checks.ACCEPTANCE, keys=["conv_id"], records=records).select("conv_id", F.array_join("gaps", ",").alias("gaps"), "status")

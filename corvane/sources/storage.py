@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import atexit
+import hashlib
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .readers import exists
+
 _own: dict[str, str] = {}
 _written: list[tuple[SparkSession, str]] = []
 
@@ -36,6 +40,27 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def keeper(content: DataFrame, what: str) -> Callable[[str, Callable[[], DataFrame]], DataFrame]:
+    """keep(name, build): the table that build() makes, stored under a hash of `content` and of `what` is made of it.
+
+    Made once in an application: equal content finds the stored table. The hash takes one scan of the content, whatever its order:
+    its rows, and two sums of independent row hashes.
+    """
+    spark, row = content.sparkSession, [F.col(f"`{c}`") for c in content.columns]
+    seen = content.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*row).cast("decimal(20,0)")), F.sum(F.xxhash64(F.lit(what), *row).cast("decimal(20,0)"))).first()
+    digest = hashlib.sha256(repr((what, *map(str, seen))).encode()).hexdigest()[:32]
+    root = f"{scratch_dir(spark)}/corvane/{spark.sparkContext.applicationId}/{digest}"
+
+    def keep(name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        path = f"{root}/{name}"
+        if not exists(spark, f"{path}/_SUCCESS"):
+            build().write.mode("overwrite").parquet(path)
+            _written.append((spark, path))
+        return spark.read.parquet(path)
+
+    return keep
+
+
 def release(spark: SparkSession) -> None:
     """Delete the scratch tables written so far; DataFrames that still read them become invalid."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()

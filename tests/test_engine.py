@@ -26,7 +26,7 @@ def rows(df, *columns):
 
 
 def test_tokens_fold_width_and_pair_cjk(spark):
-    assert one(spark, T.tokens(F.col("t"), compatible=True), t="ＢＭ２５ 关键检索 rrf. sprächen 字") == ["bm25", "zh:关键", "zh:键检", "zh:检索", "rrf.", "spr", "chen", "zh:字"]
+    assert one(spark, T.tokens(F.col("t")), t="ＢＭ２５ 关键检索 rrf. sprächen 字") == ["bm25", "zh:关键", "zh:键检", "zh:检索", "rrf.", "spr", "chen", "zh:字"]
     assert one(spark, T.tokens(F.col("t")), t="") == []
 
 
@@ -380,3 +380,101 @@ def test_markdown_blocks(spark):
     got = [(r["doc"], r["block"], r["title"], r["section"], r["text"]) for r in out.orderBy("doc", "block").collect()]
     assert got == [(1, 0, "file", None, "intro"), (1, 1, "Title", "Title", "body one\n```\n# no heading\n```"), (1, 2, "Title", "Part", "text"), (1, 3, "Title", "Second", "end"), (3, 0, "f", None, "plain")]
     assert {r["doc"]: r["text"] for r in ingest.text_to_hash(out).collect()}[3] == "[page=;section=]\nplain"
+
+
+def plain_url(url):
+    """One form of a URL by the standard library."""
+    from urllib.parse import parse_qsl, urlencode, urlsplit, urlunsplit
+
+    try:
+        p = urlsplit(url.strip())
+        if p.scheme.lower() not in ("http", "https") or not p.hostname or p.username or p.password:
+            return None
+        host = p.hostname.encode("idna").decode("ascii").lower()
+        host = f"[{host}]" if ":" in host else host
+        host += f":{p.port}" if p.port and (p.scheme.lower(), p.port) not in (("http", 80), ("https", 443)) else ""
+    except ValueError:
+        return None
+    items = [(k, v) for k, v in parse_qsl(p.query, keep_blank_values=True) if k.lower() not in T.TRACKING and not k.lower().startswith("utm_")]
+    return urlunsplit((p.scheme.lower(), host, __import__("re").sub("/+", "/", p.path or "/"), urlencode(sorted(items)), ""))
+
+
+def test_urls_in_one_form(spark):
+    r = random.Random(3)
+    hosts = ["Example.com", "bücher.de", "[::1]", "[FE80::1]", "a..b", ".a", "a.", "x" * 64, "日本.jp", "EXAMPLE.org", "", "u@h.de", "u:p@h.de", "@h.de", "münchen.DE", "[::1", "127.0.0.1"]
+    ports = ["", "", ":80", ":443", ":8080", ":", ":0", ":0080", ":x", ":70000"]
+    parts = ["q=%41b+c", "c", "b=", "=v", "utm_source=x", "UTM_a=1", "ref=1", "fbclid=2", "q=a%2Fb", "z=%zz", "a=b=c", "é=ü", "x=*~-_.", "k=%E4%B8%AD", "", "p= "]
+    urls = [r.choice(["http", "HTTPS", "https", "ftp"]) + "://" + r.choice(hosts) + r.choice(ports) + r.choice(["", "/", "//a//b", "/é/%41", "/a;b"]) + r.choice(["", "?" + "&".join(r.choices(parts, k=r.randint(0, 5)))]) + r.choice(["", "#f?x"]) for _ in range(1500)]
+    urls += ["", "http:example.com", " https://a.de/x ", "http://[::1]:8080/?b&a", "//a.de", "mailto:a@b.de"]
+    out = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "i int, u string").select("i", T.canonical_url(F.col("u")).alias("c")).collect()
+    assert {r["i"]: r["c"] for r in out} == {i: plain_url(u) for i, u in enumerate(urls)}
+    assert plain_url("https://bücher.de:443/a?q=%41b+c&c&utm_x=1") == "https://xn--bcher-kva.de/a?c=&q=Ab+c" and plain_url("http://[::1]:8080") == "http://[::1]:8080/"
+
+
+def test_search_in_compatible_form(spark):
+    docs = spark.createDataFrame([(1, "BM25 ranking", "x"), (2, "other words", "Ｂｍ２５ ranking"), (3, "Ｂｍ２５", "ﬁle ranking"), (4, None, None)], "doc_id int, title string, text string")
+    index = retrieval.build_index(docs, title_col="title")
+    asked = retrieval.query_terms(spark.createDataFrame([(1, "bm25"), (2, "ｆｉｌｅ")], "q int, t string"), id_col="q", text_col="t")
+    hits = retrieval.bm25(index, asked).collect()
+    assert {(r["query"], r["id"]) for r in hits} == {(1, 1), (1, 2), (1, 3), (2, 3)} and max((r for r in hits if r["query"] == 1), key=lambda r: r["score"])["id"] == 3
+    import unicodedata
+
+    samples = "".join(chr(c) for c in range(1, 0x3200) if not 0xD800 <= c < 0xE000) + "".join(map(chr, range(0x4E00, 0xA000, 7)))
+    rows = spark.createDataFrame([(c, c * 2 + "e") for c in samples], "c string, t string").select("t", T.compatible(F.col("t")).alias("n")).collect()
+    assert all(r["n"] == unicodedata.normalize("NFKC", r["t"]) for r in rows)
+    again = retrieval.build_index(docs, title_col="title")
+    assert again.postings.inputFiles() == index.postings.inputFiles() and retrieval.build_index(docs, title_col="title", title_weight=3.0).postings.inputFiles() != index.postings.inputFiles()
+
+
+def test_a_header_that_fits_exactly_is_packed(spark):
+    blocks = spark.createDataFrame([("q", 1, "h" * 4, "abcd"), ("q", 2, "g" * 2, "later")], "query string, rank int, header string, content string")
+    got = [(r["packed"], r["truncated"]) for r in retrieval.pack(blocks, max_chars=9 + 2 + 3).orderBy("rank").collect()]
+    assert got == [("hhhh\nabcd", False), ("gg\n", True)]
+    assert retrieval.pack(blocks, max_chars=9 + 2 + 2).count() == 1
+
+
+def test_dense_in_batches_and_blocks(spark, monkeypatch):
+    import numpy as np
+
+    g = np.random.default_rng(5)
+    x = g.normal(size=(300, 6))
+    x[10], x[11] = 0, x[12]
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(300, None), (301, []), (302, [float("nan")] * 6), (303, [1.0])]
+    df = spark.createDataFrame(rows, "vec_id int, embedding array<double>").repartition(3)
+    monkeypatch.setattr(retrieval, "QUERY_BYTES", 8 * 6 * 7)
+    got = {(r["query"], r["rank"]): (r["id"], round(r["score"], 9)) for r in retrieval.dense(df, df.where("vec_id % 10 = 2 OR vec_id > 298"), top_k=5).collect()}
+    u = {i: np.array(v) / np.linalg.norm(v) for i, v in rows if v and len(v) == 6 and np.isfinite(v).all() and any(v)}
+    for q in [i for i in u if i % 10 == 2 or i > 298]:
+        best = sorted((-round(float(u[i] @ u[q]), 9), i) for i in u)[:5]
+        assert [got[q, k + 1] for k in range(5)] == [(i, -s) for s, i in best]
+    assert got[303, 1] == (303, 1.0) and len(got) == 1 + 5 * len([i for i in u if i % 10 == 2 or i > 298])
+
+
+def test_near_pairs_at_every_distance(spark):
+    r = random.Random(6)
+    base = [r.getrandbits(64) for _ in range(60)]
+    prints = list(enumerate(base + [b ^ sum(1 << k for k in r.sample(range(64), r.randint(0, 5))) for b in base for _ in range(4)]))
+    df = spark.createDataFrame([(i, p >> 32, p & 0xFFFFFFFF) for i, p in prints], "id int, hi bigint, lo bigint")
+    first = {}
+    for i, p in prints:
+        first.setdefault(p, i)
+    nodes = [(i, p) for p, i in first.items()]
+    for distance in (1, 3):
+        want = {(min(a, b), max(a, b), (p ^ q).bit_count()) for n, (a, p) in enumerate(nodes) for b, q in nodes[n + 1 :] if (p ^ q).bit_count() <= distance}
+        got = [tuple(x) for x in corpus.near_pairs(df, distance=distance).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_passages_by_their_rarest_word(spark):
+    docs = spark.createDataFrame([(1, "a b  c\na b d"), (2, "b c"), (3, None), (4, "c a b d e"), (5, "abd")], "doc_id int, text string")
+    items = spark.createDataFrame([(1, "a b"), (2, "b c"), (3, "a b d"), (4, "zz"), (5, ""), (6, None), (7, "e"), (8, "b d e f")], "item_id int, text string")
+    assert sorted(map(tuple, corpus.containment(docs, items).collect())) == [(1, 1), (1, 2), (1, 3), (2, 2), (4, 1), (4, 3), (4, 7)]
+
+
+def test_common_words(spark):
+    from collections import Counter
+
+    r = random.Random(2)
+    rows = [([r.choice("abcd") for _ in range(r.randint(0, 9))], [r.choice("abcd") for _ in range(r.randint(0, 9))]) for _ in range(100)]
+    got = spark.createDataFrame([(i, *x) for i, x in enumerate(rows)], "i int, l array<string>, r array<string>").select("i", T.common(F.col("l"), F.col("r")).alias("n")).collect()
+    assert {x["i"]: x["n"] for x in got} == {i: sum((Counter(a) & Counter(b)).values()) for i, (a, b) in enumerate(rows)}
