@@ -1,24 +1,47 @@
 """Corpus pipeline: documents to token ids, each stage one of the operators of corvane.llm.
 
-Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents.
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents. A stage's result
+must be written before the next stage is called, which deletes the tables that the result was read from.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.llm import decontaminate, minhash, mixing, quality_rules, token_store
-from corvane.llm.common import broadcast_if_small, materialize, table
+from corvane.llm.common import broadcast_if_small, discard, materialize, recorded, table
 from corvane.llm.queries import VOCABULARY_FILE
 
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+_before: list[tuple[SparkSession, str]] = []
+
+
+def _stage(stage: Stage) -> Stage:
+    """A stage that first deletes the scratch tables of the stage called before it: that one's result has been written by then."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        discard(_before)
+        with recorded() as tables:
+            out = stage(spark, docs, sf_dir)
+        _before.extend(tables)
+        return out
+
+    return run
+
+
 def _row(docs: DataFrame) -> Column:
     """All columns as one, whatever their names hold."""
     quoted = [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]
     return F.struct(*quoted).alias("row")
 
 
+@_stage
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep; null and empty texts go. Rows are judged each, whatever their ids, over their whole
     texts, however long; columns of any names, dots included, are kept. Empty table: no rows."""
@@ -26,6 +49,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality_rules.judge(rows).where("qr_kept").select("row.*")
 
 
+@_stage
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (five-word shingles, similarity 0.8 or more): the one of smallest id.
 
@@ -46,6 +70,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return out.select("row.*")
 
 
+@_stage
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no window of a benchmark item occurs, whatever their ids; null and empty texts stay, and long texts
     are read whole. Columns may have any names, dots included. Empty table: no rows."""
@@ -54,6 +79,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     return rows.join(broadcast_if_small(materialize(hit, "hit")), "key", "left_anti").select("row.*")
 
 
+@_stage
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix: documents as often as their source's target asks for. A null source is a source of its own, rows without a word
     have size 0, repeated rows and ids count each, long texts at their whole size. Columns may have any names, dots included. Empty
@@ -62,6 +88,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return mixing.emit(mixing.mix(rows)).select("row.*")
 
 
+@_stage
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token blocks of the mix, and each written document's place and digest as read back from them. Null texts are empty; null
     ids come first; every row is a document of its own, encoded whole, however long. Other columns are not read. Empty
@@ -84,7 +111,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, old = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage_{name}")
+        out = stage(spark, docs, sf_dir)
+        with recorded() as own:
+            docs = materialize(out, f"stage_{name}")
+        discard(old)  # a stage's input is not needed once its result is written
+        old = own
     return STAGES[-1][1](spark, docs, sf_dir)
