@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,12 +46,29 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def recorded() -> Iterator[list[tuple[SparkSession, str]]]:
+    """The scratch tables written inside, for `discard` once their readers are done."""
+    before, tables = len(_scratch), []
+    try:
+        yield tables
+    finally:
+        tables += _scratch[before:]
+
+
+def discard(tables: list[tuple[SparkSession, str]]) -> None:
+    """Delete these scratch tables; DataFrames that still read them become invalid."""
+    while tables:
+        spark, name = tables.pop()
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        if (spark, name) in _scratch:
+            _scratch.remove((spark, name))
+
+
 def release(spark: SparkSession) -> None:
     """Delete the scratch tables written so far; DataFrames that still read them become invalid."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    while _scratch:
-        path = jvm.org.apache.hadoop.fs.Path(_scratch.pop()[1])
-        path.getFileSystem(conf).delete(path, True)
+    discard([t for t in _scratch if t[0] is spark])
 
 
 @atexit.register

@@ -99,13 +99,29 @@ def proximity_hits(index: DataFrame, phrases: DataFrame, *, span: int) -> DataFr
     return hits.withColumn("__n", F.size(F.collect_set("term").over(window))).where("__n = k").select("doc", "phrase_id", F.col("pos").alias("start")).distinct()
 
 
+def proximity(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", width: int = WIDTH, span: int = 2 * WIDTH) -> DataFrame:
+    """(doc, mark, n_windows, n_phrases) of documents that hold all words of an item's window within `span` words, in any order.
+
+    n_phrases counts the windows of items that are held so, n_windows the places where one is. Rows, nulls and empty tables as in
+    `contamination`; documents without any are left out.
+    """
+    docs = keyed(docs, id_col=id_col, text_col=text_col)
+    phrases, _ = windows_of(items, id_col=item_id_col, text_col=item_text_col, width=width)
+    phrases = materialize(phrases, "phrases")
+    index = build_index(docs.distinct(), phrases.select(F.explode("terms").alias("term")).distinct(), id_col="doc", text_col="text")
+    found = proximity_hits(index, phrases, span=span)
+    out = found.groupBy("doc").agg(F.count(F.lit(1)).alias("n_windows"), F.count_distinct("phrase_id").alias("n_phrases"))
+    return out.select(F.col("doc.id").alias("doc"), F.col("doc.mark").alias("mark"), "n_windows", "n_phrases")
+
+
 def contamination(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", width: int = WIDTH) -> DataFrame:
     """Per document: doc, n_words, n_hit, n_items (long), items (sorted strings), hits (array of start, len), mark (hash of the text).
 
     One row for each row of docs, whatever its id: inside, a document is its id and a hash of its text, so null ids, and ids that
     come with several texts, are documents of their own, and rows that repeat an id and its text have the same result. Null and
-    empty texts: no words, not hit. Very long texts are read whole. Empty tables: no rows, or no hits. Only the id and text
-    columns are read, whatever the names of others.
+    empty texts: no words, not hit. Very long texts are read whole. Empty tables: no rows, or no hits. Items without
+    an id count as one more item in n_items, and have no string in items. Only the id and text columns are read, whatever the names of
+    others.
     """
     docs = keyed(docs, id_col=id_col, text_col=text_col)
     id_col, text_col = "doc", "text"
@@ -117,11 +133,11 @@ def contamination(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id",
     reached = F.coalesce(F.max(F.col("end")).over(by_start.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     spans = hits.groupBy("doc", "start").agg(F.max("len").alias("len")).withColumn("end", F.col("start") + F.col("len"))
     hit = spans.withColumn("new", F.greatest(F.lit(0), F.col("end") - F.greatest("start", reached))).groupBy("doc").agg(F.sum("new").alias("n_hit"), F.array_sort(F.collect_list(F.struct("start", "len"))).alias("hits"))
-    named = hits.select("doc", "phrase_id").distinct().join(_bounded(owners), "phrase_id").groupBy("doc").agg(F.array_sort(F.collect_set(F.col("item").cast("string"))).alias("items"))
+    named = hits.select("doc", "phrase_id").distinct().join(_bounded(owners), "phrase_id").groupBy("doc").agg(F.array_sort(F.collect_set(F.col("item").cast("string"))).alias("items"), F.size(F.collect_set(F.struct("item"))).alias("n_items"))
     lengths = index.where(F.col("term") == LENGTH_TERM).select("doc", F.col("pos").alias("n_words"))
     out = lengths.join(hit.join(named, "doc"), "doc", "left")
     none = F.array().cast("array<string>")
     return out.select(
-        F.col("doc.id").alias("doc"), F.col("n_words").cast("long").alias("n_words"), F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(F.coalesce("items", none)).cast("long").alias("n_items"),
+        F.col("doc.id").alias("doc"), F.col("n_words").cast("long").alias("n_words"), F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
         F.coalesce("items", none).alias("items"), F.coalesce("hits", F.array().cast("array<struct<start:int,len:int>>")).alias("hits"), F.col("doc.mark").alias("mark"),
     )

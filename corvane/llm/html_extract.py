@@ -2,8 +2,8 @@
 
 `blocks_of` cuts a page into leaf blocks with their tag paths. Each block becomes a vector: hashed tags, classes and ids of its
 path, hashed words, and a few measures. A small numpy bidirectional LSTM reads all blocks of the page and says which belong to
-the article. It is trained here, from pages that `sample_page` makes up: many layouts, with and without telling tag names,
-whose blocks' labels are known. Nothing is downloaded and no page of the corpus is learned from.
+the article. It is trained here, from pages that `sample_page` and the families of `FAMILIES` make up: many layouts, with and without
+telling tag names, whose blocks' labels are known. Nothing is downloaded and no page of the corpus is learned from.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 PATH_DIM, WORD_DIM, MEASURES, HIDDEN = 128, 48, 10, 16
 DIM = PATH_DIM + WORD_DIM + MEASURES
-TRAIN_PAGES, EPOCHS, SEED = 1_000, 10, 7
+TRAIN_PAGES, EPOCHS, SEED = 2_400, 10, 7
 
 #: Attributes as the HTML standard's tokenizer reads them: a quote opens a value only right after an equals sign. No part gives
 #: back what it took, so any markup is read in linear time. A value without its closing quote takes all that follows.
@@ -351,6 +351,135 @@ def sample_page(r: random.Random) -> tuple[str, list[str]]:
     return f"<!DOCTYPE html><html><head><title>{words(3)}</title></head><body>{''.join(before)}{main}{''.join(after)}</body></html>", said
 
 
+class _Maker:
+    """Words, sentences and attributes of one made-up page, and the texts of its article so far."""
+
+    def __init__(self, r: random.Random):
+        self.r, self.said = r, []
+        self.parts = ["".join(r.choice("bcdfghklmnprstvwz") + r.choice("aeiouäéó") for _ in range(r.randint(1, 4))) for _ in range(60)]
+        self.prefix = r.choice(["css-", "sc-", "jsx-", "x", "_", "c"])
+
+    def words(self, least: int, most: int) -> str:
+        return " ".join(self.r.choice(self.parts) for _ in range(self.r.randint(least, most)))
+
+    def title(self, least: int = 2, most: int = 9) -> str:
+        return self.words(least, most).capitalize()
+
+    def prose(self, least: int, most: int) -> str:
+        return " ".join(self.words(4, 20).capitalize() + self.r.choice([".", ".", ".", "!", "?"]) for _ in range(self.r.randint(least, most)))
+
+    def keep(self, text: str) -> str:
+        self.said.append(text)
+        return text
+
+    def blank(self) -> str:
+        """A class name that says nothing."""
+        return f' class="{self.prefix}{"".join(self.r.choice("abcdefghkmnpqrtxyz0123456789") for _ in range(self.r.randint(3, 7)))}"'
+
+    def link(self, text: str) -> str:
+        return f'<a href="/{self.r.randint(1, 9999)}">{text}</a>'
+
+    def links(self, least: int, most: int, tag: str = "li") -> str:
+        return "".join(f"<{tag}>{self.link(self.title(1, 6))}</{tag}>" for _ in range(self.r.randint(least, most)))
+
+    def wrapped(self, inner: str, least: int = 0, most: int = 5) -> str:
+        for _ in range(self.r.randint(least, most)):
+            inner = f"<div{self.blank()}>{inner}</div>"
+        return inner
+
+    def page(self, body: str) -> tuple[str, list[str]]:
+        return f"<!DOCTYPE html><html><head><title>{self.title()}</title></head><body>{body}</body></html>", self.said
+
+
+def _plain_divs(m: _Maker) -> str:
+    """News built of divs alone, class names that say nothing; lists of other stories with or without a heading; a byline."""
+    r = m.r
+    p = r.choice(["div", "div", "p"])
+    same = m.blank()
+    body = [f"<h1{m.blank()}>{m.keep(m.title(3, 12))}</h1>"] if r.random() < 0.9 else []
+    for _ in range(r.randint(2, 14)):
+        body.append(f"<{p}{same}>{m.keep(m.prose(1, 6))}</{p}>")
+        if r.random() < 0.12:
+            body.append(f"<h2>{m.keep(m.title(2, 6))}</h2>")
+        if r.random() < 0.08:
+            body.append(m.wrapped(r.choice([m.link(m.title(3, 9)), "Advertisement", f"<span>{m.words(1, 3)}</span>"]), 1, 2))
+    more = lambda: m.wrapped(r.choice(["", f"<h2>{r.choice(['More on this story', 'Related', 'Read more', 'Most read', m.title(1, 4)])}</h2>", f"<div{m.blank()}>{r.choice(['More on this story', 'Top stories'])}</div>"]) + r.choice([f"<ul>{m.links(2, 12)}</ul>", m.links(2, 8, "div")]), 1, 4)
+    menu = m.wrapped(m.links(2, 9, r.choice(["div", "span", "li"])), 1, 4)
+    foot = m.wrapped(r.choice([m.links(2, 10, "div"), f"<div>&copy; {m.words(1, 4)}</div>", f"<div>{m.prose(1, 2)}</div>" + m.links(1, 4, "span")]), 1, 4)
+    return menu + (more() if r.random() < 0.2 else "") + m.wrapped("".join(body), 1, 7) + (more() if r.random() < 0.7 else "") + (foot if r.random() < 0.8 else "")
+
+
+def _tables(m: _Maker) -> str:
+    """A page laid out in tables: a menu cell beside the text, bars above and below."""
+    r = m.r
+    p = lambda: r.choice(["<p>{}</p>", "<p>{}", "<font size=2>{}</font><hr>", "<div>{}</div>"]).format(m.keep(m.prose(1, 6)))
+    menu = r.choice(["<br>".join(m.link(m.title(1, 2)) for _ in range(r.randint(2, 9))), " | ".join(m.link(m.title(1, 2)) for _ in range(r.randint(2, 6))), f"<ul>{m.links(2, 8)}</ul>", " ".join(m.link(m.title(1, 1)) for _ in range(r.randint(2, 3)))])
+    top = f"<tr><td colspan=2>{r.choice([m.title(1, 3), m.link(m.title(1, 3)), f'<h2>{m.title(1, 3)}</h2>'])}</td></tr>" if r.random() < 0.6 else ""
+    head = f"<{(t := r.choice(['h1', 'h2', 'h3']))}>{m.keep(m.title())}</{t}>" if r.random() < 0.8 else ""
+    text = head + "".join(p() for _ in range(r.randint(2, 9)))
+    cells = [f"<td width=150>{menu}</td>", f"<td>{text}</td>"]
+    if r.random() < 0.3:
+        cells.append(f"<td>{m.links(2, 6, 'p')}</td>")
+    foot = f"<tr><td colspan=2>{r.choice([f'&copy; {m.words(1, 4)}', m.link(m.title(1, 2)) + ' ' + m.link(m.title(1, 2)), f'Last updated {m.words(1, 3)}', m.prose(1, 1)])}</td></tr>" if r.random() < 0.7 else ""
+    return r.choice(["<center>", "", "<div>"]) + f"<table>{top}<tr>{''.join(cells)}</tr>{foot}</table>"
+
+
+def _encyclopaedia(m: _Maker) -> str:
+    """A reference page: a contents list, a box of facts, sections, lists of sources, lines on the page itself."""
+    r = m.r
+    names = (lambda n: f' id="{n}"' if r.random() < 0.5 else f' class="{n}"') if r.random() < 0.6 else (lambda n: m.blank())
+    heads = [m.title(1, 4) for _ in range(r.randint(1, 7))]
+    box = f"<table{names('infobox')}>" + "".join(f"<tr><th>{m.title(1, 2)}:</th><td>{m.title(1, 3)}</td></tr>" for _ in range(r.randint(2, 9))) + "</table>"
+    toc = f"<div{names('toc')}>{r.choice(['<h2>Contents</h2>', '<div>Contents</div>', ''])}<ul>" + "".join(f"<li>{m.link(f'{i + 1} {h}')}</li>" for i, h in enumerate(heads)) + "</ul></div>"
+    lead = "".join(f"<p>{m.keep(m.prose(1, 6))}</p>" for _ in range(r.randint(1, 3)))
+    top = f"<h1>{m.said.insert(0, t := m.title(1, 5)) or t}</h1>"
+    body = ""
+    for h in heads:
+        body += f"<h2>{m.keep(h)}</h2>" + "".join(f"<p>{m.keep(m.prose(1, 6))}</p>" for _ in range(r.randint(1, 4)))
+        if r.random() < 0.25:
+            body += "<ul>" + "".join(f"<li>{m.keep(m.prose(1, 1))}</li>" for _ in range(r.randint(2, 6))) + "</ul>"
+    site = f"<div{names('sitenav')}><ul>{m.links(3, 14)}</ul></div>"
+    last = r.choice([f"This page was last edited on {m.words(2, 4)}.", f"Last modified: {m.words(1, 3)}", f"Text is available under {m.words(2, 6)}; additional terms may apply."])
+    foot = f"<div{names('footer')}><ul><li>{last}</li>{m.links(1, 6)}</ul></div>" if r.random() < 0.7 else f"<div{names('footer')}><p>{last}</p></div>"
+    cats = f"<div{names('catlinks')}>{m.link('Categories')}: <ul>{m.links(1, 6)}</ul></div>" if r.random() < 0.5 else ""
+    parts = [box if r.random() < 0.7 else "", lead, toc if r.random() < 0.8 else "", body]
+    return (site if r.random() < 0.5 else "") + f"<div{names('content')}>{top}{''.join(parts)}</div>" + cats + (site if r.random() < 0.5 else "") + foot
+
+
+def _portal(m: _Maker) -> str:
+    """A magazine page: cards of other stories around, byline and date above, tags and an author's box below the text."""
+    r = m.r
+    cards = lambda: "<section" + m.blank() + ">" + r.choice(["", f"<h2>{r.choice(['Trending', 'You may also like', m.title(1, 3)])}</h2>"]) + "".join(f"<div{m.blank()}>{m.link(f'<h3>{m.title(3, 9)}</h3>')}" + r.choice(["", f"<p>{m.prose(1, 1)}</p>"]) + "</div>" for _ in range(r.randint(2, 7))) + "</section>"
+    head = f"<h1>{m.keep(m.title(3, 12))}</h1>"
+    by = f"<div{m.blank()}>{r.choice(['By ', 'Von ', ''])}{m.link(m.title(2, 2))}</div><time>{r.randint(1, 28)} {m.words(1, 1)} 20{r.randint(10, 25)}</time>" if r.random() < 0.7 else ""
+    body = ""
+    for _ in range(r.randint(3, 16)):
+        body += f"<p>{m.keep(m.prose(1, 5))}</p>"
+        kind = r.random()
+        if kind < 0.07:
+            body += f"<h2>{m.keep(m.title(2, 6))}</h2>"
+        elif kind < 0.12:
+            body += f"<blockquote>{m.keep(m.prose(1, 2))}</blockquote>"
+        elif kind < 0.20:
+            body += r.choice(["<figure><img src=x></figure>", f"<div{m.blank()}>{m.link(m.title(4, 9))}</div>"])
+    tags = f"<footer>{r.choice(['Tags: ', 'Filed under: ', ''])}{', '.join(m.link(m.words(1, 2)) for _ in range(r.randint(1, 6)))}</footer>" if r.random() < 0.6 else ""
+    author = f"<div{m.blank()}><h4>{m.title(2, 2)}</h4><p>{m.prose(1, 2)}</p>{m.link('More from ' + m.title(1, 2))}</div>" if r.random() < 0.3 else ""
+    bar = f"<header><nav><ul>{m.links(3, 10)}</ul></nav></header>" if r.random() < 0.7 else m.wrapped(m.links(3, 9, "span"), 1, 3)
+    foot = f"<footer><ul>{m.links(2, 9)}</ul><p>{r.choice(['&copy; ' + m.words(2, 4), m.prose(1, 2)])}</p></footer>"
+    tag = r.choice(["article", "div", "main"])
+    return bar + (cards() if r.random() < 0.3 else "") + m.wrapped(f"<{tag}>{head}{by}{body}{tags}</{tag}>", 0, 4) + author + (cards() if r.random() < 0.7 else "") + foot
+
+
+#: Families of layouts besides the plain one of `sample_page`; those trained on, each time with FAMILY_SHARE of the pages.
+FAMILIES = {"plain divs": _plain_divs, "tables": _tables, "encyclopaedia": _encyclopaedia, "portal": _portal}
+TRAINED_ON, FAMILY_SHARE = ("plain divs", *FAMILIES), 0.1
+
+
+def family_page(name: str, r: random.Random) -> tuple[str, list[str]]:
+    m = _Maker(r)
+    return m.page(FAMILIES[name](m))
+
+
 # ---- the labeller ------------------------------------------------------------------------------------------------------------
 
 
@@ -468,11 +597,12 @@ def _padded(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return x, sizes
 
 
-def labelled_pages(n: int, seed: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Vectors and labels of n made-up pages."""
+def labelled_pages(n: int, seed: int, families: tuple[str, ...] = ()) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Vectors and labels of n made-up pages: of each family FAMILY_SHARE, the others of `sample_page`."""
     r, xs, ys = random.Random(seed), [], []
     for _ in range(n):
-        page, said = sample_page(r)
+        k = int(r.random() / FAMILY_SHARE)
+        page, said = family_page(families[k], r) if k < len(families) else sample_page(r)
         blocks, at, y = blocks_of(page), 0, []
         for b in blocks:
             hit = at < len(said) and b.text == said[at]
@@ -486,7 +616,7 @@ def labelled_pages(n: int, seed: int) -> tuple[list[np.ndarray], list[np.ndarray
 
 @lru_cache(maxsize=2)
 def trained(pages: int = TRAIN_PAGES, epochs: int = EPOCHS, seed: int = SEED) -> Labeller:
-    return Labeller(seed).fit(*labelled_pages(pages, seed), epochs=epochs)
+    return Labeller(seed).fit(*labelled_pages(pages, seed, TRAINED_ON), epochs=epochs)
 
 
 def extract(pages: DataFrame, *, id_col: str = "page_id", html_col: str = "html", labeller: Labeller | None = None, threshold: float = 0.5) -> DataFrame:

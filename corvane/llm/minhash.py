@@ -173,16 +173,18 @@ def _least(threshold: float) -> int:
     return math.floor(k * threshold - SIGMAS * math.sqrt(k * threshold * (1 - threshold)))
 
 
-def _across(open_: DataFrame, reps: DataFrame, sets: DataFrame, hundredths: int, threshold: float) -> DataFrame:
-    """Links (a, b) between documents of one bucket and different components. open_: key, band, doc, component."""
-    kind, k, least = sets.schema["doc"].dataType.simpleString(), band_count(threshold) * ROWS, _least(threshold)
+def _across(open_: DataFrame, reps: DataFrame, hundredths: int, threshold: float) -> DataFrame:
+    """Pairs (a, b) of one bucket and different components whose signatures agree enough, each at the first band it agrees in.
+
+    open_: key, band, doc, component. A bucket's members meet in pairs of blocks that hold signatures and sizes alone; full sets are
+    fetched later, for the pairs found.
+    """
+    kind, k, least = reps.schema["doc"].dataType.simpleString(), band_count(threshold) * ROWS, _least(threshold)
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         band = group["band"].iloc[0]
-        ids, part = group["doc"].to_numpy(), group["component"].to_numpy()
+        ids, part, size = (group[c].to_numpy() for c in ("doc", "component", "n_shingles"))
         sig = np.frombuffer(b"".join(group["signature"]), dtype="<u4").reshape(len(group), k)
-        full = [np.frombuffer(x, dtype=np.uint64) for x in group["s"]]
-        size = np.array([len(x) for x in full])
         left = np.flatnonzero(group["blk"] == group["bi"])
         right = np.flatnonzero(group["blk"] == group["bj"])
         apart, out = group["bi"].iloc[0] != group["bj"].iloc[0], []
@@ -191,16 +193,13 @@ def _across(open_: DataFrame, reps: DataFrame, sets: DataFrame, hundredths: int,
             near = near[100 * np.minimum(size[near], size[i]) >= hundredths * np.maximum(size[near], size[i])]
             same = sig[near] == sig[i]
             first = same.reshape(len(near), -1, ROWS).all(axis=2).argmax(axis=1) if len(near) else near
-            for j in near[(same.sum(axis=1) >= least) & (first == band)]:
-                both = len(np.intersect1d(full[i], full[j], assume_unique=True))
-                if 100 * both >= hundredths * (size[i] + size[j] - both):
-                    out.append((ids[i], ids[j]))
-        return pd.DataFrame(out, columns=["a", "b"])
+            out += [(ids[i], ids[j]) for j in near[(same.sum(axis=1) >= least) & (first == band)]]
+        return pd.DataFrame(out, columns=["a", "b"], dtype=ids.dtype)
 
     counts = open_.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("blocks"))
     placed = open_.join(broadcast_if_small(counts), "key").withColumn("blk", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     placed = placed.select("key", "band", "doc", "component", "blk", F.least("blk", "other").alias("bi"), F.greatest("blk", "other").alias("bj"))
-    held = placed.join(reps.select("doc", "signature"), "doc").join(sets.select("doc", "s"), "doc")
+    held = placed.join(reps.select("doc", "n_shingles", "signature"), "doc")
     return held.groupBy("key", "bi", "bj").applyInPandas(run, f"a {kind}, b {kind}")
 
 
@@ -258,7 +257,8 @@ def near_duplicates(docs: DataFrame, *, hundredths: int = 80, width: int = WIDTH
     placed = members.where("doc <> first").join(found, "doc", "left").select("key", "band", "doc", F.coalesce("component", "doc").alias("component"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
     open_ = materialize(placed.join(mixed.select("key"), "key", "left_semi"), "open")
-    more = materialize(_across(open_, reps, sets, hundredths, threshold), "links2")
+    agreed = materialize(_across(open_, reps, hundredths, threshold), "agreed2")
+    more = materialize(_confirm(agreed, sets, hundredths), "links2")
     if more.limit(1).count():
         found = materialize(star_components(found.select(F.col("doc").alias("a"), F.col("component").alias("b")).union(more)), "components2")
 

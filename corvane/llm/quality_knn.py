@@ -103,10 +103,16 @@ class Space:
         return z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)
 
     def vote(self, counts: np.ndarray) -> np.ndarray:
-        """Similarity-weighted share of label 1 among the VOTERS nearest, drawn a little to the base rate; of ties at the edge, those that numpy's partition takes."""
+        """Similarity-weighted share of label 1 among the VOTERS nearest, drawn a little to the base rate; of equally near ones at
+        the edge, those of the first labelled rows."""
         near = self.project(counts) @ self.points.T
         k = min(VOTERS, near.shape[1])
         top = np.argpartition(-near, k - 1, axis=1)[:, :k]
+        edge = np.take_along_axis(near, top, axis=1).min(axis=1)
+        tied = (near >= edge[:, None]).sum(axis=1) > k
+        for i in np.flatnonzero(tied):
+            above, level = np.flatnonzero(near[i] > edge[i]), np.flatnonzero(near[i] == edge[i])
+            top[i] = np.concatenate([above, level[: k - len(above)]])
         w = np.maximum(np.take_along_axis(near, top, axis=1), 0) ** SHARPNESS
         return ((w * self.labels[top]).sum(axis=1) + 0.5 * self.base) / (w.sum(axis=1) + 0.5)
 

@@ -43,6 +43,12 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def passage_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold the words of a benchmark window close together, in any order."""
+    out = decontaminate.proximity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), span=14)
+    return out.select(F.col("doc").alias("doc_id"), "n_windows", "n_phrases")
+
+
 def _scored(scorer, spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels")
     out = scorer(table(spark, sf_dir, "documents"), labels.where(~held_out(F.col("doc_id"))))
@@ -117,7 +123,7 @@ def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings")).withColumnRenamed("doc", "vec_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_token_counts, op3_minhash, op4_decontamination, op5_toxicity, op6_quality_rules, op7_licenses, op8_token_ids, op9_quality, op10_mixing, op11_periodic_runs, op12_topk_search, op13_whitening)}
+QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_token_counts, op3_minhash, op4_decontamination, op5_toxicity, op6_quality_rules, op7_licenses, op8_token_ids, op9_quality, op10_mixing, op11_periodic_runs, op12_topk_search, op13_whitening, passage_proximity)}
 
 _OP4_WORDS = r"[w FOR w IN regexp_split_to_array(translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+')  IF w <> '']"
 
@@ -200,6 +206,15 @@ k AS (SELECT u.doc_id, string_agg(x, ' ' ORDER BY i) AS kept FROM u ANTI JOIN x
 SELECT d.doc_id, CAST(coalesce(n_runs, 0) AS BIGINT) AS n_runs, CAST(best.start AS BIGINT) AS start, CAST(best.length AS BIGINT) AS length, CAST(best.period AS BIGINT) AS period,
   CAST(1000 * best.length // best.period AS BIGINT) AS exponent_milli, sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
 FROM d LEFT JOIN b USING (doc_id) LEFT JOIN k USING (doc_id)
+""",
+    "passage_proximity": rf"""
+WITH d AS (SELECT doc_id, {_OP4_WORDS.format('text')} AS w FROM documents), b AS (SELECT {_OP4_WORDS.format('text')} AS w FROM benchmark),
+p AS (SELECT row_number() OVER () AS phrase, list_distinct(terms) AS terms FROM (SELECT DISTINCT list_slice(w, i, least(i + 9, len(w))) AS terms FROM (SELECT w, unnest(range(1, greatest(1, len(w) - 9) + 1)) AS i FROM b WHERE len(w) > 0))),
+t AS (SELECT phrase, len(terms) AS k, unnest(terms) AS term FROM p), tok AS (SELECT doc_id, unnest(w) AS term, unnest(range(len(w))) AS pos FROM d),
+one AS (SELECT DISTINCT doc_id, term FROM tok), held AS (SELECT doc_id, phrase, any_value(k) AS k FROM one JOIN t USING (term) GROUP BY doc_id, phrase HAVING count(*) = any_value(k)),
+h AS (SELECT held.doc_id, held.phrase, held.k, tok.term, pos FROM held JOIN t ON t.phrase = held.phrase JOIN tok ON tok.doc_id = held.doc_id AND tok.term = t.term),
+n AS (SELECT doc_id, phrase, k, pos, count(DISTINCT term) OVER (PARTITION BY doc_id, phrase ORDER BY pos RANGE BETWEEN CURRENT ROW AND 13 FOLLOWING) AS c FROM h)
+SELECT doc_id, count(*) AS n_windows, count(DISTINCT phrase) AS n_phrases FROM n WHERE c = k GROUP BY doc_id
 """,
     "op12_topk_search": r"""
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS DOUBLE)) AS x FROM embeddings

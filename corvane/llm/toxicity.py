@@ -2,16 +2,18 @@
 
 `learn_lexicon` finds words and word beginnings (stems) that mark toxic training rows, by the log-likelihood ratio over counts
 of documents. The terms form a trie. `Matcher` runs the Levenshtein automata of all terms against the trie at once, as one
-lazily determinised automaton whose states are sets of (trie node, edits): a word costs one lookup per character. Each hit is
-weighed by its context window: inside quotation marks or beside words of reporting it counts as quotation, otherwise as abuse.
-A logistic model over a document's exact, misspelled and quoted hits gives the score.
+lazily determinised automaton whose states are sets of (trie node, edits): a word costs one lookup per character. Each hit has
+a context score, a sum over its window: quotation marks around it and words of reporting speak for quotation, words that address
+someone for abuse, and every other word for what the training rows show of it. A logistic model over a document's exact,
+misspelled and quoted hits, shared out by that score, gives the document's score.
 """
 
 from __future__ import annotations
 
 import bisect
+import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -26,6 +28,11 @@ FIT_ROWS = 20_000
 #: A stem is a word's first MIN_STEM to MAX_STEM letters; longer terms are whole words.
 MIN_STEM, MAX_STEM, MIN_DOCS, MIN_RATIO, MIN_EVIDENCE = 4, 10, 3, 15.0, 16.0
 WINDOW = 4
+#: What is known of windows beforehand, as log odds of quotation: marks around the hit, a word of reporting, one that addresses someone.
+MARKED, REPORTED, ADDRESSED = 4.0, 2.0, -2.0
+#: A window word learned from needs LEAST_SEEN exact hits; its log odds are drawn to 0 as by PULL hits more.
+LEAST_SEEN, PULL = 10, 20.0
+ADDRESS = frozenset("you your yours yourself you're ur du dich dir dein deine ihr euch euer tu toi ton ta tes vous votre vos tú ti te tus usted ustedes vosotros".split())
 REPORTING = frozenset("said says wrote writes called calls quoted quote quotes sagte schrieb nannte zitat zitierte dit écrit appelé cité citation dijo escribió llamó citó cita".split())
 #: Marks that open a quotation, and those that end one which the first opened.
 PAIRS = {"“": "”", "„": "“”", "«": "»", "»": "«", "‘": "’", "\"": "\""}
@@ -145,11 +152,17 @@ def quoted_spans(text: str) -> list[tuple[int, int]]:
 _MARK = re.compile(f"[{_MARKS}\n]")
 
 
-def features(text: str | None, matcher: Matcher, known: dict[str, tuple[float, int] | None]) -> list[float]:
-    """(abuse: exact sum, misspelled sum, strongest, per 100 words; quotation: sum, strongest; kinds of term; any)."""
-    if not text:
-        return [0.0] * FEATURES
-    text = text.lower()
+class Hit(NamedTuple):
+    word: str
+    weight: float
+    edits: int
+    marked: bool  # inside quotation marks
+    window: list[str]  # the words around it
+
+
+def find_hits(text: str | None, matcher: Matcher, known: dict[str, tuple[float, int] | None]) -> tuple[list[Hit], int]:
+    """The hits of a text, each with its window, and how many words the text has."""
+    text = (text or "").lower()
     tokens = _WORD.findall(text)
     hits = []
     for i, t in enumerate(tokens):
@@ -159,30 +172,48 @@ def features(text: str | None, matcher: Matcher, known: dict[str, tuple[float, i
             m = known[t] = matcher.match(t)
         if m:
             hits.append((i, m, t))
-    if not hits:
-        return [0.0] * FEATURES
     inside: set[int] = set()
-    spans = quoted_spans(text) if any(c in text for c in PAIRS) else []
+    spans = quoted_spans(text) if hits and any(c in text for c in PAIRS) else []
     if spans:
         starts, wanted = [a for a, _ in spans], {h[0] for h in hits}
         for i, m in enumerate(_WORD.finditer(text)):
             if i in wanted and (k := bisect.bisect_right(starts, m.start()) - 1) >= 0 and m.start() < spans[k][1]:
                 inside.add(i)
+    return [Hit(t, w, e, i in inside, tokens[max(0, i - WINDOW) : i] + tokens[i + 1 : i + WINDOW + 1]) for i, (w, e), t in hits], len(tokens)
+
+
+def quotation(hit: Hit, learned: dict[str, float]) -> float:
+    """The chance, from 0 to 1, that a hit is quoted and not meant: 1/2 is where its window says nothing, and that counts as meant."""
+    odds = MARKED * hit.marked
+    for x in hit.window:
+        odds += REPORTED if x in REPORTING else ADDRESSED if x in ADDRESS else learned.get(x, 0.0)
+    return 1 / (1 + math.exp(-max(-30.0, min(30.0, odds))))
+
+
+def features(text: str | None, matcher: Matcher, known: dict[str, tuple[float, int] | None], learned: dict[str, float] | None = None) -> list[float]:
+    """(abuse: exact sum, misspelled sum, strongest, per 100 words; quotation: sum, strongest; kinds of term; any).
+
+    A hit whose window speaks for quotation counts as quotation by as much as it does, and as abuse by the rest.
+    """
+    hits, n_words = find_hits(text, matcher, known)
+    if not hits:
+        return [0.0] * FEATURES
     exact = fuzzy = top = said = said_top = 0.0
     kinds = set()
-    for i, (weight, edits), t in hits:
-        w = weight / (1 + edits)
-        if i in inside or any(x in REPORTING for x in tokens[max(0, i - WINDOW) : i + WINDOW + 1]):
-            said, said_top = said + w, max(said_top, w)
-            continue
-        kinds.add(t)
-        top = max(top, w)
-        if edits:
-            fuzzy += w
+    for h in hits:
+        w = h.weight / (1 + h.edits)
+        quoted = max(0.0, 2 * quotation(h, learned or {}) - 1)
+        said, said_top = said + w * quoted, max(said_top, w * quoted)
+        meant = w * (1 - quoted)
+        if quoted < 0.5:
+            kinds.add(h.word)
+        top = max(top, meant)
+        if h.edits:
+            fuzzy += meant
         else:
-            exact += w
-    rate = (exact + fuzzy) * 100 / max(len(tokens), 1)
-    return [np.log1p(exact), np.log1p(fuzzy), top, np.log1p(rate), np.log1p(said), said_top, np.log1p(len(kinds)), float(exact > 0)]
+            exact += meant
+    rate = (exact + fuzzy) * 100 / max(n_words, 1)
+    return [np.log1p(exact), np.log1p(fuzzy), top, np.log1p(rate), np.log1p(said), said_top, np.log1p(len(kinds)), float(exact > 0.5)]
 
 
 def _marks(text: str) -> set[str]:
@@ -227,6 +258,43 @@ def learn_lexicon(rows: DataFrame) -> list[Term]:
     return sorted(terms, key=lambda t: (-t.weight, t.text))
 
 
+def window_odds(counts: Iterable[tuple[str, str, int, int]]) -> dict[str, float]:
+    """(window word, hit word, hits, toxic ones) -> what a window word says for quotation, as log odds.
+
+    A word is held against what the hit words alone would give: how many of its hits stand in rows that are not toxic, and how many
+    would if each hit word's did as often as anywhere. So words that only go with a language or a topic say nothing. The empty window
+    word counts all hits of a hit word.
+    """
+    rows = list(counts)
+    share = {hit: (n - toxic) / n for word, hit, n, toxic in rows if word == ""}
+    total = sum(n for word, _, n, _ in rows if word == "")
+    pull = PULL * sum(n - toxic for word, _, n, toxic in rows if word == "") / max(total, 1) + 1.0
+    seen: dict[str, list[float]] = {}
+    for word, hit, n, toxic in rows:
+        if word:
+            own = seen.setdefault(word, [0.0, 0.0, 0.0])
+            own[0], own[1], own[2] = own[0] + n, own[1] + n - toxic, own[2] + n * share[hit]
+    return {w: math.log((clean + pull) / (expected + pull)) for w, (n, clean, expected) in seen.items() if n >= LEAST_SEEN}
+
+
+def learn_windows(rows: DataFrame, terms: list[Term]) -> dict[str, float]:
+    """`window_odds` of rows (text, label): the exact hits are counted on the executors, by window word and hit word."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher, known = Matcher(terms), {}
+        for batch in batches:
+            found: list[tuple[str, str, int]] = []
+            for label, text in zip(batch.column("label").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                for h in find_hits(text, matcher, known)[0]:
+                    if not h.edits:
+                        found += [(x, h.word, label) for x in {"", *h.window} - REPORTING - ADDRESS]
+            yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], kind) for i, kind in enumerate((pa.string(), pa.string(), pa.int64()))], names=["word", "hit", "label"])
+
+    counts = rows.mapInArrow(run, "word string, hit string, label bigint").groupBy("word", "hit").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("toxic"))
+    often = counts.groupBy("word").agg(F.sum("n").alias("all")).where((F.col("all") >= LEAST_SEEN) | (F.col("word") == "")).select("word")
+    return window_odds((r["word"], r["hit"], r["n"], r["toxic"]) for r in counts.join(often, "word").collect())
+
+
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 50) -> np.ndarray:
     """Weights (last: bias) by Newton's method with a ridge."""
     z = np.hstack([x, np.ones((len(x), 1))])
@@ -252,12 +320,14 @@ def score(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
     chosen = labels.select(F.col(label_id_col).alias("doc"), F.col(label_col).cast("long").alias("label")).dropna().orderBy(F.xxhash64("doc"), "doc").limit(fit_rows)
     train = materialize(rows.join(F.broadcast(chosen), "doc").select("text", "label"), "toxicity_train")
-    terms = learn_lexicon(train)
+    terms, learned = learn_lexicon(train), {}
     if terms:
+        learned = learn_windows(train, terms)
+
         def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             matcher, known = Matcher(terms), {}
             for batch in batches:
-                x = [features(t, matcher, known) for t in batch.column("text").to_pylist()]
+                x = [features(t, matcher, known, learned) for t in batch.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column("label")], names=["x", "label"])
 
         # in an order of its own, so that reruns add up alike
@@ -271,7 +341,7 @@ def score(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
         for batch in batches:
             if len(known) > 500_000:
                 known.clear()
-            x = np.array([features(t, matcher, known) for t in batch.column("text").to_pylist()]).reshape(-1, FEATURES)
+            x = np.array([features(t, matcher, known, learned) for t in batch.column("text").to_pylist()]).reshape(-1, FEATURES)
             p = 1 / (1 + np.exp(-np.clip(x @ weights[:-1] + weights[-1], -30, 30)))
             yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(p, pa.float64())], names=["doc", "score"])
 

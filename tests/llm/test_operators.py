@@ -44,6 +44,37 @@ def test_labels_made_up_pages(labeller):
     assert np.mean(right) > 0.97
 
 
+@pytest.mark.parametrize("family", sorted(html_extract.FAMILIES))
+def test_labels_pages_of_other_layouts(labeller, family):
+    r, kept, said_chars, right = random.Random(77), 0, 0, 0
+    for _ in range(60):
+        page, said = html_extract.family_page(family, r)
+        blocks = html_extract.blocks_of(page)
+        got = [b.text for b, p in zip(blocks, labeller.probabilities([html_extract.vectors(blocks)])[0], strict=True) if p >= 0.5]
+        assert [b.text for b in blocks if b.text in said]
+        kept, said_chars, right = kept + sum(map(len, got)), said_chars + sum(map(len, said)), right + sum(len(t) for t in got if t in said)
+    assert right >= 0.9 * said_chars and right >= 0.97 * kept
+
+
+def test_pages_that_are_not_made_up(labeller):
+    """Hand-made pages in four layouts: divs without a telling name, an encyclopaedia, a layout table, an article with its footer."""
+    pages = {
+        "<div class=x1><div class=css-a>Home</div><div class=css-a>World</div></div><div class=css-z><div class=css-k><h1>River floods the old town</h1><div class=css-p>Heavy rain on Monday night sent the river over its banks and into the streets of the old town, officials said.</div>"
+        "<div class=css-p>More than two hundred people left their homes, and the bridge was closed until further notice.</div><div class=css-p>Water levels are expected to fall by Thursday, the weather service said.</div></div><div class=css-m><div>More on this story</div><a href=/1>Flood warnings</a> <a href=/2>How to prepare</a></div></div>":
+        ["River floods the old town", "Heavy rain on Monday night sent the river over its banks and into the streets of the old town, officials said.", "More than two hundred people left their homes, and the bridge was closed until further notice.", "Water levels are expected to fall by Thursday, the weather service said."],
+        "<h1>Red fox</h1><table class=infobox><tr><th>Kingdom:</th><td>Animalia</td></tr><tr><th>Phylum:</th><td>Chordata</td></tr></table><p>The red fox is the largest of the true foxes and one of the most widely distributed members of the order Carnivora.</p><div class=toc><h2>Contents</h2><ul><li><a href=#1>1 Range</a></li>"
+        "<li><a href=#2>2 Diet</a></li></ul></div><h2>Range</h2><p>It is present across the entire Northern Hemisphere.</p><h2>Diet</h2><p>Red foxes are omnivores with a highly varied diet.</p><div id=footer><ul><li>This page was last edited on 3 May 2024.</li><li><a href=/p>Privacy policy</a></li></ul></div>":
+        ["Red fox", "The red fox is the largest of the true foxes and one of the most widely distributed members of the order Carnivora.", "Range", "It is present across the entire Northern Hemisphere.", "Diet", "Red foxes are omnivores with a highly varied diet."],
+        "<table><tr><td><a href=/>Home</a> <a href=/l>Links</a></td><td><h2>My garden</h2><p>I have grown roses for twenty years, and every spring they come back.</p><p>This year the frost came late and some were lost.</p></td></tr></table>":
+        ["My garden", "I have grown roses for twenty years, and every spring they come back.", "This year the frost came late and some were lost."],
+        "<article><h1>How to bake bread</h1><p>Mix the flour and the water and let it rest for an hour before you add the salt.</p><p>Bake it hot.</p><footer>Tags: <a href=/t>bread</a>, <a href=/u>baking</a></footer></article>":
+        ["How to bake bread", "Mix the flour and the water and let it rest for an hour before you add the salt.", "Bake it hot."],
+    }
+    for page, want in pages.items():
+        blocks = html_extract.blocks_of(page)
+        assert [b.text for b, p in zip(blocks, labeller.probabilities([html_extract.vectors(blocks)])[0], strict=True) if p >= 0.5] == want
+
+
 def test_extracts_the_article(spark, labeller):
     page = "<html><head><title>T</title><script>var t='</p>';</script></head><body><nav><ul><li><a href=/a>Home</a></li><li><a href=/b>About us</a></li></ul></nav><div class=ad>Buy now, it is cheap.</div><article><h1>A &lt;head&gt;</h1><p>First  sentence\n here. And another one, longer than before.<br><p>Tea &amp; cake were served at the table. Nobody came.</p></article><footer>&copy; 2024 someone. All rights reserved.</footer>"
     rows = [(1, "u", page, "x"), (2, None, None, None), (3, "u", "", "y"), (3, "u", "", "y"), (None, "u", "<div><p>", "z"), (5, "u", "<p>" + "long words. " * 40_000, "z")]
@@ -405,14 +436,33 @@ def test_quotation_is_told_from_abuse():
     assert plain[0] > 0 and plain[4] == 0
     for t in ('they used "the idiot word" once', "he said idiot to me"):
         f = toxicity.features(t, m, {})
-        assert f[0] == 0 and f[4] > 0
+        assert f[4] > f[0]
     abuse = ("You’re an idiot and don’t come back", "You're an idiot and don't come back", "a 5\" idiot of 6\" height", "there it is \" and\nyou idiot \" too", "“open and you\nidiot” here", "rock ’n’ idiot")
     for t in abuse:
         f = toxicity.features(t, m, {})
         assert f[0] > 0 and f[4] == 0, t
     for t in ("„idiot“ stood there", "»idiot« stood there", "«idiot» stood there", "‘don’t be an idiot’ it ran", "the “idiot” bit", 'a 5" pipe and "an idiot word"'):
         f = toxicity.features(t, m, {})
-        assert f[0] == 0 and f[4] > 0, t
+        assert f[4] > 2 * f[0], t
+
+
+def test_windows_are_scored_and_not_looked_up():
+    m = toxicity.Matcher([toxicity.Term("idiot", False, 3.0), toxicity.Term("stupid", False, 3.0)])
+    odds = lambda t, learned=None: [round(toxicity.quotation(h, learned or {}), 3) for h in toxicity.find_hits(t, m, {})[0]]
+    for abuse in ("you are an idiot and nobody calls you", "he wrote that you stupid idiot", "an idiot here"):
+        assert max(odds(abuse)) <= 0.5 and toxicity.features(abuse, m, {})[4] == 0.0 and toxicity.features(abuse, m, {})[0] > 1
+    for said in ("he wrote that the idiot had left", "she said: \u201cyou are an idiot\u201d and left", "nobody calls him an idiot"):
+        assert min(odds(said)) > 0.8
+    assert odds("such an idiot", {"such": 1.0})[0] > 0.7 > 0.3 > odds("such an idiot", {"such": -1.0})[0]
+
+
+def test_window_words_are_held_against_their_hit_words():
+    # a word that goes with one hit word alone says nothing; one that is found in rows that are not toxic more than its hits are, does
+    counts = [("", "a", 200, 200), ("", "b", 200, 0), ("the", "a", 100, 100), ("le", "b", 100, 0), ("", "c", 100, 50), ("heard", "c", 40, 0), ("hey", "c", 40, 40), ("seldom", "c", 3, 0)]
+    odds = toxicity.window_odds(counts)
+    assert set(odds) == {"the", "le", "heard", "hey"} and odds["the"] == odds["le"] == 0.0 and odds["heard"] > 0.4 and odds["hey"] < -0.4
+    assert toxicity.window_odds([]) == {}
+
 
 
 def auc(y, s):
@@ -760,3 +810,48 @@ def test_mix_comes_near_the_targets(spark, odd, none):
     assert mixing.emit(mixing.mix(df)).count() == sum(x["mx_copies"] for x in out)
     assert mixing.mix(odd).count() == 18 and mixing.mix(none).count() == 0
     assert mixing.emit(mixing.mix(odd)).columns == [c for c in odd.columns if c != "mx_size"]
+
+
+def test_items_without_an_id_count(spark):
+    item = "one two three four five six seven eight nine ten eleven"
+    docs = spark.createDataFrame([(1, f"x {item} y"), (2, "nothing here")], "doc_id bigint, text string")
+    items = spark.createDataFrame([(None, item), (7, item), (None, item[4:])], "item_id bigint, text string")
+    got = {r["doc"]: (r["n_items"], r["items"]) for r in decontaminate.contamination(docs, items).collect()}
+    assert got == {1: (2, ["7"]), 2: (0, [])}
+
+
+def test_proximity_of_items(spark, odd, none):
+    r = random.Random(4)
+    docs = [(i, " ".join(r.choice("abcdefgh") for _ in range(r.randint(0, 40)))) for i in range(60)] + [(None, None), (3, "")]
+    items = [(i, " ".join(r.choice("abcdefghz") for _ in range(r.randint(1, 6)))) for i in range(5)]
+    got = {r["doc"]: (r["n_windows"], r["n_phrases"]) for r in decontaminate.proximity(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string"), width=4, span=7).collect()}
+    phrases = {tuple(w[i : i + 4]) for _, t in items for w in [t.split()] for i in range(max(1, len(w) - 3))}
+    want = {}
+    for d, t in docs:
+        w = (t or "").split()
+        found = {(p, i) for p in phrases for i in range(len(w)) if w[i] in p and set(p) <= set(w[i : i + 7])}
+        if found:
+            want[d] = (len(found), len({p for p, _ in found}))
+    assert got == want and len(want) > 10
+    assert decontaminate.proximity(odd, spark.createDataFrame(items, "item_id bigint, text string")).count() >= 0
+    assert decontaminate.proximity(none, none.withColumnRenamed("doc_id", "item_id")).count() == 0
+
+
+def test_votes_of_equally_near_rows_go_by_their_order():
+    g = np.random.default_rng(3)
+    counts = np.zeros((60, quality_knn.MARKS), dtype=np.float32)
+    counts[:, :40] = g.random((60, 40))
+    counts[10:50] = counts[10]  # forty rows alike
+    labels = np.array([1] * 25 + [0] * 35)
+    space = quality_knn.Space(counts, labels)
+    near = space.project(counts[10:11]) @ space.points.T
+    order = np.lexsort((np.arange(60), -near[0]))[: quality_knn.VOTERS]
+    w = np.maximum(near[0][order], 0) ** quality_knn.SHARPNESS
+    want = ((w * space.labels[order]).sum() + 0.5 * space.base) / (w.sum() + 0.5)
+    assert np.allclose(space.vote(counts[10:11]), want) and set(order) <= set(range(10, 50))
+
+
+def test_licences_named_in_a_line(spark):
+    rows = [(1, "// SPDX-License-Identifier: Apache-2.0"), (2, "# SPDX-License-Identifier: GPL-2.0-or-later"), (3, "available under CC-BY-SA 3.0"), (4, "spdx license")]
+    got = {r["doc_id"]: [m["license"] for m in r["ls_matches"]][:1] for r in licenses.scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {1: ["Apache-2.0"], 2: ["GPL-2.0-or-later"], 3: ["CC-BY-SA-3.0"], 4: []}
