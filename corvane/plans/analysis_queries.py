@@ -359,16 +359,7 @@ def markdown_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.markdown_blocks(docs).select(F.col("doc").alias("doc_id"), "block", F.md5("section").alias("section"), F.md5("text").alias("text"))
 
 
-_UPLOAD = lambda x: rf"regexp_replace(regexp_replace(regexp_replace(regexp_replace({x}, '[ \t]+', ' ', 'g'), '(?m)^ | $', '', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), '^[\s\x0B]+|[\s\x0B]+$', '', 'g')"
-
-
-@query(rf"""WITH d AS (SELECT doc_id, string_split(regexp_replace(regexp_replace(coalesce(text, ''), '\. ', '.' || chr(10) || '# ', 'g'), '\r\n|[\r\x0B\x0C\x1C-\x1E\x{{85}}\x{{2028}}\x{{2029}}]', chr(10), 'g'), chr(10)) AS x FROM documents),
-l AS (SELECT doc_id, unnest(x) AS line, unnest(range(len(x))) AS no FROM d), f AS (SELECT *, CAST(regexp_matches(line, '^\s*```') AS INTEGER) AS fence FROM l),
-o AS (SELECT *, (sum(fence) OVER (PARTITION BY doc_id ORDER BY no) - fence) % 2 = 1 AS inside FROM f),
-h AS (SELECT *, NOT inside AND fence = 0 AND regexp_matches(line, '^(#{{1,6}})\s+(.+?)\s*#*\s*$') AS head FROM o),
-r AS (SELECT *, sum(CAST(head AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY no) AS run FROM h),
-b AS (SELECT doc_id, run, max(CASE WHEN head THEN {_UPLOAD("regexp_extract(line, '^(#{1,6})\\s+(.+?)\\s*#*\\s*$', 2)")} END) AS section, {_UPLOAD("coalesce(string_agg(line, chr(10) ORDER BY no) FILTER (NOT head), '')")} AS text FROM r GROUP BY doc_id, run)
-SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY run) - 1 AS INTEGER) AS block, md5(section) AS section, md5(text) AS text FROM b WHERE text <> ''""")
+@query()
 def simhash_blake(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.simhash_blake(table(spark, sf_dir, "documents"), id_col="doc_id", text_col="text")
 

@@ -47,11 +47,11 @@ def _fetches(events: DataFrame) -> DataFrame:
     return events.select(F.col("user_id").cast("string").alias("key"), F.col("event_id").alias("seq"), state.micros(F.col("ts")).alias("at"), document.alias("document"), F.col("ts").cast("timestamp").alias("ts"))
 
 
-_CACHE = f"""WITH e AS (SELECT user_id AS key, event_id, epoch_us(ts) AS at, CASE WHEN event_type NOT IN ('purchase', 'error') THEN 'page-' || CAST(CAST(json_extract(props, '$.k') AS INTEGER) % 3 AS VARCHAR) END AS document FROM events),
-w AS (SELECT *, last_value(CASE WHEN document IS NOT NULL THEN {{'d': document, 't': at}} END IGNORE NULLS) OVER (PARTITION BY key ORDER BY at, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS l,
-  lag(at) OVER (PARTITION BY key, document ORDER BY at, event_id) AS b FROM e)
-SELECT event_id, CASE WHEN document IS NOT NULL THEN CASE WHEN b + {_HALF_DAY} > at THEN 'refreshed' ELSE 'created' END WHEN l.t + {_HALF_DAY} > at THEN 'hit' ELSE 'miss' END AS outcome,
-  CASE WHEN document IS NOT NULL OR l.t + {_HALF_DAY} > at THEN l.d END AS document, CASE WHEN document IS NOT NULL OR l.t + {_HALF_DAY} > at THEN CAST(at - l.t AS BIGINT) END AS age FROM w"""
+_CACHE = f"""WITH e AS (SELECT user_id AS key, event_id, epoch_us(ts) AS us, CASE WHEN event_type NOT IN ('purchase', 'error') THEN 'page-' || CAST(CAST(json_extract(props, '$.k') AS INTEGER) % 3 AS VARCHAR) END AS document FROM events),
+w AS (SELECT *, last_value(CASE WHEN document IS NOT NULL THEN {{'d': document, 't': us}} END IGNORE NULLS) OVER (PARTITION BY key ORDER BY us, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS l,
+  lag(us) OVER (PARTITION BY key, document ORDER BY us, event_id) AS b FROM e)
+SELECT event_id, CASE WHEN document IS NOT NULL THEN CASE WHEN b + {_HALF_DAY} > us THEN 'refreshed' ELSE 'created' END WHEN l.t + {_HALF_DAY} > us THEN 'hit' ELSE 'miss' END AS outcome,
+  CASE WHEN document IS NOT NULL OR l.t + {_HALF_DAY} > us THEN l.d END AS document, CASE WHEN document IS NOT NULL OR l.t + {_HALF_DAY} > us THEN CAST(us - l.t AS BIGINT) END AS age FROM w"""
 
 
 def _cache_columns(rows: DataFrame) -> DataFrame:
@@ -75,14 +75,14 @@ def _visits(events: DataFrame) -> DataFrame:
     return events.select(key.alias("key"), F.col("event_id").alias("seq"), state.micros(F.col("ts")).alias("at"), F.col("event_type").alias("stage"), error.alias("error"), F.col("ts").cast("timestamp").alias("ts"))
 
 
-_STAGES = f"""WITH e AS (SELECT user_id || '-' || strftime(ts, '%Y%m%d') AS key, event_id AS seq, epoch_us(ts) AS at, event_type AS stage, CASE event_type WHEN 'signup' THEN 25 WHEN 'view' THEN 50 WHEN 'click' THEN 75 ELSE 100 END AS step FROM events),
-h AS (SELECT *, coalesce(max(step) OVER (PARTITION BY key ORDER BY at, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS height FROM e),
-t AS (SELECT *, coalesce(at - lag(at) OVER (PARTITION BY key ORDER BY at, seq) > {_TWO_DAYS} / 8, FALSE) AS gap FROM h WHERE height < 100 AND (step > height OR stage = 'error')),
-g AS (SELECT *, sum(CAST(gap AS INTEGER)) OVER (PARTITION BY key ORDER BY at, seq ROWS UNBOUNDED PRECEDING) AS gaps FROM t),
-l AS (SELECT key, max(at) FILTER (gaps = 0) AS at, arg_max(step, (at, seq)) FILTER (gaps = 0) AS step, max(gaps) AS gaps FROM g GROUP BY key),
+_STAGES = f"""WITH e AS (SELECT user_id || '-' || strftime(ts, '%Y%m%d') AS key, event_id AS seq, epoch_us(ts) AS us, event_type AS stage, CASE event_type WHEN 'signup' THEN 25 WHEN 'view' THEN 50 WHEN 'click' THEN 75 ELSE 100 END AS step FROM events),
+h AS (SELECT *, coalesce(max(step) OVER (PARTITION BY key ORDER BY us, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS height FROM e),
+t AS (SELECT *, coalesce(us - lag(us) OVER (PARTITION BY key ORDER BY us, seq) > {_TWO_DAYS} / 8, FALSE) AS gap FROM h WHERE height < 100 AND (step > height OR stage = 'error')),
+g AS (SELECT *, sum(CAST(gap AS INTEGER)) OVER (PARTITION BY key ORDER BY us, seq ROWS UNBOUNDED PRECEDING) AS gaps FROM t),
+l AS (SELECT key, max(us) FILTER (gaps = 0) AS us, arg_max(step, (us, seq)) FILTER (gaps = 0) AS step, max(gaps) AS gaps FROM g GROUP BY key),
 n AS (SELECT max(epoch_ms(ts)) AS now FROM events)
-SELECT key, CAST(seq AS BIGINT) AS seq, at, stage, CAST(step AS INTEGER) AS progress, CASE WHEN stage = 'error' THEN 'event_error' END AS error FROM g WHERE gaps = 0
-UNION ALL SELECT key, -1, at + {_TWO_DAYS // 8}, 'error', 100, 'stage_timeout' FROM l, n WHERE gaps > 0 OR (step < 100 AND (at + {_TWO_DAYS // 8}) // 1000 + 1 <= now)"""
+SELECT key, CAST(seq AS BIGINT) AS seq, us AS "at", stage, CAST(step AS INTEGER) AS progress, CASE WHEN stage = 'error' THEN 'event_error' END AS error FROM g WHERE gaps = 0
+UNION ALL SELECT key, -1, us + {_TWO_DAYS // 8}, 'error', 100, 'stage_timeout' FROM l, n WHERE gaps > 0 OR (step < 100 AND (us + {_TWO_DAYS // 8}) // 1000 + 1 <= now)"""
 
 
 @query(_STAGES)
