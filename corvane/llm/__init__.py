@@ -1,4 +1,4 @@
-"""Training-data operators: ten stand-alone Spark operators for corpora of documents and pages.
+"""Training-data operators: thirteen stand-alone Spark operators for corpora of documents and pages.
 
 Nothing outside this subpackage imports it.
 """
