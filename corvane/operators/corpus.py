@@ -154,6 +154,34 @@ def near_links(prints: DataFrame, *, distance: int = DISTANCE) -> DataFrame:
     return near_pairs(prints, distance=distance).unionByName(star)
 
 
+def near_pair_count(prints: DataFrame, *, distance: int = DISTANCE) -> DataFrame:
+    """(pairs): how many pairs of documents are at most `distance` bits apart, equal prints included, without making them all: a pair
+    of prints stands for the product of its documents, n equal ones for n * (n - 1) / 2."""
+    nodes = prints.groupBy("hi", "lo").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")).select("id", "n")
+    found = near_pairs(prints, distance=distance).join(nodes.select(F.col("id").alias("a"), F.col("n").alias("na")), "a").join(nodes.select(F.col("id").alias("b"), F.col("n").alias("nb")), "b")
+    parts = found.select((F.col("na") * F.col("nb")).alias("p")).unionByName(nodes.select(F.floor(F.col("n") * (F.col("n") - 1) / 2).alias("p")))
+    return parts.agg(F.coalesce(F.sum("p"), F.lit(0)).alias("pairs"))
+
+
+def audit(chunks: DataFrame, *, source_records: int, removed: int, text_col: str = "text", fields: dict[str, str]) -> DataFrame:
+    """The audit of a corpus as one row: counts, lengths, distributions (maps of value to count) and what is wrong.
+
+    chunks: document_id, chunk_id, content_hash, title, source and the text. source_records and removed tell how many records there
+    were and how many exact duplicates went. fields: names of distributions and their columns. One scan counts and measures, one
+    counts the distributions, one makes the prints of near-duplicates.
+    """
+    text = F.col(text_col)
+    row = profile(chunks, text, document=F.col("document_id"), chunk=F.col("chunk_id"), title=F.col("title"), source=F.col("source")).withColumnsRenamed({"documents": "chunks", "unique_documents": "documents", "unique_chunks": "unique_chunk_ids"})
+    row = row.withColumn("chars_avg", F.round("chars_avg", 2))
+    row = row.crossJoin(length_percentiles(chunks, text)).crossJoin(repeated(chunks, F.col("content_hash")).withColumnRenamed("duplicates", "duplicate_text_after_dedup"))
+    prints = materialize(simhash(chunks.withColumn("id", F.col("chunk_id")), id_col="id", text_col=text_col), "prints")
+    row = row.crossJoin(near_pair_count(prints).withColumnRenamed("pairs", "near_duplicate_pairs"))
+    named = chunks.select(*[F.col(c).alias(n) for n, c in fields.items()])
+    counted = distributions(named, list(fields)).groupBy().pivot("field", list(fields)).agg(F.array_sort(F.collect_list(F.struct(F.coalesce("value", F.lit("")).alias("value"), "n"))))
+    maps = counted.select(*[F.map_from_entries(F.coalesce(F.col(n), F.array().cast("array<struct<value:string,n:bigint>>"))).alias(f"{n}_distribution") for n in fields])
+    return row.crossJoin(maps).withColumns({"source_records": F.lit(source_records), "exact_duplicates_removed": F.lit(removed), "too_short_threshold": F.lit(SHORT), "too_long_threshold": F.lit(LONG)})
+
+
 def hash_sample(df: DataFrame, *, seed: str, n: int, id_col: str, by: str | None = None) -> DataFrame:
     """The first n rows (of each `by`) in the order of a seeded hash: the same rows in every run and engine.
 

@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import ids as I
-from ..sources.storage import broadcast_if_small, materialize
-from . import chunk, corpus, ingest
-from .guards import must
+from ..sources.storage import broadcast_if_small, materialize, verify_manifest
+from . import chunk, corpus, evaluate, ingest
+from .guards import must, unique
 
 
 @dataclass
@@ -148,3 +148,30 @@ def compact(rankings: DataFrame, *, keys: list[str], top: int = 5) -> DataFrame:
     seen = F.array_union(cut("before"), cut("after"))
     changes = F.map_from_entries(F.transform(F.filter(seen, lambda x: (place(F.col("before"), x) > 0) & (place(F.col("after"), x) > 0)), lambda x: F.struct(x, (place(F.col("before"), x) - place(F.col("after"), x)).cast("int"))))
     return rankings.withColumn("rank_changes", changes).select(*keys, cut("before").alias("before"), cut("after").alias("after"), "rank_changes")
+
+
+@dataclass
+class FrozenRun:
+    """An evaluation on frozen cases: what it was run on, metrics by mode, every answer's result, and the answers that failed."""
+
+    config: DataFrame
+    metrics: DataFrame
+    predictions: DataFrame
+    failures: DataFrame
+
+
+def frozen_run(found: DataFrame, expected: DataFrame, cases: DataFrame, gold: DataFrame, answers: DataFrame, *, dataset: str) -> FrozenRun:
+    """Evaluate answers on cases whose files (manifests: path, sha256) are those that were frozen; any other file is an error.
+
+    Modes must be those of the answers, one answer a case and mode: an answer that comes twice fails the job with its case.
+    """
+    problems = verify_manifest(found, expected).limit(5).collect()
+    if problems:
+        raise ValueError("frozen evaluation data changed: " + ", ".join(f"{r['path']} {r['problem']}" for r in problems))
+    once = unique(answers, ["case_id", "mode"], what="answer")
+    predictions = materialize(evaluate.evaluate_claims(cases, gold, once), "frozen_predictions")
+    hashes = found.agg(F.array_join(F.array_sort(F.collect_list("sha256")), "").alias("h")).select(F.sha2("h", 256).alias("dataset_sha256"))
+    counts = cases.agg(F.count(F.lit(1)).alias("cases")).crossJoin(predictions.agg(F.array_sort(F.collect_set("mode")).alias("modes")))
+    config = hashes.crossJoin(counts).select(F.lit(dataset).alias("dataset_id"), "dataset_sha256", "cases", "modes", F.lit(False).alias("test_used_for_tuning"))
+    failed = predictions.where(F.size("failures") > 0).select("case_id", "mode", F.col("failures").alias("failure_types"))
+    return FrozenRun(config, evaluate.mode_summary(predictions), predictions, failed)

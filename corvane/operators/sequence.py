@@ -53,6 +53,20 @@ def job_status(log: DataFrame, *, key: str, status: str = "status", ts: str = "t
     return log.groupBy(key).agg(F.max_by(status, ts).alias("status"), F.min(F.when(F.col(status) != "pending", F.col(ts))).alias("started_at"), F.max(F.when(F.col(status).isin(*terminal), F.col(ts))).alias("completed_at"))
 
 
+def partial_updates(current: DataFrame, log: DataFrame, *, key: str, order: str, columns: list[str]) -> DataFrame:
+    """Rows with each column at its last value in the log that is not null; a column that no update names stays. Updates of keys that
+    are not there are left out."""
+    last = log.groupBy(key).agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(f"__{c}") for c in columns])
+    out = current.join(last, key, "left").withColumns({c: F.coalesce(f"__{c}", c) for c in columns})
+    return out.drop(*[f"__{c}" for c in columns])
+
+
+def with_latest(rows: DataFrame, attempts: DataFrame, *, key: str, attempt: str, position: str, name: str = "latest") -> DataFrame:
+    """Rows with their last attempt as a struct, null where there is none; of equal attempts the later position counts."""
+    last = attempts.groupBy(key).agg(F.max_by(F.struct(*[c for c in attempts.columns if c != key]), F.struct(F.col(attempt).alias("a"), F.col(position).alias("p"))).alias(name))
+    return rows.join(last, key, "left")
+
+
 def fresh(df: DataFrame, *, now: Column, status: str = "status", expires: str = "expires_at") -> DataFrame:
     return df.where((F.col(status) == "ready") & (F.col(expires) > now))
 

@@ -13,7 +13,7 @@ from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from ..functions import ids as I
 from ..functions import text as T
-from .evaluate import ratio
+from .evaluate import gate, ratio
 from .sequence import numbered
 
 # What a step may do, what a trajectory may be, and the limits of its parts.
@@ -184,6 +184,19 @@ def acceptance(filtered: DataFrame) -> DataFrame:
     )
 
 
+# What a set of accepted trajectories must reach.
+GATES = {
+    "accepted_records": (">=", 400), "acceptance_rate": (">=", 0.90), "normalized_exact_rate": (">=", 0.99), "last_action_is_answer_rate": (">=", 0.99),
+    "exactly_one_answer_rate": (">=", 0.99), "known_evidence_only_rate": (">=", 1.0),
+}
+
+
+def quality_gate(filtered: DataFrame) -> DataFrame:
+    """(gate, value, passed, decision) of a filtered set: its acceptance and its overall rates against GATES."""
+    overall = audit(filtered).where("source IS NULL").select(*[c for c in GATES if c.endswith("_rate") and c != "acceptance_rate"])
+    return gate(acceptance(filtered).select("accepted_records", "acceptance_rate").crossJoin(overall), GATES)
+
+
 def token_usage(raw: DataFrame) -> DataFrame:
     """Sums of a nested column usage; rows without it count as 0."""
     total = lambda n: F.coalesce(F.sum(f"usage.{n}"), F.lit(0)).cast("bigint").alias(n)

@@ -191,6 +191,23 @@ def redact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.redact(text)).alias("clean"))
 
 
+_COUNTED = lambda c: f"(SELECT string_agg(v || '=' || n, ',' ORDER BY v) FROM (SELECT coalesce({c}, '') AS v, count(*) AS n FROM documents GROUP BY {c}))"
+
+
+@query(rf"""WITH {_PRINTS} SELECT count(*) AS chunks, count(DISTINCT doc_id % 97) AS documents, count(DISTINCT doc_id) AS unique_chunk_ids, count(*) FILTER (trim(coalesce(text, '')) = '') AS empty, CAST(count(*) - count(DISTINCT md5(coalesce(text, ''))) AS BIGINT) AS duplicate_text_after_dedup,
+  (SELECT count(*) FROM p a JOIN p b ON a.id < b.id AND bit_count(CAST(xor(CAST(a.hi AS BIGINT), CAST(b.hi AS BIGINT)) AS BIGINT)) + bit_count(CAST(xor(CAST(a.lo AS BIGINT), CAST(b.lo AS BIGINT)) AS BIGINT)) <= 3) AS near_duplicate_pairs,
+  round(avg(length(text)), 2) AS chars_avg, quantile_cont(length(text), 0.5) AS p50, quantile_cont(length(text), 0.95) AS p95, CAST(min(length(text)) AS INTEGER) AS chars_min, CAST(max(length(text)) AS INTEGER) AS chars_max, count(*) FILTER (length(text) < 200) AS too_short, count(*) FILTER (length(text) > 4000) AS too_long,
+  {_COUNTED("lang")} AS language_distribution, {_COUNTED("source")} AS source_distribution, count(*) FILTER (trim(coalesce(lang, '')) = '') AS missing_title, count(*) FILTER (trim(coalesce(source, '')) = '') AS missing_source,
+  count(*) FILTER (NOT regexp_matches(coalesce(source, ''), '(?i)^https?://[^/?#\s]+')) AS invalid_url, count(*) FILTER (regexp_matches(text, '{T.MOJIBAKE_RE2}')) AS mojibake, count(*) FILTER (regexp_matches(text, '{T.HTML_RESIDUE}')) AS html_residue FROM documents""")
+def corpus_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as chunks of 97 documents, their language as title."""
+    docs = table(spark, sf_dir, "documents")
+    chunks = docs.select((F.col("doc_id") % 97).alias("document_id"), F.col("doc_id").alias("chunk_id"), F.md5(F.coalesce("text", F.lit(""))).alias("content_hash"), F.col("lang").alias("title"), "source", "text", "lang")
+    out = corpus.audit(chunks, source_records=0, removed=0, fields={"language": "lang", "source": "source"})
+    flat = lambda c: F.array_join(F.transform(F.array_sort(F.map_entries(c)), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
+    return out.withColumns({c: flat(c) for c in ("language_distribution", "source_distribution")}).drop("source_records", "exact_duplicates_removed", "too_short_threshold", "too_long_threshold")
+
+
 # White space as Python sees it, and the chunks by a recursion over their starts: the text behind the middle is turned round, so that
 # its last boundary comes first.
 _WS = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"

@@ -10,7 +10,8 @@ from ..functions import text as T
 from ..functions import vectors as V
 from ..operators import chunk, evidence, pages, profiles
 from ..operators.sequence import numbered
-from ..sources.storage import materialize
+from ..sources.storage import manifest, materialize
+from .analysis_queries import _CLAIMS, _claim_tables
 from .corpus_queries import _CHUNKS, _URL
 from .registry import query, table
 
@@ -166,3 +167,17 @@ def web_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, docs = evidence.research(results, materialize(read, "read_pages"), none, now=F.lit(100), ttl=F.lit(100), budget=20)
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), "text")
     return evidence.search(materialize(evidence.passages(docs), "passages"), asked, top_k=3).select("query", "rank", "passage", "document", "source", "url", F.round("score", 6).alias("score"))
+
+
+@query(f"WITH {_CLAIMS} SELECT case_id, mode, array_to_string(failures, ',') AS failure_types FROM cf WHERE len(failures) > 0")
+def frozen_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The claim evaluation as a frozen run over the benchmark's file, and the answers that failed."""
+    files = manifest(spark, f"{sf_dir}/benchmark.parquet")
+    run = profiles.frozen_run(files, files, *_claim_tables(spark, sf_dir), dataset="benchmark")
+    return run.failures.withColumn("failure_types", F.array_join("failure_types", ","))
+
+
+@query(f"WITH {_CLAIMS} SELECT 'benchmark' AS dataset_id, (SELECT count(*) FROM ro) AS cases, (SELECT string_agg(mode, ',' ORDER BY mode) FROM (SELECT DISTINCT mode FROM cf)) AS modes, FALSE AS test_used_for_tuning")
+def frozen_config(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = manifest(spark, f"{sf_dir}/benchmark.parquet")
+    return profiles.frozen_run(files, files, *_claim_tables(spark, sf_dir), dataset="benchmark").config.drop("dataset_sha256").withColumn("modes", F.array_join("modes", ","))

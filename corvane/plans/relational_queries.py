@@ -54,6 +54,22 @@ def job_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("user_id", last.alias("status"), S.seconds(F.col("started_at")).alias("started"), S.seconds(F.col("completed_at")).alias("completed"))
 
 
+@query("""WITH u AS (SELECT user_id AS k, ts, event_id, CASE WHEN event_type = 'purchase' THEN value END AS paid, CASE WHEN event_type <> 'view' THEN event_type END AS did FROM events),
+l AS (SELECT k, arg_max(paid, (ts, event_id)) FILTER (paid IS NOT NULL) AS paid, arg_max(did, (ts, event_id)) FILTER (did IS NOT NULL) AS did FROM u GROUP BY k)
+SELECT c_custkey AS k, round(coalesce(paid, c_acctbal), 2) AS paid, coalesce(did, 'none') AS did FROM customer LEFT JOIN l ON k = c_custkey""")
+def partial_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = table(spark, sf_dir, "events").select(F.col("user_id").alias("k"), F.struct("ts", "event_id").alias("o"), F.when(F.col("event_type") == "purchase", F.col("value")).alias("paid"), F.when(F.col("event_type") != "view", F.col("event_type")).alias("did"))
+    current = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").cast("double").alias("paid"), F.lit("none").alias("did"))
+    return S.partial_updates(current, log, key="k", order="o", columns=["paid", "did"]).withColumn("paid", F.round("paid", 2))
+
+
+@query("""WITH l AS (SELECT o_custkey, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS o FROM orders GROUP BY o_custkey) SELECT c_custkey, o AS last_order FROM customer LEFT JOIN l ON o_custkey = c_custkey""")
+def latest_assessment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey", "o_orderdate")
+    out = S.with_latest(table(spark, sf_dir, "customer").select("c_custkey"), orders, key="c_custkey", attempt="o_orderdate", position="o_orderkey")
+    return out.select("c_custkey", F.col("latest.o_orderkey").alias("last_order"))
+
+
 @query("""SELECT event_id, coalesce(last_value(CASE WHEN event_type = 'click' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), -1) AS last_click FROM events""")
 def carry_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").withColumn("o", F.struct("ts", "event_id"))

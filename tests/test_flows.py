@@ -121,3 +121,18 @@ def test_rates_and_status(spark):
     assert [tuple(r) for r in profiles.last_label_counts(labels, case=["c"], order="n", label="label", by=["mode"]).collect()] == [("m", "high", 2)]
     shape = profiles.compact(spark.createDataFrame([("q", list("abcdefg"), list("gabcdef"))], "q string, before array<string>, after array<string>"), keys=["q"], top=2).first()
     assert (shape["before"], shape["after"], shape["rank_changes"]) == (["a", "b"], ["g", "a"], {"a": -1, "b": -1, "g": 6})
+
+
+def test_frozen_runs(spark):
+    found = spark.createDataFrame([("test.jsonl", "aa")], "path string, sha256 string")
+    cases = spark.createDataFrame([("1", ["paris"], ["e1"])], "case_id string, accepted array<string>, evidence_ids array<string>")
+    gold = spark.createDataFrame([("1", 1, "the town is paris", ["e1"], [])], "case_id string, gold_no int, gold_text string, supporting array<string>, contradicting array<string>")
+    answers = spark.createDataFrame([("1", "rag", "Paris", "The town is Paris [E:e1].", 1.0, 2), ("1", "direct", "Rome", "", 1.0, 2)], "case_id string, mode string, answer string, report string, latency_ms double, total_tokens int")
+    run = profiles.frozen_run(found, found, cases, gold, answers, dataset="d")
+    row = run.config.first()
+    assert (row["cases"], row["modes"], row["test_used_for_tuning"], row["dataset_sha256"]) == (1, ["direct", "rag"], False, hashlib.sha256(b"aa").hexdigest())
+    assert [tuple(r) for r in run.failures.collect()] == [("1", "direct", ["answer_incorrect", "empty_report", "missing_citation"])] and run.metrics.count() == 2 and run.predictions.count() == 2
+    with pytest.raises(ValueError, match="test.jsonl changed"):
+        profiles.frozen_run(found, found.withColumn("sha256", F.lit("bb")), cases, gold, answers, dataset="d")
+    with pytest.raises(Exception, match="repeated answer: 1, rag"):
+        profiles.frozen_run(found, found, cases, gold, answers.union(answers.limit(1)), dataset="d")
