@@ -219,4 +219,4 @@ def acceptance_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     status = F.struct(F.lit(True).alias("ready"), F.when(F.col("conv_id") % 2 == 0, "supervisor").otherwise("baseline").alias("workflow"))
     stored = storage.materialize(runs_.select("conv_id", F.to_json(F.struct(*fields)).alias("created"), F.to_json(held).alias("persisted"), F.to_json(status).alias("service")), "runs")
     records: dict[str, Column] = {"status": F.parse_json("service"), "created": F.parse_json("created"), "persisted": F.parse_json("persisted"), "page": F.lit(None).cast("string")}
-    return checks.report(stored, checks.ACCEPTANCE, keys=["conv_id"], records=records).select("conv_id", F.array_join("gaps", ",").alias("gaps"), "status")
+    return checks.report(stored, checks.acceptance(), keys=["conv_id"], records=records).select("conv_id", F.array_join("gaps", ",").alias("gaps"), "status")

@@ -20,7 +20,8 @@ GOOD = {
     ],
     "usage": {"agent_steps": 4, "search_calls": 1, "total_tokens": 10}, "errors": [],
 }
-STATUS, PAGE = {"ready": True, "workflow": "supervisor"}, "<a>Agent 全链路</a> SearchLab"
+STATUS, PAGE = {"ready": True, "workflow": "supervisor"}, "<a>运行 Runs</a> Console"
+CHECKS = checks.acceptance(("运行 Runs", "Console"))
 
 
 def gaps(spark, runs):
@@ -28,8 +29,8 @@ def gaps(spark, runs):
     rows = [(i, *[json.dumps(x) if x is not None else None for x in r[:3]], r[3]) for i, r in enumerate(runs)]
     df = spark.createDataFrame(rows, "i int, status string, created string, persisted string, page string")
     records = {n: F.try_parse_json(n) for n in ("status", "created", "persisted")} | {"page": F.col("page")}
-    out = checks.report(df, checks.ACCEPTANCE, keys=["i"], records=records).orderBy("i").collect()
-    assert all((r["status"] == "complete") == (not r["gaps"]) and r["checks"].keys() == checks.ACCEPTANCE.keys() and [n for n in checks.ACCEPTANCE if not r["checks"][n]] == r["gaps"] for r in out)
+    out = checks.report(df, CHECKS, keys=["i"], records=records).orderBy("i").collect()
+    assert all((r["status"] == "complete") == (not r["gaps"]) and r["checks"].keys() == CHECKS.keys() and [n for n in CHECKS if not r["checks"][n]] == r["gaps"] for r in out)
     return [r["gaps"] for r in out]
 
 
@@ -40,7 +41,7 @@ def test_every_acceptance_check(spark):
         "evidence_allowlist": {"final_evidence_ids": ["e9"]}, "final_report_present": {"final_report": "x" * 79 + "  "}, "checkpoint_completed": {"checkpoint": {"stage": "report", "completed_stages": ["plan"]}},
         "usage_recorded": {"usage": {"agent_steps": 4, "search_calls": 2, "total_tokens": 10}}, "no_runtime_errors": {"errors": ["x"]},
     }
-    runs = [(STATUS, GOOD, GOOD, PAGE), (STATUS, GOOD, GOOD, None), ({"ready": "true", "workflow": "x"}, GOOD, GOOD, "SearchLab"), (STATUS, GOOD, GOOD | {"run_id": "r2"}, PAGE)]
+    runs = [(STATUS, GOOD, GOOD, PAGE), (STATUS, GOOD, GOOD, None), ({"ready": "true", "workflow": "x"}, GOOD, GOOD, "Console"), (STATUS, GOOD, GOOD | {"run_id": "r2"}, PAGE)]
     runs += [(STATUS, GOOD | change, GOOD | change, PAGE) for change in spoilt.values()]
     found = gaps(spark, runs)
     assert found[:4] == [[], [], ["api_ready", "supervisor_workflow", "web_control_surface"], ["persistence_round_trip"]]
@@ -53,7 +54,7 @@ def test_every_acceptance_check(spark):
 def test_checks_are_one_projection(spark, tmp_path):
     spark.createDataFrame([("{}", "{}", "{}", "")], "status string, created string, persisted string, page string").write.parquet(f"{tmp_path}/t")
     rows = spark.read.parquet(f"{tmp_path}/t")
-    plan = checks.report(rows, checks.ACCEPTANCE, keys=["page"], records={n: F.try_parse_json(n) for n in ("status", "created", "persisted")} | {"page": F.col("page")})._jdf.queryExecution().executedPlan().toString()
+    plan = checks.report(rows, CHECKS, keys=["page"], records={n: F.try_parse_json(n) for n in ("status", "created", "persisted")} | {"page": F.col("page")})._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan") == 1 and "Exchange" not in plan
 
 
