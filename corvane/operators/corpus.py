@@ -138,7 +138,8 @@ def near_pairs(prints: DataFrame, *, distance: int = DISTANCE) -> DataFrame:
     keyed = nodes.select("id", "h", F.explode(F.array(*keys)).alias("x")).select("id", "h", "x.mask", "x.key", "x.earlier")
     a, b = keyed.alias("a"), keyed.select("id", "h", "mask", "key").alias("b")
     differing = F.col("a.h").bitwiseXOR(F.col("b.h"))
-    hit = a.join(b, (F.col("a.mask") == F.col("b.mask")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id")) & (F.bit_count(differing) <= distance))
+    # each print stands here twenty times, which the planner's estimate leaves out: without the hint it would broadcast them all
+    hit = a.join(b.hint("merge"), (F.col("a.mask") == F.col("b.mask")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id")) & (F.bit_count(differing) <= distance))
     first = F.forall("a.earlier", lambda m: differing.bitwiseAND(m) != 0)  # an earlier block that agrees too would have met them before
     return hit.where(first).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.bit_count(differing).alias("distance"))
 

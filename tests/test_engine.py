@@ -465,6 +465,12 @@ def test_near_pairs_at_every_distance(spark):
         assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_near_pairs_broadcast_no_keyed_prints(spark):
+    prints = storage.materialize(spark.range(64).select("id", F.col("id").alias("hi"), F.xxhash64("id").bitwiseAND(0xFFFFFFFF).alias("lo")), "prints")
+    plan = corpus.near_pairs(prints)._jdf.queryExecution().sparkPlan().toString()  # small tables, which are broadcast where nothing forbids it
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
 def test_passages_by_their_rarest_word(spark):
     docs = spark.createDataFrame([(1, "a b  c\na b d"), (2, "b c"), (3, None), (4, "c a b d e"), (5, "abd")], "doc_id int, text string")
     items = spark.createDataFrame([(1, "a b"), (2, "b c"), (3, "a b d"), (4, "zz"), (5, ""), (6, None), (7, "e"), (8, "b d e f")], "item_id int, text string")
