@@ -13,7 +13,7 @@ from corvane.functions import text as T
 from corvane.functions import vectors as V
 from corvane.operators import chunk, corpus, evaluate, failures, ingest, retrieval, sequence, trajectories
 from corvane.operators.pages import page_text
-from corvane.sources import readers, storage, versions
+from corvane.sources import readers, storage, vectors, versions
 
 
 def one(spark, expr, **values):
@@ -471,6 +471,23 @@ def test_near_pairs_broadcast_no_keyed_prints(spark):
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
 
 
+def test_every_text_has_a_vector(spark, tmp_path):
+    sign = lambda w: (lambda h: (h % 64, h >> 63))(int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little"))
+    at = {}
+    for i in range(10_000):  # two words in one slot with opposite signs
+        slot, s = sign(f"w{i}")
+        if at.setdefault(slot, (i, s))[1] != s:
+            break
+    texts = [(1, None), (2, ""), (3, " \n "), (4, f"w{at[slot][0]} w{i}"), (5, "one two two")]
+    df = spark.createDataFrame(texts, "id int, text string").withColumn("title", F.lit(""))
+    got = {r["id"]: r["vector"] for r in vectors.refresh(df, str(tmp_path), model="m", embed=V.hashing_embedder(64), dimension=64).collect()}
+    assert sorted(got) == ["1", "2", "3", "4", "5"] and all(abs(sum(x * x for x in v) - 1) < 1e-6 for v in got.values())
+    want = [0] * 64
+    for w in "one two two".split():
+        want[sign(w)[0]] += 1 if sign(w)[1] else -1
+    assert got["5"] == pytest.approx([x / math.sqrt(sum(y * y for y in want)) for x in want])
+
+
 def test_passages_by_their_rarest_word(spark):
     docs = spark.createDataFrame([(1, "a b  c\na b d"), (2, "b c"), (3, None), (4, "c a b d e"), (5, "abd")], "doc_id int, text string")
     items = spark.createDataFrame([(1, "a b"), (2, "b c"), (3, "a b d"), (4, "zz"), (5, ""), (6, None), (7, "e"), (8, "b d e f")], "item_id int, text string")
