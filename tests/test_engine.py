@@ -471,6 +471,23 @@ def test_near_pairs_broadcast_no_keyed_prints(spark):
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
 
 
+def test_dense_holds_no_more_than_a_tile_of_scores(spark, monkeypatch):
+    import numpy as np
+
+    x = np.random.default_rng(6).integers(-2, 3, size=(900, 3)).astype(float)  # many equal vectors, many ties
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id int, embedding array<double>").coalesce(1)
+    monkeypatch.setattr(retrieval, "SCORE_BYTES", 8 * 9 * 50)
+    found = retrieval.dense(df, df.where("vec_id % 100 = 1"), top_k=4)
+    got = {(r["query"], r["rank"]): r["id"] for r in found.collect()}
+    u = {i: v / np.linalg.norm(v) for i, v in enumerate(x) if v.any()}
+    asked = [i for i in u if i % 100 == 1]
+    assert got == {(q, k + 1): i for q in asked for k, (_, i) in enumerate(sorted((-round(float(u[i] @ u[q]), 9), i) for i in u)[:4])}
+    best = retrieval._Best(2, 3)
+    for first in range(0, 900, 7):
+        best.add(np.array([[i % 5, -i] for i in range(first, min(first + 7, 900))], dtype=float), __import__("pyarrow").array(range(first, min(first + 7, 900))))
+    assert best.ids.to_pylist() == [4, 9, 14, 0, 1, 2]  # no more is held than what is passed on
+
+
 def test_every_text_has_a_vector(spark, tmp_path):
     sign = lambda w: (lambda h: (h % 64, h >> 63))(int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little"))
     at = {}
