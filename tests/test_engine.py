@@ -488,6 +488,17 @@ def test_dense_holds_no_more_than_a_tile_of_scores(spark, monkeypatch):
     assert best.ids.to_pylist() == [4, 9, 14, 0, 1, 2]  # no more is held than what is passed on
 
 
+def test_judgments_of_groups_are_those_of_their_queries(spark):
+    r = random.Random(8)
+    hits = spark.createDataFrame([(q, i, n + 1) for q in range(9) for n, i in enumerate(r.sample(range(60), 10))], "query int, id int, rank int")
+    groups = spark.createDataFrame([(q, q % 4) for q in range(9)], "query int, group int")
+    of_groups = spark.createDataFrame([(g, i, r.randint(0, 3)) for g in range(3) for i in r.sample(range(60), 25)], "group int, id int, grade int")
+    each = groups.join(of_groups, "group").select("query", "id", "grade")
+    want = {x["query"]: tuple(x) for x in evaluate.metric_bundle(hits, each).collect()}
+    got = {x["query"]: tuple(x) for x in evaluate.metric_bundle(hits, of_groups, groups=groups).collect()}
+    assert set(got) == set(want) == {0, 1, 2, 4, 5, 6, 8} and all(got[q] == pytest.approx(want[q]) for q in want)
+
+
 def test_every_text_has_a_vector(spark, tmp_path):
     sign = lambda w: (lambda h: (h % 64, h >> 63))(int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little"))
     at = {}
