@@ -499,6 +499,21 @@ def test_judgments_of_groups_are_those_of_their_queries(spark):
     assert set(got) == set(want) == {0, 1, 2, 4, 5, 6, 8} and all(got[q] == pytest.approx(want[q]) for q in want)
 
 
+def test_bm25_rankings_without_pairs(spark, monkeypatch):
+    r = random.Random(9)
+    docs = spark.createDataFrame([(i, " ".join(r.choices("abcdefgh", weights=[40, 20, 9, 5, 3, 2, 1, 1], k=r.randint(0, 12)))) for i in range(200)] + [(900, None)], "doc_id int, text string")
+    asked = retrieval.query_terms(spark.createDataFrame([(f"q{i}", " ".join(r.choices("abcdefghz", k=4))) for i in range(7)] + [("none", "z")], "q string, text string"), id_col="q", text_col="text")
+    index = retrieval.build_index(docs)
+    monkeypatch.setattr(retrieval, "SCORE_BYTES", 8 * 100)
+    monkeypatch.setattr(retrieval, "bm25", None)
+    monkeypatch.setattr(retrieval, "bm25_contributions", (contributions := retrieval.bm25_contributions) and None)
+    got = retrieval.bm25_rankings(index, asked, top_k=5, bs=(0.75, 0.0)).collect()
+    for b in (0.75, 0.0):
+        scored = contributions(index, asked, b=b).groupBy("query", "id").agg(F.sum("contribution").alias("score"))
+        want = sorted((x["query"], x["rank"], x["id"], round(x["score"], 9)) for x in retrieval.top_hits(scored, 5).collect())
+        assert sorted((x["query"], x["rank"], x["id"], round(x["score"], 9)) for x in got if x["b"] == b) == want and want
+
+
 def test_every_text_has_a_vector(spark, tmp_path):
     sign = lambda w: (lambda h: (h % 64, h >> 63))(int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little"))
     at = {}
