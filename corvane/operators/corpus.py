@@ -118,14 +118,26 @@ def simhash(docs: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
     return sums.select("id", half("h").alias("hi"), half("l").alias("lo"))
 
 
+def _nodes(prints: DataFrame) -> DataFrame:
+    """(id, n, h): each print once, with its smallest id and how many documents have it."""
+    return prints.groupBy("hi", "lo").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")).select("id", "n", F.shiftleft("hi", 32).bitwiseOR(F.col("lo")).alias("h"))
+
+
 def near_pairs(prints: DataFrame, *, distance: int = DISTANCE) -> DataFrame:
     """(a, b, distance) of prints at most `distance` bits apart, a < b, equal prints through their smallest id only.
 
+    Documents with one print are one node; `near_links` gives the others too.
+    """
+    return _near_nodes(_nodes(prints), distance).select("a", "b", "distance")
+
+
+def _near_nodes(nodes: DataFrame, distance: int) -> DataFrame:
+    """(a, b, na, nb, distance) of `_nodes` at most `distance` bits apart, a < b, with the documents of each.
+
     The 64 bits are cut into distance + 3 blocks. Two such prints differ in `distance` blocks at most, so they agree in three; each
     print is keyed by every three of its blocks, some 32 bits at distance 3, and a pair is taken at the first three blocks that it
-    agrees in, once. Documents with one print are one node; `near_links` gives the others too.
+    agrees in, once.
     """
-    nodes = prints.groupBy("hi", "lo").agg(F.min("id").alias("id")).select("id", F.shiftleft("hi", 32).bitwiseOR(F.col("lo")).alias("h"))
     blocks = distance + KEYED
     edges = [64 * k // blocks for k in range(blocks + 1)]
     masks = [(1 << hi) - (1 << lo) for lo, hi in itertools.pairwise(edges)]
@@ -135,13 +147,13 @@ def near_pairs(prints: DataFrame, *, distance: int = DISTANCE) -> DataFrame:
         mask = signed(sum(masks[k] for k in chosen))
         earlier = [F.lit(signed(masks[k])) for k in range(chosen[-1]) if k not in chosen]
         keys.append(F.struct(F.lit(mask).alias("mask"), F.col("h").bitwiseAND(F.lit(mask)).alias("key"), F.array(*earlier).cast("array<bigint>").alias("earlier")))
-    keyed = nodes.select("id", "h", F.explode(F.array(*keys)).alias("x")).select("id", "h", "x.mask", "x.key", "x.earlier")
-    a, b = keyed.alias("a"), keyed.select("id", "h", "mask", "key").alias("b")
+    keyed = nodes.select("id", "n", "h", F.explode(F.array(*keys)).alias("x")).select("id", "n", "h", "x.mask", "x.key", "x.earlier")
+    a, b = keyed.alias("a"), keyed.select("id", "n", "h", "mask", "key").alias("b")
     differing = F.col("a.h").bitwiseXOR(F.col("b.h"))
     # each print stands here twenty times, which the planner's estimate leaves out: without the hint it would broadcast them all
     hit = a.join(b.hint("merge"), (F.col("a.mask") == F.col("b.mask")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id")) & (F.bit_count(differing) <= distance))
     first = F.forall("a.earlier", lambda m: differing.bitwiseAND(m) != 0)  # an earlier block that agrees too would have met them before
-    return hit.where(first).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.bit_count(differing).alias("distance"))
+    return hit.where(first).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.col("a.n").alias("na"), F.col("b.n").alias("nb"), F.bit_count(differing).alias("distance"))
 
 
 def near_links(prints: DataFrame, *, distance: int = DISTANCE) -> DataFrame:
@@ -158,9 +170,8 @@ def near_links(prints: DataFrame, *, distance: int = DISTANCE) -> DataFrame:
 def near_pair_count(prints: DataFrame, *, distance: int = DISTANCE) -> DataFrame:
     """(pairs): how many pairs of documents are at most `distance` bits apart, equal prints included, without making them all: a pair
     of prints stands for the product of its documents, n equal ones for n * (n - 1) / 2."""
-    nodes = prints.groupBy("hi", "lo").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")).select("id", "n")
-    found = near_pairs(prints, distance=distance).join(nodes.select(F.col("id").alias("a"), F.col("n").alias("na")), "a").join(nodes.select(F.col("id").alias("b"), F.col("n").alias("nb")), "b")
-    parts = found.select((F.col("na") * F.col("nb")).alias("p")).unionByName(nodes.select(F.floor(F.col("n") * (F.col("n") - 1) / 2).alias("p")))
+    nodes = _nodes(prints)  # their counts go with the keys: joined to the pairs afterwards, all nodes would be broadcast
+    parts = _near_nodes(nodes, distance).select((F.col("na") * F.col("nb")).alias("p")).unionByName(nodes.select(F.floor(F.col("n") * (F.col("n") - 1) / 2).alias("p")))
     return parts.agg(F.coalesce(F.sum("p"), F.lit(0)).alias("pairs"))
 
 

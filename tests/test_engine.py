@@ -471,6 +471,15 @@ def test_near_pairs_broadcast_no_keyed_prints(spark):
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
 
 
+def test_near_pair_count_broadcasts_no_prints(spark):
+    prints = storage.materialize(spark.range(64).select("id", (F.col("id") % 24).alias("hi"), F.lit(5).cast("long").alias("lo")), "prints")
+    counted = corpus.near_pair_count(prints)
+    seen = [i % 24 for i in range(64)]
+    assert counted.first()["pairs"] == sum((a ^ b).bit_count() <= 3 for k, a in enumerate(seen) for b in seen[:k])
+    plan = counted._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_dense_holds_no_more_than_a_tile_of_scores(spark, monkeypatch):
     import numpy as np
 
