@@ -557,6 +557,21 @@ def test_bm25_rankings_without_pairs(spark, monkeypatch):
         assert sorted((x["query"], x["rank"], x["id"], round(x["score"], 9)) for x in got if x["b"] == b) == want and want
 
 
+def test_bm25_rankings_broadcast_no_lengths(spark):
+    docs = spark.createDataFrame([(i, f"w{i % 7} w{i % 5}") for i in range(60)], "doc_id int, text string")
+    asked = retrieval.query_terms(spark.createDataFrame([("q", "w1 w3")], "q string, text string"), id_col="q", text_col="text")
+    plan = retrieval.bm25_rankings(retrieval.build_index(docs), asked, top_k=5)._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("BroadcastHashJoin") == 1 and "BroadcastHashJoin [term#" in plan and "SortMergeJoin [id#" in plan
+
+
+def test_labels_beyond_the_bound_are_merged(spark, monkeypatch):
+    plans = {}
+    monkeypatch.setattr(analysis_queries, "broadcast_if_small", lambda df, **k: storage.broadcast_if_small(df, 10, **k))
+    monkeypatch.setattr(analysis_queries, "materialize", lambda df, n: (plans.setdefault(n, df._jdf.queryExecution().sparkPlan().toString()), storage.materialize(df, n))[1])
+    docs = analysis_queries._vectors(spark, "/root/testdata/sf0.001")[0]
+    assert docs.count() == 200 and all("SortMergeJoin [no#" in plans[n] and "BroadcastHashJoin [no#" not in plans[n] for n in ("vectors", "asked"))
+
+
 def test_every_text_has_a_vector(spark, tmp_path):
     sign = lambda w: (lambda h: (h % 64, h >> 63))(int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little"))
     at = {}
